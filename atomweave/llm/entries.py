@@ -4,10 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, quality_rules, simhash, url_filter
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("n_rules_run")
+
+
+_W = "[^\\x20\\x09-\\x0D]+"
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_W}') AS words, string_split(text, chr(10)) AS lines FROM d),
+r AS (SELECT *, list_transform(range(1, greatest(1, len(words) - 1)), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS tri,
+             list_filter(lines, lambda x: regexp_matches(x, '{_W}')) AS full_lines FROM w),
+t AS (SELECT doc_id, unnest(tri) AS gram, generate_subscripts(tri, 1) AS pos FROM r),
+dup AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM t) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM dup, range(0, 3) AS s(k) GROUP BY doc_id),
+c AS (SELECT r.doc_id, r.text, words, lines, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs
+      FROM r LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols > 0.1 * n_words OR n_upper > 0.3 * n_letters OR n_bangs > 0.1 * n_words OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)
+            OR 2 * n_dup_lines > len(lines) OR len(list_distinct(words)) < 0.1 * least(n_words, 1000)) AS kept
+FROM b
+"""
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -19,6 +51,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -45,5 +81,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
-SQL = {"op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op7_simhash": op7_simhash, "op6_exact_dedup": op6_exact_dedup, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
+SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
