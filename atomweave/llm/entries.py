@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash, toxicity, url_filter
+from . import bpe, exact_dedup, license_scan, mixing, quality_rules, secret_scan, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -40,11 +41,25 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths; each source is a tree of directories of 512 and 64 documents, the first of a directory is its LICENSE file."""
+    n = F.col("doc_id")
+    name = F.when(n % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(n / 512).cast("string"), F.floor(n / 64).cast("string"), name)
+    return license_scan.scan(table(spark, sf_dir, "documents"), F.when(n.isNotNull(), path))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of a document is its source, its repository what the source has in one language."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -86,5 +101,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op4_toxicity": op4_toxicity, "op7_simhash": op7_simhash, "op6_exact_dedup": op6_exact_dedup, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
 SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
