@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import checkpointed, text_of
 
 FAN_IN = 8
 KEY = ["__sha", "__bytes", "__hash"]
@@ -42,7 +42,7 @@ def merge_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: identifier, keep_id, group_size, kept, text_sha256."""
-    merged = merge_runs(df, id_col, text_col, keep)
+    merged = checkpointed(merge_runs(df, id_col, text_col, keep))  # read back, both sides of the join are plain exchanges, which Spark can split at a hot text
     rows = df.select(F.col(id_col).alias("__id"), *digests(df, text_col)).groupBy("__id", *KEY).agg(F.count(F.lit(1)).alias("__m"))
     out = rows.join(merged, KEY).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
     return out.select(
