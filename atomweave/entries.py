@@ -1,8 +1,591 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library. Each is thin: derive the input, apply an operator, round. SQL for them is in oracles.py."""
+
+from __future__ import annotations
+
+import math
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import features as B
+from .operators import grids as G
+from .operators import kernels as K
+from .operators import models as M
+from .operators import pairs as P
+from .operators import pooling as L
+from .operators import selection as X
+from .operators import stats as A
+from .operators import tuples as T
+from .oracles import SQL
+from .plans import evaluation as E
+from .plans import features as PF
+from .sources import derived as D
+from .sources import files
+from .sources import fixtures as FX
+from .streaming import features as ST
 
 QUERIES: dict = {}
-SQL: dict = {}
+RCUT = 6.0
+NEAR = 4.0
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def R(c: Column | str, digits: int = 6) -> Column:
+    """Rounded, without a negative zero."""
+    c = F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return F.when(c == 0, 0.0).otherwise(c)
+
+
+def squeezed(c: Column) -> Column:
+    """sign(x) ln(1 + |x|), rounded: sums that span many powers of ten compare by their leading digits."""
+    return R(F.signum(c) * F.log1p(F.abs(c)), 5)
+
+
+def wide(grid: DataFrame) -> DataFrame:
+    """(channel, idx, value) -> (idx, g)."""
+    return grid.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda x: x["value"]).alias("g"))
+
+
+COARSE = {
+    "radial": G.Grid(RCUT, 120, (G.Weight("exp", 1.5), G.Weight("exp", 5.0), G.Weight("power", 3.0), G.Weight("power", 5.0)), 2, 2.0, math.sqrt(2.0), 1, 2.0),
+    "angular": G.Grid(math.pi, 64, (G.Weight("cos", 1.0), G.Weight("cos", 2.0)), 2, 2.0, math.sqrt(2.0), 1, 2.0),
+    "solid": G.Grid(2 * math.pi, 64, (G.Weight("cos", 1.0), G.Weight("cos", 2.0)), 2, 1.0, 1.0, 0, 1.0),
+    "plane": G.Grid(math.pi, 64, (G.Weight("cos", 1.0), G.Weight("cos", 2.0)), 2, 1.0, 1.0, 0, 1.0),
+    "legacy": G.Grid(RCUT, 120, (G.Weight("exp", 1.5), G.Weight("power", 2.0)), 2, 6.0, 6.0, 1, 1.0),
+}
+
+
+def coarse(spark: SparkSession, name: str) -> DataFrame:
+    return wide(G.coarse(spark, COARSE[name]))
+
+
+def pairs(spark: SparkSession, sf_dir: str, rcut: float = RCUT) -> DataFrame:
+    return P.molecular_pairs(D.atoms(spark, sf_dir), rcut)
+
+
+def long(features: DataFrame) -> DataFrame:
+    return features.select("structure_id", "i", F.posexplode("features").alias("channel", "v")).select("structure_id", "i", "channel", squeezed(F.col("v")).alias("value"))
+
+
+@query
+def atoms(spark, sf_dir):
+    a = D.atoms(spark, sf_dir)
+    return a.select("structure_id", "atom_id", "z", R("x").alias("x"), R("y").alias("y"), R("zc").alias("zc"))
+
+
+@query
+def pair_join(spark, sf_dir):
+    return pairs(spark, sf_dir).select("structure_id", "i", "j", "z_i", "z_j", R("r").alias("r"))
+
+
+@query
+def neighbor_ordinal(spark, sf_dir):
+    return P.neighbor_ordinal(pairs(spark, sf_dir)).select("structure_id", "i", "j", "ordinal")
+
+
+@query
+def csr_offsets(spark, sf_dir):
+    return P.csr_offsets(pairs(spark, sf_dir)).select("structure_id", "i", "n", "offset")
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    """Cutoffs, polynomials and bases of every pair's distance."""
+    r = F.col("r")
+    cols = {f"hermite{d}": S.hermite(r, d, 0.5) for d in range(1, 6)} | {f"chebyshev{d}": S.chebyshev(r / RCUT, d) for d in range(1, 6)}
+    cols |= {"cutoff": S.cutoff(r, RCUT), "slope": S.cutoff_slope(r, RCUT), "charge": S.mean_charge(F.col("z_i"), F.col("z_j")), "damping": S.damping(2.0, r, r), "exponential": S.exponential_damping(-0.5, r, r), "basis": S.vdw_basis(r, F.lit(1.5), 2.0)}
+    cols |= {"mu": S.gaussian_fold([r, 2.0 * r, F.lit(1.0)], 1.0)["mu"], "zeta": S.gaussian_fold([r, 2.0 * r, F.lit(1.0)], 1.0)["zeta"]}
+    return pairs(spark, sf_dir, NEAR).select("structure_id", "i", "j", *[R(c, 5).alias(n) for n, c in cols.items()])
+
+
+def _boxed(spark, sf_dir):
+    s = D.structures(spark, sf_dir)
+    cell = F.array(*[F.array(*[F.lit(10.0 if i == j else 0.0) for j in range(3)]) for i in range(3)])
+    return s.withColumn("cell", cell).withColumn("pbc", F.struct(*[F.lit(a != "c").alias(a) for a in "abc"]))
+
+
+@query
+def periodic_pairs(spark, sf_dir):
+    """Atoms in a box of 10 that repeats along two axes: neighbours of each atom within 4."""
+    p = P.periodic_pairs(_boxed(spark, sf_dir), NEAR)
+    return p.groupBy("structure_id", "i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 5).alias("sum_r"), F.sum(F.abs("nx") + F.abs("ny") + F.abs("nz")).alias("moves"))
+
+
+@query
+def crystal_neighbors(spark, sf_dir):
+    p = P.periodic_pairs(FX.structures(spark), RCUT)
+    return p.groupBy("structure_id", "i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 5).alias("sum_r"))
+
+
+@query
+def supercell(spark, sf_dir):
+    s = FX.supercell(FX.structures(spark), 2, 1, 3)
+    return P.explode_atoms(s).groupBy("structure_id", "z").agg(F.count(F.lit(1)).alias("n"), R(F.sum("x"), 5).alias("sum_x"), R(F.sum("y"), 5).alias("sum_y"), R(F.sum("zc"), 5).alias("sum_z"))
+
+
+@query
+def two_body_sum(spark, sf_dir):
+    """The flagship: neighbours, cutoff, grid lookup and sums by atom and channel."""
+    g = COARSE["radial"]
+    return long(B.two_body(pairs(spark, sf_dir), coarse(spark, "radial"), g, RCUT))
+
+
+@query
+def two_body_plain(spark, sf_dir):
+    return long(B.two_body(pairs(spark, sf_dir), coarse(spark, "radial"), COARSE["radial"], None))
+
+
+@query
+def two_body_linear(spark, sf_dir):
+    return long(B.two_body(pairs(spark, sf_dir), coarse(spark, "radial"), COARSE["radial"], RCUT, "linear"))
+
+
+ELEMENT_WIDTHS = {1: 1.2, 6: 1.7, 7: 1.55, 8: 1.52, 9: 1.47, 10: 1.54, 14: 2.1, 15: 1.8, 16: 1.8, 17: 1.75, 29: 1.4}
+
+
+@query
+def two_body_element(spark, sf_dir):
+    """The neighbour's element picks the grid; elements without a radius share one."""
+    base = COARSE["radial"]
+    grid = lambda a: wide(G.coarse(spark, G.Grid(RCUT, 60, base.weights[:2], 2, a * a, a * a)))
+    grids = grid(1.0).withColumn("z", F.explode(F.filter(F.sequence(F.lit(1), F.lit(118)), lambda z: ~z.isin(list(ELEMENT_WIDTHS)))))
+    for z, a in ELEMENT_WIDTHS.items():
+        grids = grids.unionByName(grid(a).withColumn("z", F.lit(z)))
+    g = G.Grid(RCUT, 60, base.weights[:2], 2, 1.0, 1.0)
+    return long(B.two_body(pairs(spark, sf_dir), grids, g, RCUT, "floor", True))
+
+
+@query
+def triple_join(spark, sf_dir):
+    t = T.periodic_triples(pairs(spark, sf_dir))
+    return t.select("structure_id", "i", F.col("j_p").alias("p"), F.col("j_q").alias("q"), R("r_pq").alias("r"), R("cos1", 5).alias("cos1"), R("cos2", 5).alias("cos2"), R("cos3", 5).alias("cos3"))
+
+
+@query
+def three_body_sum(spark, sf_dir):
+    return long(B.three_body(T.periodic_triples(pairs(spark, sf_dir)), coarse(spark, "angular"), COARSE["angular"], RCUT))
+
+
+@query
+def molecular_three_body(spark, sf_dir):
+    """Triples anchored at the lowest atom, feeding all three."""
+    t = T.molecular_triples(D.atoms(spark, sf_dir), NEAR, "reference")
+    return long(B.molecular_three_body(t, coarse(spark, "angular"), COARSE["angular"], None))
+
+
+@query
+def quad_solid_angle(spark, sf_dir):
+    return long(B.four_body(T.neighbor_tuples(pairs(spark, sf_dir, NEAR), 3), coarse(spark, "solid"), COARSE["solid"], NEAR))
+
+
+@query
+def quint_out_of_plane(spark, sf_dir):
+    return long(B.five_body(T.neighbor_tuples(pairs(spark, sf_dir, NEAR), 4), coarse(spark, "plane"), COARSE["plane"], NEAR))
+
+
+@query
+def legacy_four_body(spark, sf_dir):
+    return long(B.legacy_four_body(T.ordered_quadruples(pairs(spark, sf_dir, 3.0)), coarse(spark, "legacy"), COARSE["legacy"]))
+
+
+@query
+def grid_convolutions(spark, sf_dir):
+    out = None
+    for name, g in COARSE.items():
+        one = G.coarse(spark, g).select(F.lit(name).alias("grid"), "channel", "idx", R("value").alias("value"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def grid_gradient(spark, sf_dir):
+    g = COARSE["radial"]
+    return G.gradient(G.coarse(spark, g), g.step).select("channel", "idx", R("slope", 5).alias("slope"))
+
+
+def _vectors_long(spark, sf_dir):
+    return D.long_form(D.vectors(spark, sf_dir), "id", "z")
+
+
+@query
+def global_pool(spark, sf_dir):
+    """The sum of the vectors of each label."""
+    s = L.vector_sum(D.vectors(spark, sf_dir), ["z"], 64)
+    return s.select("z", F.posexplode("features").alias("channel", "v")).select("z", "channel", R("v", 5).alias("value"))
+
+
+@query
+def element_norm_factors(spark, sf_dir):
+    rows = _vectors_long(spark, sf_dir)
+    a, b = L.element_norm(rows, "mean"), L.element_norm(rows, "max").withColumnRenamed("factor", "largest")
+    return a.join(b, ["z", "channel"]).select("z", "channel", R("factor").alias("factor"), R("largest").alias("largest"))
+
+
+@query
+def element_norm_apply(spark, sf_dir):
+    """Factors of the even vectors applied to all; elements they lack pass unscaled."""
+    v = D.vectors(spark, sf_dir)
+    factors = L.element_norm_vectors(v.filter((F.col("id") % 2 == 0) & (F.col("z") != 3)), 64)
+    out = L.normalize(v, factors, "keep")
+    return D.long_form(out, "id").select("id", "channel", R("value").alias("value"))
+
+
+@query
+def bag_sort(spark, sf_dir):
+    """Atoms of an order as a molecule, their coordinates as three channels."""
+    a = D.atoms(spark, sf_dir).withColumn("z", F.col("z") % 5 + 1)
+    rows = a.select("structure_id", "z", F.posexplode(F.array("x", "y", "zc")).alias("channel", "value"))
+    return L.bag(rows, L.bag_sizes(a)).select("structure_id", "channel", "z", "slot", R("value").alias("value"))
+
+
+@query
+def composition_filter(spark, sf_dir):
+    s = X.composition(D.structures(spark, sf_dir), (2, 5), 83, 6)
+    return s.select("structure_id", F.size("charges").alias("n_atoms"), F.size(F.array_distinct("charges")).alias("n_species"))
+
+
+@query
+def size_bins(spark, sf_dir):
+    sizes = X.small(D.structures(spark, sf_dir), 12).select("structure_id", F.size("charges").alias("n_atoms"))
+    return X.size_bins(sizes, [(1, 2), (3, 4), (5, 8), (9, 12)]).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("n_atoms").alias("atoms"))
+
+
+@query
+def atomization_target(spark, sf_dir):
+    refs = spark.createDataFrame([(z, -0.5 * z * z) for z in range(1, 60)], "z int, energy double")
+    return L.atomization(D.atoms(spark, sf_dir), D.targets(spark, sf_dir), refs).select("structure_id", R("energy", 3).alias("energy"))
+
+
+@query
+def centered_target(spark, sf_dir):
+    return X.centered(D.targets(spark, sf_dir), "target").select("structure_id", R("target", 3).alias("target"))
+
+
+@query
+def random_sample(spark, sf_dir):
+    return X.sample(D.targets(spark, sf_dir), "structure_id", 500).select("structure_id")
+
+
+@query
+def train_test_split(spark, sf_dir):
+    return X.split(D.targets(spark, sf_dir), "structure_id").select("structure_id", "part")
+
+
+@query
+def kfold_assign(spark, sf_dir):
+    return X.folds(D.targets(spark, sf_dir), "structure_id").select("structure_id", "fold")
+
+
+@query
+def learning_curve_prefix(spark, sf_dir):
+    return X.prefixes(D.targets(spark, sf_dir), "structure_id", [100, 500, 1000, 10**9]).groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("structure_id").alias("ids"))
+
+
+@query
+def set_difference(spark, sf_dir):
+    """Orders outside the sample, those in it, and the distinct elements of both."""
+    t = D.targets(spark, sf_dir).select("structure_id")
+    chosen = t.filter("structure_id % 3 = 0")
+    a = D.atoms(spark, sf_dir).select("structure_id", "z")
+    count = lambda ids, name: L.distinct_elements(X.gather(a, ids, "structure_id")).agg(F.count(F.lit(1)).alias("elements"), F.sum("z").alias("sum_z")).select(F.lit(name).alias("part"), "elements", "sum_z")
+    return count(chosen, "in").union(count(X.without(t, chosen, "structure_id"), "out"))
+
+
+@query
+def standardize(spark, sf_dir):
+    rows = _vectors_long(spark, sf_dir)
+    out = A.standardize(rows.filter("id % 5 > 0"), rows.filter("id % 5 = 0"))
+    return out.select("id", "channel", R("value", 5).alias("value"))
+
+
+@query
+def feature_corr(spark, sf_dir):
+    return A.correlations_wide(D.vectors(spark, sf_dir), 24).select("a", "b", R("r").alias("r"))
+
+
+@query
+def feature_corr_counts(spark, sf_dir):
+    return A.correlation_counts(A.correlations(_vectors_long(spark, sf_dir).filter("channel < 24")), (0.2, 0.1, 0.05)).select("level", "n")
+
+
+@query
+def feature_variance(spark, sf_dir):
+    return A.ranked(A.variances(_vectors_long(spark, sf_dir)), "variance").select("channel", R("variance").alias("variance"), "constant", "rank")
+
+
+@query
+def top_feature_sets(spark, sf_dir):
+    ranks = A.ranked(A.variances(_vectors_long(spark, sf_dir)), "variance")
+    return A.top_sets(ranks, [5, 10, 35]).select("size", "channel")
+
+
+@query
+def feature_importance(spark, sf_dir):
+    """Mean variance of channels by block and order of the default layout."""
+    rows = A.variances(_vectors_long(spark, sf_dir)).join(F.broadcast(X.labels(spark)), "channel").withColumn("importance", F.col("variance"))
+    return A.importance(rows).select("block", "m", R("mean").alias("mean"))
+
+
+@query
+def feature_labels(spark, sf_dir):
+    return X.labels(spark)
+
+
+@query
+def feature_subset(spark, sf_dir):
+    """Radial channels of the lower orders, and the angular ones without the second weight."""
+    keep = X.block(5, 4, most_order=2) + X.block(5, 4, skip_weight=1, offset=20)
+    v = D.vectors(spark, sf_dir).select("id", F.posexplode(X.channels(F.col("features"), keep)).alias("place", "value"))
+    return v.groupBy("id").agg(F.count(F.lit(1)).alias("n"), R(F.sum(F.col("value") * (F.col("place") + 1)), 5).alias("checksum"))
+
+
+def _some_vectors(spark, sf_dir):
+    v = D.vectors(spark, sf_dir).withColumn("features", F.slice("features", 1, 16))
+    return v, v.filter("id < 40")
+
+
+@query
+def laplacian_kernel(spark, sf_dir):
+    v, marks = _some_vectors(spark, sf_dir)
+    return K.rectangular(v, marks, "laplacian", 0.05).select("a_id", "b_id", R("k").alias("k"))
+
+
+@query
+def symmetric_kernel(spark, sf_dir):
+    return K.symmetric(_some_vectors(spark, sf_dir)[1], 0.1).select("a_id", "b_id", R("k").alias("k"))
+
+
+@query
+def polynomial_rbf_kernels(spark, sf_dir):
+    v, marks = _some_vectors(spark, sf_dir)
+    a = K.rectangular(v, marks, "polynomial", 1.0 / 16, 3).withColumnRenamed("k", "poly")
+    b = K.rectangular(v, marks, "rbf", 0.1).withColumnRenamed("k", "rbf")
+    return a.join(b, ["a_id", "b_id"]).select("a_id", "b_id", R("poly", 5).alias("poly"), R("rbf").alias("rbf"))
+
+
+def _molecules(spark, sf_dir):
+    """Vectors as atoms: 8 to a structure, their label as element."""
+    v = D.vectors(spark, sf_dir)
+    return v.select(F.floor(F.col("id") / 8).cast("long").alias("structure_id"), (F.col("id") % 8).cast("int").alias("atom_id"), "z", F.slice("features", 1, 16).alias("features"))
+
+
+@query
+def delta_kernel(spark, sf_dir):
+    m = _molecules(spark, sf_dir)
+    return K.delta_kernel(m, m.filter("structure_id < 20"), 4.0).select("a_id", "b_id", R("k").alias("k"))
+
+
+@query
+def local_kernel_l2(spark, sf_dir):
+    m = _molecules(spark, sf_dir)
+    return K.local_kernel(m, m.filter("structure_id < 4"), 2.0, "l2").select("a_id", "b_id", "a_atom", "b_atom", R("c").alias("c"))
+
+
+@query
+def best_match_kernel(spark, sf_dir):
+    m = _molecules(spark, sf_dir).groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.col("z").cast("double").alias("z"), "features"))).alias("a"))
+    m = m.select("structure_id", F.transform("a", lambda x: x["z"]).alias("charges"), F.transform("a", lambda x: x["features"]).alias("atoms"))
+    return K.best_match(m, m.filter("structure_id < 10"), 4.0, 0.5).select("a_id", "b_id", R("k").alias("k"))
+
+
+def _errors(spark, sf_dir):
+    """A table of settings, folds and errors: mean absolute difference of price and a guess by quantity."""
+    li = D.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), F.col("l_extendedprice").alias("y"), "l_quantity")
+    grid = F.explode(F.array(*[F.struct(F.lit(g).alias("gamma"), F.lit(a).alias("alpha")) for g in (800.0, 1000.0, 1200.0) for a in (0.0, 5000.0)]))
+    rows = li.withColumn("s", grid).select("fold", "s.*", "y", (F.col("l_quantity") * F.col("s.gamma") + F.col("s.alpha")).alias("p"))
+    return A.mae(rows, ["fold", "gamma", "alpha"])
+
+
+@query
+def fold_errors(spark, sf_dir):
+    return A.fold_summary(_errors(spark, sf_dir), ["gamma", "alpha"]).select("gamma", "alpha", R("mean", 3).alias("mean"), R("sd", 3).alias("sd"))
+
+
+@query
+def grid_argmin(spark, sf_dir):
+    return A.best_setting(_errors(spark, sf_dir), ["gamma", "alpha"], ["fold"]).select("fold", "gamma", "alpha", R("mae", 3).alias("mae"))
+
+
+def _yearly(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders")
+    return o.groupBy(F.year("o_orderdate").alias("year")).agg(F.avg("o_totalprice").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def percent_change(spark, sf_dir):
+    return A.percent_change(_yearly(spark, sf_dir), "year", "value").select("year", R("change", 5).alias("change"))
+
+
+@query
+def relative_improvement(spark, sf_dir):
+    return A.against_first(_yearly(spark, sf_dir), "year", "value").select("year", R("improvement", 5).alias("improvement"))
+
+
+@query
+def log_extrapolation(spark, sf_dir):
+    o = D.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 7 + 1).alias("k")).agg(F.stddev_pop("o_totalprice").alias("s"))
+    curve = o.select((F.col("k") * 1000).alias("n"), (F.col("s") / F.sqrt(F.col("k").cast("double"))).alias("mae"))
+    return A.extrapolate(curve, 1000.0).select(R("slope").alias("slope"), R("n_goal", 1).alias("n_goal"))
+
+
+@query
+def describe_targets(spark, sf_dir):
+    rows = D.structures(spark, sf_dir).join(D.targets(spark, sf_dir), "structure_id")
+    d = A.describe(rows, F.size("charges"), F.col("target"))
+    return d.select("n", "min_atoms", "max_atoms", R("mean_atoms").alias("mean_atoms"), R("min_target", 2).alias("min_target"), R("max_target", 2).alias("max_target"), R("mean_target", 2).alias("mean_target"))
+
+
+@query
+def median_by_priority(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "orders").withColumn("seconds", F.col("o_totalprice"))
+    return A.median_time(rows, ["o_orderpriority"]).select("o_orderpriority", R("median", 3).alias("median"))
+
+
+@query
+def component_errors(spark, sf_dir):
+    """By element: mean absolute error and correlation of two coordinates."""
+    a = D.atoms(spark, sf_dir)
+    return a.groupBy("z").agg(R(F.avg(F.abs(F.col("y") - F.col("zc"))), 5).alias("mae"), R(F.corr("y", "zc"), 5).alias("r"))
+
+
+@query
+def site_distance(spark, sf_dir):
+    d = P.site_distance(D.atoms(spark, sf_dir), (5.0, 5.0, 5.0))
+    return d.groupBy("z", "zone").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 4).alias("sum_r"))
+
+
+@query
+def nearest_layer(spark, sf_dir):
+    layers = spark.createDataFrame([(k, 1.0 + 2.5 * k) for k in range(4)], "layer_id int, height double")
+    return P.nearest_layer(D.atoms(spark, sf_dir), layers).select("structure_id", "atom_id", "layer_id", R("gap", 5).alias("gap"))
+
+
+@query
+def layer_means(spark, sf_dir):
+    rows = _vectors_long(spark, sf_dir).withColumn("layer", F.col("id") % 3)
+    return A.layer_means(rows, ["z", "layer"]).select("z", "layer", R("norm", 5).alias("norm"))
+
+
+@query
+def group_spread(spark, sf_dir):
+    return A.spread(_vectors_long(spark, sf_dir), ["z", "channel"]).select("z", "channel", R("spread").alias("spread"))
+
+
+@query
+def cross_run_difference(spark, sf_dir):
+    """Two ways to correlate channels compared by key."""
+    a = A.correlations_wide(D.vectors(spark, sf_dir), 16)
+    b = A.correlations(_vectors_long(spark, sf_dir).filter("channel < 15"))
+    return P.max_difference(a, b, ["a", "b"], "r").select("unmatched", R("difference").alias("difference"))
+
+
+@query
+def message_step(spark, sf_dir):
+    nodes = D.atoms(spark, sf_dir).select("structure_id", "atom_id", F.array(F.col("z").cast("double"), F.col("x")).alias("features"))
+    out = M.message_step(nodes, P.edges(pairs(spark, sf_dir, NEAR)), NEAR)
+    return out.select("structure_id", "atom_id", R(F.get("features", F.lit(0)), 4).alias("f0"), R(F.get("features", F.lit(1)), 4).alias("f1"))
+
+
+@query
+def xyz_parse(spark, sf_dir):
+    """XYZ texts built from orders: three atoms, one of an unknown element where the key divides by 7, an exponent in another notation where it divides by 5."""
+    k = F.col("o_orderkey")
+    props = F.concat_ws("\t", *[F.lit(str(i)) for i in range(12)], F.when(k % 5 == 0, F.concat(F.round(k / 8, 3).cast("decimal(20,3)").cast("string"), F.lit("*^-1"))).otherwise((k % 1000).cast("string")), F.lit("9"))
+    line = lambda s, n: F.concat_ws("\t", s, (k % n).cast("string"), (k % (n + 3)).cast("string"), (k % (n + 7)).cast("string"), F.lit("0"))
+    text = F.concat_ws("\n", F.lit("3"), props, line(F.lit("C"), 11), line(F.lit("H"), 13), line(F.when(k % 7 == 0, F.lit("Q")).otherwise(F.lit("O")), 17))
+    m = D.table(spark, sf_dir, "orders").select("o_orderkey", files.parse_xyz(text).alias("m")).filter("m is not null")
+    x = lambda a, b: F.get(F.get("m.coords", F.lit(a)), F.lit(b))
+    return m.select("o_orderkey", R("m.energy", 4).alias("energy"), F.aggregate("m.charges", F.lit(0.0), lambda s, v: s + v).alias("charge"), (x(0, 0) + x(1, 1) * 100 + x(2, 2) * 10000).alias("checksum"))
+
+
+def _regression(spark, sf_dir):
+    v = D.vectors(spark, sf_dir)
+    f = lambda k: F.get("features", F.lit(k))
+    return v.select("id", F.slice("features", 1, 12).alias("features"), (2 * f(0) - f(1) + f(2) * f(3) + F.sin(f(4))).alias("target"))
+
+
+@query
+def kernel_ridge_cv(spark, sf_dir):
+    return E.cross_validate(_regression(spark, sf_dir), 12, 3, most=300).select("fold", R("mae", 4).alias("mae"), "n_test")
+
+
+@query
+def learning_curve(spark, sf_dir):
+    return E.learning_curve(_regression(spark, sf_dir), 12, [50, 200], (1, 2), most=200).select("size", R("mean", 4).alias("mean"), R("sd", 4).alias("sd"))
+
+
+@query
+def ridge_predict(spark, sf_dir):
+    rows = X.folds(_regression(spark, sf_dir), "id", 4)
+    alpha, w = M.cross_validated(M.moments(rows, by="fold"), [0.01, 0.1, 1.0, 10.0])
+    return M.linear_predict(rows, w).select("id", R("p", 5).alias("p"), F.lit(alpha).alias("alpha"))
+
+
+@query
+def lasso_weights(spark, sf_dir):
+    rows = X.folds(_regression(spark, sf_dir), "id", 4)
+    m = M.moments(rows, by="fold")
+    n = float(rows.count())
+    alpha, w = M.cross_validated(m, [1e-4, 1e-3, 1e-2], lambda x, a: M.lasso(x, n, a))
+    return spark.createDataFrame([(k, round(float(x), 5), alpha) for k, x in enumerate(w)], "channel int, weight double, alpha double")
+
+
+@query
+def leave_one_feature_out(spark, sf_dir):
+    m = M.moments(X.folds(_regression(spark, sf_dir), "id", 4), by="fold")
+    return spark.createDataFrame([(k, round(d, 5)) for k, d in M.leave_one_out(m, 1.0)], "channel int, rise double")
+
+
+@query
+def feature_ablation(spark, sf_dir):
+    m = M.moments(X.folds(_regression(spark, sf_dir), "id", 4), by="fold")
+    sets = {"all": list(range(12)), "first": list(range(4)), "last": list(range(8, 12))} | {f"top{n}": list(range(n)) for n in (2, 6)}
+    return spark.createDataFrame([(n, round(e, 4)) for n, e in M.ablation(m, sets, 1.0).items()], "features string, error double")
+
+
+@query
+def force_field(spark, sf_dir):
+    """Forces of a pair energy on small structures, by central differences, and what they sum to by axis (0)."""
+    a = D.atoms(spark, sf_dir).filter("structure_id % 50 = 1")
+
+    def energy(rows):
+        p = P.molecular_pairs(rows, RCUT)
+        return rows.select("structure_id").distinct().join(p.groupBy("structure_id").agg(F.sum(S.cutoff(F.col("r"), RCUT)).alias("energy")), "structure_id", "left").select("structure_id", F.coalesce("energy", F.lit(0.0)).alias("energy"))
+
+    return PF.forces(a, energy).groupBy("structure_id", "axis").agg(F.count(F.lit(1)).alias("n"), R(F.sum("force"), 3).alias("total"), R(F.sum(F.abs("force")), 3).alias("size"))
+
+
+@query
+def periodic_features(spark, sf_dir):
+    """All feature blocks of the crystals, summed by structure."""
+    p = PF.Parameters(rcut=3.2, max_body=5, norm=None)
+    f = PF.periodic_features(FX.structures(spark), p)
+    return PF.global_features(f, 72).select("structure_id", F.posexplode("features").alias("channel", "v")).select("structure_id", "channel", R("v", 5).alias("value"))
+
+
+@query
+def molecular_features(spark, sf_dir):
+    """Features of the orders' atoms, normalised by element and bagged."""
+    a = D.atoms(spark, sf_dir).withColumn("z", F.col("z") % 5 + 1)
+    f = PF.molecular_features(a, PF.Parameters(rcut=5.0, order=1, norm="mean", max_body=3, step=0.05, angle_step=0.05, damping=1.0))
+    return PF.bagged_features(f).select("structure_id", F.size("features").alias("n"), R(F.aggregate("features", F.lit(0.0), lambda s, v: s + F.abs(v)), 3).alias("total"))
+
+
+@query
+def stream_norm_factors(spark, sf_dir):
+    """Element factors kept by a stream over the embeddings."""
+    name = f"factors_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema("vec_id bigint, embedding array<float>, label int").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/embeddings.parquet*")
+    q = ST.running_factors(stream.select(F.col("label").alias("z"), F.col("embedding").cast("array<double>").alias("features")), name)
+    q.awaitTermination()
+    return spark.table(name).select("z", "channel", R("factor").alias("factor"))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_body_sum(spark, sf_dir)
