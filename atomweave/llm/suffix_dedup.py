@@ -4,6 +4,7 @@ A byte goes if a string of WIDTH bytes that covers it also starts earlier. Sorti
 bytes for each byte of text, so only suffixes at anchors are sorted: an anchor is a place whose GRAM-byte hash is the
 least of some WIDTH-byte string. Equal strings have equal anchors at equal offsets, so no repeated string is missed.
 
+0. Of equal texts only the first takes part: every string of the others starts earlier in it, so they go as a whole.
 1. Each task finds the anchors of its texts and sends (hash, row, place) by hash; hashes that occur once are dropped.
 2. The anchors left go back to their texts, which give the bytes around them, and on by hash.
 3. In a bucket of hashes, anchors with all bytes equal become one, so copies cost nothing. The right-hand suffixes of the
@@ -124,9 +125,10 @@ def bucket_of_row(row: str, n: int):
     return ((c.bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright(c, 33) * 7919) % n).cast("int")
 
 
-def find_anchors(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> packed ANCHOR by hash."""
+def find_anchors(docs: pa.Table, table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
+    """Texts of a bucket of rows -> ANCHOR by hash; rows that the RANGEs cover as a whole are left out."""
     held, count = [], 0
+    skip = set(unpack(table, RANGE)["row"].tolist())
     texts, rows, size = [], [], 0
 
     def search() -> np.ndarray:
@@ -139,22 +141,21 @@ def find_anchors(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
         out["hash"], out["row"], out["at"] = h[at], np.array(rows)[which], at - np.r_[0, ends][which]
         return out
 
-    for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_buffer()
-            if raw is None or raw.size < WIDTH:
-                continue
-            texts.append(raw.to_pybytes())
-            rows.append(row)
-            size += raw.size
-            if size >= CHUNK:
-                held.append(search())
-                count += len(held[-1])
-                texts, rows, size = [], [], 0
-            if count >= FLUSH:
-                found = np.concatenate(held)
-                yield from by_bucket(found, hash_bucket(found["hash"], n))
-                held, count = [], 0
+    for row, text in zip(docs.column("row").to_pylist(), docs.column("text"), strict=True):
+        raw = text.as_buffer()
+        if raw is None or raw.size < WIDTH or row in skip:
+            continue
+        texts.append(raw.to_pybytes())
+        rows.append(row)
+        size += raw.size
+        if size >= CHUNK:
+            held.append(search())
+            count += len(held[-1])
+            texts, rows, size = [], [], 0
+        if count >= FLUSH:
+            found = np.concatenate(held)
+            yield from by_bucket(found, hash_bucket(found["hash"], n))
+            held, count = [], 0
     if texts:
         held.append(search())
     if held:
@@ -379,6 +380,19 @@ def digested(docs: pa.Table, table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], sha], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(row, end) of the rows (row, id, text) of at least WIDTH bytes whose text an earlier row has as well."""
+    own = rows.select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), F.octet_length("text").alias("end"), F.sha2("text", 256).alias("sha")).filter(F.col("end") >= WIDTH)
+    first = checkpointed(own.groupBy("sha", "end").agg(F.min(F.struct("id", "row"))["row"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "end", "first"))
+    return checkpointed(own.join(first, ["sha", "end"]).filter("row <> first").select("row", "end"))
+
+
+def pack_copies(t: pa.Table) -> pa.Table:
+    out = np.zeros(t.num_rows, RANGE)
+    out["row"], out["end"] = t.column("row").to_numpy(), t.column("end").to_numpy()
+    return pa.table({"bucket": t.column("bucket").slice(0, 1), "payload": pa.array([out.tobytes()], pa.binary())}, schema=PACKED_ARROW)
+
+
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, stable: bool = False) -> DataFrame:
     """One row per row of df: identifier, n_bytes, n_removed, n_spans and kept (the bytes left, as binary) or, with digest, kept_sha256.
     stable says that df is a plain read of files, whose rows come in the same partitions and order each time; anything else is checkpointed first."""
@@ -386,11 +400,12 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (rows if stable else checkpointed(rows)).withColumn("row", F.monotonically_increasing_id())
     n = BUCKETS * max(fixed_partitions(df), rows.rdd.getNumPartitions())
     texts = rows.select("row", "id", "text", bucket_of_row("row", n).alias("bucket")).groupBy("bucket")
-    found = rows.select("row", "text").mapInArrow(lambda it: find_anchors(it, n), PACKED)
+    copies = whole_copies(rows).select(bucket_of_row("row", n).alias("bucket"), "row", "end").groupBy("bucket").applyInArrow(pack_copies, PACKED)
+    found = texts.cogroup(copies.groupBy("bucket")).applyInArrow(lambda a, b: as_table(find_anchors(a, b, n), PACKED_ARROW), PACKED)
     places = found.groupBy("bucket").applyInArrow(lambda t: as_table(repeated(t, n), PACKED_ARROW), PACKED)
     around = texts.cogroup(places.groupBy("bucket")).applyInArrow(lambda a, b: as_table(surroundings(a, b, n), PACKED_ARROW), PACKED)
     gone = around.groupBy("bucket").applyInArrow(lambda t: as_table(covered(t, n), PACKED_ARROW), PACKED)
     last, kind = (digested, pa.field("kept_sha256", pa.string())) if digest else (masked, pa.field("kept", pa.binary()))
     schema = pa.schema([*((c, pa.int64()) for c in ("id", "n_bytes", "n_removed", "n_spans")), kind])
-    out = texts.cogroup(gone.groupBy("bucket")).applyInArrow(lambda a, b: as_table(last(a, b), schema), f"id long, n_bytes long, n_removed long, n_spans long, {kind.name} {kind.type}")
+    out = texts.cogroup(gone.union(copies).groupBy("bucket")).applyInArrow(lambda a, b: as_table(last(a, b), schema), f"id long, n_bytes long, n_removed long, n_spans long, {kind.name} {kind.type}")
     return out.withColumnRenamed("id", id_col)
