@@ -22,7 +22,7 @@ from .common import WORD, checkpointed, null_safe_key, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-ROWS_A_RANGE = 2000
+ROWS_A_RANGE = 128
 RANGES_A_BLOCK = 4096
 
 
