@@ -14,8 +14,9 @@ least of some WIDTH-byte string. Equal strings have equal anchors at equal offse
 4. The repeated ranges go to the texts, which are masked and hashed.
 
 Hashes only choose what is compared; all equalities are decided on bytes. Rows between the steps are packed numpy
-arrays, one per (batch, bucket); buckets number BUCKETS for each partition, so a group stays a few MB. A gram that occurs
-very often is at most one anchor in about 38 bytes, and its copies collapse in step 3.
+arrays, one per (batch, bucket); buckets number BUCKETS for each partition, so a group stays a few MB. Very frequent grams
+don't meet in one group: equal surroundings collapse before they are sent, and the strings of a gram that occurs more than
+HOT times are dealt in pieces of 10 offsets (of 1 from 50 HOT on) by a hash of the bytes that all strings of a piece share.
 
 Defined results: null text is empty; a null identifier comes after all others, equal identifiers in the order in which
 their rows are read; an empty table gives an empty result; other columns are never read.
@@ -39,12 +40,13 @@ SHALLOW = 4
 BUCKETS = 4
 CHUNK = 1 << 18
 FLUSH = 200_000
+HOT = 2000
 NO_ID = np.iinfo(np.int64).max
 PACKED = "bucket int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 ANCHOR = np.dtype([("hash", "<u8"), ("row", "<i8"), ("at", "<u4")])
-PLACE = np.dtype([("row", "<i8"), ("at", "<u4"), ("hash", "<u8")])
+PLACE = np.dtype([("row", "<i8"), ("at", "<u4"), ("hash", "<u8"), ("piece", "u1")])
 AROUND = np.dtype([("hash", "<u8"), ("id", "<i8"), ("row", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1"), ("left", "u1", (WIDTH,)), ("right", "u1", (WIDTH,))])
 RANGE = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
@@ -112,6 +114,9 @@ def as_table(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
 
 
 def hash_bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """Anchors have the least hashes around, so the hash is mixed once more before its upper half is divided."""
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
@@ -164,12 +169,15 @@ def find_anchors(docs: pa.Table, table: pa.Table, n: int) -> Iterator[pa.RecordB
 
 
 def repeated(table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
-    """ANCHOR of a bucket of hashes -> PLACE of those whose hash occurs twice, by row."""
+    """ANCHOR of a bucket of hashes -> PLACE of those whose hash occurs twice, by row, with the offsets of a piece."""
     a = unpack(table, ANCHOR)
     a = a[np.argsort(a["hash"], kind="stable")]
-    same = a["hash"][1:] == a["hash"][:-1]
-    a = a[np.r_[same, False] | np.r_[False, same]] if len(a) else a
+    starts = np.flatnonzero(np.r_[True, a["hash"][1:] != a["hash"][:-1]]) if len(a) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[starts, len(a)])
+    times = np.repeat(times, times)
+    a, times = a[times > 1], times[times > 1]
     out = np.zeros(len(a), PLACE)
+    out["piece"] = np.where(times <= HOT, WIDTH, np.where(times <= 50 * HOT, 10, 1))
     for c in ("row", "at", "hash"):
         out[c] = a[c]
     yield from by_bucket(out, row_bucket(out["row"], n))
@@ -198,18 +206,67 @@ def surroundings(docs: pa.Table, table: pa.Table, n: int) -> Iterator[pa.RecordB
         out["most"] = WIDTH - GRAM - owns[:, ::-1].argmax(1)
         padded = np.concatenate([np.zeros(WIDTH, np.uint8), t, np.zeros(WIDTH, np.uint8)])
         reach = np.arange(WIDTH)
-        # only bytes of the strings that this anchor stands for
-        out["left"] = np.where(reach < out["most"][:, None], padded[at[:, None] + WIDTH - 1 - reach], 0)
-        out["right"] = np.where(reach < WIDTH - out["least"][:, None].astype(np.int64), padded[at[:, None] + WIDTH + reach], 0)
-        held.append(out)
-        count += len(out)
-        if count >= FLUSH // 8:
-            found = np.concatenate(held)
-            yield from by_bucket(found, hash_bucket(found["hash"], n))
+        out["left"], out["right"] = padded[at[:, None] + WIDTH - 1 - reach], padded[at[:, None] + WIDTH + reach]
+        for size in np.unique(p["piece"][a:b]):
+            held.append(pieces(out[p["piece"][a:b] == size], int(size)))
+            count += len(held[-1])
+        if count >= FLUSH // 4:
+            yield from without_copies(np.concatenate(held), n)
             held, count = [], 0
     if held:
-        found = np.concatenate(held)
-        yield from by_bucket(found, hash_bucket(found["hash"], n))
+        yield from without_copies(np.concatenate(held), n)
+
+
+def pieces(a: np.ndarray, size: int) -> np.ndarray:
+    """AROUND cut into pieces of size offsets, and cleared of the bytes that the strings of a piece don't reach."""
+    reach = np.arange(WIDTH)
+    if size < WIDTH:
+        low, high = a["least"].astype(np.int64) // size, a["most"].astype(np.int64) // size
+        times = high - low + 1
+        which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        a = np.repeat(a, times)
+        shared = np.concatenate([np.where(reach < (which * size)[:, None], a["left"], 0), np.where(reach < (WIDTH + 1 - size - which * size)[:, None], a["right"], 0)], axis=1)
+        factor = np.random.default_rng(11).integers(1, 2**63, 2 * WIDTH, dtype=np.uint64) | np.uint64(1)
+        mix = a["hash"] + which.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for k in range(2 * WIDTH):
+            mix += shared[:, k].astype(np.uint64) * factor[k]
+        mix ^= mix >> np.uint64(32)
+        mix *= np.uint64(0x94D049BB133111EB)
+        a["hash"] = (mix ^ (mix >> np.uint64(29))) | np.uint64(1)
+        a["least"], a["most"] = np.maximum(a["least"], which * size), np.minimum(a["most"], which * size + size - 1)
+    a["left"][reach >= a["most"][:, None]] = 0
+    a["right"][reach >= WIDTH - a["least"][:, None].astype(np.int64)] = 0
+    return a
+
+
+def without_copies(a: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Packed AROUND by hash. Those that equal an earlier one here are known to be repeated; their ranges, merged by row, go along with
+    hash 0, the start as at and the end as id, to any bucket."""
+    a = in_order(a)
+    copy = first_equal(a) != np.arange(len(a))
+    known = merged(ranges(a[copy], a["least"][copy], a["most"][copy]))
+    done = np.zeros(len(known), AROUND)
+    done["row"], done["at"], done["id"] = known["row"], known["start"], known["end"]
+    a = a[~copy]
+    yield from by_bucket(np.concatenate([a, done]), np.concatenate([hash_bucket(a["hash"], n), row_bucket(done["row"], n)]))
+
+
+def merged(r: np.ndarray) -> np.ndarray:
+    """RANGE with those of a row that touch made one."""
+    if not len(r):
+        return r
+    r = r[np.lexsort((r["start"], r["row"]))]
+    new = r["row"][1:] != r["row"][:-1]
+    group = np.cumsum(np.r_[0, new])
+    reach = np.maximum.accumulate(r["end"].astype(np.int64) + (group << 32)) - (group << 32)
+    starts = np.r_[True, new | (r["start"][1:] > reach[:-1])]
+    out = r[starts]
+    out["end"] = np.maximum.reduceat(r["end"], np.flatnonzero(starts))
+    return out
+
+
+def in_order(a: np.ndarray) -> np.ndarray:
+    return a[np.lexsort((a["least"], a["at"], a["row"], a["id"], a["hash"]))]
 
 
 def blind_trie(strings: list[bytes]) -> list[int]:
@@ -287,21 +344,25 @@ def common_prefixes(group: np.ndarray, text: np.ndarray, order: np.ndarray) -> n
 def first_equal(a: np.ndarray) -> np.ndarray:
     """For each AROUND in order of (hash, place in the corpus), the index of the first that equals it but for its place."""
     m = len(a)
-    raw = a.view(np.uint8).reshape(m, -1)[:, 28:]
-    padded = np.zeros((m, -(-raw.shape[1] // 8) * 8), np.uint8)
-    padded[:, : raw.shape[1]] = raw
-    factor = np.random.default_rng(7).integers(1, 2**63, padded.shape[1] // 8, dtype=np.uint64) | np.uint64(1)
-    w = padded.view(np.uint64)
+    raw = a.view(np.uint8).reshape(m, AROUND.itemsize)[:, 28:]
+    factor = np.random.default_rng(7).integers(1, 2**63, 26, dtype=np.uint64) | np.uint64(1)
     mix = a["hash"].copy()
-    for k in range(w.shape[1]):
-        mix = (mix ^ (w[:, k] * factor[k])) * np.uint64(0x9E3779B97F4A7C15)
-        mix ^= mix >> np.uint64(32)
+    for at in range(0, m, 8192):
+        words = np.zeros((len(raw[at : at + 8192]), 26 * 8), np.uint8)
+        words[:, : raw.shape[1]] = raw[at : at + 8192]
+        part = mix[at : at + 8192]
+        for k in range(26):
+            part = (part ^ (words.view(np.uint64)[:, k] * factor[k])) * np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(32)
+        mix[at : at + 8192] = part
     order = np.argsort(mix, kind="stable")
-    start = np.r_[True, mix[order][1:] != mix[order][:-1]]
+    start = np.r_[True, mix[order][1:] != mix[order][:-1]][:m]
     first = np.empty(m, np.int64)
     first[order] = order[np.maximum.accumulate(np.where(start, np.arange(m), 0))]
-    equal = (raw == raw[first]).all(1) & (a["hash"] == a["hash"][first])
-    first[~equal] = np.flatnonzero(~equal)
+    for at in range(0, m, 8192):
+        own = np.arange(at, min(m, at + 8192))
+        equal = (raw[own] == raw[first[own]]).all(1) & (a["hash"][own] == a["hash"][first[own]])
+        first[own[~equal]] = own[~equal]
     return first
 
 
@@ -310,14 +371,18 @@ def covered(table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
     a = unpack(table, AROUND)
     if not len(a):
         return
-    a = a[np.lexsort((a["at"], a["row"], a["id"], a["hash"]))]
+    done = a["hash"] == 0
+    known = np.zeros(int(done.sum()), RANGE)
+    known["row"], known["start"], known["end"] = a["row"][done], a["at"][done], a["id"][done]
+    out = [known]
+    a = in_order(a[~done])
     first = first_equal(a)
     own = np.arange(len(a))
     copies = a[first != own]
-    out = [ranges(copies, copies["least"], copies["most"])]
+    out.append(ranges(copies, copies["least"], copies["most"]))
     reps = a[first == own]
-    new = np.r_[True, reps["hash"][1:] != reps["hash"][:-1]]
-    alone = new & np.r_[new[1:], True]
+    new = np.r_[True, reps["hash"][1:] != reps["hash"][:-1]][: len(reps)]
+    alone = new & np.r_[new[1:], True][: len(reps)]
     reps = reps[~alone]
     m = len(reps)
     if m:
@@ -343,7 +408,7 @@ def covered(table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
         who, low = np.nonzero(step == 1)
         _, high = np.nonzero(step == -1)
         out.append(ranges(reps[who], low, high - 1))
-    found = np.concatenate(out)
+    found = merged(np.concatenate(out))
     yield from by_bucket(found, row_bucket(found["row"], n))
 
 
