@@ -499,9 +499,9 @@ def xyz_parse(spark, sf_dir):
     props = F.concat_ws("\t", *[F.lit(str(i)) for i in range(12)], F.when(k % 5 == 0, F.concat(F.round(k / 8, 3).cast("decimal(20,3)").cast("string"), F.lit("*^-1"))).otherwise((k % 1000).cast("string")), F.lit("9"))
     line = lambda s, n: F.concat_ws("\t", s, (k % n).cast("string"), (k % (n + 3)).cast("string"), (k % (n + 7)).cast("string"), F.lit("0"))
     text = F.concat_ws("\n", F.lit("3"), props, line(F.lit("C"), 11), line(F.lit("H"), 13), line(F.when(k % 7 == 0, F.lit("Q")).otherwise(F.lit("O")), 17))
-    m = D.table(spark, sf_dir, "orders").select("o_orderkey", files.parse_xyz(text).alias("m")).filter("m is not null")
-    x = lambda a, b: F.get(F.get("m.coords", F.lit(a)), F.lit(b))
-    return m.select("o_orderkey", R("m.energy", 4).alias("energy"), F.aggregate("m.charges", F.lit(0.0), lambda s, v: s + v).alias("charge"), (x(0, 0) + x(1, 1) * 100 + x(2, 2) * 10000).alias("checksum"))
+    m = files.parsed(D.table(spark, sf_dir, "orders"), text, "o_orderkey")
+    x = lambda a, b: F.get(F.get("coords", F.lit(a)), F.lit(b))
+    return m.select("o_orderkey", R("energy", 4).alias("energy"), F.aggregate("charges", F.lit(0.0), lambda s, v: s + v).alias("charge"), (x(0, 0) + x(1, 1) * 100 + x(2, 2) * 10000).alias("checksum"))
 
 
 def _regression(spark, sf_dir):

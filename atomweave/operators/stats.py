@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import moments
+
 
 def standardize(train: DataFrame, test: DataFrame, key: str = "channel", value: str = "value") -> DataFrame:
     """test (.., key, value) with the mean and population deviation of train; deviations of 0 count 1."""
@@ -21,11 +24,16 @@ def correlations(rows: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def correlations_wide(reps: DataFrame, width: int) -> DataFrame:
-    """As correlations from arrays: sums of products as columns of one partial aggregate, so rows aren't multiplied."""
-    f = lambda k: F.get("features", F.lit(k))
-    pairs = [(i, j) for i in range(width) for j in range(i + 1, width)]
-    one = reps.agg(*[F.corr(f(i), f(j)).alias(f"r{i}_{j}") for i, j in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs])).alias("x")).select("x.*")
+    """As correlations from arrays of a known width: each Arrow block adds to one width x width matrix of products, and only its sum is turned
+    into coefficients, so rows are neither multiplied nor shuffled."""
+    m = moments(reps.select(F.slice("features", 1, width).alias("features"), F.lit(1.0).alias("target"))).get(0)
+    kind = "a int, b int, r double"
+    if m is None:
+        return reps.sparkSession.createDataFrame([], kind)
+    cov = m.yy * m.xx - np.outer(m.xy, m.xy)
+    sd = np.sqrt(np.diag(cov))
+    pairs = [(i, j, float(cov[i, j] / (sd[i] * sd[j])) if sd[i] * sd[j] > 0 else None) for i in range(width) for j in range(i + 1, width)]
+    return reps.sparkSession.createDataFrame(pairs, kind)
 
 
 def correlation_counts(corr: DataFrame, levels: tuple[float, ...] = (0.95, 0.8)) -> DataFrame:

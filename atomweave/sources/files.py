@@ -33,25 +33,42 @@ def target_column(df: DataFrame) -> str:
     return next(c for c in df.columns if c not in ("structure", "structure_id"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_xyz(text: Column) -> Column:
     """Struct (charges, coords, energy) of a molecule in XYZ text: a count, a line of tab-separated properties of which number 12
     is the energy, a line per atom. Exponents may be written *^. Null if a line can't be read."""
-    lines = F.split(text, "\n")
-    n = F.trim(lines[0]).try_cast("int") if hasattr(Column, "try_cast") else F.trim(lines[0]).cast("int")
     number = lambda s: F.regexp_replace(F.trim(s), r"\*\^", "e").try_cast("double")
     symbols = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
-    rows = F.transform(F.slice(lines, F.lit(3), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))), lambda s: F.split(s, "\t"))
-    charges = F.transform(rows, lambda r: F.try_element_at(symbols, F.trim(F.get(r, F.lit(0)))).cast("double"))
-    coords = F.transform(rows, lambda r: F.array(*[number(F.get(r, F.lit(k))) for k in (1, 2, 3)]))
-    energy = number(F.get(F.split(F.get(lines, F.lit(1)), "\t"), F.lit(12)))
-    good = n.isNotNull() & energy.isNotNull() & (F.size(rows) == n) & F.forall(charges, lambda c: c.isNotNull()) & F.forall(coords, lambda p: F.forall(p, lambda x: x.isNotNull()))
-    return F.when(good, F.struct(charges.alias("charges"), coords.alias("coords"), energy.alias("energy")))
+
+    def atom(line: Column) -> Column:
+        return _let(F.split(line, "\t"), lambda r: F.struct(F.try_element_at(symbols, F.trim(F.get(r, F.lit(0)))).cast("double").alias("z"), F.array(*[number(F.get(r, F.lit(k))) for k in (1, 2, 3)]).alias("p")))
+
+    def molecule(m: Column) -> Column:
+        good = m["n"].isNotNull() & m["energy"].isNotNull() & (F.size(m["atoms"]) == m["n"]) & F.forall(m["atoms"], lambda a: a["z"].isNotNull() & F.forall(a["p"], lambda x: x.isNotNull()))
+        return F.when(good, F.struct(F.transform(m["atoms"], lambda a: a["z"]).alias("charges"), F.transform(m["atoms"], lambda a: a["p"]).alias("coords"), m["energy"].alias("energy")))
+
+    def read(lines: Column) -> Column:
+        n = F.trim(lines[0]).try_cast("int")
+        energy = number(F.get(F.split(F.get(lines, F.lit(1)), "\t"), F.lit(12)))
+        atoms = F.transform(F.slice(lines, F.lit(3), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))), atom)
+        return _let(F.struct(n.alias("n"), energy.alias("energy"), atoms.alias("atoms")), molecule)
+
+    return _let(F.split(text, "\n"), read)
+
+
+def parsed(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The columns to keep and the molecule (charges, coords, energy) of rows whose text can be read; each text is parsed once."""
+    return rows.select(*keep, F.explode(F.filter(F.array(parse_xyz(text)), lambda m: m.isNotNull())).alias("m")).select(*keep, "m.*")
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """(path, charges, coords, energy) of the files that can be read; the others are left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), parse_xyz(F.col("value")).alias("m"))
-    return rows.filter("m is not null").select("path", "m.*")
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return parsed(rows, F.col("value"), "path")
 
 
 def cached(spark: SparkSession, folder: str, parameters: dict, make: Callable[[], DataFrame]) -> DataFrame:
