@@ -209,6 +209,17 @@ def grid_gradient(spark, sf_dir):
     return G.gradient(G.coarse(spark, g), g.step).select("channel", "idx", R("slope", 5).alias("slope"))
 
 
+@query
+def two_body_gradient(spark, sf_dir):
+    """Slopes of every atom's two-body features by its own position."""
+    g = COARSE["radial"]
+    slopes = G.gradient(G.coarse(spark, g), g.step).groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("channel", "value", "slope"))).alias("a"))
+    grid = slopes.select("idx", F.transform("a", lambda x: x["value"]).alias("g"), F.transform("a", lambda x: x["slope"]).alias("slope"))
+    own = B.two_body_gradient(pairs(spark, sf_dir, NEAR), grid, g, RCUT).filter("i = wrt")
+    rows = own.select("structure_id", "i", F.posexplode(F.arrays_zip("gx", "gy", "gz")).alias("channel", "a"))
+    return rows.select("structure_id", "i", "channel", *[squeezed(F.col(f"a.{n}")).alias(n) for n in ("gx", "gy", "gz")])
+
+
 def _vectors_long(spark, sf_dir):
     return D.long_form(D.vectors(spark, sf_dir), "id", "z")
 
@@ -492,6 +503,29 @@ def message_step(spark, sf_dir):
     return out.select("structure_id", "atom_id", R(F.get("features", F.lit(0)), 4).alias("f0"), R(F.get("features", F.lit(1)), 4).alias("f1"))
 
 
+@query
+def message_network(spark, sf_dir):
+    """Two message steps over element and height, summed by structure."""
+    nodes = D.atoms(spark, sf_dir).select("structure_id", "atom_id", F.array(F.col("z").cast("double"), F.col("x")).alias("features"))
+    return M.message_network(nodes, P.edges(pairs(spark, sf_dir, NEAR)), NEAR, 2, [0.5, 2.0]).select("structure_id", R("p", 3).alias("p"))
+
+
+@query
+def feature_blocks(spark, sf_dir):
+    """Two blocks of each vector side by side, padded to 40; vectors that are all zero in the first block are dropped."""
+    v = D.vectors(spark, sf_dir)
+    first = L.drop_zero_rows(v.select("id", F.transform(F.slice("features", 1, 4), lambda x: F.when(x > 0.1, x).otherwise(0.0)).alias("features")))
+    both = L.concat_blocks(first, v.select("id", F.slice("features", 11, 6).alias("features")), ["id"])
+    return both.select("id", F.posexplode(L.pad(F.col("features"), 40)).alias("place", "value")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), R(F.sum(F.col("value") * (F.col("place") + 1)), 5).alias("checksum"))
+
+
+@query
+def boxed_molecules(spark, sf_dir):
+    """Molecules in an open box have the neighbours they have without it."""
+    p = P.periodic_pairs(X.boxed(D.structures(spark, sf_dir)), NEAR)
+    return p.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 4).alias("sum_r"))
+
+
 @query
 def xyz_parse(spark, sf_dir):
     """XYZ texts built from orders: three atoms, one of an unknown element where the key divides by 7, an exponent in another notation where it divides by 5."""

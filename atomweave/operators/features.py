@@ -109,3 +109,16 @@ def with_all_atoms(atoms: DataFrame, blocks: list[tuple[DataFrame, int]]) -> Dat
         out = out.join(block.withColumnRenamed("features", f"b{k}"), KEY, "left")
     parts = [F.coalesce(f"b{k}", F.array_repeat(F.lit(0.0), n)) for k, (_, n) in enumerate(blocks)]
     return out.select("structure_id", F.col("i").alias("atom_id"), "z", F.concat(*parts).alias("features"))
+
+
+def two_body_gradient(pairs: DataFrame, grid: DataFrame, g: G.Grid, rcut: float) -> DataFrame:
+    """(structure_id, i, wrt, gx, gy, gz): slopes of atom i's two-body features by the position of atom wrt, an array over channels for each axis.
+    grid: (idx, g, slope). Each neighbour has a row; the atom itself has minus their sum."""
+    r, w = F.col("r"), S.mean_charge(F.col("z_i"), F.col("z_j"))
+    along = F.zip_with("g", "slope", lambda v, s: w * (S.cutoff_slope(r, rcut) * v + S.cutoff(r, rcut) * s) / r)
+    rows = pairs.withColumn("idx", G.cell_of(r, g)).join(F.broadcast(grid), "idx").withColumn("__c", along)
+    axes = {"gx": "dx", "gy": "dy", "gz": "dz"}
+    near = rows.select(*KEY, F.col("j").alias("wrt"), *[F.zip_with("__c", F.array_repeat(F.col(d), g.channels), lambda c, x: c * x).alias(n) for n, d in axes.items()])
+    sums = near.groupBy(*KEY).agg(*[F.sum(F.get(n, F.lit(k))).alias(f"{n}{k}") for n in axes for k in range(g.channels)])
+    own = sums.select(*KEY, F.col("i").alias("wrt"), *[F.array(*[-F.col(f"{n}{k}") for k in range(g.channels)]).alias(n) for n in axes])
+    return near.union(own)

@@ -168,6 +168,15 @@ def message_step(nodes: DataFrame, edges: DataFrame, rcut: float) -> DataFrame:
     return joined.withColumn("features", F.zip_with("features", F.coalesce("__m", F.array_repeat(F.lit(0.0), width)), lambda a, b: a + b)).drop("__m")
 
 
+def message_network(nodes: DataFrame, edges: DataFrame, rcut: float, steps: int, readout: list[float]) -> DataFrame:
+    """(structure_id, p): steps of messages, then a linear readout of each atom, summed by structure. The forward pass of a network whose messages have no weights."""
+    for _ in range(steps):
+        nodes = message_step(nodes, edges, rcut)
+    weights = F.array(*[F.lit(float(x)) for x in readout])
+    p = F.aggregate(F.zip_with("features", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return graph_pool(nodes.select("structure_id", p.alias("p")))
+
+
 def graph_pool(predictions: DataFrame) -> DataFrame:
     """The sum of a structure's atom predictions."""
     return predictions.groupBy("structure_id").agg(F.sum("p").alias("p"))

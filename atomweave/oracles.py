@@ -283,3 +283,13 @@ SELECT a.structure_id, a.atom_id, {R('a.z + coalesce(m0, 0)', 4)} AS f0, {R('a.x
 SQL["xyz_parse"] = f"""SELECT o_orderkey, {R('CASE WHEN o_orderkey % 5 = 0 THEN round(o_orderkey / 8, 3) / 10 ELSE (o_orderkey % 1000)::DOUBLE END', 4)} AS energy, 15.0::DOUBLE AS charge,
   ((o_orderkey % 11) + (o_orderkey % 16) * 100 + (o_orderkey % 24) * 10000)::DOUBLE AS checksum FROM orders WHERE o_orderkey % 7 <> 0"""
 SQL["stream_norm_factors"] = f"WITH {VEC}, f AS (SELECT z, channel, avg(abs(value)) AS a FROM long GROUP BY z, channel) SELECT z, channel, {R('CASE WHEN a = 0 THEN 1 ELSE a END')} AS factor FROM f"
+SQL["two_body_gradient"] = f"""WITH {pairs(4)}, {GRIDS['radial']}, b AS (SELECT channel, idx, value, lag(value) OVER w AS a, lead(value) OVER w AS c FROM radial WINDOW w AS (PARTITION BY channel ORDER BY idx)),
+d AS (SELECT channel, idx, value, CASE WHEN a IS NULL THEN (c - value) / 0.05::DOUBLE WHEN c IS NULL THEN (value - a) / 0.05::DOUBLE ELSE (c - a) / 0.1::DOUBLE END AS slope FROM b),
+q AS (SELECT *, {cell('r', 6.0, 120)} AS idx FROM pairs),
+e AS (SELECT structure_id, i, channel, dx, dy, dz, sqrt(z_i::DOUBLE * z_j) * (-{PI} * sin({PI} * r / 6) / 12 * value + {cut('r', 6)} * slope) / r AS k FROM q JOIN d USING (idx))
+SELECT structure_id, i, channel, {squeezed('-sum(k * dx)')} AS gx, {squeezed('-sum(k * dy)')} AS gy, {squeezed('-sum(k * dz)')} AS gz FROM e GROUP BY structure_id, i, channel"""
+_step = lambda n, h: f"{n} AS (SELECT a.structure_id, a.atom_id, a.f0 + coalesce(sum(b.f0 * {cut('p.r', 4)}), 0) AS f0, a.f1 + coalesce(sum(b.f1 * {cut('p.r', 4)}), 0) AS f1 FROM {h} a LEFT JOIN pairs p ON p.structure_id = a.structure_id AND p.j = a.atom_id LEFT JOIN {h} b ON b.structure_id = p.structure_id AND b.atom_id = p.i GROUP BY a.structure_id, a.atom_id, a.f0, a.f1)"
+SQL["message_network"] = f"WITH {pairs(4)}, h0 AS (SELECT structure_id, atom_id, z::DOUBLE AS f0, x AS f1 FROM atoms), {_step('h1', 'h0')}, {_step('h2', 'h1')} SELECT structure_id, {R('sum(0.5::DOUBLE * f0 + 2 * f1)', 3)} AS p FROM h2 GROUP BY structure_id"
+SQL["feature_blocks"] = f"""WITH {VEC}, k AS (SELECT id, channel, CASE WHEN value > 0.1::DOUBLE THEN value ELSE 0 END AS value FROM long WHERE channel < 4), keep AS (SELECT id FROM k GROUP BY id HAVING max(abs(value)) > 0),
+b AS (SELECT id, channel AS place, value FROM k UNION ALL SELECT id, channel - 6, value FROM long WHERE channel BETWEEN 10 AND 15) SELECT id, 40::BIGINT AS n, {R('sum(value * (place + 1))', 5)} AS checksum FROM b JOIN keep USING (id) GROUP BY id"""
+SQL["boxed_molecules"] = f"WITH {pairs(4)} SELECT structure_id, count(*) AS n, {R('sum(r)', 4)} AS sum_r FROM pairs WHERE r > 1e-10 GROUP BY structure_id"
