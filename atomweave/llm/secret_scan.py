@@ -55,11 +55,11 @@ def running_starts(gaps: Column, lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, firsts, lambda x, s: walk(x, s, lambda p: p["g"], lambda p: p["g"] + p["m"])))
 
 
-NO_SPANS = "array<struct<start:int,end:int,order:int,kind:string,value:string>>"
+NO_SPANS = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """Leftmost matches of a kind that don't overlap, without those of a too short value: array of (start, end, order, kind, value), in code points, end exclusive."""
+    """Leftmost matches of a kind that don't overlap, without those of a too short value: array of (start, order, end, kind, value), in code points, end exclusive."""
     regex, group, least = KINDS[kind]
     found = F.regexp_extract_all(text, F.lit(f"({regex})") if group == 0 else F.lit(regex), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else found
@@ -68,7 +68,7 @@ def spans_of(text: Column, kind: str) -> Column:
     starts = running_starts(gaps, lengths)
     order = list(KINDS).index(kind)
     at = F.arrays_zip(starts.alias("s"), lengths.alias("n"), values.alias("v"))
-    out = F.transform(at, lambda x: F.struct(x["s"].alias("start"), (x["s"] + x["n"]).alias("end"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["v"].alias("value")))
+    out = F.transform(at, lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("order"), (x["s"] + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")))
     out = F.filter(out, lambda x: F.length(x["value"]) >= least)
     if kind == "opaque":
         out = F.filter(out, lambda x: x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]") & x["value"].rlike("[0-9]"))
