@@ -45,12 +45,19 @@ def landmarks(rows: DataFrame, most: int = MAX_LANDMARKS) -> tuple[list, np.ndar
     return [r.id for r in got], np.array([r.features for r in got])
 
 
+def checked(marks: DataFrame, most: int = MAX_LANDMARKS) -> DataFrame:
+    """marks to broadcast; an error if there are more than most."""
+    if marks.select(F.lit(1)).limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} landmarks")
+    return F.broadcast(marks)
+
+
 def rectangular(rows: DataFrame, marks: DataFrame, kind: str = "laplacian", gamma: float = 0.05, degree: int = 2) -> DataFrame:
     """(a_id, b_id, k) of every row and every landmark, as plain columns: for small sides and checks."""
     f = {"laplacian": lambda a, b: S.laplacian(a, b, gamma), "rbf": lambda a, b: S.rbf(a, b, gamma), "polynomial": lambda a, b: S.polynomial(a, b, degree, gamma), "linear": S.inner}[kind]
     b = marks.select(F.col("id").alias("b_id"), F.col("features").alias("__b"))
     a = rows.select(F.col("id").alias("a_id"), F.col("features").alias("__a"))
-    return a.join(F.broadcast(b), F.lit(True)).select("a_id", "b_id", f(F.col("__a"), F.col("__b")).alias("k"))
+    return a.join(checked(b), F.lit(True)).select("a_id", "b_id", f(F.col("__a"), F.col("__b")).alias("k"))
 
 
 def symmetric(rows: DataFrame, gamma: float = 0.05) -> DataFrame:
@@ -94,7 +101,7 @@ def best_match(a: DataFrame, b: DataFrame, sigma: float, gamma: float = 1.0) ->
     which is broadcast; one row holds one pair."""
     y = b.select(F.col("structure_id").alias("b_id"), F.col("charges").alias("zb"), F.col("atoms").alias("fb"))
     x = a.select(F.col("structure_id").alias("a_id"), F.col("charges").alias("za"), F.col("atoms").alias("fa"))
-    pairs = x.join(F.broadcast(y), F.lit(True))
+    pairs = x.join(checked(y), F.lit(True))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
