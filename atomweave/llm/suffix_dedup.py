@@ -14,7 +14,8 @@ least of some WIDTH-byte string. Equal strings have equal anchors at equal offse
 4. The repeated ranges go to the texts, which are masked and hashed.
 
 Hashes only choose what is compared; all equalities are decided on bytes. Rows between the steps are packed numpy
-arrays, one per (batch, bucket); buckets number BUCKETS for each partition, so a group stays a few MB. Very frequent grams
+arrays, one per (batch, bucket); there is a bucket for each shuffle partition and for each BUCKET_BYTES of text, so a group
+stays a few MB. Very frequent grams
 don't meet in one group: equal surroundings collapse before they are sent, and the strings of a gram that occurs more than
 HOT times are dealt in pieces of 10 offsets (of 1 from 50 HOT on) by a hash of the bytes that all strings of a piece share.
 
@@ -37,7 +38,7 @@ from .common import checkpointed, fixed_partitions
 WIDTH = 100
 GRAM = 24
 SHALLOW = 4
-BUCKETS = 4
+BUCKET_BYTES = 4 << 20
 CHUNK = 1 << 18
 FLUSH = 200_000
 HOT = 2000
@@ -463,7 +464,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stable says that df is a plain read of files, whose rows come in the same partitions and order each time; anything else is checkpointed first."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = (rows if stable else checkpointed(rows)).withColumn("row", F.monotonically_increasing_id())
-    n = BUCKETS * max(fixed_partitions(df), rows.rdd.getNumPartitions())
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(fixed_partitions(df), -(-total // BUCKET_BYTES))
     texts = rows.select("row", "id", "text", bucket_of_row("row", n).alias("bucket")).groupBy("bucket")
     copies = whole_copies(rows).select(bucket_of_row("row", n).alias("bucket"), "row", "end").groupBy("bucket").applyInArrow(pack_copies, PACKED)
     found = texts.cogroup(copies.groupBy("bucket")).applyInArrow(lambda a, b: as_table(find_anchors(a, b, n), PACKED_ARROW), PACKED)
