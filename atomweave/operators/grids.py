@@ -16,7 +16,17 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 #: Van der Waals radii by atomic number in Angstrom; elements that aren't listed have 1.
-VDW = {1: 1.2, 6: 1.7, 7: 1.55, 8: 1.52, 9: 1.47, 10: 1.54, 14: 2.1, 15: 1.8, 16: 1.8, 17: 1.75, 29: 1.4}
+VDW = {
+    1: 1.20, 2: 1.40, 3: 1.82, 4: 1.53, 5: 1.92, 6: 1.70, 7: 1.55, 8: 1.52, 9: 1.47, 10: 1.54,
+    11: 2.27, 12: 1.73, 13: 1.84, 14: 2.10, 15: 1.80, 16: 1.80, 17: 1.75, 18: 1.88, 19: 2.75, 20: 2.31,
+    28: 1.63, 29: 1.40, 30: 1.39,
+    31: 1.87, 32: 2.11, 33: 1.85, 34: 1.90, 35: 1.85, 36: 2.02, 37: 3.03, 38: 2.49,
+    46: 1.63, 47: 1.72, 48: 1.58, 49: 1.93, 50: 2.17,
+    51: 2.06, 52: 2.06, 53: 1.98, 54: 2.16, 55: 3.43, 56: 2.49,
+    78: 1.75, 79: 1.66, 80: 1.55, 81: 1.96, 82: 2.02, 83: 2.07, 84: 1.97, 85: 2.02, 86: 2.20,
+    87: 3.48, 88: 2.83,
+    92: 1.86,
+}
 GAMMA = 2.2508
 
 

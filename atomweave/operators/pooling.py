@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Energies of free atoms by atomic number in Hartree, and kcal/mol in a Hartree.
+REFERENCES = {1: -0.500273, 6: -37.846772, 7: -54.583861, 8: -75.064579, 9: -99.718730}
+KCAL = 627.509
+
 
 def vector_sum(rows: DataFrame, keys: list[str], width: int, features: str = "features", agg=F.sum) -> DataFrame:
     """(keys, features): element-wise aggregate of arrays of a known width, as columns of one partial aggregate."""
@@ -80,7 +84,9 @@ def concat_blocks(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b.withColumnRenamed("features", "__b"), keys).select(*keys, F.concat("features", "__b").alias("features"))
 
 
-def atomization(atoms: DataFrame, targets: DataFrame, references: DataFrame, unit: float = 627.509) -> DataFrame:
-    """(structure_id, energy): minus target plus the reference energies (z, energy) of the atoms, times unit. Unlisted elements count 0."""
+def atomization(atoms: DataFrame, targets: DataFrame, references: DataFrame | None = None, unit: float = KCAL) -> DataFrame:
+    """(structure_id, energy): minus target plus the reference energies (z, energy; REFERENCES if None) of the atoms, times unit. Unlisted elements count 0."""
+    if references is None:
+        references = atoms.sparkSession.createDataFrame(list(REFERENCES.items()), "z int, energy double")
     own = atoms.join(F.broadcast(references), "z", "left").groupBy("structure_id").agg(F.sum(F.coalesce("energy", F.lit(0.0))).alias("sum"))
     return targets.join(own, "structure_id").select("structure_id", (-(F.col("target") - F.col("sum")) * unit).alias("energy"))
