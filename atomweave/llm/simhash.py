@@ -31,6 +31,7 @@ from .components import components
 WIDTH = 3
 N_PIVOTS = 8
 MOST_BITS = 2
+TIES = ["__tie", "__tie2"]
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
@@ -49,17 +50,24 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(identifier as __id, __fp as a signed long) of every row."""
+def text_hashes(text_col: str) -> list[Column]:
+    """Two hashes of a text of different seeds, which tell texts apart; null isn't the empty text."""
+    return [F.xxhash64(F.col(text_col)).alias("__tie"), F.xxhash64(F.lit(7), F.col(text_col)).alias("__tie2")]
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, ties: bool = False) -> DataFrame:
+    """(identifier as __id, __fp as a signed long) of every row; with ties also the two hashes of the text, __tie and __tie2."""
+    more = TIES if ties else []
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 fp = np.array([fingerprint(t or "", width) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["__id", "__fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]], names=["__id", "__fp", *more])
 
-    return df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(each, "__id long, __fp long")
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(text_hashes(text_col) if ties else []))
+    return rows.mapInArrow(each, ", ".join(f"{c} long" for c in ["__id", "__fp", *more]))
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -85,20 +93,33 @@ def links(distinct: DataFrame, refs: list[int]) -> DataFrame:
     return pairs.select(F.col("__fp").alias("a"), F.col("__first").alias("b"))
 
 
+def rooted(rows: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """Of rows with __fp: (__fp, root) by distinct fingerprint, and (root, component_id), the minimum of least over the rows of each component."""
+    distinct = checkpointed(rows.groupBy("__fp").agg(F.min(least).alias("__least")))
+    comp = components(links(distinct, pivots()))
+    named = distinct.join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
+    return named.select("__fp", "root"), named.groupBy("root").agg(F.min("__least").alias("component_id"))
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per row of df: identifier, fingerprint (16 hex digits), component_id."""
     rows = checkpointed(fingerprints(df, id_col, text_col, width))
-    distinct = checkpointed(rows.groupBy("__fp").agg(F.min("__id").alias("__least")))
-    comp = components(links(distinct, pivots()))
-    named = distinct.join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    least = named.groupBy("root").agg(F.min("__least").alias("component_id"))
+    named, least = rooted(rows, F.col("__id"))
     named = checkpointed(named.join(least, "root").select("__fp", "component_id"))
     return rows.join(named, "__fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of df of which the identifier names their component, one of each, with all their columns; of components without any identifier, one row."""
-    groups = near_groups(df, id_col, text_col, width)
-    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep"), F.col("component_id").alias("__c")).agg(F.min("fingerprint").alias("__f")).select("__keep").distinct()
-    one = Window.partitionBy(id_col).orderBy(F.lit(0))
-    return df.join(keep, df[id_col].eqNullSafe(keep["__keep"]), "left_semi").withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of df of each component, with all its columns: the least identifier (null after all others), then the least hash of the text.
+
+    The row is found again by its identifier and text, so rows without identifier, or texts that share one, don't stand for each other.
+    Only rows equal in both meet, combined before the shuffle.
+    """
+    rows = checkpointed(fingerprints(df, id_col, text_col, width, ties=True))
+    _, least = rooted(rows, F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__keep"), *[F.col(c).alias(f"{c}_k") for c in TIES]))
+    keep = checkpointed(least.select("component_id.*").drop("none"))
+    own = df.select("*", *text_hashes(text_col))
+    on = own[id_col].eqNullSafe(keep["__keep"])
+    for c in TIES:
+        on = on & (own[c] == keep[f"{c}_k"])
+    return own.join(keep, on, "left_semi").dropDuplicates([id_col, *TIES]).select(*[F.col(f"`{c}`") for c in df.columns])

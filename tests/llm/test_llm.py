@@ -141,6 +141,22 @@ def test_near_groups_on_odd_rows(odd, none):
 # suffix array
 
 
+def test_drop_near_keeps_one_row_of_each_component(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [
+        (5, one, "a"), (None, one, "b"), (None, one + " ", "a"),  # named by 5
+        (None, two, "a"), (None, two.upper(), "b"), (None, two, "c"),  # no identifier at all
+        (None, three, "a"),  # another one without
+        (9, "shared by the first text", "a"), (9, "another text of the same number", "a"),
+        (None, None, "a"), (None, "", "a"), (10, None, "b"),
+    ]
+    left = [(r.doc_id, r.text) for r in simhash.drop_near(docs(spark, rows).repartition(4)).select("doc_id", "text").collect()]
+    assert (5, one) in left and (None, three) in left and (10, None) in left
+    assert {(9, "shared by the first text"), (9, "another text of the same number")} <= set(left)
+    assert sum(t is not None and t.lower() == two for _, t in left) == 1
+    assert len(left) == 6
+
+
 def naive_repeats(rows):
     seen, out = set(), []
     for key in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)):
