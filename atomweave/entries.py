@@ -585,8 +585,8 @@ def feature_ablation(spark, sf_dir):
 
 @query
 def force_field(spark, sf_dir):
-    """Forces of a pair energy on small structures, by central differences, and what they sum to by axis (0)."""
-    a = D.atoms(spark, sf_dir).filter("structure_id % 50 = 1")
+    """Forces of a pair energy on all structures, by central differences, and what they sum to by axis (0)."""
+    a = D.atoms(spark, sf_dir)
 
     def energy(rows):
         p = P.molecular_pairs(rows, RCUT)

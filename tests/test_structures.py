@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from atomweave import entries
 from atomweave.functions import scalars as S
 from atomweave.operators import grids as G
 from atomweave.operators import kernels as K
@@ -16,6 +18,7 @@ from atomweave.operators import selection as X
 from atomweave.operators import tuples as T
 from atomweave.plans import features as PF
 from atomweave.schema import STRUCTURES
+from atomweave.sources import derived as D
 from atomweave.sources import files
 from atomweave.sources import fixtures as FX
 
@@ -142,6 +145,13 @@ def test_forces_match_the_slope_of_the_energy(spark):
     assert f[1, 0] == pytest.approx(-want, rel=1e-5) and f[0, 0] == pytest.approx(want, rel=1e-5) and abs(f[0, 1]) < 1e-6
 
 
+def test_force_field_covers_every_structure(spark):
+    atoms = {r.structure_id: r["count"] for r in D.atoms(spark, SF).groupBy("structure_id").count().collect()}
+    got = entries.force_field(spark, SF).collect()
+    assert {(r.structure_id, r.axis): r.n for r in got} == {(i, axis): n for i, n in atoms.items() for axis in range(3)}
+    assert all(abs(r.total) < 1e-3 for r in got)
+
+
 def test_kernel_ridge_with_all_rows_is_exact(spark):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(40, 3)), rng.normal(size=40)
