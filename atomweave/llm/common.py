@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +16,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a local session gets a folder of its own; a cluster must name one that all machines share."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cut the lineage through the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def text_of(column: str) -> Column:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def located(df: DataFrame) -> DataFrame:
+    """(__at, __row): each row as one struct beside a number of its own, the same in every action.
+
+    Inside the struct no column of the caller clashes with a helper column. A plain read of files is cut alike each time once the
+    least number of its partitions is fixed (by default it follows the cores that are there at the moment); anything else is
+    written to the shared folder first.
+    """
+    spark = df.sparkSession
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    else:
+        df = checkpointed(df)
+    return df.select(F.monotonically_increasing_id().alias("__at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of a located table whose __at is in kept, as they were. The join key is a row's own number, so no group of rows meets in one task."""
+    return rows.join(kept.select("__at"), "__at", "left_semi").select("__row.*")
+
+
+def inner(column: str) -> Column:
+    """A column of a located row."""
+    return F.col("__row").getField(column)
+
+
+def text_of(column: str | Column) -> Column:
     """The text with null as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
 def null_safe_key(column: Column) -> Column:
@@ -35,3 +82,16 @@ def null_safe_key(column: Column) -> Column:
 
 def fixed_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT_ROWS = 100_000
+MOST_HOT = 20_000
+
+
+def told(rows: DataFrame, groups: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with groups, one row a key with __n, the number of its rows. Keys of more than hot_rows rows and more than a MOST_HOT-th
+    of all (so there are fewer than MOST_HOT of them) are broadcast and their rows stay where they are; the others meet by key."""
+    total = groups.agg(F.sum("__n")).first()[0] or 0
+    is_hot = F.col("__n") > max(hot_rows, -(-total // MOST_HOT))
+    hot = F.broadcast(groups.filter(is_hot))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(groups.filter(~is_hot), on))

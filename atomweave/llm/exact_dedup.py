@@ -1,50 +1,91 @@
-"""Exact deduplication by a tree merge of digest runs.
+"""Exact deduplication by a tree merge of sorted digest runs.
 
-Every scan partition makes one run: its distinct digests with the identifier that stays and a count. In each
-round FAN_IN neighbouring runs meet, are merged by digest and keep the best identifier, until one run is left; the runs
-of a round are spread by (run, digest), so a round is one shuffle of already combined rows and no task sees a whole run.
-A merge is verified: rows meet only if SHA-256, byte length and an independent 64-bit hash all agree. A text that a third
-of all rows share is one row of each run after the first local combine.
+Level 0: every scan partition sorts its rows by digest and merges neighbours, which makes a sorted run of distinct digests, each
+with the identifier that stays and a count. Then binomial rounds: in a round the runs whose numbers differ in the lowest
+three bits exchange their rows with the one whose bits are 0 (three steps of a binomial tree at once), where they are merged in
+order of digest. A run that covers 8^k partitions is cut by the leading bits of the digest into 8^k slices, so a
+task of any round gets as many rows as one partition had, and a digest at most eight times. Rounds end with one run.
+
+Every merge verifies: rows become one only if the 64-bit hash that leads the order, the byte length and SHA-256 all agree.
+A text that a third of all rows share is one row of each run after level 0. Where rows learn their group, the few texts of
+very many rows are broadcast and their rows stay where they are (common.told); the others meet by digest.
 
 Defined results: null text counts as empty; a null identifier loses against any other; of repeated rows with equal
-identifier and text exactly one is kept; an empty table gives an empty result; other columns are never read.
+identifier and text exactly one is kept; texts of any length are hashed whole; an empty table gives an empty result; other
+columns are never read, and none that drop_exact returns can clash with the names used here.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import HOT_ROWS, checkpointed, inner, located, only, text_of, told
+
+BITS = 3
+KEY = ["__hash", "__bytes", "__sha"]
+
 
-FAN_IN = 8
-KEY = ["__sha", "__bytes", "__hash"]
+def digests(text: Column) -> list[Column]:
+    """Columns of the verified digest of a text, in the order in which runs are sorted."""
+    t = text_of(text)
+    return [F.xxhash64(t).alias("__hash"), F.octet_length(t).cast("long").alias("__bytes"), F.sha2(t, 256).alias("__sha")]
 
 
-def digests(df: DataFrame, text_col: str = "text") -> list:
-    """Columns of the verified digest of a text."""
-    t = text_of(text_col)
-    return [F.sha2(t, 256).alias("__sha"), F.octet_length(t).cast("long").alias("__bytes"), F.xxhash64(t).alias("__hash")]
+def merge_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by KEY and run -> the first row of each with the sum of __n. One row is carried from batch to batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        new = np.ones(t.num_rows, bool)
+        if t.num_rows > 1:
+            differ = np.zeros(t.num_rows - 1, bool)
+            for name in ("__run", *KEY):
+                c = t.column(name)
+                differ |= pc.not_equal(c.slice(1), c.slice(0, t.num_rows - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = differ
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(t.column("__n").to_numpy(), at)
+        out = t.take(pa.array(at)).set_column(t.schema.get_field_index("__n"), "__n", pa.array(n, pa.int64()))
+        held = out.slice(out.num_rows - 1)
+        if out.num_rows > 1:
+            yield out.slice(0, out.num_rows - 1)
+    if held is not None:
+        yield held
 
 
-def merge_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """One row per distinct text: KEY, __keep (the identifier that stays) and __n (rows)."""
-    best = {"max": F.max, "min": F.min}[keep]
-    runs = df.select(F.spark_partition_id().alias("__run"), F.col(id_col).alias("__keep"), F.lit(1).cast("long").alias("__n"), *digests(df, text_col))
-    width = max(1, df.rdd.getNumPartitions())
-    for _ in range(math.ceil(math.log(width, FAN_IN)) if width > 1 else 0):
-        runs = runs.groupBy("__run", *KEY).agg(best("__keep").alias("__keep"), F.sum("__n").alias("__n"))
-        runs = runs.withColumn("__run", F.floor(F.col("__run") / FAN_IN).cast("int"))
-    return runs.groupBy(*KEY).agg(best("__keep").alias("__keep"), F.sum("__n").alias("__n"))
+def merge_runs(rows: DataFrame, keep: str = "max") -> DataFrame:
+    """rows (__id, ..., KEY) -> one row per distinct text, sorted by slices: KEY, __id and the columns between (those of the row that stays) and __n (rows).
+    Of equal identifiers the row that comes first in the order of the other columns stays."""
+    more = [c for c in rows.columns if c not in ("__id", *KEY)]
+    best = [{"max": F.col("__id").desc_nulls_last(), "min": F.col("__id").asc_nulls_last()}[keep], *more]
+    runs = rows.select(F.spark_partition_id().alias("__run"), F.lit(0).alias("__slice"), *KEY, "__id", *more, F.lit(1).cast("long").alias("__n"))
+    schema = runs.schema
+    order = [*KEY, "__run", *best]  # a slice is a range of hashes
+    runs = runs.sortWithinPartitions(*order).mapInArrow(merge_neighbours, schema)
+    width, level = rows.rdd.getNumPartitions(), 0
+    while width > 1:
+        level, width = level + 1, -(-width >> BITS)
+        cut = F.shiftrightunsigned(F.col("__hash"), 64 - BITS * min(level, 8)).cast("int")
+        runs = runs.withColumn("__run", F.shiftright("__run", BITS)).withColumn("__slice", cut)
+        runs = runs.repartition("__run", "__slice").sortWithinPartitions(*order).mapInArrow(merge_neighbours, schema)
+    return runs.drop("__run", "__slice")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: identifier, keep_id, group_size, kept, text_sha256."""
-    merged = checkpointed(merge_runs(df, id_col, text_col, keep))  # read back, both sides of the join are plain exchanges, which Spark can split at a hot text
-    rows = df.select(F.col(id_col).alias("__id"), *digests(df, text_col)).groupBy("__id", *KEY).agg(F.count(F.lit(1)).alias("__m"))
-    out = rows.join(merged, KEY).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
+    rows = checkpointed(df.select(F.col(id_col).alias("__id"), *digests(F.col(text_col))))
+    merged = checkpointed(merge_runs(rows, keep).select(*KEY, F.col("__id").alias("__keep"), "__n"))
+    own = rows.groupBy("__id", *KEY).agg(F.count(F.lit(1)).alias("__m"))  # repeated rows as one
+    out = told(own, merged, KEY, hot_rows)
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
     return out.select(
         F.col("__id").alias(id_col),
         F.col("__keep").alias("keep_id"),
@@ -55,11 +96,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of df that stay, with all their columns. Texts are joined by identifier and digest, so no group of copies meets in one task."""
-    keepers = merge_runs(df, id_col, text_col, keep).select(F.col("__keep"), *[F.col(k).alias(f"{k}_k") for k in KEY])
-    rows = df.select("*", *digests(df, text_col))
-    on = rows[id_col].eqNullSafe(keepers["__keep"])
-    for k in KEY:
-        on = on & (rows[k] == keepers[f"{k}_k"])
-    one = Window.partitionBy(F.col(id_col), *KEY).orderBy(F.lit(0))
-    return rows.join(keepers, on, "left_semi").withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df that stay, with all their columns; of repeated rows the first read."""
+    rows = located(df)
+    light = checkpointed(rows.select(inner(id_col).alias("__id"), "__at", *digests(inner(text_col))))
+    return only(rows, merge_runs(light, keep))
