@@ -1,23 +1,30 @@
 """SimHash near-duplicates found through a pivot distance table.
 
-Fingerprints: lower-cased words, shingles of WIDTH words, XXH64 of each, majority of every bit (numpy on Arrow batches).
-
-Search: the table holds the Hamming distances of a fingerprint to N_PIVOTS reference fingerprints, packed into one long. Two
-fingerprints at up to 2 bits have a midpoint within one bit of both, and the table row of each of the 65 points
-within one bit follows from the row itself (the distance to a pivot moves by one, up or down by the pivot's bit). Rows are
-dealt by the table row of such a point: fingerprints that never share one differ by more than 2 in some coordinate or have
-no midpoint, and are discarded without being compared. Survivors under one row are verified: the midpoint itself must be
-the same and the distance to the group's first fingerprint at most 2 by bit count. At most 65 distinct fingerprints share
-a midpoint, so no group grows with the data; equal fingerprints are one row from the start. Each survivor is linked to the
-first of its group, which keeps all connections; components follow by alternating stars.
+Fingerprints: lower-cased words, shingles of WIDTH words, XXH64 of each, majority of every bit (numpy on Arrow batches; the
+hashes of a long text are counted in slices of 65,536).
+
+Search, over distinct fingerprints, so that copies are one row from the start:
+1. The pivot table holds the Hamming distances of each fingerprint to N_PIVOTS reference fingerprints.
+2. Its rows are dealt to places where they can meet: the 64 bits are cut into N_RANGES ranges, and two fingerprints at up to 2
+   bits agree in all but 2 of them, so each row goes to the 15 choices of 4 of 6 ranges (about 43 bits). The
+   distances alone can't deal the rows: they spread by 4 around 32 for any reference, so bands of them would leave a constant
+   share of all pairs together.
+3. Pairs at a place are discarded if any coordinate of their table rows differs by more than 2 (by the triangle inequality
+   none of them links; see search_report for how many go), and the survivors are verified by bit count.
+4. A place of more than MOST_A_PLACE fingerprints (a dense cluster) makes no pairs. Its fingerprints are linked through
+   the 65 points within a bit of each, which at most 65 share: exact as well, and linear.
+Components of the links follow by alternating stars.
 
 Defined results: null or wordless texts have fingerprint 0 and link like any other; null identifiers take part and never
 become a component's name (null if a component has no other); repeated rows each get their row; an empty table gives an
-empty result; other columns are never read.
+empty result; other columns are never read, and drop_near returns them whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, inner, located, only, told
 from .components import components
 
 WIDTH = 3
-N_PIVOTS = 8
+N_PIVOTS = 16
+N_RANGES = 6
+MOST_A_PLACE = 256
 MOST_BITS = 2
 TIES = ["__tie", "__tie2"]
 
@@ -55,9 +64,9 @@ def text_hashes(text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(text_col)).alias("__tie"), F.xxhash64(F.lit(7), F.col(text_col)).alias("__tie2")]
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, ties: bool = False) -> DataFrame:
-    """(identifier as __id, __fp as a signed long) of every row; with ties also the two hashes of the text, __tie and __tie2."""
-    more = TIES if ties else []
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, also: list[str] | None = None, ties: bool = False) -> DataFrame:
+    """(identifier as __id, __fp as a signed long) of every row, and more columns of longs; with ties also the two hashes of the text, __tie and __tie2."""
+    more = [*(also or []), *(TIES if ties else [])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +75,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fp = np.array([fingerprint(t or "", width) for t in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]], names=["__id", "__fp", *more])
 
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(text_hashes(text_col) if ties else []))
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *(also or []), *(text_hashes(text_col) if ties else []))
     return rows.mapInArrow(each, ", ".join(f"{c} long" for c in ["__id", "__fp", *more]))
 
 
@@ -75,51 +84,104 @@ def pivots(n: int = N_PIVOTS) -> list[int]:
     return [int(x) for x in np.random.default_rng(64).integers(-(2**63), 2**63 - 1, n)]
 
 
-def coordinates(point: Column, refs: list[int]) -> Column:
-    """The Hamming distances to the pivots, a byte each, in one long."""
-    out = F.lit(0).cast("long")
-    for k, p in enumerate(refs):
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(point.bitwiseXOR(F.lit(p))).cast("long"), 8 * k))
-    return out
+def pivot_table(distinct: DataFrame, refs: list[int]) -> DataFrame:
+    """(__fp, __t0, __t1, ...): the Hamming distances of each fingerprint to the reference fingerprints, eight to a long."""
+    far = [F.shiftleft(F.bit_count(F.col("__fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * (k % 8)) for k, p in enumerate(refs)]
+    return distinct.select("__fp", *[functools.reduce(Column.bitwiseOR, far[k : k + 8]).alias(f"__t{k // 8}") for k in range(0, len(refs), 8)])
+
+
+def coordinate(side: str, k: int) -> Column:
+    return F.shiftright(F.col(f"{side}.__t{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def bit_ranges(n: int) -> list[int]:
+    """64 bits cut into n neighbouring ranges, as masks."""
+    cuts = [64 * k // n for k in range(n + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """The table's rows once for each choice of all but MOST_BITS of N_RANGES bit ranges (__which), by what the fingerprint has in them (__key).
+    Two fingerprints at up to MOST_BITS bits share at least one such place."""
+    masks = [sum(m) for m in itertools.combinations(bit_ranges(N_RANGES), N_RANGES - MOST_BITS)]
+    places = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("__which"), F.col("__fp").bitwiseAND(F.lit(signed(m))).alias("__key")) for k, m in enumerate(masks)])
+    return table.withColumn("__place", F.explode(places)).select("__place.*", *table.columns)
+
+
+def survives(n: int) -> Column:
+    """The largest difference of two table rows (a and b) in any coordinate is at most MOST_BITS."""
+    return functools.reduce(operator.and_, [F.abs(coordinate("a", k) - coordinate("b", k)) <= MOST_BITS for k in range(n)])
 
 
-def links(distinct: DataFrame, refs: list[int]) -> DataFrame:
-    """Links (a, b) between fingerprints __fp (distinct) at up to 2 bits that connect all that such pairs connect."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
-    near = distinct.select("__fp", F.explode(flips).alias("__flip")).withColumn("__mid", F.col("__fp").bitwiseXOR(F.col("__flip"))).select("__fp", "__mid")
-    near = near.withColumn("__row", coordinates(F.col("__mid"), refs)).repartition("__row")
-    first = F.min("__fp").over(Window.partitionBy("__row", "__mid"))
+def places_of(distinct: DataFrame, refs: list[int], most: int) -> tuple[DataFrame, DataFrame]:
+    """The pivot table's rows dealt to their places, only where two or more meet: (those of up to most rows, the fingerprints of larger ones)."""
+    near = dealt(pivot_table(distinct, refs))
+    near = near.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__which", "__key"))).filter("__n > 1")
+    near = checkpointed(near)
+    return near.filter(F.col("__n") <= most), near.filter(F.col("__n") > most).select("__fp").distinct()
+
+
+def met(small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of table rows at one place."""
+    same = (F.col("a.__which") == F.col("b.__which")) & (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__fp") < F.col("b.__fp"))
+    return small.alias("a").join(small.alias("b"), same)
+
+
+def bits_apart() -> Column:
+    return F.bit_count(F.col("a.__fp").bitwiseXOR(F.col("b.__fp")))
+
+
+def midpoint_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between fingerprints of crowded places, linear in their number: two at up to 2 bits share one of the 65 points within a bit of each,
+    and each fingerprint is linked to the first that shares a point. At most 65 share one."""
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(64)])
+    near = distinct.select("__fp", F.explode(flips).alias("__flip")).select("__fp", F.col("__fp").bitwiseXOR(F.col("__flip")).alias("__mid"))
+    first = F.min("__fp").over(Window.partitionBy("__mid"))
     pairs = near.withColumn("__first", first).filter((F.col("__first") != F.col("__fp")) & (F.bit_count(F.col("__fp").bitwiseXOR(F.col("__first"))) <= MOST_BITS))
     return pairs.select(F.col("__fp").alias("a"), F.col("__first").alias("b"))
 
 
-def rooted(rows: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
-    """Of rows with __fp: (__fp, root) by distinct fingerprint, and (root, component_id), the minimum of least over the rows of each component."""
-    distinct = checkpointed(rows.groupBy("__fp").agg(F.min(least).alias("__least")))
+def links(distinct: DataFrame, refs: list[int], most: int = MOST_A_PLACE) -> DataFrame:
+    """Links (a, b) between fingerprints __fp (distinct) at up to MOST_BITS bits that connect all that such pairs connect."""
+    small, crowded = places_of(distinct, refs, most)
+    pairs = met(small).filter(survives(len(refs))).filter(bits_apart() <= MOST_BITS).select(F.col("a.__fp").alias("a"), F.col("b.__fp").alias("b"))
+    return pairs.union(midpoint_links(crowded))
+
+
+def search_report(distinct: DataFrame, refs: list[int], most: int = MOST_A_PLACE) -> DataFrame:
+    """One row on the search: pairs that met, that the table discarded, that were verified, that link; fingerprints of crowded places."""
+    small, crowded = places_of(distinct, refs, most)
+    pairs = met(small).select(survives(len(refs)).alias("s"), (bits_apart() <= MOST_BITS).alias("l"))
+    counts = pairs.agg(F.count(F.lit(1)).alias("met"), F.count_if(~F.col("s")).alias("discarded"), F.count_if("s").alias("verified"), F.count_if(F.col("s") & F.col("l")).alias("linked"))
+    return counts.crossJoin(crowded.agg(F.count(F.lit(1)).alias("crowded")))  # one row each
+
+
+def rooted(rows: DataFrame, least: Column) -> DataFrame:
+    """Of rows with __fp: (__fp, root, __n, component_id) by distinct fingerprint; __n counts its rows, component_id is the minimum of least over the rows of the component."""
+    distinct = checkpointed(rows.groupBy("__fp").agg(F.min(least).alias("__least"), F.count(F.lit(1)).alias("__n")))
     comp = components(links(distinct, pivots()))
     named = distinct.join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    return named.select("__fp", "root"), named.groupBy("root").agg(F.min("__least").alias("component_id"))
+    return checkpointed(named.join(named.groupBy("root").agg(F.min("__least").alias("component_id")), "root").drop("__least"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per row of df: identifier, fingerprint (16 hex digits), component_id."""
     rows = checkpointed(fingerprints(df, id_col, text_col, width))
-    named, least = rooted(rows, F.col("__id"))
-    named = checkpointed(named.join(least, "root").select("__fp", "component_id"))
-    return rows.join(named, "__fp").select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = told(rows, rooted(rows, F.col("__id")).drop("root"), ["__fp"])
+    return out.select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row of df of each component, with all its columns: the least identifier (null after all others), then the least hash of the text.
+    """One row of df of each component, with all its columns: the least identifier (null after all others), then the least hash of the text, then the first read.
 
-    The row is found again by its identifier and text, so rows without identifier, or texts that share one, don't stand for each other.
-    Only rows equal in both meet, combined before the shuffle.
+    Rows are told apart by a number of their own, so rows without identifier, or texts that share one, don't stand for each other.
     """
-    rows = checkpointed(fingerprints(df, id_col, text_col, width, ties=True))
-    _, least = rooted(rows, F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("__keep"), *[F.col(c).alias(f"{c}_k") for c in TIES]))
-    keep = checkpointed(least.select("component_id.*").drop("none"))
-    own = df.select("*", *text_hashes(text_col))
-    on = own[id_col].eqNullSafe(keep["__keep"])
-    for c in TIES:
-        on = on & (own[c] == keep[f"{c}_k"])
-    return own.join(keep, on, "left_semi").dropDuplicates([id_col, *TIES]).select(*[F.col(f"`{c}`") for c in df.columns])
+    own = located(df)
+    light = own.select(inner(id_col).cast("long").alias("__id"), inner(text_col).alias("__text"), "__at")
+    rows = checkpointed(fingerprints(light, "__id", "__text", width, also=["__at"], ties=True))
+    least = F.struct(F.col("__id").isNull().alias("none"), "__id", *TIES, "__at")
+    return only(own, rooted(rows, least).filter("__fp = root").select("component_id.__at"))
