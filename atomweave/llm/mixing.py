@@ -1,13 +1,15 @@
 """Mixing of sources to target weights.
 
-Documents get a hash-random key. The key space is cut into ranges, so (source, range) holds a few thousand rows however
-large a source is; word counts are summed by range, the sums are turned into offsets in two levels (blocks of ranges, then
-ranges in a block), and a running sum inside a range finishes the distributed prefix sum. Each source is cut at its exact
+Documents get a hash-random key (of identifier and text). The key space is cut into ranges, so (source, range) holds some
+hundred rows however large a source is; a range that equal rows crowd is cut again by the rows' own numbers. Word counts are
+summed by range, the sums are turned into offsets in two levels (blocks of ranges, then ranges in a block), and a running
+sum inside a range, which Spark sorts by key, finishes the distributed prefix sum. Each source is cut at its exact
 budget: whole epochs first, then the documents in key order until the rest of the budget is spent; the last document gives
 the words that are missing. One row per source passes through one task when weights are shared out; documents never do.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; null or repeated identifiers are
-ordinary rows (equal rows are interchangeable); sources of size 0 get target 0; an empty table gives an empty result.
+ordinary rows (equal rows are interchangeable); sources of size 0 get target 0; words of texts of any length are counted whole;
+an empty table gives an empty result; mixed_rows returns the caller's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +19,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, null_safe_key, text_of
+from .common import WORD, checkpointed, inner, located, null_safe_key, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 ROWS_A_RANGE = 128
 RANGES_A_BLOCK = 4096
+#: Ranges that are cut again are at most so many, each into at most so many parts.
+MOST_CROWDED = 20_000
+MOST_PARTS = 4096
 
 
-def n_words(text_col: str) -> Column:
-    return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -45,40 +50,51 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return s.select("__source", "source_size", F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__level") * F.col("__w"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
-    """One row per document: identifier, size, source_size, target, taken."""
-    key = F.xxhash64(F.col(id_col), F.lit(seed))
-    sized = df.select(F.col(id_col).alias("__id"), null_safe_key(F.col(source_col)).alias("__source"), n_words(text_col).alias("size"), key.alias("__key"), F.xxhash64(text_of(text_col)).alias("__tie"))
-    sized = checkpointed(sized)
+def shares(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """sized (__at, __source, size, __key) -> with source_size, target, taken."""
     by_source = sized.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     rows = by_source.agg(F.sum("__rows")).first()[0] or 0
     bits = max(1, math.ceil(math.log2(max(2, rows / ROWS_A_RANGE))))
     sized = sized.withColumn("__range", F.shiftrightunsigned(F.col("__key"), 64 - bits))
-    ranges = sized.groupBy("__source", "__range").agg(F.sum("size").alias("__sum"))
+    # a range beyond the limit holds many equal rows; it is cut again, by the next bits of the key and then by the rows' own numbers
+    crowded = sized.groupBy("__source", "__range").agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > max(16 * ROWS_A_RANGE, -(-rows // MOST_CROWDED)))
+    crowded = F.broadcast(crowded.withColumn("__parts", F.least(F.lit(MOST_PARTS), F.ceil(F.col("__rows") / (16 * ROWS_A_RANGE)))).drop("__rows"))  # at most MOST_CROWDED rows
+    finer = F.shiftrightunsigned(F.shiftleft(F.col("__key"), bits), 44) * MOST_PARTS + F.pmod(F.xxhash64("__at"), "__parts")
+    sized = sized.join(crowded, ["__source", "__range"], "left").withColumn("__part", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(finer)).drop("__parts")
+    ranges = sized.groupBy("__source", "__range", "__part").agg(F.sum("size").alias("__sum"))
     ranges = ranges.withColumn("__block", F.floor(F.col("__range") / RANGES_A_BLOCK))
     blocks = ranges.groupBy("__source", "__block").agg(F.sum("__sum").alias("__block_sum"))
     ahead = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__block_ahead", F.coalesce(F.sum("__block_sum").over(ahead), F.lit(0)))
     blocks = blocks.join(source_targets(by_source.select("__source", "source_size"), weights, share, most), "__source").drop("__block_sum")
-    inside = Window.partitionBy("__source", "__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__block").orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("__in_block", F.coalesce(F.sum("__sum").over(inside), F.lit(0))).join(blocks, ["__source", "__block"])
-    offsets = offsets.select("__source", "__range", "source_size", "target", (F.col("__block_ahead") + F.col("__in_block")).alias("__ahead"))
-    order = [F.shiftrightunsigned(F.col("__key"), 1), F.col("__key"), F.col("__id"), F.col("size"), F.col("__tie")]
-    own = Window.partitionBy("__source", "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.join(offsets, ["__source", "__range"]).withColumn("__ahead", F.col("__ahead") + F.coalesce(F.sum("size").over(own), F.lit(0)))
+    offsets = offsets.select("__source", "__range", "__part", "source_size", "target", (F.col("__block_ahead") + F.col("__in_block")).alias("__ahead"))
+    own = Window.partitionBy("__source", "__range", "__part").orderBy(F.shiftrightunsigned(F.col("__key"), 1), "__key", "size", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = sized.join(offsets, ["__source", "__range", "__part"]).withColumn("__ahead", F.col("__ahead") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     goal = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = goal - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__ahead")))
-    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "__tie")
+    return out.withColumn("taken", taken)
+
+
+def random_key(id_: Column, text: Column, seed: int) -> Column:
+    """A hash of identifier and text: rows without identifier, or that share one, are spread by their texts."""
+    return F.xxhash64(id_, F.lit(seed), F.xxhash64(text_of(text)))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
+    """One row per document: identifier, size, source_size, target, taken."""
+    light = df.select(F.col(id_col).alias("__id"), null_safe_key(F.col(source_col)).alias("__source"), n_words(F.col(text_col)).alias("size"), random_key(F.col(id_col), F.col(text_col), seed).alias("__key"))
+    light = checkpointed(light).withColumn("__at", F.monotonically_increasing_id())
+    return shares(light, weights, share, most).select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
     """The mix as rows of df: a document stands as often as the mix begins it (taken / size, rounded up); a document without words, which costs nothing, stands once."""
-    plan = mix(df, id_col, text_col, source_col, **how).select(F.col(id_col).alias("__id"), "__tie", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int").alias("__times"))
-    same = Window.partitionBy("__id", "__tie").orderBy("__times")
-    plan = plan.withColumn("__no", F.row_number().over(same))
-    rows = df.withColumn("__own", F.xxhash64(text_of(text_col)))
-    rows = rows.withColumn("__own_no", F.row_number().over(Window.partitionBy(F.col(id_col), "__own").orderBy(F.lit(0))))
-    joined = rows.join(plan, rows[id_col].eqNullSafe(plan["__id"]) & (rows["__own"] == plan["__tie"]) & (rows["__own_no"] == plan["__no"]))
-    return joined.filter("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = located(df)
+    light = rows.select("__at", null_safe_key(inner(source_col)).alias("__source"), n_words(inner(text_col)).alias("size"), random_key(inner(id_col), inner(text_col), seed).alias("__key"))
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    plan = shares(checkpointed(light), weights, share, most).select("__at", times.alias("__times")).filter("__times > 0")
+    return rows.join(plan, "__at").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
