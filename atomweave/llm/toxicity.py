@@ -1,18 +1,22 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with context windows around the hits.
 
 The lexicon has fixed seed terms and terms learned from labelled rows (whole words, and word beginnings of 4 to 7
-characters that mark a family of inflected words); learned terms match exactly, seeds also misspelled. All terms stand in one trie; a word is read by the intersection of the
-trie with the Levenshtein automata of the terms (one edit from 5 characters on, two from 9), made deterministic as states
-are met, so almost every word dies within a few characters and each distinct word is read once per task.
+characters that mark a family of inflected words). Seeds and learned whole words of LEAST_FUZZY letters or more also match
+misspelled, word beginnings as they stand. All terms stand in one trie; a word is read by the intersection of the trie with
+the Levenshtein automata of the terms (one edit from 5 characters on, two from 9), made deterministic as states are met, so
+almost every word dies within a few characters and each distinct word is read once per task. Misspelled forms that
+the clean labelled rows use are exceptions.
 
 A hit counts by its window of WINDOW words on either side: less if it stands in quotation marks or next to a reporting word
 (a quotation), more next to a second-person pronoun (abuse). Sums by kind of hit go into a logistic score. Its weights are
 the posterior mode under a prior that already holds without any label, so few labels change little. Fitting uses at most
-MAX_LABELLED labelled rows (the first by hash); of these the driver gets MAX_TERMS terms and five numbers a row.
+MAX_LABELLED labelled rows (the first by hash); of these the driver gets MAX_TERMS terms, the exceptions and KINDS + 1
+numbers a row.
 
 Defined results: null or empty text has no hit and scores the base rate; a null identifier is never held out and never
 matches a label; repeated labels of a row count once, as toxic if any is; null labels are unlabelled; without labels the
-prior alone scores; other columns are never read.
+prior alone scores; texts of any length are read whole; other columns are never read, and drop_toxic returns them whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MAX_LABELLED = 6000
 MAX_TERMS = 2000
 LEAST_LLR = 20.0
@@ -42,8 +48,15 @@ YOU = {"you", "your", "youre", "u", "ur", "du", "dich", "tu", "te", "toi", "vous
 QUOTES = "\"“”„«»"
 LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
 WORDS = re.compile(r"[\w@$]+")
-#: Prior mean of the logistic weights: bias, then log(1 + sum) of seed, learned, misspelled and quoted hits.
-PRIOR = np.array([-3.5, 6.0, 6.0, 5.0, 1.5])
+#: Prior mean of the logistic weights: bias, then log(1 + sum) of seed, learned, misspelled seed, quoted and misspelled learned hits.
+PRIOR = np.array([-3.5, 6.0, 6.0, 5.0, 1.5, 2.0])
+KINDS = len(PRIOR) - 1
+LEAST_FUZZY = 6
+
+
+def fuzzy_terms(terms: list[str]) -> set[str]:
+    """Terms that also match misspelled: seeds, and learned whole words of LEAST_FUZZY letters or more."""
+    return set(SEEDS) | {t for t in terms if len(t) >= LEAST_FUZZY and not t.endswith("*")}
 
 
 def edits_for(term: str) -> int:
@@ -132,7 +145,7 @@ class Automaton:
 class Scorer:
     def __init__(self, terms: list[str], exceptions: set[str], weights: np.ndarray):
         self.seeds = set(SEEDS)
-        self.automaton = Automaton(sorted(self.seeds | set(terms)), self.seeds)
+        self.automaton = Automaton(sorted(self.seeds | set(terms)), fuzzy_terms(terms))
         self.exceptions, self.weights = exceptions, weights
         self.known: dict[str, tuple[int, str] | None] = {}
 
@@ -152,12 +165,12 @@ class Scorer:
         return hit
 
     def features(self, text: str) -> list[float]:
-        """Sums over hits: seed, learned, misspelled, quoted."""
+        """Sums over hits: seed, learned, misspelled seed, quoted, misspelled learned."""
         low = text.lower()
         look, known = self.look, self.known
         words = set(WORDS.findall(low))
         hits = {w: h for w in words if (h := known[w] if w in known else look(w)) is not None}
-        sums = [0.0, 0.0, 0.0, 0.0]
+        sums = [0.0] * KINDS
         if not hits:
             return sums
         spans = [(m.group(), m.start()) for m in WORDS.finditer(low)]
@@ -166,7 +179,7 @@ class Scorer:
             if (h := hits.get(w)) is None:
                 continue
             near = {x for x, _ in spans[max(0, i - WINDOW) : i + WINDOW + 1]}
-            kind = 2 if h[0] else 0 if h[1] in self.seeds else 1
+            kind = (2 if h[0] else 0) if h[1] in self.seeds else (4 if h[0] else 1)
             if line_quotes(at) or near & REPORTING:
                 sums[3] += 1.0
                 sums[kind] += 0.1
@@ -203,15 +216,27 @@ def logistic(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, precision: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Posterior mode of the logistic weights under PRIOR, by Newton steps."""
+def loss(w: np.ndarray, x1: np.ndarray, y: np.ndarray, precision: float) -> float:
+    z = x1 @ w
+    return float(np.logaddexp(0, z).sum() - z @ y + precision * ((w - PRIOR) ** 2).sum() / 2)
+
+
+def fit(x: np.ndarray, y: np.ndarray, precision: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Posterior mode of the logistic weights under PRIOR, by Newton steps that are halved until the loss falls."""
     x1 = np.hstack([np.ones((len(x), 1)), x])
     w = PRIOR.copy()
+    now = loss(w, x1, y, precision)
     for _ in range(rounds):
         p = logistic(w, x)
         step = np.linalg.solve((x1.T * (p * (1 - p))) @ x1 + precision * np.eye(len(w)), x1.T @ (y - p) - precision * (w - PRIOR))
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while size > 1e-6 and (after := loss(w + size * step, x1, y, precision)) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w, done = w + size * step, now - after < 1e-9 * max(1.0, abs(now))
+        now = after
+        if done:
             break
     return w
 
@@ -227,7 +252,7 @@ def held_out(id_col: str):
 
 
 class Model:
-    """What scoring needs: terms, fuzzy forms that clean rows use, and five weights. Its size is bounded by MAX_TERMS."""
+    """What scoring needs: terms (at most MAX_TERMS), misspelled forms that clean labelled rows use (words of at most MAX_LABELLED documents), and the weights."""
 
     def __init__(self, terms: list[str], exceptions: set[str], weights: np.ndarray):
         self.terms, self.exceptions, self.weights = terms, exceptions, weights
@@ -240,7 +265,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most max_labelled labelled rows that are not held out."""
     own = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("__y"))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(own), "__id").select("__text", "__y")
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(own), "__id")
+    rows = checkpointed(rows.select("__text", "__y"))  # documents are read once to learn
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,12 +298,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             terms.append(r.term)
 
         def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = Automaton(SEEDS, set(SEEDS))
+            reader = Automaton(sorted(set(SEEDS) | set(terms)), fuzzy_terms(terms))
             for batch in batches:
                 yield batch.filter(pa.array([(h := reader.read(w)) is not None and h[0] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
 
         clean = counts.filter((F.col("neg") > 0) & (F.col("neg") * base >= F.col("pos") * (1 - base)) & ~F.col("term").endswith("*") & (F.col("term") != "")).select("term").mapInArrow(misspelled, "term string")
-        exceptions = {r.term for r in clean.orderBy("term").limit(20 * max_terms).collect()}
+        exceptions = {r.term for r in clean.collect()}  # of at most max_labelled documents
     counts.unpersist()
     model = Model(terms, exceptions, PRIOR)
 
@@ -285,11 +311,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         s = model.scorer()
         for batch in batches:
             x = [s.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[k] for r in x], pa.float64()) for k in range(4))], names=["y", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[k] for r in x], pa.float64()) for k in range(KINDS))], names=["y", *names])
 
-    seen = rows.mapInArrow(observe, "y int, a double, b double, c double, d double").collect()
+    names = [f"x{k}" for k in range(KINDS)]
+    seen = rows.mapInArrow(observe, "y int, " + ", ".join(f"{n} double" for n in names)).collect()  # KINDS + 1 numbers of at most max_labelled rows
     if seen:
-        model.weights = fit(np.log1p(np.array([[r.a, r.b, r.c, r.d] for r in seen])), np.array([float(r.y) for r in seen]))
+        model.weights = fit(np.log1p(np.array([[r[n] for n in names] for r in seen])), np.array([float(r.y) for r in seen]))
     return model
 
 
@@ -312,11 +339,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of df that aren't predicted toxic, with all their columns."""
     shared = df.sparkSession.sparkContext.broadcast((model.terms, model.exceptions, model.weights))
-    at = df.columns.index(text_col)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([s.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            good = pa.array([s.score(t or "") < 0.5 for t in batch.column(1).to_pylist()], pa.bool_())
+            yield batch.select(["row"]).filter(good)
 
-    return df.mapInArrow(each, df.schema)
+    return rows.mapInArrow(each, rows.select("row").schema).select("row.*")
