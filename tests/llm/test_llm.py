@@ -284,12 +284,13 @@ def test_quality_counts(spark, odd, none):
     assert quality_rules.quality(odd).count() == len(ODD) and quality_rules.quality(none).count() == 0
 
 
-def test_quality_verdict_ignores_order_and_sample(spark):
+def test_quality_verdict_ignores_order(spark):
     rnd = random.Random(2)
     good = " ".join("".join(rnd.choice("abcdefg") for _ in range(5)) for _ in range(80))
     rows = [(0, good, "a"), (1, good.upper(), "a"), (2, good.replace(" ", "%% "), "a"), (3, good.replace(" ", "! "), "a"), (4, " ".join(["one", "two"] * 60), "a")]
     d = docs(spark, rows * 3)
-    runs = [{(r.doc_id, r.kept) for r in quality_rules.quality(d, sample=n, rules=rules).collect()} for n in (0, 3, 1000) for rules in (quality_rules.RULES, quality_rules.RULES[::-1])]
+    plans = [None, *(quality_rules.Plan(r, []) for r in (quality_rules.RULES, quality_rules.RULES[::-1]))]
+    runs = [{(r.doc_id, r.kept) for r in quality_rules.quality(d, plan=p).collect()} for p in plans]
     assert all(x == {(0, True), (1, False), (2, False), (3, False), (4, False)} for x in runs)
 
 
