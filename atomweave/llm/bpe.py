@@ -1,19 +1,24 @@
 r"""Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is cut into halves until a piece has at most LEAF characters; leaves are encoded alone and neighbours are joined up
-the tree. A join keeps both token lists except for a window around the cut: it grows on either side to the next point
-where a white-space character follows another kind of character. No match of the pre-tokeniser's pattern crosses such a
-point (white space stands only at the beginning of a match, or the match is white space as a whole), and a match depends on
-nothing to the left of its beginning, so the tokens outside the window are those of the whole text whatever stands on the
-other side; the window is encoded again. A window without such a point grows to the end of its side. Where a match ends may
-depend on what follows, so the right side must see one more point: a window that ends at a point ends a match, as shown
-above, for every right context. Decoding concatenates bytes up the same tree.
+the tree. A join keeps both token lists but for a window around the cut, which is encoded again and doubled until the tokens
+outside it are stable:
+* The window begins and ends at points, where a white-space character follows another kind of character (or at the ends of
+  the two pieces). A match of the pre-tokeniser's pattern takes white space only at its beginning, or is white space as a
+  whole, so no match crosses a point, whatever stands on the other side; and a match depends on nothing to the left of its
+  beginning. That is the proof: tokens beyond two points are those of the whole text.
+* The window's first and last tokens must be the ones that the halves have there, or the window must reach an end of
+  its half. Otherwise it grows, as it does where no point is in reach.
+Ordinary prose needs one window of some dozen characters a join. A text without white space has no points: there each
+join encodes its whole pieces again, so the text costs its length times the depth of the tree.
+Decoding concatenates bytes up the same tree.
 
 The join is associative, so the result doesn't depend on the shape of the tree. Ranks are read by the driver (any file
 system path) and broadcast: a vocabulary has a fixed size below 2 MB.
 
-Defined results: null text is empty and gives no tokens; lone special-token strings are ordinary text; repeated rows each
-give their row; an empty table gives an empty result; other columns are never read.
+Defined results: null text is empty and gives no tokens; lone special-token strings are ordinary text; a text of any length is
+encoded whole, by one task, which holds its token ids; repeated rows each give their row; an empty table gives an empty
+result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,16 +26,15 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 4096
-#: What this pre-tokeniser counts as white space.
-SPACE = regex.compile(r"\s")
+LEAF = 256
+WINDOW = 16
 #: A point where white space follows another kind of character.
 POINT = regex.compile(r"(?<=\S)(?=\s)")
 
@@ -65,46 +69,44 @@ class Codec:
 
     def join(self, text: str, a: int, cut: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """Tokens of text[a:b] from those of text[a:cut] and text[cut:b]."""
-        lo, hi = self._before(text, a, cut), self._after(text, cut, b)
-        window = self.leaf_encode(text[lo:hi])
-        n_left = self._tokens_from_end(left, text[lo:cut])
-        n_right = self._tokens_from_start(right, text[cut:hi])
+        size = WINDOW
+        while True:
+            lo, hi = self._first_point(text, a, cut, size), self._last_point(text, cut, b, size)
+            if lo is not None and hi is not None:
+                window = self.leaf_encode(text[lo:hi])
+                n_left, n_right = self._count(reversed(left), text[lo:cut]), self._count(right, text[cut:hi])
+                if (lo == a or window[0] == left[len(left) - n_left]) and (hi == b or window[-1] == right[n_right - 1]):
+                    break
+            size *= 2
         out = left[: len(left) - n_left]
         out += window
         out += right[n_right:]
         return out
 
-    def _before(self, text: str, a: int, cut: int) -> int:
-        """The last point before cut; windows are looked through in doubling steps."""
-        step = 32
-        while True:
-            lo = max(a, cut - step)
-            for p in range(cut - 1, lo, -1):
-                if SPACE.match(text[p]) and not SPACE.match(text[p - 1]):
-                    return p
-            if lo == a:
-                return a
-            step *= 2
-
-    def _after(self, text: str, cut: int, b: int) -> int:
-        """The first point after cut."""
-        m = POINT.search(text, cut + 1, b)
-        return m.start() if m else b
-
-    def _tokens_from_end(self, ids: list[int], piece: str) -> int:
+    def _first_point(self, text: str, a: int, cut: int, size: int) -> int | None:
+        """The first point within size characters before cut, a if these reach it."""
+        if cut - size <= a:
+            return a
+        m = POINT.search(text, cut - size, cut + 1)
+        return m.start() if m and m.start() < cut else None
+
+    def _last_point(self, text: str, cut: int, b: int, size: int) -> int | None:
+        """The last point within size characters after cut, b if these reach it."""
+        if cut + size >= b:
+            return b
+        at = None
+        for m in POINT.finditer(text, cut + 1, cut + size + 1):
+            at = m.start()
+        return at
+
+    def _count(self, ids: Iterable[int], piece: str) -> int:
+        """How many of the ids the piece has."""
         left, n = len(piece.encode("utf-8", "surrogatepass")), 0
-        while left > 0:
-            n += 1
-            left -= self.length[ids[-n]]
         if left:
-            raise AssertionError("a token crosses a point")
-        return n
-
-    def _tokens_from_start(self, ids: list[int], piece: str) -> int:
-        left, n = len(piece.encode("utf-8", "surrogatepass")), 0
-        while left > 0:
-            left -= self.length[ids[n]]
-            n += 1
+            for n, i in enumerate(ids, 1):
+                left -= self.length[i]
+                if left <= 0:
+                    break
         if left:
             raise AssertionError("a token crosses a point")
         return n
