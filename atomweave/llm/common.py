@@ -88,10 +88,10 @@ HOT_ROWS = 100_000
 MOST_HOT = 20_000
 
 
-def told(rows: DataFrame, groups: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """rows joined with groups, one row a key with __n, the number of its rows. Keys of more than hot_rows rows and more than a MOST_HOT-th
-    of all (so there are fewer than MOST_HOT of them) are broadcast and their rows stay where they are; the others meet by key."""
+def told(rows: DataFrame, groups: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with groups, one row a key with __n, the number of its rows. Keys of more than hot_rows rows and more than
+    a MOST_HOT-th of all (so there are fewer than MOST_HOT of them) are broadcast and their rows stay where they are; the others meet by key."""
     total = groups.agg(F.sum("__n")).first()[0] or 0
     is_hot = F.col("__n") > max(hot_rows, -(-total // MOST_HOT))
     hot = F.broadcast(groups.filter(is_hot))
-    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(groups.filter(~is_hot), on))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(groups.filter(~is_hot), on, how))
