@@ -10,6 +10,7 @@ from .common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without n_rules_run: how many rules a row meets depends on the measured order."""
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("n_rules_run")
 
 
@@ -42,10 +43,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents has no paths; each source is a tree of directories of 512 and 64 documents, the first of a directory is its LICENSE file."""
-    n = F.col("doc_id")
-    name = F.when(n % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(n / 512).cast("string"), F.floor(n / 64).cast("string"), name)
+    """documents has no paths; each source is a tree of directories of 512 and 64 documents. The first document of a directory of 64 is
+    its LICENSE file, the ninth of 512 the COPYING file of the level above, the 17th of 4096 the LICENSE of the source."""
+    n, source, upper, lower = F.col("doc_id"), F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 512).cast("string"), F.floor(F.col("doc_id") / 64).cast("string")
+    path = F.when(n % 64 == 0, F.concat_ws("/", source, upper, lower, F.lit("LICENSE"))).when(n % 512 == 8, F.concat_ws("/", source, upper, F.lit("COPYING")))
+    path = path.when(n % 4096 == 16, F.concat_ws("/", source, F.lit("LICENSE"))).otherwise(F.concat_ws("/", source, upper, lower, F.concat(n.cast("string"), F.lit(".txt"))))
     return license_scan.scan(table(spark, sf_dir, "documents"), F.when(n.isNotNull(), path))
 
 

@@ -10,7 +10,7 @@ import pytest
 from conftest import SF, same_rows
 
 import corpus_pipeline
-from atomweave.llm import bpe, components, entries, exact_dedup, license_scan, mixing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, url_filter
+from atomweave.llm import bpe, components, entries, exact_dedup, mixing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row int, bucket string, kept string, size string, score string, u int, fold int"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -398,26 +398,6 @@ def test_owners_and_repositories_decide(spark):
     assert any(len(w) == 1 and len(p) >= 6 for w, p in held.values())  # one owner's, yet copied all over
 
 
-# licences
-
-
-def test_license_scan_and_inheritance(spark, odd, none):
-    from pyspark.sql import functions as F
-
-    apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
-    files = [("r/LICENSE", mit), ("r/a/x.py", "code"), ("r/a/b/LICENSE.txt", "text\n" + apache), ("r/a/b/y.py", "code"), ("r/a/b/c/z.py", "x\n" + mit), ("q/w.py", "license"), ("v.py", None), ("s/COPYING", "no notice"), ("s/k.py", "")]
-    d = docs(spark, [(i, t, p) for i, (p, t) in enumerate(files)])
-    got = {r.path: (r.own_license, r.license, r.inherited_from) for r in license_scan.scan(d, F.col("source")).collect()}
-    assert got == {"r/LICENSE": ("MIT", "MIT", None), "r/a/x.py": (None, "MIT", "r"), "r/a/b/LICENSE.txt": ("Apache-2.0", "Apache-2.0", None), "r/a/b/y.py": (None, "Apache-2.0", "r/a/b"), "r/a/b/c/z.py": ("MIT", "MIT", None), "q/w.py": (None, None, None), "v.py": (None, None, None), "s/COPYING": (None, None, None), "s/k.py": (None, None, None)}
-    assert license_scan.scan(odd, F.col("source")).count() == len(ODD) and license_scan.scan(none, F.col("source")).count() == 0
-
-
-def test_every_template_finds_itself(spark):
-    lines = spark.createDataFrame([(t, 3) for _, t in license_scan.TEMPLATES], "__line string, __n long")
-    got = {r["__line"]: r.license for r in license_scan.line_licenses(lines).collect()}
-    assert got == {t: n for n, t in license_scan.TEMPLATES}
-
-
 # URLs
 
 
