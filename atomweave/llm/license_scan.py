@@ -95,22 +95,22 @@ def parts_of(text: Column, is_file: Column) -> Column:
 
 
 def part_licenses(parts: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """parts(__part, __n) distinct -> (__part, license, score) of those that reach the least cosine."""
+    """parts(__p, __part, __n) distinct, __p their digest -> (__p, license, score) of those that reach the least cosine. Terms go by digest, never by text."""
     spark = parts.sparkSession
-    tf = parts.select("__part", "__n", F.explode(terms_of(F.col("__part"))).alias("term")).groupBy("__part", "__n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = parts.select("__p", "__n", F.explode(terms_of(F.col("__part"))).alias("term")).groupBy("__p", "__n", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = parts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total"))
     df = tf.groupBy("term").agg(F.sum("__n").alias("__df"))
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "t int, license string, text string")
     own = templates.select("t", "license", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("t", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = lambda d: F.log((F.col("__total") + 1) / (F.coalesce(d, F.lit(0)) + 1)) + 1
     weighed = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * idf(F.col("__df")))  # total is one row
-    norms = weighed.groupBy("__part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = weighed.groupBy("__p").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     known = own.join(df, "term", "left").crossJoin(F.broadcast(total)).withColumn("v", F.col("tf") * idf(F.col("__df")))
     template_norms = known.groupBy("t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t_norm"))
     known = known.join(template_norms, "t").select("t", "license", "term", "v", "t_norm")
-    dots = weighed.join(F.broadcast(known), "term").groupBy("__part", "t", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norms, "__part").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).filter(F.col("score") >= least)
-    return scored.groupBy("__part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select("__part", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    dots = weighed.join(F.broadcast(known), "term").groupBy("__p", "t", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(norms, "__p").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).filter(F.col("score") >= least)
+    return scored.groupBy("__p").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select("__p", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -136,10 +136,10 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("__dir", F.regexp_extract("__path", r"^((?:.*/)?)[^/]*$", 1)).withColumn("__name", F.regexp_extract("__path", r"([^/]*)$", 1))
     is_file = F.coalesce(F.col("__name").rlike(LICENSE_FILE), F.lit(False))
     rows = checkpointed(rows.select("__id", "__path", "__dir", "__name", parts_of(F.col("__text"), is_file).alias("__parts"))).withColumn("__key", F.monotonically_increasing_id())  # a row's own number
-    noted = rows.select("__key", F.explode("__parts").alias("__part"))
-    parts = checkpointed(noted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")))
-    named = checkpointed(parts.join(part_licenses(parts, least), "__part"))
-    best = told(noted, named, ["__part"]).groupBy("__key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
+    noted = rows.select("__key", F.explode("__parts").alias("__part")).select("__key", F.sha2("__part", 256).alias("__p"), "__part")
+    parts = checkpointed(noted.groupBy("__p").agg(F.any_value("__part").alias("__part"), F.count(F.lit(1)).alias("__n")))
+    named = checkpointed(parts.select("__p", "__n").join(part_licenses(parts, least), "__p"))
+    best = told(noted.drop("__part"), named, ["__p"]).groupBy("__key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
     files = rows.drop("__parts").join(best, "__key", "left").select("__id", "__path", "__dir", "__name", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
     out = inherited(checkpointed(files))
     lacks = F.col("own_license").isNull()

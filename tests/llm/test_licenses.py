@@ -123,8 +123,8 @@ def test_random_trees(spark, seed, monkeypatch):
 
 
 def test_every_template_finds_itself(spark):
-    lines = spark.createDataFrame([(t, 3) for _, t in L.TEMPLATES], "__part string, __n long")
-    got = {r["__part"]: r.license for r in L.part_licenses(lines).collect()}
+    lines = spark.createDataFrame([(t, t, 3) for _, t in L.TEMPLATES], "__p string, __part string, __n long")
+    got = {r["__p"]: r.license for r in L.part_licenses(lines).collect()}
     assert got == {t: n for n, t in L.TEMPLATES}
 
 
