@@ -2,9 +2,11 @@
 
 A byte goes if a string of WIDTH bytes that covers it also starts earlier. Sorting every suffix would shuffle hundreds of
 bytes for each byte of text, so only suffixes at anchors are sorted: an anchor is a place whose GRAM-byte hash is the
-least of some WIDTH-byte string. Equal strings have equal anchors at equal offsets, so no repeated string is missed.
+least of some WIDTH-byte string, and a string belongs to the first such place in it. Equal strings have equal anchors at equal
+offsets, so no repeated string is missed.
 
-0. Of equal texts only the first takes part: every string of the others starts earlier in it, so they go as a whole.
+0. Of equal texts only the first takes part: every string of the others starts earlier in it, so they go as a whole. Here, and
+   only here, texts count as equal if their SHA-256 and length are.
 1. Each task finds the anchors of its texts and sends (hash, row, place) by hash; hashes that occur once are dropped.
 2. The anchors left go back to their texts, which give the bytes around them, and on by hash.
 3. In a bucket of hashes, anchors with all bytes equal become one, so copies cost nothing. The right-hand suffixes of the
@@ -13,11 +15,17 @@ least of some WIDTH-byte string. Equal strings have equal anchors at equal offse
    classes of equal right and left parts; a string is repeated if an earlier anchor has the same pair of classes.
 4. The repeated ranges go to the texts, which are masked and hashed.
 
-Hashes only choose what is compared; all equalities are decided on bytes. Rows between the steps are packed numpy
-arrays, one per (batch, bucket); there is a bucket for each shuffle partition and for each BUCKET_BYTES of text, so a group
-stays a few MB. Very frequent grams
-don't meet in one group: equal surroundings collapse before they are sent, and the strings of a gram that occurs more than
-HOT times are dealt in pieces of 10 offsets (of 1 from 50 HOT on) by a hash of the bytes that all strings of a piece share.
+In steps 1 to 3 hashes only choose what is compared, and equalities are decided on bytes. Rows between the steps are packed numpy
+arrays, one per (batch, bucket), so Spark's row counts are counts of packs; there is a bucket for each shuffle partition and
+for each BUCKET_BYTES of text, and a group stays a few MB.
+
+Very frequent grams don't meet in one group: the most frequent ones, estimated on a sample of rows, skip step 1's
+counting; equal surroundings collapse before they are sent; and the strings of a gram that occurs more than HOT times are dealt
+in pieces of 10 offsets (of 1 from 50 HOT on) by a hash of the bytes that all strings of a piece share.
+
+Memory of a task: a group's texts, and for one stretch of CHUNK bytes at a time its hashes and surroundings. A text of any length
+is read in such stretches. A run of one byte, in which every place is an anchor, has one string an anchor and one surrounding
+in all, so it costs no more memory than prose (tests/llm/test_memory.py).
 
 Defined results: null text is empty; a null identifier comes after all others, equal identifiers in the order in which
 their rows are read; an empty table gives an empty result; other columns are never read.
@@ -41,12 +49,15 @@ SHALLOW = 4
 BUCKET_BYTES = 4 << 20
 CHUNK = 1 << 18
 FLUSH = 200_000
+SLICE = 20_000
 HOT = 2000
+SAMPLED = 16
+MOST_HOT = 10_000
 NO_ID = np.iinfo(np.int64).max
 PACKED = "bucket int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
-ANCHOR = np.dtype([("hash", "<u8"), ("row", "<i8"), ("at", "<u4")])
+ANCHOR = np.dtype([("hash", "<u8"), ("row", "<i8"), ("at", "<u4"), ("piece", "u1")])
 PLACE = np.dtype([("row", "<i8"), ("at", "<u4"), ("hash", "<u8"), ("piece", "u1")])
 AROUND = np.dtype([("hash", "<u8"), ("id", "<i8"), ("row", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1"), ("left", "u1", (WIDTH,)), ("right", "u1", (WIDTH,))])
 RANGE = np.dtype([("row", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -131,89 +142,179 @@ def bucket_of_row(row: str, n: int):
     return ((c.bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright(c, 33) * 7919) % n).cast("int")
 
 
-def find_anchors(docs: pa.Table, table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
-    """Texts of a bucket of rows -> ANCHOR by hash; rows that the RANGEs cover as a whole are left out."""
-    held, count = [], 0
-    skip = set(unpack(table, RANGE)["row"].tolist())
-    texts, rows, size = [], [], 0
+def cut(text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(from, to, begin, end): stretches of a text of at most CHUNK bytes with what must be read around them, so memory doesn't grow with a text."""
+    for begin in range(0, len(text), CHUNK):
+        end = min(len(text), begin + CHUNK)
+        yield max(0, begin - WIDTH), min(len(text), end + WIDTH), begin, end
+
+
+class Finder:
+    """Collects texts and finds their anchors, CHUNK bytes at a time."""
+
+    def __init__(self):
+        self.parts, self.size, self.held, self.count = [], 0, [], 0
+
+    def add(self, row: int, text: bytes) -> None:
+        for lo, hi, begin, end in cut(text):
+            if hi - lo >= WIDTH:
+                self.parts.append((row, lo, begin, end, text[lo:hi]))
+                self.size += hi - lo
+            if self.size >= CHUNK:
+                self.search()
 
-    def search() -> np.ndarray:
-        t = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(x) for x in texts])
-        h, least = window_minima(t, ends)
-        at = anchors(h, least)
+    def search(self) -> None:
+        if not self.parts:
+            return
+        t = np.frombuffer(b"".join(x[-1] for x in self.parts), np.uint8)
+        ends = np.cumsum([len(x[-1]) for x in self.parts])
+        at = anchors(*(h := window_minima(t, ends)))
         which = np.searchsorted(ends, at, side="right")
-        out = np.zeros(len(at), ANCHOR)
-        out["hash"], out["row"], out["at"] = h[at], np.array(rows)[which], at - np.r_[0, ends][which]
+        row, lo, begin, end = np.array([x[:4] for x in self.parts], np.int64)[which].T
+        place = at - np.r_[0, ends][which] + lo
+        own = (begin <= place) & (place < end)
+        out = np.zeros(int(own.sum()), ANCHOR)
+        out["hash"], out["row"], out["at"] = h[0][at][own], row[own], place[own]
+        self.held.append(out)
+        self.count += len(out)
+        self.parts, self.size = [], 0
+
+    def take(self, least: int) -> np.ndarray | None:
+        """What was found, if it is at least so much."""
+        if self.count < least or not self.held:
+            return None
+        out = np.concatenate(self.held)
+        self.held, self.count = [], 0
         return out
 
+
+def find_anchors(docs: pa.Table, table: pa.Table, n: int, hot: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts of a bucket of rows -> ANCHOR by hash; rows that the RANGEs cover as a whole are left out. Anchors of hot grams (ascending) needn't be
+    counted by hash: they have their piece at once and go by row, so they don't meet in one group."""
+    skip = set(unpack(table, RANGE)["row"].tolist())
+    f = Finder()
+
+    def sent(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = hash_bucket(found["hash"], n)
+        if len(hot):
+            k = np.minimum(np.searchsorted(hot, found["hash"]), len(hot) - 1)
+            known = hot[k] == found["hash"]
+            found["piece"][known] = sizes[k[known]]
+            bucket[known] = row_bucket(found["row"][known], n)
+        return by_bucket(found, bucket)
+
     for row, text in zip(docs.column("row").to_pylist(), docs.column("text"), strict=True):
         raw = text.as_buffer()
         if raw is None or raw.size < WIDTH or row in skip:
             continue
-        texts.append(raw.to_pybytes())
-        rows.append(row)
-        size += raw.size
-        if size >= CHUNK:
-            held.append(search())
-            count += len(held[-1])
-            texts, rows, size = [], [], 0
-        if count >= FLUSH:
-            found = np.concatenate(held)
-            yield from by_bucket(found, hash_bucket(found["hash"], n))
-            held, count = [], 0
-    if texts:
-        held.append(search())
-    if held:
-        found = np.concatenate(held)
-        yield from by_bucket(found, hash_bucket(found["hash"], n))
+        f.add(row, raw.to_pybytes())
+        if (found := f.take(FLUSH)) is not None:
+            yield from sent(found)
+    f.search()
+    if (found := f.take(0)) is not None:
+        yield from sent(found)
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (hash as a signed long, n) of the anchors' grams that stand several times among some FLUSH anchors."""
+    f = Finder()
+
+    def counted(found: np.ndarray) -> pa.RecordBatch:
+        h, times = np.unique(found["hash"], return_counts=True)
+        often = times >= 4
+        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["hash", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            if (raw := text.as_buffer()) is not None and raw.size >= WIDTH:
+                f.add(0, raw.to_pybytes())
+                if (found := f.take(FLUSH)) is not None:
+                    yield counted(found)
+    f.search()
+    if (found := f.take(0)) is not None:
+        yield counted(found)
+
+
+def piece_of(times: np.ndarray) -> np.ndarray:
+    return np.where(times <= HOT, WIDTH, np.where(times <= 50 * HOT, 10, 1)).astype(np.uint8)
+
+
+def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, piece sizes) of at most MOST_HOT grams that stand most often, estimated from one row in SAMPLED. They only decide how
+    anchors are dealt: a gram that is missed makes a larger group and changes no result."""
+    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(count_grams, "hash long, n long")
+    found = some.groupBy("hash").agg((F.sum("n") * SAMPLED).alias("n")).filter(F.col("n") > 10 * HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).collect()
+    h, n = np.array([r["hash"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], piece_of(n[order])
 
 
 def repeated(table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
     """ANCHOR of a bucket of hashes -> PLACE of those whose hash occurs twice, by row, with the offsets of a piece."""
     a = unpack(table, ANCHOR)
+    known, a = a[a["piece"] > 0], a[a["piece"] == 0]
     a = a[np.argsort(a["hash"], kind="stable")]
     starts = np.flatnonzero(np.r_[True, a["hash"][1:] != a["hash"][:-1]]) if len(a) else np.zeros(0, np.int64)
     times = np.diff(np.r_[starts, len(a)])
     times = np.repeat(times, times)
     a, times = a[times > 1], times[times > 1]
+    a["piece"] = piece_of(times)
+    a = np.concatenate([a, known])
     out = np.zeros(len(a), PLACE)
-    out["piece"] = np.where(times <= HOT, WIDTH, np.where(times <= 50 * HOT, 10, 1))
-    for c in ("row", "at", "hash"):
+    for c in PLACE.names:
         out[c] = a[c]
     yield from by_bucket(out, row_bucket(out["row"], n))
 
 
+def owned(t: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """PLACEs p of one text t -> slices (p, least, most): each string of WIDTH bytes belongs to the first of the places with its least
+    hash, and an anchor's strings start least to most bytes before it; anchors without any are left out. So a slice has at most CHUNK strings
+    in all, also where one byte repeats and every place is an anchor."""
+    p = p[np.lexsort((p["at"], p["hash"]))]
+    before = np.full(len(p), WIDTH, np.int64)
+    before[1:] = np.where(p["hash"][1:] == p["hash"][:-1], p["at"][1:].astype(np.int64) - p["at"][:-1], WIDTH)
+    order = np.argsort(p["at"], kind="stable")
+    p, before = p[order], before[order]
+    offsets = np.arange(WIDTH - GRAM + 1)
+    a = 0
+    while a < len(p):
+        b = min(np.searchsorted(p["at"], int(p["at"][a]) + CHUNK // 2), a + SLICE)
+        at = p["at"][a:b].astype(np.int64)
+        lo = max(0, int(at[0]) - WIDTH)
+        h, least = window_minima(t[lo : int(at[-1]) + 2 * WIDTH], np.array([min(len(t), int(at[-1]) + 2 * WIDTH) - lo]))
+        low = np.concatenate([np.zeros(WIDTH, np.uint64), least, np.zeros(2 * WIDTH, np.uint64)])
+        owns = (low[(at - lo)[:, None] - offsets + WIDTH] == h[at - lo][:, None]) & (offsets < before[a:b][:, None])
+        some = owns.any(1)
+        owns = owns[some]
+        yield p[a:b][some], owns.argmax(1), WIDTH - GRAM - owns[:, ::-1].argmax(1)
+        a = b
+
+
 def surroundings(docs: pa.Table, table: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
     """PLACE of a bucket of rows and their texts -> AROUND by hash."""
     p = unpack(table, PLACE)
     p = p[np.argsort(p["row"], kind="stable")]
     firsts = np.searchsorted(p["row"], np.array(docs.column("row").to_pylist(), np.int64)) if docs.num_rows else []
     held, count = [], 0
-    offsets = np.arange(WIDTH - GRAM + 1)
+    reach = np.arange(WIDTH)
     for k, (row, key, text) in enumerate(zip(docs.column("row").to_pylist(), docs.column("id").to_pylist(), docs.column("text"), strict=True)):
         a = firsts[k]
         b = np.searchsorted(p["row"], row, side="right")
         if a == b:
             continue
         t = np.frombuffer(text.as_buffer(), np.uint8)
-        at = p["at"][a:b].astype(np.int64)
-        h, least = window_minima(t, np.array([len(t)]))
-        low = np.concatenate([np.zeros(WIDTH, np.uint64), least, np.zeros(WIDTH, np.uint64)])
-        owns = low[at[:, None] - offsets + WIDTH] == h[at][:, None]
-        out = np.zeros(b - a, AROUND)
-        out["hash"], out["id"], out["row"], out["at"] = p["hash"][a:b], NO_ID if key is None else key, row, at
-        out["least"] = owns.argmax(1)
-        out["most"] = WIDTH - GRAM - owns[:, ::-1].argmax(1)
         padded = np.concatenate([np.zeros(WIDTH, np.uint8), t, np.zeros(WIDTH, np.uint8)])
-        reach = np.arange(WIDTH)
-        out["left"], out["right"] = padded[at[:, None] + WIDTH - 1 - reach], padded[at[:, None] + WIDTH + reach]
-        for size in np.unique(p["piece"][a:b]):
-            held.append(pieces(out[p["piece"][a:b] == size], int(size)))
-            count += len(held[-1])
-        if count >= FLUSH // 4:
-            yield from without_copies(np.concatenate(held), n)
-            held, count = [], 0
+        for part, least, most in owned(t, p[a:b]):
+            at = part["at"].astype(np.int64)
+            out = np.zeros(len(part), AROUND)
+            out["hash"], out["id"], out["row"], out["at"], out["least"], out["most"] = part["hash"], NO_ID if key is None else key, row, at, least, most
+            out["left"], out["right"] = padded[at[:, None] + WIDTH - 1 - reach], padded[at[:, None] + WIDTH + reach]
+            for size in np.unique(part["piece"]):
+                held.append(pieces(out[part["piece"] == size], int(size)))
+                count += len(held[-1])
+            if count >= FLUSH // 4:
+                yield from without_copies(np.concatenate(held), n)
+                held, count = [], 0
     if held:
         yield from without_copies(np.concatenate(held), n)
 
@@ -422,22 +523,16 @@ def ranges(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def masked(docs: pa.Table, table: pa.Table) -> Iterator[pa.RecordBatch]:
     """RANGE of a bucket of rows and their texts -> what is left of each text."""
-    r = unpack(table, RANGE)
-    r = r[np.argsort(r["row"], kind="stable")]
+    r = merged(unpack(table, RANGE))
     for k in range(0, docs.num_rows, 512):
         part, rows = docs.slice(k, 512), []
         for row, text in zip(part.column("row").to_pylist(), part.column("text"), strict=True):
-            t = np.frombuffer(text.as_buffer() or b"", np.uint8)
+            t = memoryview(text.as_buffer() or b"")
             a, b = np.searchsorted(r["row"], row), np.searchsorted(r["row"], row, side="right")
-            if a == b:
-                rows.append((len(t), 0, 0, t.tobytes()))
-                continue
-            depth = np.zeros(len(t) + 1, np.int64)
-            np.add.at(depth, r["start"][a:b], 1)
-            np.add.at(depth, r["end"][a:b], -1)
-            gone = np.cumsum(depth)[:-1] > 0
-            rows.append((len(t), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), t[~gone].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(part.column("id").chunks) if part.num_rows else pa.array([], pa.int64()), *(pa.array([x[i] for x in rows], pa.int64()) for i in range(3)), pa.array([x[3] for x in rows], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            starts, ends = r["start"][a:b].tolist(), r["end"][a:b].tolist()
+            kept = b"".join(t[x:y] for x, y in zip([0, *ends], [*starts, len(t)], strict=True))
+            rows.append((len(t), len(t) - len(kept), b - a, kept))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(part.column("id").chunks) if part.num_rows else pa.array([], pa.int64()), *(pa.array([int(x[i]) for x in rows], pa.int64()) for i in range(3)), pa.array([x[3] for x in rows], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def digested(docs: pa.Table, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -468,7 +563,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = max(fixed_partitions(df), -(-total // BUCKET_BYTES))
     texts = rows.select("row", "id", "text", bucket_of_row("row", n).alias("bucket")).groupBy("bucket")
     copies = whole_copies(rows).select(bucket_of_row("row", n).alias("bucket"), "row", "end").groupBy("bucket").applyInArrow(pack_copies, PACKED)
-    found = texts.cogroup(copies.groupBy("bucket")).applyInArrow(lambda a, b: as_table(find_anchors(a, b, n), PACKED_ARROW), PACKED)
+    hot, sizes = hot_grams(rows)
+    found = texts.cogroup(copies.groupBy("bucket")).applyInArrow(lambda a, b: as_table(find_anchors(a, b, n, hot, sizes), PACKED_ARROW), PACKED)
     places = found.groupBy("bucket").applyInArrow(lambda t: as_table(repeated(t, n), PACKED_ARROW), PACKED)
     around = texts.cogroup(places.groupBy("bucket")).applyInArrow(lambda a, b: as_table(surroundings(a, b, n), PACKED_ARROW), PACKED)
     gone = around.groupBy("bucket").applyInArrow(lambda t: as_table(covered(t, n), PACKED_ARROW), PACKED)
