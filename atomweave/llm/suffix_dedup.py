@@ -10,8 +10,8 @@ offsets, so no repeated string is missed.
 1. Each task finds the anchors of its texts and sends (hash, row, place) by hash; hashes that occur once are dropped.
 2. The anchors left go back to their texts, which give the bytes around them, and on by hash.
 3. In a bucket of hashes, anchors with all bytes equal become one, so copies cost nothing. The right-hand suffixes of the
-   others, and the left-hand ones reversed, are sorted deep-shallow: multikey refinement by 8-byte words to SHALLOW words,
-   then a blind trie for each group that still ties. Longest common prefixes of neighbours give, for every offset, the
+   others, and the left-hand ones reversed, are sorted deep-shallow: multikey quicksort by 8-byte words to SHALLOW words,
+   then a blind trie for each run that still ties. Longest common prefixes of neighbours give, for every offset, the
    classes of equal right and left parts; a string is repeated if an earlier anchor has the same pair of classes.
 4. The repeated ranges go to the texts, which are masked and hashed.
 
@@ -406,29 +406,58 @@ def blind_trie(strings: list[bytes]) -> list[int]:
     return out
 
 
-def deep_shallow(group: np.ndarray, text: np.ndarray, skip: int = 0) -> np.ndarray:
-    """Order of the rows of text (bytes) within ascending groups, stable; the first skip bytes of a group's rows are equal."""
-    m, width = text.shape
+def multikey_quicksort(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows of words (m x depth, unsigned) within ascending groups, stable, and (begins, ends) of the runs in it that tie in all words.
+
+    All segments of a round are cut at once: each takes the median of three of its words at its own depth as pivot, and falls into those below,
+    equal and above; the equal part goes on with the next word. Segments of one row, or past the last word, are done.
+    """
+    m, depths = words.shape
     order = np.argsort(group, kind="stable")
-    part = np.cumsum(np.r_[True, group[order][1:] != group[order][:-1]]) if m else np.zeros(0, np.int64)
-    words = np.ascontiguousarray(text[:, skip : skip + 8 * SHALLOW]).view(">u8")
-    for k in range(words.shape[1]):
-        ties = np.r_[False, part[1:] == part[:-1]]
-        active = np.flatnonzero(ties | np.r_[ties[1:], False])
-        if not len(active):
-            return order
-        w = words[order[active], k].astype(np.uint64)
-        by = np.lexsort((w, part[active]))
-        order[active], w = order[active][by], w[by]
-        new = np.r_[True, part[1:] != part[:-1]]
-        new[active[1:]] |= w[1:] != w[:-1]
-        part = np.cumsum(new)
-    ties = np.r_[False, part[1:] == part[:-1]]
-    starts = np.flatnonzero(np.r_[ties[1:], False] & ~ties)
-    for a in starts:
-        b = a + 1
-        while b < m and ties[b]:
-            b += 1
+    active = np.arange(m)
+    start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if m else np.zeros(0, np.int64)
+    size, depth = np.diff(np.r_[start, m]), np.zeros(len(start), np.int64)
+    begins, ends = [], []
+    while True:
+        tied = (size > 1) & (depth == depths)
+        begins.append(active[start[tied]])
+        ends.append(active[start[tied]] + size[tied])
+        going = (size > 1) & (depth < depths)
+        active = active[np.repeat(going, size)]
+        size, depth = size[going], depth[going]
+        if not len(size):
+            break
+        start = np.cumsum(size) - size
+        which = np.repeat(np.arange(len(size)), size)
+        w = words[order[active], depth[which]]
+        a, b, c = w[start], w[start + size // 2], w[start + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[which]
+        side = (w >= pivot).astype(np.int64) + (w > pivot)
+        sizes, place = np.zeros((len(size), 3), np.int64), np.zeros(len(w), np.int64)
+        for k in range(3):
+            mine = side == k
+            ahead = np.cumsum(mine)
+            sizes[:, k] = np.add.reduceat(mine, start)
+            place[mine] = (ahead - 1 - (ahead[start] - mine[start])[which])[mine]
+        first = start[:, None] + np.cumsum(sizes, axis=1) - sizes
+        place += first[which, side]
+        moved = np.empty(len(w), np.int64)
+        moved[place] = order[active]
+        order[active] = moved
+        some = sizes.ravel() > 0
+        start, size = first.ravel()[some], sizes.ravel()[some]
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()[some]
+    begins, ends = np.concatenate(begins), np.concatenate(ends)
+    by = np.argsort(begins)
+    return order, begins[by], ends[by]
+
+
+def deep_shallow(group: np.ndarray, text: np.ndarray, skip: int = 0) -> np.ndarray:
+    """Order of the rows of text (bytes) within ascending groups, stable; the first skip bytes of a group's rows are equal. Multikey quicksort by words
+    of 8 bytes to SHALLOW words, then a blind trie for each run that still ties."""
+    words = np.ascontiguousarray(text[:, skip : skip + 8 * SHALLOW]).view(">u8").astype(np.uint64)
+    order, begins, ends = multikey_quicksort(group, words)
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         rest = [text[i, skip + 8 * SHALLOW :].tobytes() for i in order[a:b]]
         if rest.count(rest[0]) < len(rest):
             order[a:b] = order[a:b][blind_trie(rest)]

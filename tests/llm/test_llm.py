@@ -190,7 +190,7 @@ def test_pieces_of_hot_grams_find_the_same():
 
     table = pa.table({"row": list(range(len(texts))), "id": list(range(len(texts))), "text": pa.array([t.encode() for t in texts], pa.binary())})
     empty = pa.table({"bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
-    found = suffix_dedup.as_table(suffix_dedup.find_anchors(table, empty, 1), suffix_dedup.PACKED_ARROW)
+    found = suffix_dedup.as_table(suffix_dedup.find_anchors(table, empty, 1, np.zeros(0, np.uint64), np.zeros(0, np.uint8)), suffix_dedup.PACKED_ARROW)
     results = []
     for size in (suffix_dedup.WIDTH, 10, 1):
         places = suffix_dedup.unpack(suffix_dedup.as_table(suffix_dedup.repeated(found, 1), suffix_dedup.PACKED_ARROW), suffix_dedup.PLACE)
@@ -219,6 +219,18 @@ def test_blind_trie_and_deep_shallow_sort():
         assert lcp[k] == want
 
 
+def test_multikey_quicksort():
+    rnd = np.random.default_rng(3)
+    for m, groups, values in ((0, 1, 2), (1, 1, 2), (300, 1, 2), (500, 40, 3), (2000, 3, 1 << 60)):
+        g, w = np.sort(rnd.integers(0, groups, m)), rnd.integers(0, values, (m, 3)).astype(np.uint64)
+        order, begins, ends = suffix_dedup.multikey_quicksort(g, w)
+        key = lambda i: (g[i], *w[i].tolist())  # noqa: E731, B023
+        assert order.tolist() == sorted(range(m), key=lambda i: (key(i), i))
+        rows = [key(i) for i in order]
+        want = [(k, k + rows.count(x)) for k, x in enumerate(rows) if (not k or rows[k - 1] != x) and rows.count(x) > 1] if m < 1000 else list(zip(begins, ends, strict=True))
+        assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == want
+
+
 def test_no_rows_and_short_texts(none, odd):
     assert suffix_dedup.drop_repeats(none, digest=True).count() == 0
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.drop_repeats(odd).collect()}
