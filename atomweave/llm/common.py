@@ -44,19 +44,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(df: DataFrame) -> DataFrame:
-    """(__at, __row): each row as one struct beside a number of its own, the same in every action.
+def steady(df: DataFrame, columns: list[Column] | None = None) -> DataFrame:
+    """df, or some columns of it, with rows in the same partitions and order in every action, so that numbers given to rows stay theirs.
 
-    Inside the struct no column of the caller clashes with a helper column. A plain read of files is cut alike each time once the
-    least number of its partitions is fixed (by default it follows the cores that are there at the moment); anything else is
-    written to the shared folder first.
+    A plain read of files is cut alike each time once the least number of its partitions is fixed (by default it follows the cores
+    that are there at the moment); anything else is written to the shared folder first.
     """
     spark = df.sparkSession
-    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
-        if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-            spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    else:
-        df = checkpointed(df)
+    plain = df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    if plain and not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    out = df if columns is None else df.select(*columns)
+    return out if plain else checkpointed(out)
+
+
+def located(df: DataFrame) -> DataFrame:
+    """(__at, __row): each row as one struct beside a number of its own, the same in every action. Inside the struct no column of the caller
+    clashes with a helper column."""
+    df = steady(df)
     return df.select(F.monotonically_increasing_id().alias("__at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fixed_partitions
+from .common import checkpointed, fixed_partitions, steady
 
 WIDTH = 100
 GRAM = 24
@@ -583,11 +583,10 @@ def pack_copies(t: pa.Table) -> pa.Table:
     return pa.table({"bucket": t.column("bucket").slice(0, 1), "payload": pa.array([out.tobytes()], pa.binary())}, schema=PACKED_ARROW)
 
 
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, stable: bool = False) -> DataFrame:
-    """One row per row of df: identifier, n_bytes, n_removed, n_spans and kept (the bytes left, as binary) or, with digest, kept_sha256.
-    stable says that df is a plain read of files, whose rows come in the same partitions and order each time; anything else is checkpointed first."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = (rows if stable else checkpointed(rows)).withColumn("row", F.monotonically_increasing_id())
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """One row per row of df: identifier, n_bytes, n_removed, n_spans and kept (the bytes left, as binary) or, with digest, kept_sha256."""
+    rows = steady(df, [F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")])
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(fixed_partitions(df), -(-total // BUCKET_BYTES))
     texts = rows.select("row", "id", "text", bucket_of_row("row", n).alias("bucket")).groupBy("bucket")

@@ -428,6 +428,22 @@ def test_url_rules(spark):
     assert url_filter.judge(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_words_of_hosts(spark, monkeypatch, most):
+    """Also with a list that is too long to broadcast."""
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
+    topics = {w for words in url_filter.TOPICS.values() for w in words}
+    twos = {p for pairs in url_filter.PHRASES.values() for p in pairs}
+    rnd = random.Random(9)
+    words = [*topics, *(w for p in twos for w in p), "essex", "adage", "plain", "x"]
+    hosts = ["".join(rnd.choice(words) + rnd.choice(".-_") for _ in range(rnd.randint(1, 3))) + "org" for _ in range(400)]
+    rows = [(i, f"http://{h}{rnd.choice(['', '/', '/porn/', '?casino', ':80/x'])}") for i, h in enumerate(hosts)]
+    for i, v in {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}.items():
+        w = re.split(r"[._:-]", hosts[i])
+        assert (v == "block") == (bool(topics & set(w)) or any(p in twos for p in zip(w, w[1:], strict=False))), rows[i]
+    assert {r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=[]).collect()} == {"allow"}
+
+
 def test_rules_stand_under_their_rarest_token(spark):
     from pyspark.sql import functions as F
 
