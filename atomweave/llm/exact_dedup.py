@@ -53,7 +53,8 @@ def merge_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             new[1:] = differ
         at = np.flatnonzero(new)
         n = np.add.reduceat(t.column("__n").to_numpy(), at)
-        out = t.take(pa.array(at)).set_column(t.schema.get_field_index("__n"), "__n", pa.array(n, pa.int64()))
+        k = t.schema.get_field_index("__n")
+        out = t.take(pa.array(at)).set_column(k, t.schema.field(k), pa.array(n, pa.int64()))  # the same schema, or the next batch can't join it
         held = out.slice(out.num_rows - 1)
         if out.num_rows > 1:
             yield out.slice(0, out.num_rows - 1)

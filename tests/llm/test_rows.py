@@ -67,6 +67,20 @@ def test_runs_are_sorted_and_merged(spark, parts):
         assert h == sorted(h)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 7])
+def test_runs_of_many_batches(spark, batch):
+    """A row is carried from one Arrow batch to the next."""
+    rows = [(i, f"t{i % 5}") for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = exact_dedup.exact_groups(d).collect()
+        assert sorted(r.keep_id for r in got if r.kept) == [55, 56, 57, 58, 59] and all(r.group_size == 12 for r in got) and len(got) == 60
+        assert exact_dedup.drop_exact(d).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_same_hash_of_other_texts_stays_apart(spark):
     rows = spark.createDataFrame([(i, 5, 3, s) for i, s in enumerate("aabba")], "__id long, __hash long, __bytes long, __sha string").repartition(3)
     assert sorted((r["__sha"], r["__id"], r["__n"]) for r in exact_dedup.merge_runs(rows, "max").collect()) == [("a", 4, 3), ("b", 3, 2)]
