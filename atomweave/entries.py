@@ -146,19 +146,12 @@ def two_body_linear(spark, sf_dir):
     return long(B.two_body(pairs(spark, sf_dir), coarse(spark, "radial"), COARSE["radial"], RCUT, "linear"))
 
 
-ELEMENT_WIDTHS = {1: 1.2, 6: 1.7, 7: 1.55, 8: 1.52, 9: 1.47, 10: 1.54, 14: 2.1, 15: 1.8, 16: 1.8, 17: 1.75, 29: 1.4}
-
-
 @query
 def two_body_element(spark, sf_dir):
-    """The neighbour's element picks the grid; elements without a radius share one."""
+    """The radius of the neighbour's element picks the grid."""
     base = COARSE["radial"]
-    grid = lambda a: wide(G.coarse(spark, G.Grid(RCUT, 60, base.weights[:2], 2, a * a, a * a)))
-    grids = grid(1.0).withColumn("z", F.explode(F.filter(F.sequence(F.lit(1), F.lit(118)), lambda z: ~z.isin(list(ELEMENT_WIDTHS)))))
-    for z, a in ELEMENT_WIDTHS.items():
-        grids = grids.unionByName(grid(a).withColumn("z", F.lit(z)))
-    g = G.Grid(RCUT, 60, base.weights[:2], 2, 1.0, 1.0)
-    return long(B.two_body(pairs(spark, sf_dir), grids, g, RCUT, "floor", True))
+    grid = lambda radius: G.Grid(RCUT, 60, base.weights[:2], 2, radius**2, radius**2)
+    return long(B.two_body(pairs(spark, sf_dir), G.element_table(spark, grid), grid(1.0), RCUT, "floor", True))
 
 
 @query
@@ -317,12 +310,12 @@ def standardize(spark, sf_dir):
 
 @query
 def feature_corr(spark, sf_dir):
-    return A.correlations_wide(D.vectors(spark, sf_dir), 24).select("a", "b", R("r").alias("r"))
+    return A.correlations_wide(D.vectors(spark, sf_dir), 64).select("a", "b", R("r").alias("r"))
 
 
 @query
 def feature_corr_counts(spark, sf_dir):
-    return A.correlation_counts(A.correlations(_vectors_long(spark, sf_dir).filter("channel < 24")), (0.2, 0.1, 0.05)).select("level", "n")
+    return A.correlation_counts(A.correlations_wide(D.vectors(spark, sf_dir), 64), (0.2, 0.1, 0.05)).select("level", "n")
 
 
 @query
@@ -356,53 +349,64 @@ def feature_subset(spark, sf_dir):
     return v.groupBy("id").agg(F.count(F.lit(1)).alias("n"), R(F.sum(F.col("value") * (F.col("place") + 1)), 5).alias("checksum"))
 
 
-def _some_vectors(spark, sf_dir):
-    v = D.vectors(spark, sf_dir).withColumn("features", F.slice("features", 1, 16))
-    return v, v.filter("id < 40")
+def _queries(rows, key):
+    """The stated query set of rectangular kernels: identifiers divisible by 50, against all rows."""
+    return rows.filter(F.col(key) % 50 == 0)
 
 
 @query
 def laplacian_kernel(spark, sf_dir):
-    v, marks = _some_vectors(spark, sf_dir)
-    return K.rectangular(v, marks, "laplacian", 0.05).select("a_id", "b_id", R("k").alias("k"))
+    v = D.vectors(spark, sf_dir)
+    return K.rectangular(v, _queries(v, "id"), "laplacian", 0.05).select("a_id", "b_id", R("k").alias("k"))
 
 
 @query
 def symmetric_kernel(spark, sf_dir):
-    return K.symmetric(_some_vectors(spark, sf_dir)[1], 0.1).select("a_id", "b_id", R("k").alias("k"))
+    return K.symmetric(D.vectors(spark, sf_dir), 0.02).select("a_id", "b_id", R("k").alias("k"))
 
 
 @query
 def polynomial_rbf_kernels(spark, sf_dir):
-    v, marks = _some_vectors(spark, sf_dir)
-    a = K.rectangular(v, marks, "polynomial", 1.0 / 16, 3).withColumnRenamed("k", "poly")
-    b = K.rectangular(v, marks, "rbf", 0.1).withColumnRenamed("k", "rbf")
+    v = D.vectors(spark, sf_dir)
+    a = K.rectangular(v, _queries(v, "id"), "polynomial", 1.0 / 64, 3).withColumnRenamed("k", "poly")
+    b = K.rectangular(v, _queries(v, "id"), "rbf", 0.1).withColumnRenamed("k", "rbf")
     return a.join(b, ["a_id", "b_id"]).select("a_id", "b_id", R("poly", 5).alias("poly"), R("rbf").alias("rbf"))
 
 
 def _molecules(spark, sf_dir):
     """Vectors as atoms: 8 to a structure, their label as element."""
     v = D.vectors(spark, sf_dir)
-    return v.select(F.floor(F.col("id") / 8).cast("long").alias("structure_id"), (F.col("id") % 8).cast("int").alias("atom_id"), "z", F.slice("features", 1, 16).alias("features"))
+    return v.select(F.floor(F.col("id") / 8).cast("long").alias("structure_id"), (F.col("id") % 8).cast("int").alias("atom_id"), "z", "features")
 
 
 @query
 def delta_kernel(spark, sf_dir):
     m = _molecules(spark, sf_dir)
-    return K.delta_kernel(m, m.filter("structure_id < 20"), 4.0).select("a_id", "b_id", R("k").alias("k"))
+    return K.delta_kernel(m, _queries(m, "structure_id"), 16.0).select("a_id", "b_id", R("k").alias("k"))
 
 
 @query
 def local_kernel_l2(spark, sf_dir):
     m = _molecules(spark, sf_dir)
-    return K.local_kernel(m, m.filter("structure_id < 4"), 2.0, "l2").select("a_id", "b_id", "a_atom", "b_atom", R("c").alias("c"))
+    return K.local_kernel(m, _queries(m, "structure_id"), 4.0, "l2").select("a_id", "b_id", "a_atom", "b_atom", R("c").alias("c"))
+
+
+MATCH_ROUNDS = 60
 
 
 @query
 def best_match_kernel(spark, sf_dir):
-    m = _molecules(spark, sf_dir).groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.col("z").cast("double").alias("z"), "features"))).alias("a"))
-    m = m.select("structure_id", F.transform("a", lambda x: x["z"]).alias("charges"), F.transform("a", lambda x: x["features"]).alias("atoms"))
-    return K.best_match(m, m.filter("structure_id < 10"), 4.0, 0.5).select("a_id", "b_id", R("k").alias("k"))
+    m = K.packed(_molecules(spark, sf_dir))
+    return K.best_match(m, _queries(m, "structure_id"), 16.0, 0.5, MATCH_ROUNDS).select("a_id", "b_id", R("k", 5).alias("k"))
+
+
+@query
+def best_match_cv(spark, sf_dir):
+    """Kernel ridge by folds on the best-match kernel of all structures with themselves."""
+    v = D.vectors(spark, sf_dir)
+    m = K.packed(_molecules(spark, sf_dir))
+    target = v.groupBy(F.floor(F.col("id") / 8).cast("long").alias("id")).agg(F.sum(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).alias("target"))
+    return E.kernel_cv(K.best_match_gram(m, 16.0, 0.5, MATCH_ROUNDS), target, [1e-3, 1e-1]).select("fold", "alpha", R("mae", 4).alias("mae"), "n_test")
 
 
 def _errors(spark, sf_dir):
@@ -491,8 +495,8 @@ def group_spread(spark, sf_dir):
 @query
 def cross_run_difference(spark, sf_dir):
     """Two ways to correlate channels compared by key."""
-    a = A.correlations_wide(D.vectors(spark, sf_dir), 16)
-    b = A.correlations(_vectors_long(spark, sf_dir).filter("channel < 15"))
+    a = A.correlations_wide(D.vectors(spark, sf_dir), 64)
+    b = A.correlations(_vectors_long(spark, sf_dir))
     return P.max_difference(a, b, ["a", "b"], "r").select("unmatched", R("difference").alias("difference"))
 
 
@@ -541,46 +545,80 @@ def xyz_parse(spark, sf_dir):
 def _regression(spark, sf_dir):
     v = D.vectors(spark, sf_dir)
     f = lambda k: F.get("features", F.lit(k))
-    return v.select("id", F.slice("features", 1, 12).alias("features"), (2 * f(0) - f(1) + f(2) * f(3) + F.sin(f(4))).alias("target"))
+    return v.select("id", "features", (2 * f(0) - f(1) + f(2) * f(3) + F.sin(f(4))).alias("target"))
+
+
+LANDMARKS = 200
 
 
 @query
 def kernel_ridge_cv(spark, sf_dir):
-    return E.cross_validate(_regression(spark, sf_dir), 12, 3, most=300).select("fold", R("mae", 4).alias("mae"), "n_test")
+    """Kernel ridge in its Nystroem form, on any number of vectors."""
+    return E.cross_validate(_regression(spark, sf_dir), 64, 3, 0.01, nystroem=LANDMARKS).select("fold", R("mae", 4).alias("mae"), "n_test")
+
+
+@query
+def tuned_kernel_ridge_cv(spark, sf_dir):
+    """Settings chosen on a subset of each fold's training side, then a fit on all of it."""
+    return E.tuned_cross_validate(_regression(spark, sf_dir), 64, [0.003, 0.03], [1e-3], 3, 200, nystroem=LANDMARKS).select("fold", "gamma", "alpha", R("mae", 4).alias("mae"), "n_test")
 
 
 @query
 def learning_curve(spark, sf_dir):
-    return E.learning_curve(_regression(spark, sf_dir), 12, [50, 200], (1, 2), most=200).select("size", R("mean", 4).alias("mean"), R("sd", 4).alias("sd"))
+    return E.learning_curve(_regression(spark, sf_dir), 64, [50, 200], (1, 2), 0.01, nystroem=LANDMARKS).select("size", R("mean", 4).alias("mean"), R("sd", 4).alias("sd"))
+
+
+@query
+def hyperparameter_sweep(spark, sf_dir):
+    """Widths of the kernel by damping: a plan and an error each."""
+    rows = X.split(_regression(spark, sf_dir), "id")
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    settings = [{"gamma": g, "alpha": a} for g in (0.003, 0.03) for a in (1e-3, 1e-1)]
+    return E.sweep(settings, lambda s: E.evaluate(train, test, 64, s["gamma"], s["alpha"], LANDMARKS)).select("gamma", "alpha", R("mae", 4).alias("mae"), "n_test")
+
+
+ALPHAS = [0.1, 1.0, 10.0, 100.0]
 
 
 @query
 def ridge_predict(spark, sf_dir):
-    rows = X.folds(_regression(spark, sf_dir), "id", 4)
-    alpha, w = M.cross_validated(M.moments(rows, by="fold"), [0.01, 0.1, 1.0, 10.0])
+    """Ridge with an intercept on scaled features, alpha by the error of rows left out one at a time."""
+    rows = _regression(spark, sf_dir)
+    alpha, w, _ = M.ridge_left_out(rows, ALPHAS)
     return M.linear_predict(rows, w).select("id", R("p", 5).alias("p"), F.lit(alpha).alias("alpha"))
 
 
 @query
 def lasso_weights(spark, sf_dir):
-    rows = X.folds(_regression(spark, sf_dir), "id", 4)
-    m = M.moments(rows, by="fold")
-    n = float(rows.count())
-    alpha, w = M.cross_validated(m, [1e-4, 1e-3, 1e-2], lambda x, a: M.lasso(x, n, a))
-    return spark.createDataFrame([(k, round(float(x), 5), alpha) for k, x in enumerate(w)], "channel int, weight double, alpha double")
+    """The intercept is channel -1."""
+    m = M.moments(X.folds(_regression(spark, sf_dir), "id", 5), M.ones_first, "fold")
+    alpha, w = M.lasso_cv(m)
+    return spark.createDataFrame([(k - 1, round(float(x), 4), round(alpha, 6)) for k, x in enumerate(w)], "channel int, weight double, alpha double")
 
 
 @query
 def leave_one_feature_out(spark, sf_dir):
     m = M.moments(X.folds(_regression(spark, sf_dir), "id", 4), by="fold")
-    return spark.createDataFrame([(k, round(d, 5)) for k, d in M.leave_one_out(m, 1.0)], "channel int, rise double")
+    return spark.createDataFrame([(k, d) for k, d in M.leave_one_out(m, 1.0)], "channel int, rise double").select("channel", R("rise", 4).alias("rise"))
+
+
+#: Sets of channels by block and order of the default layout, and the last channels, which it leaves out.
+ABLATED = {n: k for n, k in E.block_sets().items() if not n.startswith("no ")} | {"every": list(range(64)), "rest": list(range(40, 64))}
 
 
 @query
 def feature_ablation(spark, sf_dir):
     m = M.moments(X.folds(_regression(spark, sf_dir), "id", 4), by="fold")
-    sets = {"all": list(range(12)), "first": list(range(4)), "last": list(range(8, 12))} | {f"top{n}": list(range(n)) for n in (2, 6)}
-    return spark.createDataFrame([(n, round(e, 4)) for n, e in M.ablation(m, sets, 1.0).items()], "features string, error double")
+    return spark.createDataFrame(list(M.ablation(m, ABLATED, 1.0).items()), "features string, error double").select("features", R("error", 4).alias("error"))
+
+
+@query
+def kernel_ablation(spark, sf_dir):
+    """Kernel models without each weight of the default layout, and of the channels that vary most."""
+    v = _regression(spark, sf_dir)
+    top = [r.channel for r in A.ranked(A.variances(D.long_form(v, "id")), "variance").orderBy("rank").select("channel").collect()]  # a row a channel
+    sets = {n: k for n, k in E.block_sets(importance=top, tops=(10,)).items() if n.startswith(("all", "no radial", "top"))}
+    return E.ablate(v, sets, 0.01, nystroem=LANDMARKS).select("features", "n_features", R("mae", 4).alias("mae"))
 
 
 @query
@@ -597,10 +635,21 @@ def force_field(spark, sf_dir):
 
 @query
 def periodic_features(spark, sf_dir):
-    """All feature blocks of the crystals, summed by structure."""
+    """All feature blocks of the crystals on grids of the plan's own step, summed by structure."""
     p = PF.Parameters(rcut=3.2, max_body=5, norm=None)
     f = PF.periodic_features(FX.structures(spark), p)
-    return PF.global_features(f, 72).select("structure_id", F.posexplode("features").alias("channel", "v")).select("structure_id", "channel", R("v", 5).alias("value"))
+    return PF.global_features(f, 72).select("structure_id", F.posexplode("features").alias("channel", "v")).select("structure_id", "channel", squeezed(F.col("v")).alias("value"))
+
+
+#: The settings of generated_crystals.
+CRYSTAL = PF.Parameters(rcut=5.0, order=4, max_body=3, norm=None)
+
+
+@query
+def generated_crystals(spark, sf_dir):
+    """Two- and three-body features of a crystal of 16 atoms for each supplier, on grids of the plan's own step, summed by structure."""
+    f = PF.periodic_features(D.crystals(spark, sf_dir), CRYSTAL)
+    return PF.global_features(f, 40).select("structure_id", F.posexplode("features").alias("channel", "v")).select("structure_id", "channel", squeezed(F.col("v")).alias("value"))
 
 
 @query
@@ -611,6 +660,13 @@ def molecular_features(spark, sf_dir):
     return PF.bagged_features(f).select("structure_id", F.size("features").alias("n"), R(F.aggregate("features", F.lit(0.0), lambda s, v: s + F.abs(v)), 3).alias("total"))
 
 
+@query
+def legacy_features(spark, sf_dir):
+    """The 65 channels of the Gaussian-product form, summed by structure."""
+    f = PF.legacy_features(D.atoms(spark, sf_dir), PF.Parameters(rcut=4.0, smooth=False, lookup="round", step=0.05, angle_step=0.05), 3.0)
+    return PF.global_features(f, 65).select("structure_id", F.size("features").alias("n"), squeezed(F.aggregate("features", F.lit(0.0), lambda s, v: s + F.abs(v))).alias("total"))
+
+
 @query
 def stream_norm_factors(spark, sf_dir):
     """Element factors kept by a stream over the embeddings."""

@@ -40,12 +40,13 @@ def _histogram(t: DataFrame, value: Column, g: G.Grid, weights: dict[str, Column
 
 
 def two_body(pairs: DataFrame, grid: DataFrame, g: G.Grid, rcut: float | None, lookup: str = "floor", by_element: bool = False) -> DataFrame:
-    """Sum over neighbours of sqrt(z_i z_j), the cutoff (none if rcut is None) and the grid at the distance; by_element takes the grid of the neighbour's element."""
+    """Sum over neighbours of sqrt(z_i z_j), the cutoff (none if rcut is None) and the grid at the distance; by_element takes the grid of the
+    radius class of the neighbour's element, from a table (cls, idx, g)."""
     w = S.mean_charge(F.col("z_i"), F.col("z_j"))
     w = w if rcut is None else w * S.cutoff(F.col("r"), rcut)
-    also = ["z_j"] if by_element else []
+    also = ["cls"] if by_element else []
+    pairs = pairs.withColumn("cls", G.radius_class(F.col("z_j"))) if by_element else pairs
     cells = _histogram(pairs, F.col("r"), g, {"w": w}, lookup, *also)
-    grid = grid.withColumnRenamed("z", "z_j") if by_element else grid
     return from_cells(cells, grid, [(c, "w") for c in range(g.channels)], [*also, "idx"])
 
 
@@ -111,14 +112,84 @@ def with_all_atoms(atoms: DataFrame, blocks: list[tuple[DataFrame, int]]) -> Dat
     return out.select("structure_id", F.col("i").alias("atom_id"), "z", F.concat(*parts).alias("features"))
 
 
-def two_body_gradient(pairs: DataFrame, grid: DataFrame, g: G.Grid, rcut: float) -> DataFrame:
+def two_body_gradient(pairs: DataFrame, grid: DataFrame, g: G.Grid, rcut: float | None) -> DataFrame:
     """(structure_id, i, wrt, gx, gy, gz): slopes of atom i's two-body features by the position of atom wrt, an array over channels for each axis.
-    grid: (idx, g, slope). Each neighbour has a row; the atom itself has minus their sum."""
+    grid: (idx, g, slope). Each neighbour has a row; the atom itself has minus their sum. No cutoff function if rcut is None."""
+    return pair_gradient(pairs.withColumn("idx", G.cell_of(F.col("r"), g)).join(F.broadcast(grid), "idx"), g, rcut)
+
+
+def pair_gradient(rows: DataFrame, g: G.Grid, rcut: float | None) -> DataFrame:
+    """As two_body_gradient, of pairs that have the grid's values (g) and slopes at their distance."""
     r, w = F.col("r"), S.mean_charge(F.col("z_i"), F.col("z_j"))
-    along = F.zip_with("g", "slope", lambda v, s: w * (S.cutoff_slope(r, rcut) * v + S.cutoff(r, rcut) * s) / r)
-    rows = pairs.withColumn("idx", G.cell_of(r, g)).join(F.broadcast(grid), "idx").withColumn("__c", along)
+    cut, cut_slope = _cut(r, rcut)
+    rows = rows.withColumn("__c", F.zip_with("g", "slope", lambda v, s: w * (cut_slope * v + cut * s) / r))
     axes = {"gx": "dx", "gy": "dy", "gz": "dz"}
     near = rows.select(*KEY, F.col("j").alias("wrt"), *[F.zip_with("__c", F.array_repeat(F.col(d), g.channels), lambda c, x: c * x).alias(n) for n, d in axes.items()])
     sums = near.groupBy(*KEY).agg(*[F.sum(F.get(n, F.lit(k))).alias(f"{n}{k}") for n in axes for k in range(g.channels)])
     own = sums.select(*KEY, F.col("i").alias("wrt"), *[F.array(*[-F.col(f"{n}{k}") for k in range(g.channels)]).alias(n) for n in axes])
     return near.union(own)
+
+
+def _cut(r: Column, rcut: float | None) -> tuple[Column, Column]:
+    return (F.lit(1.0), F.lit(0.0)) if rcut is None else (S.cutoff(r, rcut), S.cutoff_slope(r, rcut))
+
+
+def three_body_gradient(triples: DataFrame, grid: DataFrame, g: G.Grid, rcut: float | None, power: float = 2.0, closed: bool = True) -> DataFrame:
+    """(structure_id, i, wrt, gx, gy, gz) as two_body_gradient, of the three-body features with linear lookup. triples: periodic_triples of pairs; an
+    atom and its images are one atom. grid: slope_table. closed: pairs farther apart than rcut add nothing (three_body), or have the cutoff function like the
+    others (molecular_three_body).
+
+    A feature depends on the sides a, b (centre to p and q) and c of the triangle alone, so its slopes by a, b and c, each along its side,
+    move p and q; the centre has minus their sum.
+    """
+    a, b, c = (F.col(n) for n in ("r_p", "r_q", "r_pq"))
+    t = triples.filter(c < rcut) if rcut is not None and closed else triples
+    sides = (a, b, c)
+    cuts = [_cut(r, rcut) for r in sides]
+    scale = 2.0 * S.mean_charge(F.col("z_i"), F.col("z_p"), F.col("z_q")) / F.pow(a * b * c, F.lit(power))
+    cos1 = F.col("cos1")
+    sin1 = F.sqrt(F.greatest(1.0 - cos1 * cos1, F.lit(1e-12)))
+    # cosines at the centre, p and q by the law of cosines, and what they change by a side
+    by_cos1 = [(a - b * cos1) / (a * b), (b - a * cos1) / (a * b), -c / (a * b)]
+    at_p, at_q = (a * a + c * c - b * b) / (2.0 * a * c), (b * b + c * c - a * a) / (2.0 * b * c)
+    by_p = [(a - c * at_p) / (a * c), -b / (a * c), (c - a * at_p) / (a * c)]
+    by_q = [-a / (b * c), (b - c * at_q) / (b * c), (c - b * at_q) / (b * c)]
+    w = scale * cuts[0][0] * cuts[1][0] * cuts[2][0]
+    slopes_of_w = []
+    for k, r in enumerate(sides):
+        rest = [cuts[j][0] for j in range(3) if j != k]
+        slopes_of_w.append(scale * rest[0] * rest[1] * (cuts[k][1] - power * cuts[k][0] / r))
+    columns = {"__w": w, "__h": at_p * at_q, "__th": F.acos(cos1)}
+    for k in range(3):
+        columns |= {f"__w{k}": slopes_of_w[k], f"__h{k}": by_p[k] * at_q + at_p * by_q[k], f"__t{k}": -by_cos1[k] / sin1}
+    t = t.select(*KEY, "j_p", "j_q", *sides, *[f"{x}_{n}" for n in "pq" for x in ("dx", "dy", "dz")], *[v.alias(n) for n, v in columns.items()])
+    t = t.withColumn("idx", G.cell_of(F.col("__th"), g)).withColumn("__f", G.fraction_of(F.col("__th"), g)).join(F.broadcast(grid), "idx")
+    n = len(g.weights)
+    value = F.zip_with("g", "slope", lambda v, s: v + s * F.col("__f") * g.step)
+    t = t.withColumn("__v", value)
+
+    def by_side(k: int) -> Column:
+        """The slope of every channel by a side."""
+        plain = F.zip_with("__v", "slope", lambda v, s: F.col(f"__w{k}") * v + F.col("__w") * s * F.col(f"__t{k}"))
+        return F.transform(F.zip_with(plain, "__v", lambda x, v: F.struct(x.alias("x"), v.alias("v"))), lambda y, at: F.when(at % n == 0, y["x"] * F.col("__h") + F.col("__w") * F.col(f"__h{k}") * y["v"]).otherwise(y["x"]))
+
+    t = t.select(*KEY, "j_p", "j_q", *sides, *[f"{x}_{m}" for m in "pq" for x in ("dx", "dy", "dz")], *[by_side(k).alias(f"__s{k}") for k in range(3)])
+
+    def step(side: int, x: str, name: str, other: str) -> Column:
+        own, cross = F.col(f"{x}_{name}") / F.col(f"r_{name}"), (F.col(f"{x}_{name}") - F.col(f"{x}_{other}")) / F.col("r_pq")
+        return F.zip_with(f"__s{side}", "__s2", lambda s, u: s * own + u * cross)
+
+    def moved(name: str, side: int, other: str) -> Column:
+        return F.struct(F.col(f"j_{name}").alias("wrt"), *[step(side, f"d{x}", name, other).alias(f"g{x}") for x in "xyz"])
+
+    axes = ("gx", "gy", "gz")
+    near = t.select(*KEY, F.explode(F.array(moved("p", 0, "q"), moved("q", 1, "p"))).alias("m")).select(*KEY, "m.*")
+    back = near.select(*KEY, F.col("i").alias("wrt"), *[F.transform(x, lambda v: -v).alias(x) for x in axes])
+    return summed_gradient(near.union(back), g.channels, ["structure_id", "i", "wrt"])
+
+
+def summed_gradient(rows: DataFrame, width: int, keys: list[str]) -> DataFrame:
+    """Gradient rows (gx, gy, gz arrays of width) summed by keys."""
+    axes = ("gx", "gy", "gz")
+    sums = rows.groupBy(*keys).agg(*[F.sum(F.get(x, F.lit(k))).alias(f"{x}{k}") for x in axes for k in range(width)])
+    return sums.select(*keys, *[F.array(*[f"{x}{k}" for k in range(width)]).alias(x) for x in axes])

@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +82,19 @@ def radial(rcut: float = 6.0, step: float = 0.0008, alphas=(1.5, 5.0), powers=(3
     return Grid(rcut, _points(rcut, step), weights, order + 1, a, math.sqrt(a), 1, (-math.sqrt(a)) ** (order + 1))
 
 
-def radial_of(z: int, rcut: float = 6.0, step: float = 0.0008, alphas=(1.5, 5.0), powers=(3.0, 5.0), order: int = 4) -> Grid:
-    """The radial grid of an element: its squared radius is the width, and Hermite polynomials are scaled by it."""
-    a = VDW.get(z, 1.0) ** 2
+#: Distinct radii; elements of one radius share a grid, and a radius's place here is its class.
+RADII = sorted({1.0, *VDW.values()})
+
+
+def radius_class(z: Column) -> Column:
+    """The class of an element's radius."""
+    known = F.create_map(*[F.lit(x) for z_, r in VDW.items() for x in (z_, RADII.index(r))])
+    return F.coalesce(known[z], F.lit(RADII.index(1.0)))
+
+
+def radial_of(radius: float, rcut: float = 6.0, step: float = 0.0008, alphas=(1.5, 5.0), powers=(3.0, 5.0), order: int = 4) -> Grid:
+    """The radial grid of a radius: its square is the width, and Hermite polynomials are scaled by it."""
+    a = radius**2
     weights = (*[Weight("exp", x) for x in alphas], *[Weight("power", x) for x in powers])
     return Grid(rcut, _points(rcut, step), weights, order + 1, a, a)
 
@@ -123,17 +134,37 @@ def sample(g: Grid) -> np.ndarray:
     return np.array(out)
 
 
+#: The most numbers a table that is broadcast may have.
+MOST_CELLS = 1 << 25
+
+
+def _rows(spark: SparkSession, columns: dict[str, np.ndarray], g: np.ndarray) -> DataFrame:
+    """Columns beside g (rows x channels), as one Arrow table."""
+    if g.size > MOST_CELLS:
+        raise ValueError(f"a grid table of {g.size} numbers; use a larger step or fewer channels")
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, g.size + 1, g.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(g).ravel()))
+    return spark.createDataFrame(pa.table({**{n: pa.array(c, pa.int32()) for n, c in columns.items()}, "g": vectors}))
+
+
 def table(spark: SparkSession, g: Grid, values: np.ndarray | None = None) -> DataFrame:
-    """(idx, g, g_next): the channels at each grid point and at the next."""
+    """(idx, g): the channels at each grid point."""
     v = (sample(g) if values is None else values).T
-    after = np.vstack([v[1:], v[-1:]])
-    return spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(v, after, strict=True))], "idx int, g array<double>, g_next array<double>")
+    return _rows(spark, {"idx": np.arange(len(v))}, v)
+
+
+def element_table(spark: SparkSession, make=radial_of) -> DataFrame:
+    """(cls, idx, g) of the grid make(radius) of every radius class."""
+    values = [sample(make(r)).T for r in RADII]
+    n = len(values[0])
+    return _rows(spark, {"cls": np.repeat(np.arange(len(RADII)), n), "idx": np.tile(np.arange(n), len(RADII))}, np.vstack(values))
 
 
-def element_table(spark: SparkSession, grids: dict[int, Grid]) -> DataFrame:
-    """(z, idx, g) of the grids of some elements."""
-    rows = [(z, i, a.tolist()) for z, g in grids.items() for i, a in enumerate(sample(g).T)]
-    return spark.createDataFrame(rows, "z int, idx int, g array<double>")
+def slope_table(spark: SparkSession, g: Grid) -> DataFrame:
+    """(idx, g, slope): the channels at each grid point and their change to the next, by the step; what a linear lookup has within the cell."""
+    v = sample(g).T
+    both = np.hstack([v, (np.vstack([v[1:], v[-1:]]) - v) / g.step])
+    rows = _rows(spark, {"idx": np.arange(len(v))}, both)
+    return rows.select("idx", F.slice("g", 1, g.channels).alias("g"), F.slice("g", g.channels + 1, g.channels).alias("slope"))
 
 
 def coarse(spark: SparkSession, g: Grid) -> DataFrame:

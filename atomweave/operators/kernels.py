@@ -1,12 +1,12 @@
 """Kernels between structures and between their atoms.
 
-A rectangular kernel takes one side as a landmark set of at most MAX_LANDMARKS rows, which the driver reads and broadcasts;
-the other side streams past it in Arrow blocks, and no pair is shuffled. Atom kernels join on the element.
+One side of a rectangular kernel is a set of queries or landmarks. It is cut into blocks of at most MAX_LANDMARKS, the other side streams
+past each block, and no pair is shuffled; so a set of any size works, at the cost of one pass over the rows a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,66 +52,155 @@ def checked(marks: DataFrame, most: int = MAX_LANDMARKS) -> DataFrame:
     return F.broadcast(marks)
 
 
+def in_blocks(marks: DataFrame, key: str, one: Callable[[DataFrame], DataFrame], most: int = MAX_LANDMARKS) -> DataFrame:
+    """The union of one(block) over blocks of marks by a hash of key: one block up to most rows, else so many that each has about half of most."""
+    n = marks.count()
+    if n <= most:
+        return one(marks)
+    blocks = -(-2 * n // most)
+    out = None
+    for k in range(blocks):
+        part = one(marks.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def rectangular(rows: DataFrame, marks: DataFrame, kind: str = "laplacian", gamma: float = 0.05, degree: int = 2) -> DataFrame:
-    """(a_id, b_id, k) of every row and every landmark, as plain columns: for small sides and checks."""
+    """(a_id, b_id, k) of every row (id, features) and every mark."""
     f = {"laplacian": lambda a, b: S.laplacian(a, b, gamma), "rbf": lambda a, b: S.rbf(a, b, gamma), "polynomial": lambda a, b: S.polynomial(a, b, degree, gamma), "linear": S.inner}[kind]
-    b = marks.select(F.col("id").alias("b_id"), F.col("features").alias("__b"))
     a = rows.select(F.col("id").alias("a_id"), F.col("features").alias("__a"))
-    return a.join(checked(b), F.lit(True)).select("a_id", "b_id", f(F.col("__a"), F.col("__b")).alias("k"))
+
+    def one(block: DataFrame) -> DataFrame:
+        b = block.select(F.col("id").alias("b_id"), F.col("features").alias("__b"))
+        return a.join(checked(b), F.lit(True)).select("a_id", "b_id", f(F.col("__a"), F.col("__b")).alias("k"))
+
+    return in_blocks(marks, "id", one)
 
 
 def symmetric(rows: DataFrame, gamma: float = 0.05) -> DataFrame:
-    """The kernel of a small set with itself: half of the pairs are computed, the others mirrored."""
+    """The kernel of a set with itself, identifiers distinct: half of the pairs are computed, the others mirrored."""
     half = rectangular(rows, rows, "laplacian", gamma).filter("a_id <= b_id")
-    return half.union(half.filter("a_id < b_id").select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "k"))
+    both = F.when(F.col("a_id") == F.col("b_id"), F.array(F.struct("a_id", "b_id"))).otherwise(F.array(F.struct("a_id", "b_id"), F.struct(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))))
+    return half.select(F.explode(both).alias("p"), "k").select("p.*", "k")
+
+
+def packed(atoms: DataFrame) -> DataFrame:
+    """(structure_id, charges, atoms): atoms (structure_id, atom_id, z, features) as one row a structure, in atom order, with their numbers."""
+    g = atoms.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.col("z").cast("double").alias("z"), "features"))).alias("a"))
+    return g.select("structure_id", F.transform("a", lambda x: x["z"]).alias("charges"), F.transform("a", lambda x: x["features"]).alias("atoms"), F.transform("a", lambda x: x["atom_id"]).alias("numbers"))
+
+
+class Marks:
+    """Landmark structures as flat arrays: their atoms one after another."""
+
+    def __init__(self, rows: list):
+        rows = [r for r in rows if r.charges]
+        self.ids = np.array([r.structure_id for r in rows], np.int64)
+        sizes = np.array([len(r.charges) for r in rows], np.int64)
+        self.start = np.cumsum(sizes) - sizes
+        self.which = np.repeat(np.arange(len(rows)), sizes)
+        self.z = np.array([z for r in rows for z in r.charges])
+        self.numbers = np.array([n for r in rows for n in r.numbers], np.int64)
+        self.x = np.array([v for r in rows for v in r.atoms], float)
+
+    def alike(self, charges, atoms, sigma: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+        """(same, c): whether an atom of a structure and one of a landmark are of one element, and their kernel."""
+        x = np.array(atoms, float).reshape(len(charges), -1)
+        far = l1_matrix(x, self.x) if metric == "l1" else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (self.x * self.x).sum(1) - 2 * x @ self.x.T, 0))
+        return np.array(charges)[:, None] == self.z, np.exp(-far / sigma)
+
+
+def _past_marks(a: DataFrame, b: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Packed structures of a past the landmark structures of b: make(marks, row) -> columns of the result."""
+    rows = packed(a)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(block: DataFrame) -> DataFrame:
+        marks = Marks(block.limit(MAX_LANDMARKS + 1).collect())  # one block
+        shared = a.sparkSession.sparkContext.broadcast(marks)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["charges"] and len(shared.value.ids):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(shared.value, r)], names=names)
+
+        return rows.mapInArrow(each, schema)
+
+    return in_blocks(packed(b), "structure_id", one)
 
 
 def local_kernel(a: DataFrame, b: DataFrame, sigma: float, metric: str = "l1") -> DataFrame:
-    """(a_id, b_id, a_atom, b_atom, c) for atoms (structure_id, atom_id, z, features) of one element; atoms of different elements have 0 and no row."""
-    d = {"l1": S.l1, "l2": S.l2}[metric]
-    x = a.select(F.col("structure_id").alias("a_id"), F.col("atom_id").alias("a_atom"), "z", F.col("features").alias("__a"))
-    y = b.select(F.col("structure_id").alias("b_id"), F.col("atom_id").alias("b_atom"), "z", F.col("features").alias("__b"))
-    return x.join(y, "z").select("a_id", "b_id", "a_atom", "b_atom", F.exp(-d(F.col("__a"), F.col("__b")) / sigma).alias("c"))
+    """(a_id, b_id, a_atom, b_atom, c) for atoms (structure_id, atom_id, z, features) of one element; atoms of different elements have 0 and no row.
+    Structures of a stream past the landmark structures b, so no element's atoms meet in one task."""
+
+    def make(marks: Marks, r: dict) -> list:
+        same, c = marks.alike(r["charges"], r["atoms"], sigma, metric)
+        i, j = np.nonzero(same)
+        return [np.full(len(i), r["structure_id"], np.int64), marks.ids[marks.which[j]], np.array(r["numbers"], np.int32)[i], marks.numbers[j].astype(np.int32), c[i, j]]
+
+    return _past_marks(a, b, make, "a_id long, b_id long, a_atom int, b_atom int, c double")
 
 
 def delta_kernel(a: DataFrame, b: DataFrame, sigma: float) -> DataFrame:
-    """(a_id, b_id, k): the sum of the local kernel over atoms of the same element."""
-    return local_kernel(a, b, sigma).groupBy("a_id", "b_id").agg(F.sum("c").alias("k"))
+    """(a_id, b_id, k): the sum of the local kernel over atoms of the same element; pairs without such atoms have no row."""
+
+    def make(marks: Marks, r: dict) -> list:
+        same, c = marks.alike(r["charges"], r["atoms"], sigma, "l1")
+        k = np.add.reduceat(np.where(same, c, 0.0).sum(0), marks.start)
+        some = np.add.reduceat(same.any(0).astype(np.int64), marks.start) > 0
+        return [np.full(int(some.sum()), r["structure_id"], np.int64), marks.ids[some], k[some]]
 
+    return _past_marks(a, b, make, "a_id long, b_id long, k double")
 
-def sinkhorn(c: np.ndarray, gamma: float, rounds: int = 100, tol: float = 1e-6) -> float:
-    """Regularised best match of two sets of atoms with local kernel c: both marginals of the plan are uniform. The scalings
-    before the last step count, when that step changes neither by tol."""
+
+def logsumexp(m: np.ndarray, axis: int) -> np.ndarray:
+    most = m.max(axis=axis, keepdims=True)
+    return np.squeeze(most, axis) + np.log(np.exp(m - most).sum(axis=axis))
+
+
+def sinkhorn(c: np.ndarray, gamma: float, rounds: int = 100, tol: float = 1e-9) -> float:
+    """Sum of plan times kernel c, of the plan with uniform marginals that is least in cost plus gamma times negative entropy; the cost of a match
+    is -ln(c + 1e-16). In logarithms, so no gamma underflows: the plan is exp(ln(c + 1e-16) / gamma + f_i + g_j), and f and g are solved
+    for one marginal at a time, until the other one is off by at most tol or rounds are over."""
     if not c.size:
         return 0.0
-    mass = np.power(c + 1e-16, 1.0 / gamma)
-    scale = [np.full(n, 1.0 / n) for n in c.shape]
+    n, m = c.shape
+    gain = np.log(c + 1e-16) / gamma
+    g = np.zeros(m)
     for _ in range(rounds):
-        left = np.reciprocal(len(scale[0]) * (mass @ scale[1]))
-        step = [left, np.reciprocal(len(scale[1]) * (left @ mass))]
-        moved = max(np.abs(a - b).max() for a, b in zip(step, scale, strict=True))
-        if moved < tol:
+        f = -np.log(n) - logsumexp(gain + g, 1)
+        g = -np.log(m) - logsumexp(gain + f[:, None], 0)
+        plan = np.exp(gain + f[:, None] + g)
+        if np.abs(plan.sum(1) - 1 / n).max() <= tol:
             break
-        scale = step
-    return float(scale[0] @ (mass * c) @ scale[1])
+    return float((plan * c).sum())
 
 
-def best_match(a: DataFrame, b: DataFrame, sigma: float, gamma: float = 1.0) -> DataFrame:
-    """(a_id, b_id, k): the best-match kernel of structures (structure_id, charges, atoms array of vectors) with a landmark set of structures,
-    which is broadcast; one row holds one pair."""
-    y = b.select(F.col("structure_id").alias("b_id"), F.col("charges").alias("zb"), F.col("atoms").alias("fb"))
+def best_match(a: DataFrame, b: DataFrame, sigma: float, gamma: float = 1.0, rounds: int = 100) -> DataFrame:
+    """(a_id, b_id, k): the best-match kernel of structures (structure_id, charges, atoms array of vectors) with landmark structures; one row holds one pair."""
     x = a.select(F.col("structure_id").alias("a_id"), F.col("charges").alias("za"), F.col("atoms").alias("fa"))
-    pairs = x.join(checked(y), F.lit(True))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = []
             for r in batch.select(["za", "fa", "zb", "fb"]).to_pylist():
                 c = np.exp(-l1_matrix(np.array(r["fa"]), np.array(r["fb"])) / sigma) * (np.array(r["za"])[:, None] == np.array(r["zb"]))
-                k.append(sinkhorn(c, gamma))
+                k.append(sinkhorn(c, gamma, rounds))
             yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array(k, pa.float64())], names=["a_id", "b_id", "k"])
 
-    return pairs.mapInArrow(each, "a_id long, b_id long, k double")
+    def one(block: DataFrame) -> DataFrame:
+        y = block.select(F.col("structure_id").alias("b_id"), F.col("charges").alias("zb"), F.col("atoms").alias("fb"))
+        return x.join(checked(y), F.lit(True)).mapInArrow(each, "a_id long, b_id long, k double")
+
+    return in_blocks(b, "structure_id", one)
+
+
+def best_match_gram(s: DataFrame, sigma: float, gamma: float = 1.0, rounds: int = 100) -> DataFrame:
+    """(a_id, b_id, k): the best-match kernel of a set of structures with itself, scaled so that every structure's kernel with itself is 1."""
+    k = best_match(s, s, sigma, gamma, rounds)
+    own = k.filter("a_id = b_id").select(F.col("a_id").alias("id"), "k")
+    return normalized(k, own, own)
 
 
 def normalized(k: DataFrame, own_a: DataFrame, own_b: DataFrame) -> DataFrame:

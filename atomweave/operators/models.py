@@ -1,8 +1,8 @@
 """Linear and kernel models fitted from sums.
 
-Rows never meet: each Arrow block adds to a p x p matrix of products (p: features, or landmarks of a kernel, both bounded),
-blocks are summed by Spark, and only the sum is solved on the driver. With all training rows as landmarks the kernel
-model is exact kernel ridge regression; beyond MAX_LANDMARKS it is its Nystroem form.
+Rows never meet: each Arrow block adds to a p x p matrix of products (p: features, or landmarks of a kernel, at most MAX_WIDTH),
+blocks are summed by Spark, and only the sum, a matrix a fold, is solved on the driver. With all training rows as landmarks the
+kernel model is exact kernel ridge regression; its Nystroem form, on fewer landmarks, has to be asked for.
 """
 
 from __future__ import annotations
@@ -38,8 +38,13 @@ class Moments:
         return Moments(self.xx[np.ix_(keep, keep)], self.xy[keep], self.yy)
 
 
+def ones_first(x: np.ndarray) -> np.ndarray:
+    """A basis with an intercept: 1 before the features."""
+    return np.hstack([np.ones((len(x), 1)), x])
+
+
 def moments(rows: DataFrame, basis=None, by: str | None = None) -> dict[int, Moments]:
-    """Sums of products of rows (features, target) by fold (0 without folds); basis maps a block of features first."""
+    """Sums of products of rows (features, target) by fold (0 without folds); basis maps a block of features first, to at most MAX_WIDTH columns."""
     rows = rows.select("features", F.col("target").cast("double"), (F.col(by).cast("int") if by else F.lit(0)).alias("fold"))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +56,8 @@ def moments(rows: DataFrame, basis=None, by: str | None = None) -> dict[int, Mom
             y = np.asarray(batch.column(1), float)
             folds = np.asarray(batch.column(2))
             z = np.hstack([basis(x) if basis else x, y[:, None]])
+            if z.shape[1] > MAX_WIDTH + 1:
+                raise ValueError(f"more than {MAX_WIDTH} columns")
             for f in np.unique(folds):
                 part = z[folds == f]
                 sums[int(f)] = sums.get(int(f), 0) + part.T @ part
@@ -75,9 +82,9 @@ def ridge(m: Moments, alpha: float) -> np.ndarray:
     return np.linalg.solve(m.xx + alpha * np.eye(len(m.xx)), m.xy)
 
 
-def lasso(m: Moments, n: float, alpha: float, rounds: int = 1000, tol: float = 1e-8) -> np.ndarray:
+def lasso(m: Moments, n: float, alpha: float, rounds: int = 1000, tol: float = 1e-8, start: np.ndarray | None = None) -> np.ndarray:
     """Coordinate descent on the products: least of |y - xw|^2 / 2n + alpha |w|_1."""
-    w = np.zeros(len(m.xy))
+    w = np.zeros(len(m.xy)) if start is None else start.copy()
     d = np.maximum(np.diag(m.xx), 1e-300)
     for _ in range(rounds):
         most = 0.0
@@ -90,6 +97,87 @@ def lasso(m: Moments, n: float, alpha: float, rounds: int = 1000, tol: float = 1
     return w
 
 
+@dataclass
+class Scaled:
+    """Sums of features and target less their means, features by their deviations (1 where it is 0); of moments whose basis is ones_first."""
+
+    m: Moments
+    n: float
+    mean: np.ndarray
+    sd: np.ndarray
+    y: float
+
+    @classmethod
+    def of(cls, m: Moments) -> Scaled:
+        n, sums = m.xx[0, 0], m.xx[0, 1:]
+        mean, y = sums / n, m.xy[0] / n
+        cov = m.xx[1:, 1:] - n * np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0) / n)
+        sd = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mean)), sd, 1.0)
+        return cls(Moments(cov / np.outer(sd, sd), (m.xy[1:] - n * mean * y) / sd, m.yy - n * y * y), n, mean, sd, y)
+
+    def plain(self, w: np.ndarray) -> np.ndarray:
+        """Weights of scaled features as those of ones_first."""
+        own = w / self.sd
+        return np.r_[self.y - own @ self.mean, own]
+
+
+def ridge_scaled(m: Moments, alpha: float) -> np.ndarray:
+    """Ridge with an intercept on scaled features, as weights of ones_first."""
+    s = Scaled.of(m)
+    return s.plain(ridge(s.m, alpha))
+
+
+def ridge_left_out(rows: DataFrame, alphas: list[float]) -> tuple[float, np.ndarray, dict[float, float]]:
+    """Ridge with an intercept on scaled features of rows (features, target): the alpha with the least squared error of rows that are left out one at a
+    time, its weights as those of ones_first, and the mean squared error of every alpha. Two passes: sums, then each row's error over 1 less its leverage."""
+    m = moments(rows, ones_first)[0]
+    s = Scaled.of(m)
+    fits = [(ridge(s.m, a), np.linalg.inv(s.m.xx + a * np.eye(len(s.m.xx)))) for a in alphas]
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(alphas))
+        for batch in batches:
+            if batch.num_rows:
+                x = (np.array(batch.column(0).to_pylist(), float) - s.mean) / s.sd
+                y = np.asarray(batch.column(1), float) - s.y
+                for k, (w, inverse) in enumerate(fits):
+                    leverage = 1 / s.n + np.einsum("ij,jk,ik->i", x, inverse, x)
+                    sums[k] += (((y - x @ w) / (1 - leverage)) ** 2).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(alphas)), pa.int32()), pa.array(sums)], names=["k", "e"])
+
+    got = rows.select("features", F.col("target").cast("double")).mapInArrow(block, "k int, e double").groupBy("k").agg(F.sum("e").alias("e")).collect()
+    errors = {alphas[r.k]: r.e / s.n for r in got}
+    best = min(errors, key=lambda a: (errors[a], a))
+    return best, s.plain(fits[alphas.index(best)][0]), errors
+
+
+def lasso_cv(folds: dict[int, Moments], n_alphas: int = 100, eps: float = 1e-3, rounds: int = 10_000) -> tuple[float, np.ndarray]:
+    """Lasso with an intercept on features scaled over all rows: of n_alphas from the least that makes all weights 0 down to eps of it, spaced evenly in logarithms,
+    the one with the least mean over folds of held-out mean squared error; its weights as those of ones_first. moments of basis ones_first."""
+    total = sum(list(folds.values())[1:], list(folds.values())[0])
+    s = Scaled.of(total)
+    turn = np.zeros((len(total.xy), len(total.xy)))  # ones_first -> 1 and the scaled features
+    turn[0, 0] = 1.0
+    turn[0, 1:] = -s.mean / s.sd
+    turn[1:, 1:] = np.diag(1 / s.sd)
+    own = {f: Moments(turn.T @ m.xx @ turn, turn.T @ m.xy, m.yy) for f, m in folds.items()}
+    everything = sum(list(own.values())[1:], list(own.values())[0])
+    top = np.abs(s.m.xy).max() / s.n
+    alphas = np.geomspace(top, top * eps, n_alphas)
+    errors = np.zeros(n_alphas)
+    for held in own.values():
+        rest = everything - held
+        n, mean, y = rest.xx[0, 0], rest.xx[0, 1:] / rest.xx[0, 0], rest.xy[0] / rest.xx[0, 0]
+        centred = Moments(rest.xx[1:, 1:] - n * np.outer(mean, mean), rest.xy[1:] - n * mean * y, rest.yy - n * y * y)
+        w = np.zeros(len(mean))
+        for k, a in enumerate(alphas):
+            w = lasso(centred, n, a, rounds, start=w)
+            errors[k] += squared_error(held, np.r_[y - w @ mean, w]) / held.xx[0, 0] / len(own)
+    best = float(alphas[int(errors.argmin())])
+    return best, s.plain(lasso(s.m, s.n, best, rounds))
+
+
 def squared_error(m: Moments, w: np.ndarray) -> float:
     """Sum of squared errors of w on the rows behind m."""
     return float(m.yy - 2 * w @ m.xy + w @ m.xx @ w)
@@ -108,7 +196,7 @@ def leave_one_out(folds: dict[int, Moments], alpha: float) -> list[tuple[int, fl
     total = sum(list(folds.values())[1:], list(folds.values())[0])
 
     def held_out(keep: list[int]) -> float:
-        return sum(squared_error(m.take(keep), ridge((total - m).take(keep), alpha)) for m in folds.values())
+        return sum(squared_error(m.take(keep), ridge((total - m).take(keep), alpha)) for m in folds.values())  # p solves of p x p a fold
 
     everything = list(range(len(total.xy)))
     base = held_out(everything)
@@ -122,9 +210,14 @@ def ablation(folds: dict[int, Moments], sets: dict[str, list[int]], alpha: float
 
 
 def linear_predict(rows: DataFrame, w: np.ndarray) -> DataFrame:
-    """rows (id, features) -> (id, p), as one column expression."""
-    coefficients = F.array(*[F.lit(float(x)) for x in w])
-    return rows.select("id", F.aggregate(F.zip_with("features", coefficients, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("p"))
+    """rows (id, features) -> (id, p), as one column expression; a weight more than features is an intercept, the first."""
+
+    def one(own: np.ndarray, base: float):
+        coefficients = F.array(*[F.lit(float(x)) for x in own])
+        return F.aggregate(F.zip_with("features", coefficients, lambda a, b: a * b), F.lit(float(base)), lambda s, v: s + v)
+
+    with_intercept = F.size("features") == len(w) - 1
+    return rows.select("id", F.when(with_intercept, one(w[1:], w[0])).otherwise(one(w, 0.0)).alias("p"))
 
 
 @dataclass
@@ -146,11 +239,37 @@ class KernelModel:
 
         return rows.select(F.col("id").cast("long"), "features").mapInArrow(each, "id long, p double")
 
+    def slope(self, rows: DataFrame) -> DataFrame:
+        """rows (id, features) -> (id, slope): the derivative of the prediction by each feature."""
 
-def kernel_ridge(train: DataFrame, gamma: float = 0.05, alpha: float = 1e-3, kind: str = "laplacian", degree: int = 2, most: int = K.MAX_LANDMARKS) -> KernelModel:
-    """Fit on train (id, features, target). Landmarks are all rows up to most, else most of them in hash order."""
-    marks = train.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(most)
-    _, x = K.landmarks(marks, most)
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    x = np.array(r["features"], float)
+                    k = K.matrix(x[None], self.marks, self.kind, self.gamma, self.degree)[0] * self.weights
+                    if self.kind == "laplacian":
+                        d = -self.gamma * k @ np.sign(x - self.marks)
+                    elif self.kind == "rbf":
+                        d = -2 * self.gamma * k @ (x - self.marks)
+                    else:
+                        power = self.degree if self.kind == "polynomial" else 1
+                        base = (self.gamma * self.marks @ x + 1) ** (power - 1) * self.gamma * power if self.kind == "polynomial" else 1.0
+                        d = (self.weights * base) @ self.marks
+                    yield pa.RecordBatch.from_arrays([pa.array([r["id"]], pa.int64()), pa.array([d.tolist()], pa.list_(pa.float64()))], names=["id", "slope"])
+
+        return rows.select(F.col("id").cast("long"), "features").mapInArrow(each, "id long, slope array<double>")
+
+
+def kernel_ridge(train: DataFrame, gamma: float = 0.05, alpha: float = 1e-3, kind: str = "laplacian", degree: int = 2, nystroem: int | None = None) -> KernelModel:
+    """Fit on train (id, features, target). Exact, on up to MAX_LANDMARKS rows (an error beyond); with nystroem, approximate on any number of
+    rows, from so many landmarks, the first in hash order."""
+    if nystroem is None:
+        ids, x = K.landmarks(train)
+        y = dict(train.select("id", F.col("target").cast("double")).collect())  # as many as landmarks
+        own = K.matrix(x, x, kind, gamma, degree)
+        weights = np.linalg.solve(own + alpha * np.eye(len(x)), np.array([y[i] for i in ids]))
+        return KernelModel(x, weights, kind, gamma, degree)
+    _, x = K.landmarks(train.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(nystroem), nystroem)
     m = moments(train, basis=lambda b: K.matrix(b, x, kind, gamma, degree))[0]
     own = K.matrix(x, x, kind, gamma, degree)
     weights = np.linalg.lstsq(m.xx + alpha * own, m.xy, rcond=None)[0]

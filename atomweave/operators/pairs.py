@@ -40,10 +40,22 @@ def cell_columns(cell: Column) -> list[S.Vec]:
     return [tuple(cell[k][x] for x in range(3)) for k in range(3)]
 
 
-def images(s: DataFrame, rcut: float, wrap: int = 1) -> DataFrame:
-    """(structure_id, nx, ny, nz, sx, sy, sz): the cells around a structure that can hold neighbours; wrap widens the range for atoms outside their cell."""
+def _along(across: S.Vec, volume: Column) -> Column:
+    """The fraction of the cell of each atom along the axis that across is normal to the others of."""
+    return F.transform("coords", lambda p: (p[0] * across[0] + p[1] * across[1] + p[2] * across[2]) / volume)
+
+
+def images(s: DataFrame, rcut: float) -> DataFrame:
+    """(structure_id, nx, ny, nz, sx, sy, sz): the cells around a structure that can hold neighbours. Along an axis of height h, two atoms whose fractions
+    of the cell differ by at most d meet only in images up to rcut / h + d, so the range is no wider than that, also for atoms outside their cell."""
     cell = cell_columns(F.col("cell"))
-    n = [F.when(F.col("pbc")[a], F.ceil(F.lit(rcut) / h).cast("int") + wrap).otherwise(F.lit(0)) for a, h in zip("abc", S.cell_heights(cell, rcut), strict=True)]
+    volume = S.dot(cell[0], S.cross(cell[1], cell[2]))
+    n = []
+    for k, (a, h) in enumerate(zip("abc", S.cell_heights(cell, rcut), strict=True)):
+        across = S.cross(cell[(k + 1) % 3], cell[(k + 2) % 3])
+        fractions = _along(across, volume)
+        spread = F.when((volume != 0) & (F.size("coords") > 0), F.array_max(fractions) - F.array_min(fractions)).otherwise(F.lit(0.0))
+        n.append(F.when(F.col("pbc")[a], F.floor(F.lit(rcut) / h + spread + 1e-9).cast("int")).otherwise(F.lit(0)))
     out = s.select("structure_id", "cell", *[c.alias(f"n_{a}") for c, a in zip(n, "abc", strict=True)])
     for a, name in zip("abc", ("nx", "ny", "nz"), strict=True):
         out = out.withColumn(name, F.explode(F.sequence(-F.col(f"n_{a}"), F.col(f"n_{a}"))))
@@ -51,19 +63,36 @@ def images(s: DataFrame, rcut: float, wrap: int = 1) -> DataFrame:
     return out.select("structure_id", "nx", "ny", "nz", *[c.alias(k) for c, k in zip(shift, ("sx", "sy", "sz"), strict=True)])
 
 
-def periodic_pairs(s: DataFrame, rcut: float, wrap: int = 1) -> DataFrame:
-    """As molecular_pairs over all periodic images, with the image (nx, ny, nz) of the neighbour; an atom is no neighbour of itself, but of its images."""
+def periodic_pairs(s: DataFrame, rcut: float, split: bool = False) -> DataFrame:
+    """As molecular_pairs over all periodic images, with the image (nx, ny, nz) of the neighbour; an atom is no neighbour of itself, but of its images.
+
+    Without split a structure's pairs are made in one task and the result stays dealt by structure, which suits many structures of up to some
+    hundred atoms. With split, atoms and images are binned by rcut and meet by bin, so that the work of a large structure grows with its
+    atoms and is shared by many tasks, at the cost of one more shuffle. Both give the same rows.
+    """
     atoms = explode_atoms(s)
-    p = _side(atoms, "i").join(_side(atoms, "j"), "structure_id").join(images(s, rcut, wrap), "structure_id")
+    right = _side(atoms, "j").join(images(s, rcut), "structure_id")
+    moved = right.select("structure_id", "atom_id_j", "z_j", "nx", "ny", "nz", *[(F.col(f"{c}_j") + F.col(k)).alias(f"{c}_j") for c, k in zip(("x", "y", "zc"), ("sx", "sy", "sz"), strict=True)])
+    left, on = _side(atoms, "i"), ["structure_id"]
+    if split:
+        bin_of = lambda side: [F.floor(F.col(f"{c}_{side}") / rcut) for c in ("x", "y", "zc")]
+        around = [F.array(*[b + d for d in (-1, 0, 1)]) for b in bin_of("i")]
+        bins = ["bx", "by", "bz"]
+        for name, options in zip(bins, around, strict=True):
+            left = left.withColumn(name, F.explode(options))
+        moved = moved.select("*", *[b.alias(n) for b, n in zip(bin_of("j"), bins, strict=True)])
+        on = [*on, *bins]
+    p = left.join(moved, on)
     d = gap("j", "i")
-    p = p.select("structure_id", F.col("atom_id_i").alias("i"), F.col("atom_id_j").alias("j"), "nx", "ny", "nz", "z_i", "z_j", *[(c + F.col(k)).alias(n) for c, k, n in zip(d, ("sx", "sy", "sz"), ("dx", "dy", "dz"), strict=True)])
+    p = p.select("structure_id", F.col("atom_id_i").alias("i"), F.col("atom_id_j").alias("j"), "nx", "ny", "nz", "z_i", "z_j", *[c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)])
     p = p.withColumn("r", S.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
     home = (F.col("i") == F.col("j")) & (F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)
     return p.filter((F.col("r") > 1e-10) & (F.col("r") < rcut) & ~home)
 
 
 def neighbor_ordinal(pairs: DataFrame) -> DataFrame:
-    """pairs with the place of each neighbour in its centre's list, from 1. The window is dealt by structure only, like the joins before and after."""
+    """pairs with the place of each neighbour in its centre's list, from 1. The window is dealt by structure and centre; pairs that
+    are dealt by structure already stay where they are."""
     image = [c for c in ("nx", "ny", "nz") if c in pairs.columns]
     return pairs.withColumn("ordinal", F.row_number().over(Window.partitionBy("structure_id", "i").orderBy("j", *image)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Energies of free atoms by atomic number in Hartree, and kcal/mol in a Hartree.
@@ -59,20 +59,31 @@ def bag_sizes(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("structure_id", "z").count().groupBy("z").agg(F.max("count").alias("size"))
 
 
+def _bags(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(structure_id, channel, bags): per structure and channel an array over elements of (z, values in descending order, zeros up to the element's bag size).
+    One shuffle; the sizes are one row."""
+    every = sizes.agg(F.array_sort(F.collect_list(F.struct("z", F.col("size").cast("int").alias("size")))).alias("__sizes"))  # an element each
+    own = rows.groupBy("structure_id", "channel").agg(F.collect_list(F.struct("z", "value")).alias("__v"))
+
+    def filled(s):
+        values = F.sort_array(F.transform(F.filter("__v", lambda v: v["z"] == s["z"]), lambda v: v["value"]), asc=False)
+        return F.struct(s["z"].alias("z"), F.concat(values, F.array_repeat(F.lit(0.0), F.greatest(s["size"] - F.size(values), F.lit(0)))).alias("values"))
+
+    return own.crossJoin(F.broadcast(every)).select("structure_id", "channel", F.transform("__sizes", filled).alias("bags"))
+
+
 def bag(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(structure_id, channel, z, slot, value): per structure, element and channel the values in descending order, zeros up to the element's bag size.
     rows: (structure_id, z, channel, value)."""
-    place = F.row_number().over(Window.partitionBy("structure_id", "z", "channel").orderBy(F.desc("value")))
-    ranked = rows.withColumn("slot", place).select("structure_id", "z", "channel", "slot", "value")
-    slots = sizes.select("z", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))).alias("slot"))
-    frame = rows.select("structure_id", "channel").distinct().join(F.broadcast(slots))
-    return frame.join(ranked, ["structure_id", "z", "channel", "slot"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    out = _bags(rows, sizes).select("structure_id", "channel", F.explode("bags").alias("b")).select("structure_id", "channel", "b.z", F.posexplode("b.values").alias("slot", "value"))
+    return out.withColumn("slot", F.col("slot") + 1)
 
 
-def bag_vectors(bags: DataFrame) -> DataFrame:
+def bag_vectors(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(structure_id, features): a structure's bags in the order of channel, element and slot."""
-    g = bags.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("channel", "z", "slot", "value"))).alias("v"))
-    return g.select("structure_id", F.transform("v", lambda x: x["value"]).alias("features"))
+    flat = _bags(rows, sizes).select("structure_id", "channel", F.flatten(F.transform("bags", lambda b: b["values"])).alias("v"))
+    g = flat.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("c"))
+    return g.select("structure_id", F.flatten(F.transform("c", lambda x: x["v"])).alias("features"))
 
 
 def distinct_elements(atoms: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from .operators.grids import VDW
+
 PI = repr(math.pi)
 
 
@@ -151,13 +153,13 @@ _idx = cell("r", 6.0, 120)
 _frac = f"greatest(0, least(1, r / {6.0 / 120!r}::DOUBLE - {_idx}))"
 SQL["two_body_linear"] = f"WITH {pairs(6)}, {GRIDS['radial']} " + summed(f"SELECT structure_id, i, {_idx} AS idx, {_w2} * (1 - {_frac}) AS w FROM pairs UNION ALL SELECT structure_id, i, least({_idx} + 1, 119) AS idx, {_w2} * {_frac} AS w FROM pairs", "radial")
 
-_widths = {1: 1.2, 6: 1.7, 7: 1.55, 8: 1.52, 9: 1.47, 10: 1.54, 14: 2.1, 15: 1.8, 16: 1.8, 17: 1.75, 29: 1.4}
-_classes = sorted({1.0, *_widths.values()})
-_elements = ", ".join(grid(f"e{k}", 6.0, 60, RADIAL_W[:2], a * a, a * a, 1) for k, a in enumerate(_classes))
-_all = " UNION ALL ".join(f"SELECT {k} AS class, channel, idx, value FROM e{k}" for k in range(len(_classes)))
-_class = "CASE z_j " + " ".join(f"WHEN {z} THEN {_classes.index(a)}" for z, a in _widths.items()) + f" ELSE {_classes.index(1.0)} END"
-SQL["two_body_element"] = f"""WITH {pairs(6)}, {_elements}, every AS ({_all}),
-s AS (SELECT structure_id, i, channel::INT AS channel, sum(w * value) AS v FROM (SELECT structure_id, i, {cell('r', 6.0, 60)} AS idx, {_class} AS class, {_w2} AS w FROM pairs) JOIN every USING (idx, class) GROUP BY ALL)
+_radii = sorted({1.0, *VDW.values()})
+_x = "((i.v - k.v - 1) * 0.1::DOUBLE)"
+_element_parts = [f"SELECT cls, {2 * m + w}::INT AS channel, i.v::INT AS idx, sum({weight(kind, e, '(k.v * 0.1::DOUBLE)')} * exp(-radius * radius * {_x} * {_x}) * {('1', f'(-2 * radius * radius * {_x})')[m]}) AS raw FROM classes, range(60) i(v), range(60) k(v) GROUP BY cls, i.v" for m in range(2) for w, (kind, e) in enumerate(RADIAL_W[:2])]
+_class = "CASE z_j " + " ".join(f"WHEN {z} THEN {_radii.index(r)}" for z, r in VDW.items()) + f" ELSE {_radii.index(1.0)} END"
+SQL["two_body_element"] = f"""WITH {pairs(6)}, classes AS (SELECT * FROM (VALUES {', '.join(f'({k}, {r!r}::DOUBLE)' for k, r in enumerate(_radii))}) c(cls, radius)), parts AS ({' UNION ALL '.join(_element_parts)}),
+every AS (SELECT cls, channel, idx, raw / max(abs(raw)) OVER (PARTITION BY cls, channel) AS value FROM parts),
+s AS (SELECT structure_id, i, channel::INT AS channel, sum(w * value) AS v FROM (SELECT structure_id, i, {cell('r', 6.0, 60)} AS idx, {_class} AS cls, {_w2} AS w FROM pairs) JOIN every USING (idx, cls) GROUP BY ALL)
 SELECT structure_id, i, channel, {squeezed('v')} AS value FROM s"""
 
 SQL["triple_join"] = f"WITH {pairs(6)}, {ORDERED}, {THREE} SELECT structure_id, i, p, q, {R('r_pq')} AS r, {R('cos1', 5)} AS cos1, {R('cos2', 5)} AS cos2, {R('cos3', 5)} AS cos3 FROM triples"
@@ -239,8 +241,8 @@ SQL["set_difference"] = f"""WITH {ATOMS} SELECT 'in' AS part, count(DISTINCT z)
 UNION ALL SELECT 'out', count(DISTINCT z), sum(DISTINCT z)::BIGINT FROM atoms WHERE structure_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)"""
 SQL["standardize"] = f"WITH {VEC}, f AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS s FROM long WHERE id % 5 > 0 GROUP BY channel) SELECT id, channel, {R('(value - m) / s', 5)} AS value FROM long JOIN f USING (channel) WHERE id % 5 = 0"
 _corr = lambda n: f"c AS (SELECT p.channel AS a, q.channel AS b, corr(p.value, q.value) AS r FROM long p JOIN long q ON p.id = q.id AND p.channel < q.channel AND q.channel < {n} GROUP BY ALL)"
-SQL["feature_corr"] = f"WITH {VEC}, {_corr(24)} SELECT a, b, {R('r')} AS r FROM c"
-SQL["feature_corr_counts"] = f"WITH {VEC}, {_corr(24)} SELECT level::DOUBLE AS level, count(*) FILTER (abs(r) > level) AS n FROM c, (VALUES (0.2::DOUBLE), (0.1::DOUBLE), (0.05::DOUBLE)) l(level) GROUP BY level"
+SQL["feature_corr"] = f"WITH {VEC}, {_corr(64)} SELECT a, b, {R('r')} AS r FROM c"
+SQL["feature_corr_counts"] = f"WITH {VEC}, {_corr(64)} SELECT level::DOUBLE AS level, count(*) FILTER (abs(r) > level) AS n FROM c, (VALUES (0.2::DOUBLE), (0.1::DOUBLE), (0.05::DOUBLE)) l(level) GROUP BY level"
 _var = "s AS (SELECT channel, var_pop(value) AS variance FROM long GROUP BY channel), k AS (SELECT *, row_number() OVER (ORDER BY abs(variance) DESC, channel)::INT AS rank FROM s)"
 SQL["feature_variance"] = f"WITH {VEC}, {_var} SELECT channel, {R('variance')} AS variance, variance < 1e-6 AS constant, rank FROM k"
 SQL["top_feature_sets"] = f"WITH {VEC}, {_var} SELECT size::INT AS size, channel FROM k, (VALUES (5), (10), (35)) n(size) WHERE rank <= size"
@@ -250,14 +252,23 @@ SQL["feature_labels"] = f"WITH {_lab} SELECT channel, block, m, weight, printf('
 _keep = [m * 4 + w for m in range(3) for w in range(4)] + [20 + m * 4 + w for m in range(5) for w in (0, 2, 3)]
 SQL["feature_subset"] = f"WITH {VEC}, k AS (SELECT * FROM (VALUES {', '.join(f'({c}, {i + 1})' for i, c in enumerate(_keep))}) t(channel, place)) SELECT id, count(*) AS n, {R('sum(value * place)', 5)} AS checksum FROM long JOIN k USING (channel) GROUP BY id"
 
-_ab = "p AS (SELECT a.id AS a_id, b.id AS b_id, sum(abs(a.value - b.value)) AS l1, sum((a.value - b.value) * (a.value - b.value)) AS l2, sum(a.value * b.value) AS d FROM long a JOIN long b ON a.channel = b.channel AND b.id < 40 AND a.channel < 16 GROUP BY a.id, b.id)"
-SQL["laplacian_kernel"] = f"WITH {VEC}, {_ab} SELECT a_id, b_id, {R('exp(-0.05::DOUBLE * l1)')} AS k FROM p"
-SQL["symmetric_kernel"] = f"WITH {VEC}, {_ab} SELECT a_id, b_id, {R('exp(-0.1::DOUBLE * l1)')} AS k FROM p WHERE a_id < 40"
-SQL["polynomial_rbf_kernels"] = f"WITH {VEC}, {_ab} SELECT a_id, b_id, {R('pow(d * 0.0625::DOUBLE + 1, 3)', 5)} AS poly, {R('exp(-0.1::DOUBLE * l2)')} AS rbf FROM p"
-_mols = "a AS (SELECT id // 8 AS s, (id % 8)::INT AS atom, z, channel, value FROM long WHERE channel < 16)"
-_atoms = lambda n, e: f"k AS (SELECT x.s AS a_id, y.s AS b_id, x.atom AS a_atom, y.atom AS b_atom, {e} AS c FROM a x JOIN a y ON x.z = y.z AND x.channel = y.channel AND y.s < {n} GROUP BY ALL)"
-SQL["delta_kernel"] = f"WITH {VEC}, {_mols}, {_atoms(20, 'exp(-sum(abs(x.value - y.value)) / 4)')} SELECT a_id, b_id, {R('sum(c)')} AS k FROM k GROUP BY a_id, b_id"
-SQL["local_kernel_l2"] = f"WITH {VEC}, {_mols}, {_atoms(4, 'exp(-sqrt(sum((x.value - y.value) * (x.value - y.value))) / 2)')} SELECT a_id, b_id, a_atom, b_atom, {R('c')} AS c FROM k"
+_each = lambda e: f"list_sum(list_transform(range(1, 65), lambda k: {e}))"
+_l1, _l2 = _each("abs(a.f[k] - b.f[k])"), _each("(a.f[k] - b.f[k]) * (a.f[k] - b.f[k])")
+SQL["laplacian_kernel"] = f"WITH {VEC}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_l1} AS l1 FROM v a JOIN v b ON b.id % 50 = 0) SELECT a_id, b_id, {R('exp(-0.05::DOUBLE * l1)')} AS k FROM p"
+SQL["symmetric_kernel"] = f"WITH {VEC}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_l1} AS l1 FROM v a CROSS JOIN v b) SELECT a_id, b_id, {R('exp(-0.02::DOUBLE * l1)')} AS k FROM p"
+SQL["polynomial_rbf_kernels"] = f"""WITH {VEC}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_each('a.f[k] * b.f[k]')} AS d, {_l2} AS l2 FROM v a JOIN v b ON b.id % 50 = 0)
+SELECT a_id, b_id, {R('pow(d / 64 + 1, 3)', 5)} AS poly, {R('exp(-0.1::DOUBLE * l2)')} AS rbf FROM p"""
+_near = lambda e: f"k AS (SELECT a.id // 8 AS a_id, b.id // 8 AS b_id, (a.id % 8)::INT AS a_atom, (b.id % 8)::INT AS b_atom, {e} AS c FROM v a JOIN v b ON a.z = b.z AND (b.id // 8) % 50 = 0)"
+SQL["delta_kernel"] = f"WITH {VEC}, {_near(f'exp(-{_l1} / 16)')} SELECT a_id, b_id, {R('sum(c)')} AS k FROM k GROUP BY a_id, b_id"
+SQL["local_kernel_l2"] = f"WITH {VEC}, {_near(f'exp(-sqrt({_l2}) / 4)')} SELECT a_id, b_id, a_atom, b_atom, {R('c')} AS c FROM k"
+_f = "list_transform(range(1, na + 1), lambda i: -ln(na) - ln(list_sum(list_transform(range(1, nb + 1), lambda j: exp(gain[i][j] + g[j])))))"
+_g = "list_transform(range(1, nb + 1), lambda j: -ln(nb) - ln(list_sum(list_transform(range(1, na + 1), lambda i: exp(gain[i][j] + f[i])))))"
+SQL["best_match_kernel"] = f"""WITH RECURSIVE {VEC}, m AS (SELECT id // 8 AS s, list(z ORDER BY id) AS z, list(f ORDER BY id) AS f FROM v GROUP BY 1),
+c AS (SELECT a.s AS a_id, b.s AS b_id, len(a.z) AS na, len(b.z) AS nb, list_transform(range(1, len(a.z) + 1), lambda i: list_transform(range(1, len(b.z) + 1), lambda j:
+  CASE WHEN a.z[i] = b.z[j] THEN exp(-list_sum(list_transform(range(1, 65), lambda k: abs(a.f[i][k] - b.f[j][k]))) / 16) ELSE 0.0::DOUBLE END)) AS c FROM m a JOIN m b ON b.s % 50 = 0),
+steps AS (SELECT a_id, b_id, na, nb, c, list_transform(c, lambda x: list_transform(x, lambda y: ln(y + 1e-16) / 0.5)) AS gain, 0 AS n, list_transform(range(0, na), lambda x: 0.0::DOUBLE) AS f, list_transform(range(0, nb), lambda x: 0.0::DOUBLE) AS g FROM c
+  UNION ALL SELECT a_id, b_id, na, nb, c, gain, n + 1, CASE WHEN n % 2 = 0 THEN {_f} ELSE f END, CASE WHEN n % 2 = 1 THEN {_g} ELSE g END FROM steps WHERE n < 120)
+SELECT a_id, b_id, {R('list_sum(list_transform(range(1, na + 1), lambda i: list_sum(list_transform(range(1, nb + 1), lambda j: exp(gain[i][j] + f[i] + g[j]) * c[i][j]))))', 5)} AS k FROM steps WHERE n = 120"""
 
 _err = "e AS (SELECT l_orderkey % 5 AS fold, gamma, alpha, avg(abs(l_extendedprice - (l_quantity * gamma + alpha))) AS mae FROM lineitem, (VALUES (800.0::DOUBLE), (1000.0::DOUBLE), (1200.0::DOUBLE)) g(gamma), (VALUES (0.0::DOUBLE), (5000.0::DOUBLE)) a(alpha) GROUP BY ALL)"
 SQL["fold_errors"] = f"WITH {_err} SELECT gamma, alpha, {R('avg(mae)', 3)} AS mean, {R('stddev_pop(mae)', 3)} AS sd FROM e GROUP BY gamma, alpha"
@@ -277,7 +288,7 @@ SQL["site_distance"] = f"WITH {ATOMS}, {_site} SELECT z, CASE WHEN r < 3 THEN 'n
 SQL["nearest_layer"] = f"WITH {ATOMS} SELECT structure_id, atom_id, k::INT AS layer_id, {R('abs(1 + 2.5::DOUBLE * k - zc)', 5)} AS gap FROM atoms, range(4) l(k) QUALIFY row_number() OVER (PARTITION BY structure_id, atom_id ORDER BY abs(1 + 2.5::DOUBLE * k - zc), k) = 1"
 SQL["layer_means"] = f"WITH {VEC}, m AS (SELECT z, id % 3 AS layer, channel, avg(value) AS v FROM long GROUP BY ALL) SELECT z, layer, {R('sqrt(sum(v * v))', 5)} AS norm FROM m GROUP BY z, layer"
 SQL["group_spread"] = f"WITH {VEC} SELECT z, channel, {R('max(value) - min(value)')} AS spread FROM long GROUP BY z, channel"
-SQL["cross_run_difference"] = "SELECT 15::BIGINT AS unmatched, 0.0::DOUBLE AS difference"
+SQL["cross_run_difference"] = "SELECT 0::BIGINT AS unmatched, 0.0::DOUBLE AS difference"
 SQL["message_step"] = f"""WITH {pairs(4)}, m AS (SELECT p.structure_id, p.j AS atom_id, sum(a.z * {cut('p.r', 4)}) AS m0, sum(a.x * {cut('p.r', 4)}) AS m1 FROM pairs p JOIN atoms a ON a.structure_id = p.structure_id AND a.atom_id = p.i GROUP BY ALL)
 SELECT a.structure_id, a.atom_id, {R('a.z + coalesce(m0, 0)', 4)} AS f0, {R('a.x + coalesce(m1, 0)', 4)} AS f1 FROM atoms a LEFT JOIN m USING (structure_id, atom_id)"""
 SQL["xyz_parse"] = f"""SELECT o_orderkey, {R('CASE WHEN o_orderkey % 5 = 0 THEN round(o_orderkey / 8, 3) / 10 ELSE (o_orderkey % 1000)::DOUBLE END', 4)} AS energy, 15.0::DOUBLE AS charge,
@@ -293,3 +304,147 @@ SQL["message_network"] = f"WITH {pairs(4)}, h0 AS (SELECT structure_id, atom_id,
 SQL["feature_blocks"] = f"""WITH {VEC}, k AS (SELECT id, channel, CASE WHEN value > 0.1::DOUBLE THEN value ELSE 0 END AS value FROM long WHERE channel < 4), keep AS (SELECT id FROM k GROUP BY id HAVING max(abs(value)) > 0),
 b AS (SELECT id, channel AS place, value FROM k UNION ALL SELECT id, channel - 6, value FROM long WHERE channel BETWEEN 10 AND 15) SELECT id, 40::BIGINT AS n, {R('sum(value * (place + 1))', 5)} AS checksum FROM b JOIN keep USING (id) GROUP BY id"""
 SQL["boxed_molecules"] = f"WITH {pairs(4)} SELECT structure_id, count(*) AS n, {R('sum(r)', 4)} AS sum_r FROM pairs WHERE r > 1e-10 GROUP BY structure_id"
+
+# forces of the pair energy, by its slope instead of by differences
+SQL["force_field"] = f"""WITH {pairs(6)}, f AS (SELECT structure_id, i, {', '.join(f"sum(-{PI} * sin({PI} * r / 6) / 6 * d{c} / r) AS f{c}" for c in 'xyz')} FROM pairs GROUP BY structure_id, i),
+a AS (SELECT atoms.structure_id, coalesce(fx, 0) AS fx, coalesce(fy, 0) AS fy, coalesce(fz, 0) AS fz FROM atoms LEFT JOIN f ON f.structure_id = atoms.structure_id AND f.i = atoms.atom_id),
+u AS (SELECT structure_id, 0 AS axis, fx AS f FROM a UNION ALL SELECT structure_id, 1, fy FROM a UNION ALL SELECT structure_id, 2, fz FROM a)
+SELECT structure_id, axis::INT AS axis, count(*) AS n, {R('sum(f)', 3)} AS total, {R('sum(abs(f))', 3)} AS size FROM u GROUP BY structure_id, axis"""
+
+# whole plans, on the grids of their own steps
+_minus = -math.sqrt(2.0)
+COS4, COS3 = [("cos", float(k)) for k in range(1, 5)], [("cos", float(k)) for k in range(1, 4)]
+
+
+def plan_grid(kind: str, rcut: float, n: int, orders: int) -> str:
+    return {
+        "radial": lambda: grid("radial", rcut, n, RADIAL_W, 2.0, math.sqrt(2.0), 1, orders, _minus**orders),
+        "angular": lambda: grid("angular", math.pi, n, COS4, 2.0, math.sqrt(2.0), 1, orders, _minus**orders),
+        "solid": lambda: grid("solid", 2 * math.pi, n, COS4, 1.0, 1.0, 0, orders, (-1.0) ** orders),
+        "plane": lambda: grid("plane", math.pi, n, COS3, 1.0, 1.0, 0, orders, (-1.0) ** orders),
+        "legacy": lambda: grid("legacy", rcut, n, [("exp", 1.5), ("exp", 3.0), ("exp", 4.5), ("power", 2.0), ("power", 3.0)], 6.0, 6.0, 1, orders),
+    }[kind]()
+
+
+def near_cell(v: str, domain: float, n: int) -> str:
+    return f"greatest(0, least(round_even({v} / {domain / n!r}::DOUBLE, 0), {n - 1}))::INT"
+
+
+def image_pairs(rcut: float, reach: int) -> str:
+    """pairs and ordered of sites and cells over periodic images."""
+    cells = f"range(-{reach}, {reach + 1})"
+    return f"""moved AS (SELECT a.structure_id, a.i, b.i AS j, a.z AS z_i, b.z AS z_j, na, nb, nc, b.x - a.x + (na * ax + nb * bx + nc * cx) AS dx, b.y - a.y + (na * ay + nb * b_y + nc * cy) AS dy, b.w - a.w + (na * az + nb * bz + nc * cz) AS dz
+  FROM sites a JOIN sites b USING (structure_id) JOIN cells USING (structure_id), {cells} s(na), {cells} t(nb), {cells} u(nc) WHERE periodic = 1 OR (na = 0 AND nb = 0 AND nc = 0)),
+pairs AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM moved WHERE sqrt(dx * dx + dy * dy + dz * dz) > 1e-10 AND sqrt(dx * dx + dy * dy + dz * dz) < {rcut} AND NOT (i = j AND na = 0 AND nb = 0 AND nc = 0)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY structure_id, i ORDER BY j, na, nb, nc) AS o FROM pairs)"""
+
+
+def block(tuples: str, name: str, offset: int, by: str = "w") -> str:
+    """(structure_id, i, channel, v) of a block of features."""
+    return f"SELECT structure_id, i, (channel + {offset})::INT AS channel, sum({by} * value) AS v FROM ({tuples}) JOIN {name} USING (idx) GROUP BY ALL"
+
+
+def three_block(idx: str, weight_: str, offset: int) -> str:
+    w = f"2 * pow(z_i::DOUBLE * z_p * z_q, {1 / 3!r}::DOUBLE) * {weight_}"
+    return block(f"SELECT structure_id, i, {idx} AS idx, {w} AS w, {w} * cos2 * cos3 AS wc FROM triples", "angular", offset, "(CASE WHEN channel % 4 = 0 THEN wc ELSE w END)")
+
+
+def closed(rcut: float) -> str:
+    return f"{cut('r_p', rcut)} * {cut('r_q', rcut)} * (CASE WHEN r_pq < {rcut} THEN {cut('r_pq', rcut)} ELSE 0 END) / pow(r_p * r_q * r_pq, 2)"
+
+
+def whole(rcut: float, n: int, angle: int) -> str:
+    """Two- and three-body blocks of five orders."""
+    two = block(f"SELECT structure_id, i, {cell('r', rcut, n)} AS idx, sqrt(z_i::DOUBLE * z_j) * {cut('r', rcut)} AS w FROM pairs", "radial", 0)
+    return f"{two} UNION ALL {three_block(cell('acos(cos1)', math.pi, angle), closed(rcut), 20)}"
+
+
+def framed(structures: str, channels: int, value: str) -> str:
+    return f"SELECT s.structure_id::BIGINT AS structure_id, c.v::INT AS channel, {value} AS value FROM {structures} s CROSS JOIN range({channels}) c(v) LEFT JOIN (SELECT structure_id, channel, sum(v) AS v FROM f GROUP BY ALL) g ON g.structure_id = s.structure_id AND g.channel = c.v"
+
+
+_w = lambda root, z, r, rcut: f"pow({' * '.join(f'{x}::DOUBLE' for x in z)}, {1 / root!r}::DOUBLE) * {' * '.join(cut(x, rcut) for x in r)} / ({' * '.join(r)})"
+_four = f"SELECT structure_id, i, {cell(_omega, 2 * math.pi, 1260)} AS idx, {_w(4, ['z_i', 'z_p', 'z_q', 'z_s'], ['r_p', 'r_q', 'r_s'], 3.2)} AS w FROM quads"
+_five = " UNION ALL ".join(f"SELECT structure_id, i, {cell(_psi(*[n for n in 'pqst' if n != m], m), math.pi, 630)} AS idx, {_w(5, ['z_i', 'z_p', 'z_q', 'z_s', 'z_t'], ['r_p', 'r_q', 'r_s', 'r_t'], 3.2)} AS w FROM quints" for m in "pqst")
+SQL["periodic_features"] = f"""WITH {_crystals()}, {image_pairs(3.2, 3)}, {THREE.replace('t AS (', 't3 AS (', 1).replace('FROM t WHERE', 'FROM t3 WHERE').replace('u AS (', 'u3 AS (', 1).replace('FROM u)', 'FROM u3)')},
+q0 AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqs')} FROM {_join('pqs')}), quads AS (SELECT *, {unit('p')}, {unit('q')}, {unit('s')} FROM q0), quints AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqst')} FROM {_join('pqst')}),
+{plan_grid('radial', 3.2, 320, 5)}, {plan_grid('angular', 0, 630, 5)}, {plan_grid('solid', 0, 1260, 5)}, {plan_grid('plane', 0, 630, 4)},
+f AS ({whole(3.2, 320, 630)} UNION ALL {block(_four, 'solid', 40)} UNION ALL {block(_five, 'plane', 60)})
+{framed('cells', 72, squeezed('coalesce(g.v, 0)'))}"""
+
+_face = [(0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)]
+_sites = [(x + i, y + j, z) for i in range(2) for j in range(2) for x, y, z in _face]
+_values = ", ".join(f"({s}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for s, (x, y, z) in enumerate(_sites))
+_move = lambda c, n, m: f"{c} * a + (k * ({n}) % {m}) / {10.0 * m}::DOUBLE"
+_generated = f"""keys AS (SELECT s_suppkey AS k, 3.8::DOUBLE + (s_suppkey % 11) / 10.0::DOUBLE AS a FROM supplier), places AS (SELECT * FROM (VALUES {_values}) p(s, px, py, pz)),
+sites AS (SELECT k AS structure_id, s::INT AS i, (1 + (k * (s % 4 + 1) + s % 3) % 83)::INT AS z, {_move('px', '3 * s + 7', 101)} AS x, {_move('py', '5 * s + 11', 103)} AS y, {_move('pz', '7 * s + 13', 107)} AS w FROM keys, places),
+cells AS (SELECT k AS structure_id, 2 * a AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS az, 0.0::DOUBLE AS bx, 2 * a AS b_y, 0.0::DOUBLE AS bz, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, a AS cz, 1 AS periodic FROM keys)"""
+SQL["generated_crystals"] = f"""WITH {_generated}, {image_pairs(5.0, 2)}, {THREE}, {plan_grid('radial', 5.0, 500, 5)}, {plan_grid('angular', 0, 630, 5)}, f AS ({whole(5.0, 500, 630)})
+{framed('cells', 40, squeezed('coalesce(g.v, 0)'))}"""
+
+_few = ATOMS.replace("(1 + l_partkey % 92)::INT AS z", "((1 + l_partkey % 92) % 5 + 1)::INT AS z")
+_two8 = block(f"SELECT structure_id, i, {cell('r', 5.0, 100)} AS idx, sqrt(z_i::DOUBLE * z_j) * {cut('r', 5)} AS w FROM pairs", "radial", 0)
+_three8 = three_block(cell("acos(cos1)", math.pi, 63), f"{cut('r_p', 5)} * {cut('r_q', 5)} * {cut('r_pq', 5)} / (r_p * r_q * r_pq)", 8)
+SQL["molecular_features"] = f"""WITH {pairs(5).replace(ATOMS, _few)}, {ORDERED}, {THREE}, {plan_grid('radial', 5.0, 100, 2)}, {plan_grid('angular', 0, 63, 2)}, f AS ({_two8} UNION ALL {_three8}),
+e AS (SELECT a.structure_id, a.z, c.v AS channel, coalesce(f.v, 0) AS v FROM atoms a CROSS JOIN range(16) c(v) LEFT JOIN f ON f.structure_id = a.structure_id AND f.i = a.atom_id AND f.channel = c.v),
+n AS (SELECT z, channel, CASE WHEN avg(abs(v)) = 0 THEN 1 ELSE avg(abs(v)) END AS factor FROM e GROUP BY z, channel),
+sizes AS (SELECT sum(size) AS size FROM (SELECT z, max(k) AS size FROM (SELECT z, count(*) AS k FROM atoms GROUP BY structure_id, z) GROUP BY z))
+SELECT structure_id, (16 * any_value(size))::INT AS n, {R('sum(abs(v / factor))', 3)} AS total FROM e JOIN n USING (z, channel), sizes GROUP BY structure_id"""
+
+_two20 = block(f"SELECT structure_id, i, {near_cell('r', 4.0, 80)} AS idx, sqrt(z_i::DOUBLE * z_j) AS w FROM pairs", "radial", 0)
+_three20 = three_block(near_cell("acos(cos1)", math.pi, 63), "1 / pow(r_p * r_q * r_pq, 2)", 20)
+_legacy25 = block(f"SELECT structure_id, i, {near_cell('mu5', 4.0, 80)} AS idx, sqrt(sqrt(z_i::DOUBLE * z_p * z_q * z_s)) * e5 / pow(r_p * r_q * r_s, 2) AS w FROM legacy5", "legacy", 40)
+_close = " JOIN ".join(f"(SELECT * FROM ordered WHERE r < 3) {n}" + (f" ON p.structure_id = {n}.structure_id AND p.i = {n}.i" if n != "p" else "") for n in "pqs")
+SQL["legacy_features"] = f"""WITH {pairs(4)}, {ORDERED}, {THREE}, l AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqs')}, {_gaps} FROM {_close}), {_fold},
+{plan_grid('radial', 4.0, 80, 5)}, {plan_grid('angular', 0, 63, 5)}, {plan_grid('legacy', 4.0, 80, 5)}, f AS ({_two20} UNION ALL {_three20} UNION ALL {_legacy25}),
+g AS (SELECT structure_id, channel, sum(v) AS v FROM f GROUP BY structure_id, channel), totals AS (SELECT structure_id, sum(abs(v)) AS v FROM g GROUP BY structure_id)
+SELECT s.structure_id, 65::INT AS n, {squeezed("coalesce(totals.v, 0)")} AS total FROM (SELECT DISTINCT structure_id FROM atoms) s LEFT JOIN totals USING (structure_id)"""
+
+# linear models by elimination
+_rows = f"{VEC}, r AS (SELECT id, f, 2 * f[1] - f[2] + f[3] * f[4] + sin(f[5]) AS y FROM v)"
+_idkey = "(((id % 2147483648 * 2654435761) % 4294967296 * 36024039 + 18012019) % 4294967296)"
+
+
+def products(rows: str, keys: str = "") -> str:
+    """xx (64 rows of 64), xy and yy of rows (keys, f, y), by keys."""
+    k = f"{keys}, " if keys else ""
+    g = f"GROUP BY {keys}" if keys else ""
+    return f"""cells2 AS (SELECT {k}a.v AS a, b.v AS b, sum(f[a.v] * f[b.v]) AS s FROM {rows}, range(1, 65) a(v), range(1, 65) b(v) GROUP BY {k}a.v, b.v),
+lines AS (SELECT {k}a, list(s ORDER BY b) AS s FROM cells2 GROUP BY {k}a), xx AS (SELECT {keys or '0 AS one'}, list(s ORDER BY a) AS xx FROM lines {g}),
+marks AS (SELECT {k}a.v AS a, sum(f[a.v] * y) AS s FROM {rows}, range(1, 65) a(v) GROUP BY {k}a.v), xy AS (SELECT {keys or '0 AS one'}, list(s ORDER BY a) AS xy FROM marks {g}),
+yy AS (SELECT {keys or '0 AS one'}, sum(y * y) AS yy, count(*) AS n FROM {rows} {g})"""
+
+
+def eliminated(start: str, keys: str, width: int) -> str:
+    """Gauss-Jordan steps on start(keys, m), m of 64 rows; the matrix is positive definite, so no row is exchanged."""
+    step = f"list_transform(range(1, 65), lambda i: CASE WHEN i = k + 1 THEN m[i] ELSE list_transform(range(1, {width + 1}), lambda j: m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)"
+    return f"steps AS (SELECT {keys}, 0 AS k, m FROM {start} UNION ALL SELECT {keys}, k + 1, {step} FROM steps WHERE k < 64), solved AS (SELECT {keys}, m FROM steps WHERE k = 64)"
+
+
+_unit = "list_transform(range(1, 65), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+_quad = lambda w, m: f"list_sum(list_transform(range(1, 65), lambda i: {w}[i] * list_sum(list_transform(range(1, 65), lambda j: {w}[j] * {m}[i][j]))))"
+_dot = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))"
+SQL["ridge_predict"] = f"""WITH RECURSIVE {_rows}, stats AS (SELECT list(m ORDER BY c) AS m, list(s ORDER BY c) AS s FROM (SELECT channel AS c, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS s FROM long GROUP BY channel)),
+mid AS (SELECT avg(y) AS y0 FROM r), scaled AS (SELECT id, list_transform(range(1, 65), lambda k: (r.f[k] - stats.m[k]) / stats.s[k]) AS f, r.y - mid.y0 AS y FROM r, stats, mid),
+{products('scaled')}, start AS (SELECT alpha, list_transform(range(1, 65), lambda i: list_concat(list_transform(range(1, 65), lambda j: xx[i][j] + CASE WHEN i = j THEN alpha ELSE 0.0::DOUBLE END), {_unit}, [xy[i]])) AS m FROM xx, xy, (VALUES (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE)) a(alpha)),
+{eliminated('start', 'alpha', 129)}, fits AS (SELECT alpha, list_transform(range(1, 65), lambda i: m[i][129] / m[i][i]) AS w, list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][64 + j] / m[i][i])) AS inv FROM solved),
+errors AS (SELECT alpha, avg(pow((y - {_dot('w', 'f')}) / (1 - 1.0::DOUBLE / n - {_quad('f', 'inv')}), 2)) AS e FROM scaled, fits, yy GROUP BY alpha),
+best AS (SELECT alpha, w FROM fits JOIN errors USING (alpha) ORDER BY e, alpha LIMIT 1)
+SELECT id, {R(f"y0 + {_dot('w', 'f')}", 5)} AS p, alpha FROM scaled, mid, best"""
+_folds = f"dealt AS (SELECT f, y, ntile(4) OVER (ORDER BY {_idkey}, id) AS fold FROM r), {products('dealt', 'fold')}"
+_rest = """plus AS (SELECT a.fold, list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: t.xx[i][j] - a.xx[i][j])) AS xx FROM xx a, total t),
+minus AS (SELECT a.fold, list_transform(range(1, 65), lambda i: t.xy[i] - a.xy[i]) AS xy FROM xy a, total_y t)"""
+_total = """total AS (SELECT list(s ORDER BY a) AS xx FROM (SELECT a, list(s ORDER BY b) AS s FROM (SELECT a, b, sum(s) AS s FROM cells2 GROUP BY a, b) GROUP BY a)), total_y AS (SELECT list(s ORDER BY a) AS xy FROM (SELECT a, sum(s) AS s FROM marks GROUP BY a))"""
+_lost = f"(yy - 2 * {_dot('w', 'h.xy')} + {_quad('w', 'g.xx')})"
+SQL["leave_one_feature_out"] = f"""WITH RECURSIVE {_rows}, {_folds}, {_total}, {_rest},
+start AS (SELECT fold, list_transform(range(1, 65), lambda i: list_concat(list_transform(range(1, 65), lambda j: xx[i][j] + CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), {_unit}, [xy[i]])) AS m FROM plus JOIN minus USING (fold)),
+{eliminated('start', 'fold', 129)}, fits AS (SELECT fold, list_transform(range(1, 65), lambda i: m[i][129] / m[i][i]) AS w, list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][64 + j] / m[i][i])) AS inv FROM solved),
+sets AS (SELECT fold, -1 AS channel, w FROM fits UNION ALL SELECT fold, c.v - 1, list_transform(range(1, 65), lambda i: CASE WHEN i = c.v THEN 0.0::DOUBLE ELSE w[i] - inv[i][c.v] * w[c.v] / inv[c.v][c.v] END) FROM fits, range(1, 65) c(v)),
+e AS (SELECT channel, sum({_lost}) AS e FROM sets JOIN xx g USING (fold) JOIN xy h USING (fold) JOIN yy USING (fold) GROUP BY channel)
+SELECT a.channel::INT AS channel, {R('a.e - b.e', 4)} AS rise FROM e a JOIN e b ON b.channel = -1 WHERE a.channel >= 0"""
+_sets = {"all": range(40), "radial": range(20), "angular": range(20, 40), "every": range(64), "rest": range(40, 64)} | {f"order<={m}": [*range(4 * m + 4), *range(20, 24 + 4 * m)] for m in range(5)}
+_in = "(CASE WHEN list_contains(keep, i) AND list_contains(keep, j) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+SQL["feature_ablation"] = f"""WITH RECURSIVE {_rows}, {_folds}, {_total}, {_rest}, sets AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {[k + 1 for k in keep]})" for n, keep in _sets.items())}) s(name, keep)),
+start AS (SELECT fold, name, list_transform(range(1, 65), lambda i: list_concat(list_transform(range(1, 65), lambda j: xx[i][j] * {_in} + CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), [CASE WHEN list_contains(keep, i) THEN xy[i] ELSE 0.0::DOUBLE END])) AS m FROM plus JOIN minus USING (fold), sets),
+{eliminated('start', 'fold, name', 65)}, fits AS (SELECT fold, name, list_transform(range(1, 65), lambda i: m[i][65] / m[i][i]) AS w FROM solved)
+SELECT name AS features, {R(f'sum({_lost})', 4)} AS error FROM fits JOIN xx g USING (fold) JOIN xy h USING (fold) JOIN yy USING (fold) GROUP BY name"""

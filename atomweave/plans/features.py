@@ -48,8 +48,8 @@ def _two_body(pairs: DataFrame, p: Parameters, rcut: float | None) -> tuple[Data
     spark, g = pairs.sparkSession, p.radial()
     if not p.by_element:
         return B.two_body(pairs, G.table(spark, g), g, rcut, p.lookup), g.channels
-    grids = {z: G.radial_of(z, p.rcut, p.step, p.alphas, p.powers, p.order) for z in range(1, 119)}
-    return B.two_body(pairs, G.element_table(spark, grids), g, rcut, "floor", True), g.channels
+    grid = G.element_table(spark, lambda radius: G.radial_of(radius, p.rcut, p.step, p.alphas, p.powers, p.order))
+    return B.two_body(pairs, grid, g, rcut, p.lookup, True), g.channels
 
 
 def periodic_features(s: DataFrame, p: Parameters = Parameters()) -> DataFrame:
@@ -92,15 +92,60 @@ def global_features(reps: DataFrame, width: int) -> DataFrame:
 def bagged_features(reps: DataFrame) -> DataFrame:
     """(structure_id, features): per channel and element the sorted values of a structure's atoms, zeros up to the largest number of that element."""
     rows = reps.select("structure_id", "z", F.posexplode("features").alias("channel", "value"))
-    return L.bag_vectors(L.bag(rows, L.bag_sizes(reps)))
+    return L.bag_vectors(rows, L.bag_sizes(reps))
+
+
+def legacy_features(atoms: DataFrame, p: Parameters = Parameters(rcut=10.0, smooth=False, lookup="round"), reach: float | None = None) -> DataFrame:
+    """atoms -> (structure_id, atom_id, z, features): molecular two- and three-body features with the Gaussian-product four-body ones beside them
+    (20 + 20 + 25 channels at order 4). reach: the cutoff of the four-body tuples, rcut if None."""
+    spark, rcut = atoms.sparkSession, p.rcut if p.smooth else None
+    pairs = P.molecular_pairs(atoms, p.rcut)
+    blocks = [_two_body(pairs, p, rcut)]
+    g = p.angular()
+    blocks.append((B.molecular_three_body(T.molecular_triples(atoms, p.rcut, p.anchor), G.table(spark, g), g, rcut, p.damping, p.lookup), g.channels))
+    g = G.legacy(p.rcut, p.step, p.order)
+    near = pairs if reach is None else pairs.filter(F.col("r") < reach)
+    blocks.append((B.legacy_four_body(T.ordered_quadruples(near), G.table(spark, g), g), g.channels))
+    return _normed(B.with_all_atoms(atoms, blocks), p, sum(n for _, n in blocks))
+
+
+def feature_gradients(atoms: DataFrame, p: Parameters) -> DataFrame:
+    """(structure_id, i, wrt, gx, gy, gz): slopes of molecular two- and three-body features (symmetric anchor, linear lookup) of atom i by the position of
+    atom wrt, an array over channels for each axis."""
+    spark, rcut = atoms.sparkSession, p.rcut if p.smooth else None
+    pairs = P.molecular_pairs(atoms, p.rcut)
+    two, three = p.radial(), p.angular()
+    keys, axes = ["structure_id", "i", "wrt"], ("gx", "gy", "gz")
+    near = two_body_slopes(pairs, spark, two, rcut)
+    far = B.three_body_gradient(T.periodic_triples(pairs), G.slope_table(spark, three), three, rcut, p.damping, closed=False)
+    both = near.join(far.select(*keys, *[F.col(x).alias(f"{x}3") for x in axes]), keys, "full")
+    zeros = lambda c, n: F.coalesce(c, F.array_repeat(F.lit(0.0), n))
+    return both.select(*keys, *[F.concat(zeros(F.col(x), two.channels), zeros(F.col(f"{x}3"), three.channels)).alias(x) for x in axes])
+
+
+def two_body_slopes(pairs: DataFrame, spark, g: G.Grid, rcut: float | None) -> DataFrame:
+    """Gradient rows of two-body features with linear lookup: the value within the cell and its slope."""
+    f = G.fraction_of(F.col("r"), g)
+    at = pairs.withColumn("idx", G.cell_of(F.col("r"), g)).withColumn("__f", f).join(F.broadcast(G.slope_table(spark, g)), "idx")
+    own = at.withColumn("g", F.zip_with("g", "slope", lambda v, s: v + s * F.col("__f") * g.step)).drop("idx", "__f")
+    return B.summed_gradient(B.pair_gradient(own, g, rcut), g.channels, ["structure_id", "i", "wrt"])
+
+
+def kernel_forces(gradients: DataFrame, slopes: DataFrame) -> DataFrame:
+    """(structure_id, atom_id, fx, fy, fz): minus the change of a model's energy with each position, by the chain rule from the features summed over a
+    structure's atoms. gradients: feature_gradients; slopes (id, slope) of the model by summed feature, as KernelModel.slope gives them."""
+    dot = lambda x: F.aggregate(F.zip_with(x, "slope", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    own = gradients.join(slopes.withColumnRenamed("id", "structure_id"), "structure_id")
+    return own.groupBy("structure_id", F.col("wrt").alias("atom_id")).agg(*[(-F.sum(dot(f"g{x}"))).alias(f"f{x}") for x in "xyz"])
 
 
 def finite_differences(atoms: DataFrame, energy, eps: float = 1e-5) -> DataFrame:
     """(structure_id, atom_id, axis, slope): central differences of energy(atoms) -> (structure_id, energy) by each coordinate.
-    All displaced copies go through one plan: a copy is a structure of its own."""
+    All displaced copies go through one plan: a copy is a structure of its own, whose structure_id is a struct. Costs 6 n copies of n atoms; feature_gradients
+    and kernel_forces are the way where a model is given by features."""
     axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("sign")) for a in range(3) for s in (1, -1)]))
     moves = atoms.select("structure_id", F.col("atom_id").alias("who"), axes.alias("m")).select("structure_id", "who", "m.*")
-    moves = moves.withColumn("copy", F.xxhash64("structure_id", "who", "axis", "sign"))
+    moves = moves.withColumn("copy", F.struct("structure_id", "who", "axis", "sign"))
     step = lambda axis: F.when((F.col("atom_id") == F.col("who")) & (F.col("axis") == axis), F.col("sign") * F.lit(eps)).otherwise(0.0)
     copies = moves.join(atoms, "structure_id").select(F.col("copy").alias("structure_id"), "atom_id", "z", *[(F.col(c) + step(k)).alias(c) for k, c in enumerate(("x", "y", "zc"))])
     e = energy(copies).select(F.col("structure_id").alias("copy"), "energy")

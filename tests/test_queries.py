@@ -5,15 +5,12 @@ from conftest import SF, same_rows
 
 from atomweave import entries
 
-SLOW = {"learning_curve", "kernel_ridge_cv", "molecular_features"}
-
-
 @pytest.mark.parametrize("name", [n for n in entries.QUERIES if n in entries.SQL])
 def test_query_matches_sql(spark, duck, name):
     same_rows(entries.QUERIES[name](spark, SF), duck.sql(entries.SQL[name]))
 
 
-@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in entries.SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in entries.SQL])
 def test_query_runs(spark, name):
     assert entries.QUERIES[name](spark, SF).limit(1).count() == 1
 
