@@ -95,22 +95,34 @@ def parts_of(text: Column, is_file: Column) -> Column:
 
 
 def part_licenses(parts: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """parts(__p, __part, __n) distinct, __p their digest -> (__p, license, score) of those that reach the least cosine. Terms go by digest, never by text."""
+    """parts(__p, __part, __n) distinct and checkpointed -> (__p, license, score) of those that reach the least cosine.
+
+    First only the templates' terms are counted, which are a fixed list. With them the product of a part and a template is known, and a floor of the
+    part's length: any other term weighs at least 1, as no document frequency exceeds the number of parts. Parts whose cosine can't reach
+    the least under that floor are done; only the others are counted in all their terms. No part that reaches it is lost.
+    """
     spark = parts.sparkSession
-    tf = parts.select("__p", "__n", F.explode(terms_of(F.col("__part"))).alias("term")).groupBy("__p", "__n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = parts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total"))
-    df = tf.groupBy("term").agg(F.sum("__n").alias("__df"))
+    numbered = parts.select(F.monotonically_increasing_id().alias("__i"), "__p", "__n", terms_of(F.col("__part")).alias("__terms"))
+    total = F.broadcast(parts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total")))  # one row
+    idf = F.log((F.col("__total") + 1) / (F.coalesce("__df", F.lit(0)) + 1)) + 1
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "t int, license string, text string")
     own = templates.select("t", "license", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("t", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = lambda d: F.log((F.col("__total") + 1) / (F.coalesce(d, F.lit(0)) + 1)) + 1
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * idf(F.col("__df")))  # total is one row
-    norms = weighed.groupBy("__p").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    known = own.join(df, "term", "left").crossJoin(F.broadcast(total)).withColumn("v", F.col("tf") * idf(F.col("__df")))
-    template_norms = known.groupBy("t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t_norm"))
-    known = known.join(template_norms, "t").select("t", "license", "term", "v", "t_norm")
-    dots = weighed.join(F.broadcast(known), "term").groupBy("__p", "t", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norms, "__p").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).filter(F.col("score") >= least)
-    return scored.groupBy("__p").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select("__p", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    held = numbered.select("__i", "__n", F.size("__terms").alias("__size"), F.explode("__terms").alias("term")).join(F.broadcast(own.select("term").distinct()), "term")
+    held = checkpointed(held.groupBy("__i", "__n", "__size", "term").agg(F.count(F.lit(1)).alias("tf")))
+    df = held.groupBy("term").agg(F.sum("__n").alias("__df"))  # as many rows as the templates have terms
+    known = own.join(df, "term", "left").crossJoin(total).select("t", "license", "term", (F.col("tf") * idf).alias("v"))
+    known = known.join(known.groupBy("t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t_norm")), "t")
+    weighed = held.join(F.broadcast(df), "term").crossJoin(total).withColumn("w", F.col("tf") * idf)
+    floors = weighed.groupBy("__i").agg((F.sum(F.col("w") * F.col("w")) + F.max("__size") - F.sum("tf")).alias("__floor"))
+    dots = weighed.join(F.broadcast(known), "term").groupBy("__i", "t", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    sure = checkpointed(dots.join(floors, "__i").filter(F.col("dot") >= (least - 1e-6) * F.sqrt("__floor") * F.col("t_norm")).drop("__floor"))
+    some = numbered.join(sure.select("__i").distinct(), "__i", "left_semi")
+    tf = some.select("__i", F.explode("__terms").alias("term")).groupBy("__i", "term").agg(F.count(F.lit(1)).alias("tf"))
+    every = numbered.select("__n", F.explode(F.array_distinct("__terms")).alias("term")).groupBy("term").agg(F.sum("__n").alias("__df"))
+    norms = tf.join(every, "term").crossJoin(total).groupBy("__i").agg(F.sqrt(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0)))).alias("norm"))
+    scored = sure.join(norms, "__i").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).filter(F.col("score") >= least)
+    best = scored.groupBy("__i").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
+    return best.join(numbered.select("__i", "__p"), "__i").select("__p", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def ancestors(directory: Column) -> Column:
