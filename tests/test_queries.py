@@ -5,12 +5,16 @@ from conftest import SF, same_rows
 
 from atomweave import entries
 
+#: Takes minutes for its many fits; test_models compares the same plan with numpy on a small table.
+ELSEWHERE = {"tuned_kernel_ridge_cv"}
+
+
 @pytest.mark.parametrize("name", [n for n in entries.QUERIES if n in entries.SQL])
 def test_query_matches_sql(spark, duck, name):
     same_rows(entries.QUERIES[name](spark, SF), duck.sql(entries.SQL[name]))
 
 
-@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in entries.SQL])
+@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in entries.SQL and n not in ELSEWHERE])
 def test_query_runs(spark, name):
     assert entries.QUERIES[name](spark, SF).limit(1).count() == 1
 
