@@ -23,7 +23,7 @@ KEY = ["structure_id", "i"]
 def from_cells(cells: DataFrame, grid: DataFrame, channels: list[tuple[int, str]], on: list[str], keys: list[str] = KEY) -> DataFrame:
     """cells(keys, on..., weights) -> (keys, features): feature n sums weight channels[n][1] times grid channel channels[n][0]."""
     joined = cells.join(F.broadcast(grid), on)
-    sums = [F.sum(F.col(w) * F.get("g", F.lit(c))).alias(f"f{k}") for k, (c, w) in enumerate(channels)]
+    sums = [F.expr(f"sum({w} * get(g, {c})) AS f{k}") for k, (c, w) in enumerate(channels)]
     return joined.groupBy(*keys).agg(*sums).select(*keys, F.array(*[f"f{k}" for k in range(len(channels))]).alias("features"))
 
 

@@ -10,9 +10,9 @@ REFERENCES = {1: -0.500273, 6: -37.846772, 7: -54.583861, 8: -75.064579, 9: -99.
 KCAL = 627.509
 
 
-def vector_sum(rows: DataFrame, keys: list[str], width: int, features: str = "features", agg=F.sum) -> DataFrame:
+def vector_sum(rows: DataFrame, keys: list[str], width: int, features: str = "features", agg: str = "sum") -> DataFrame:
     """(keys, features): element-wise aggregate of arrays of a known width, as columns of one partial aggregate."""
-    wide = rows.groupBy(*keys).agg(*[agg(F.get(F.col(features), F.lit(k))).alias(f"v{k}") for k in range(width)])
+    wide = rows.groupBy(*keys).agg(*[F.expr(f"{agg}(get(`{features}`, {k})) AS v{k}") for k in range(width)])
     return wide.select(*keys, F.array(*[f"v{k}" for k in range(width)]).alias("features"))
 
 
@@ -42,7 +42,7 @@ def element_norm(rows: DataFrame, mode: str = "mean") -> DataFrame:
 
 def element_norm_vectors(reps: DataFrame, width: int, mode: str = "mean") -> DataFrame:
     """(z, factors) of rows (z, features). One row an element, of which there are about a hundred, so it may be broadcast."""
-    f = {"mean": F.avg, "max": F.max}[mode]
+    f = {"mean": "avg", "max": "max"}[mode]
     absolute = reps.select("z", F.transform("features", F.abs).alias("features"))
     return vector_sum(absolute, ["z"], width, agg=f).select("z", F.transform("features", lambda x: F.when(x == 0, 1.0).otherwise(x)).alias("factors"))
 

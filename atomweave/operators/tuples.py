@@ -1,5 +1,5 @@
-"""Joins of pairs to triples, quadruples and quintuples of one centre. All are keyed by (structure, centre) and filtered by neighbour
-order, so a tuple appears once; centres with too few neighbours drop out of the join. Tuples grow with a power of a
+"""Pairs to triples, quadruples and quintuples of one centre. All are keyed by (structure, centre) and taken in neighbour
+order, so a tuple appears once; centres with too few neighbours drop out. Tuples grow with a power of a
 centre's neighbours, which the cutoff bounds, not with the table."""
 
 from __future__ import annotations
@@ -22,13 +22,22 @@ def _leg(pairs: DataFrame, name: str, *also: str) -> DataFrame:
 
 
 def neighbor_tuples(pairs: DataFrame, size: int) -> DataFrame:
-    """Tuples of size neighbours p < q < s < t of each centre, with their vectors, distances and charges, suffixed by the letter."""
-    ordered = neighbor_ordinal(pairs) if "ordinal" not in pairs.columns else pairs
-    names = "pqst"[:size]
-    out = _leg(ordered, "p", "z_i")
-    for before, name in zip(names, names[1:], strict=False):
-        out = out.join(_leg(ordered, name), KEY).filter(F.col(f"o_{before}") < F.col(f"o_{name}"))
-    return out
+    """Tuples of size neighbours p < q < s < t of each centre, with their vectors, distances and charges, suffixed by the letter.
+
+    A centre's neighbours, which the cutoff bounds, become one ordered array, and a tuple takes each next neighbour from the rest of it: pairs are made
+    once, and pairs that are dealt by structure already aren't shuffled, as a join by (structure, centre) would."""
+    order = ["ordinal"] if "ordinal" in pairs.columns else ["j", *[c for c in ("nx", "ny", "nz") if c in pairs.columns]]
+    fields = [*order, *[c for c in ("j", "z_j", "dx", "dy", "dz", "r") if c not in order]]
+    out = pairs.groupBy(*KEY, "z_i").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("near"))
+    done = [*KEY, "z_i"]
+    for k, name in enumerate("pqst"[:size]):
+        before = "0" if k == 0 else f"o_{'pqst'[k - 1]}"
+        rest = "near" if k == 0 else f"slice(near, {before} + 1, size(near))"
+        out = out.select(*done, "near", F.posexplode(F.expr(rest)).alias("at", "leg"))
+        own = [f"{before} + at + 1 AS o_{name}", f"leg.j AS j_{name}", f"leg.z_j AS z_{name}", *[f"leg.{c} AS {c}_{name}" for c in ("dx", "dy", "dz", "r")]]
+        out = out.selectExpr(*done, "near", *own)
+        done += [o.rsplit(" ", 1)[1] for o in own]
+    return out.drop("near")
 
 
 def periodic_triples(pairs: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def _two_body(pairs: DataFrame, p: Parameters, rcut: float | None) -> tuple[Data
 def periodic_features(s: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """STRUCTURES -> (structure_id, atom_id, z, features): two-body to max_body features over periodic images."""
     spark = s.sparkSession
-    pairs = P.neighbor_ordinal(P.periodic_pairs(s, p.rcut))
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "structure_id")  # structures are shuffled, not the pairs made of them
+    pairs = P.periodic_pairs(s, p.rcut)
     blocks = [_two_body(pairs, p, p.rcut)]
     if p.max_body >= 3:
         g = p.angular()

@@ -49,14 +49,12 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crystals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crystal for each supplier, as STRUCTURES: 16 sites on a face-centred lattice of two by two cells, moved and given elements by the supplier's key."""
-    k = F.col("s_suppkey")
-    a = 3.8 + (k % 11) / F.lit(10.0)
+    k, edge = F.col("s_suppkey"), "(3.8D + (s_suppkey % 11) / 10.0D)"
     face = [(0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)]
     sites = [(x + i, y + j, z) for i in range(2) for j in range(2) for x, y, z in face]
-    moved = lambda v, n, m: F.lit(v) * a + ((k * n) % m) / F.lit(10.0 * m)
-    coords = F.array(*[F.array(moved(x, 3 * s + 7, 101), moved(y, 5 * s + 11, 103), moved(z, 7 * s + 13, 107)) for s, (x, y, z) in enumerate(sites)])
-    charges = F.array(*[(F.lit(1) + (k * (s % 4 + 1) + s % 3) % 83).cast("double") for s in range(len(sites))])
-    zero = F.lit(0.0)
-    cell = F.array(F.array(2.0 * a, zero, zero), F.array(zero, 2.0 * a, zero), F.array(zero, zero, a))
+    moved = lambda v, n, m: f"{v}D * {edge} + ((s_suppkey * {n}) % {m}) / {10.0 * m}D"
+    coords = F.array(*[F.expr(f"array({moved(x, 3 * s + 7, 101)}, {moved(y, 5 * s + 11, 103)}, {moved(z, 7 * s + 13, 107)})") for s, (x, y, z) in enumerate(sites)])
+    charges = F.array(*[F.expr(f"double(1 + (s_suppkey * {s % 4 + 1} + {s % 3}) % 83)") for s in range(len(sites))])
+    cell = F.expr(f"array(array(2.0D * {edge}, 0.0D, 0.0D), array(0.0D, 2.0D * {edge}, 0.0D), array(0.0D, 0.0D, {edge}))")
     pbc = F.struct(*[F.lit(True).alias(n) for n in "abc"])
     return table(spark, sf_dir, "supplier").select(k.cast("long").alias("structure_id"), charges.alias("charges"), coords.alias("coords"), cell.alias("cell"), pbc.alias("pbc"), F.lit(None).cast("double").alias("target"))
