@@ -1,5 +1,6 @@
 """Symmetry, supercells, rigid motion, closed forms and batches."""
 
+import itertools
 import math
 
 import numpy as np
@@ -44,6 +45,20 @@ def test_tuple_counts(spark, size, count):
     assert {r["count"] for r in n} == {count}
 
 
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_tuples_are_the_ordered_combinations(spark, size):
+    """Neighbours come in any order and as several images of one atom; centres with too few neighbours have no tuple."""
+    near = {(0, 0): [(2, 0), (1, 1), (1, 0), (1, -1), (3, 0)], (0, 1): [(0, 0)], (7, 0): [(1, 0), (2, 0), (2, 1), (0, 1)]}
+    rows = [(s, i, j, nx, 0, 0, i + 1, j + 1, float(j), float(nx), 0.5, float(j + 10 * nx)) for (s, i), n in near.items() for j, nx in n]
+    p = spark.createDataFrame(rows, "structure_id long, i int, j int, nx int, ny int, nz int, z_i int, z_j int, dx double, dy double, dz double, r double").repartition(3)
+    names = "pqst"[:size]
+    found = sorted((r.structure_id, r.i, tuple((r[f"j_{n}"], r[f"z_{n}"], r[f"dy_{n}"], r[f"r_{n}"]) for n in names), tuple(r[f"o_{n}"] for n in names)) for r in T.neighbor_tuples(p, size).collect())
+    legs = lambda k: [(j, j + 1, float(nx), float(j + 10 * nx)) for j, nx in sorted(near[k])]
+    assert found == sorted((*k, c, o) for k in near for c, o in zip(itertools.combinations(legs(k), size), itertools.combinations(range(1, len(near[k]) + 1), size), strict=True))
+    assert T.neighbor_tuples(p.limit(0), size).count() == 0
+    assert T.neighbor_tuples(P.neighbor_ordinal(p), size).count() == len(found)
+
+
 def test_equivalent_atoms_and_different_ones(spark):
     f = by_atom(PF.periodic_features(FX.structures(spark, ["cu_fcc", "si_diamond", "nacl_rocksalt", "h2o_box", "ch4_box"]), SMALL))
     for s, atoms in ((0, range(4)), (2, range(8)), (3, range(4)), (3, range(4, 8)), (6, range(1, 5))):
