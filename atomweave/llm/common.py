@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,25 +45,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def steady(df: DataFrame, columns: list[Column] | None = None) -> DataFrame:
-    """df, or some columns of it, with rows in the same partitions and order in every action, so that numbers given to rows stay theirs.
+#: File names up to this many (about 10 MB) are broadcast to number rows; beyond it Spark chooses the join.
+MOST_FILES = 50_000
 
-    A plain read of files is cut alike each time once the least number of its partitions is fixed (by default it follows the cores
-    that are there at the moment); anything else is written to the shared folder first.
-    """
-    spark = df.sparkSession
-    plain = df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
-    if plain and not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    out = df if columns is None else df.select(*columns)
-    return out if plain else checkpointed(out)
+
+def by_file(df: DataFrame, *columns: Column) -> DataFrame | None:
+    """Columns of a plain read of Parquet files, with __at: the number of the file (in the order of names) times 2^33 plus the row's place in it.
+    It belongs to the row, so it doesn't follow how a read is split. None if df isn't such a read. Only file names reach the driver, as in Spark's own listing."""
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":  # a join or an explode can repeat the rows of a file
+        return None
+    try:
+        rows = df.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    except AnalysisException:  # another format
+        return None
+    names = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    files = df.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "__file string, __number long")
+    rows = rows.join(F.broadcast(files) if len(names) <= MOST_FILES else files, "__file")
+    return rows.withColumn("__at", F.shiftleft("__number", 33) + F.col("__index")).drop("__file", "__number", "__index")
 
 
 def located(df: DataFrame) -> DataFrame:
-    """(__at, __row): each row as one struct beside a number of its own, the same in every action. Inside the struct no column of the caller
-    clashes with a helper column."""
-    df = steady(df)
-    return df.select(F.monotonically_increasing_id().alias("__at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+    """(__row, __at): each row as one struct beside a number of its own, the same in every action, whatever settings plan it. A table that isn't
+    read straight from Parquet is written to the shared folder first. Inside the struct no column of the caller clashes with a helper column."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    found = by_file(df, row)
+    return by_file(written(df.select(row), "rows"), F.col("__row")) if found is None else found
 
 
 def only(rows: DataFrame, kept: DataFrame) -> DataFrame:

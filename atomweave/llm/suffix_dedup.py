@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fixed_partitions, steady
+from .common import HOT_ROWS, checkpointed, fixed_partitions, inner, located, told
 
 WIDTH = 100
 GRAM = 24
@@ -570,11 +570,13 @@ def digested(docs: pa.Table, table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], sha], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def whole_copies(rows: DataFrame) -> DataFrame:
-    """(row, end) of the rows (row, id, text) of at least WIDTH bytes whose text an earlier row has as well."""
+def whole_copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(row, end) of the rows (row, id, text) of at least WIDTH bytes whose text an earlier row has as well. Rows of a text that very many rows share stay
+    where they are (common.told)."""
     own = rows.select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), F.octet_length("text").alias("end"), F.sha2("text", 256).alias("sha")).filter(F.col("end") >= WIDTH)
-    first = checkpointed(own.groupBy("sha", "end").agg(F.min(F.struct("id", "row"))["row"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "end", "first"))
-    return checkpointed(own.join(first, ["sha", "end"]).filter("row <> first").select("row", "end"))
+    own = checkpointed(own)
+    first = checkpointed(own.groupBy("sha", "end").agg(F.min(F.struct("id", "row"))["row"].alias("first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
+    return checkpointed(told(own, first, ["sha", "end"], hot_rows).filter("row <> first").select("row", "end"))
 
 
 def pack_copies(t: pa.Table) -> pa.Table:
@@ -585,8 +587,7 @@ def pack_copies(t: pa.Table) -> pa.Table:
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of df: identifier, n_bytes, n_removed, n_spans and kept (the bytes left, as binary) or, with digest, kept_sha256."""
-    rows = steady(df, [F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")])
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = located(df).select(inner(id_col).cast("long").alias("id"), F.coalesce(inner(text_col), F.lit("")).cast("binary").alias("text"), F.col("__at").alias("row"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(fixed_partitions(df), -(-total // BUCKET_BYTES))
     texts = rows.select("row", "id", "text", bucket_of_row("row", n).alias("bucket")).groupBy("bucket")

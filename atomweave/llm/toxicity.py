@@ -10,8 +10,8 @@ the clean labelled rows use are exceptions.
 A hit counts by its window of WINDOW words on either side: less if it stands in quotation marks or next to a reporting word
 (a quotation), more next to a second-person pronoun (abuse). Sums by kind of hit go into a logistic score. Its weights are
 the posterior mode under a prior that already holds without any label, so few labels change little. Fitting uses at most
-MAX_LABELLED labelled rows (the first by hash); of these the driver gets MAX_TERMS terms, the exceptions and KINDS + 1
-numbers a row.
+MAX_LABELLED labelled rows (the first by hash); of these the driver gets the terms that pass LEAST_LLR and LEAST_PRECISION, the
+exceptions and KINDS + 1 numbers a row.
 
 Defined results: null or empty text has no hit and scores the base rate; a null identifier is never held out and never
 matches a label; repeated labels of a row count once, as toxic if any is; null labels are unlabelled; without labels the
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 MAX_LABELLED = 6000
-MAX_TERMS = 2000
 LEAST_LLR = 20.0
 LEAST_PRECISION = 0.8
 WINDOW = 6
@@ -252,7 +251,7 @@ def held_out(id_col: str):
 
 
 class Model:
-    """What scoring needs: terms (at most MAX_TERMS), misspelled forms that clean labelled rows use (words of at most MAX_LABELLED documents), and the weights."""
+    """What scoring needs: terms and misspelled forms that clean labelled rows use (both words of at most MAX_LABELLED documents), and the weights."""
 
     def __init__(self, terms: list[str], exceptions: set[str], weights: np.ndarray):
         self.terms, self.exceptions, self.weights = terms, exceptions, weights
@@ -261,7 +260,7 @@ class Model:
         return Scorer(self.terms, self.exceptions, self.weights)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on at most max_labelled labelled rows that are not held out."""
     own = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("__y"))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
@@ -287,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n = F.col("pos") + F.col("neg")
         p = F.col("pos") / n
         llr = 2 * (F.col("pos") * F.log(p / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - p) / (1 - base))).otherwise(0.0))
-        best = counts.filter((F.col("term") != "") & (F.col("pos") >= 4)).filter(p >= max(LEAST_PRECISION, base)).withColumn("llr", llr).filter(F.col("llr") >= LEAST_LLR).orderBy(F.desc("llr"), "term").limit(max_terms).collect()
+        best = counts.filter((F.col("term") != "") & (F.col("pos") >= 4)).filter(p >= max(LEAST_PRECISION, base)).withColumn("llr", llr).filter(F.col("llr") >= LEAST_LLR).select("term").collect()  # words of at most max_labelled documents
         begins: set[str] = set()
         for r in sorted(best, key=lambda r: (len(r.term.rstrip("*")), r.term)):
             stem = r.term.rstrip("*")
