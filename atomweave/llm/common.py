@@ -38,11 +38,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, read again, and the path of the files."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str | None) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    if path is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: File names up to this many (about 10 MB) are broadcast to number rows; beyond it Spark chooses the join.
@@ -69,7 +76,7 @@ def located(df: DataFrame) -> DataFrame:
     read straight from Parquet is written to the shared folder first. Inside the struct no column of the caller clashes with a helper column."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
     found = by_file(df, row)
-    return by_file(written(df.select(row), "rows"), F.col("__row")) if found is None else found
+    return by_file(written(df.select(row), "rows")[0], F.col("__row")) if found is None else found
 
 
 def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
