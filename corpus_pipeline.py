@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, exact and near duplicates, mixing, byte-level BPE.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet to the shared folder and read
-again as the docs of the next. All but the last return the columns of documents. A stage drops or repeats rows only by its own decision; with
+again as the docs of the next; run() deletes the files of a stage once the next one is written. All but the last return the columns of documents. A stage drops or repeats rows only by its own decision; with
 no rows left, the later stages return empty tables.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from atomweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from atomweave.llm.common import table, written
+from atomweave.llm.common import removed, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
