@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, license_scan, merkle, mixing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -116,5 +116,51 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_mixing": op10_mixing}
-SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+#: Level by level over all trees. CRC-32 is spelled out byte by byte; a node's path is followed by its place on each level.
+OP13_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
+  FROM documents),
+h AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS changed, crc FROM d),
+leaves AS MATERIALIZED (
+  SELECT *, CASE WHEN crc % 5 = 0 THEN changed ELSE leaf END AS start,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM h),
+lower_tree AS (
+  SELECT source, 0 AS level, pos, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM lower_tree WHERE n > 1 GROUP BY source, level, pos // 16, n),
+subroots AS MATERIALIZED (SELECT source, node AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, pos, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM upper_tree WHERE n > 1 GROUP BY level, pos // 16, n),
+nodes AS MATERIALIZED (
+  SELECT source, level, pos, node, n, false AS up FROM lower_tree UNION ALL SELECT NULL, level, pos, node, n, true FROM upper_tree),
+runs AS MATERIALIZED (
+  SELECT up, source, level, pos // 16 AS run, list(node ORDER BY pos) AS nodes, any_value(n) AS n FROM nodes GROUP BY up, source, level, pos // 16),
+walk AS (
+  SELECT doc_id, l.source, leaf, s.subroot, s.pos AS spos, s.n AS sn, l.pos AS at, l.n AS n, 0 AS level, false AS up, start AS node, '' AS proof
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT doc_id, w.source, leaf, subroot, spos, sn,
+         CASE WHEN w.n = 1 THEN spos ELSE at // 16 END, CASE WHEN w.n = 1 THEN sn ELSE (w.n + 15) // 16 END, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, w.up OR w.n = 1,
+         CASE WHEN w.n = 1 THEN node ELSE sha256(array_to_string(r.nodes[:(at % 16)], '') || node || array_to_string(r.nodes[(at % 16) + 2:], '')) END,
+         CASE WHEN w.n = 1 THEN proof ELSE proof || array_to_string(r.nodes[:(at % 16)], '') || array_to_string(r.nodes[(at % 16) + 2:], '') END
+  FROM walk w JOIN runs r ON r.up = w.up AND (w.up OR r.source IS NOT DISTINCT FROM w.source) AND r.level = w.level AND r.run = at // 16
+  WHERE NOT (w.up AND w.n = 1))
+SELECT doc_id, leaf, subroot, (SELECT node FROM upper_tree WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM walk w WHERE w.up AND w.n = 1
+"""
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_mixing": op10_mixing, "op13_merkle_manifest": op13_merkle_manifest}
+SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
