@@ -148,17 +148,17 @@ nodes AS MATERIALIZED (
 runs AS MATERIALIZED (
   SELECT up, source, level, pos // 16 AS run, list(node ORDER BY pos) AS nodes, any_value(n) AS n FROM nodes GROUP BY up, source, level, pos // 16),
 walk AS (
-  SELECT doc_id, l.source, leaf, s.subroot, s.pos AS spos, s.n AS sn, l.pos AS at, l.n AS n, 0 AS level, false AS up, start AS node, '' AS proof
+  SELECT doc_id, l.source, leaf, s.subroot, s.pos AS spos, s.n AS sn, l.pos AS place, l.n AS n, 0 AS level, false AS up, start AS node, '' AS proof
   FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
   UNION ALL
   SELECT doc_id, w.source, leaf, subroot, spos, sn,
-         CASE WHEN w.n = 1 THEN spos ELSE at // 16 END, CASE WHEN w.n = 1 THEN sn ELSE (w.n + 15) // 16 END, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, w.up OR w.n = 1,
-         CASE WHEN w.n = 1 THEN node ELSE sha256(array_to_string(r.nodes[:(at % 16)], '') || node || array_to_string(r.nodes[(at % 16) + 2:], '')) END,
-         CASE WHEN w.n = 1 THEN proof ELSE proof || array_to_string(r.nodes[:(at % 16)], '') || array_to_string(r.nodes[(at % 16) + 2:], '') END
-  FROM walk w JOIN runs r ON r.up = w.up AND (w.up OR r.source IS NOT DISTINCT FROM w.source) AND r.level = w.level AND r.run = at // 16
+         CASE WHEN w.n = 1 THEN spos ELSE place // 16 END, CASE WHEN w.n = 1 THEN sn ELSE (w.n + 15) // 16 END, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, w.up OR w.n = 1,
+         CASE WHEN w.n = 1 THEN node ELSE sha256(array_to_string(r.nodes[:(place % 16)], '') || node || array_to_string(r.nodes[(place % 16) + 2:], '')) END,
+         CASE WHEN w.n = 1 THEN proof ELSE proof || array_to_string(r.nodes[:(place % 16)], '') || array_to_string(r.nodes[(place % 16) + 2:], '') END
+  FROM walk w JOIN runs r ON r.up = w.up AND (w.up OR r.source IS NOT DISTINCT FROM w.source) AND r.level = w.level AND r.run = place // 16
   WHERE NOT (w.up AND w.n = 1))
-SELECT doc_id, leaf, subroot, (SELECT node FROM upper_tree WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
-FROM walk w WHERE w.up AND w.n = 1
+SELECT doc_id, leaf, subroot, t.node AS root, sha256(proof) AS proof_sha256, w.node AS folded_root, w.node = t.node AS verified
+FROM walk w CROSS JOIN (SELECT node FROM upper_tree WHERE n = 1) t WHERE w.up AND w.n = 1
 """
 
 
