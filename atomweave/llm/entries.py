@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, merkle, mixing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, license_scan, merkle, mixing, quality_rules, secret_scan, sentence_pieces, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -116,6 +116,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -162,5 +168,5 @@ FROM walk w CROSS JOIN (SELECT node FROM upper_tree WHERE n = 1) t WHERE w.up AN
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_mixing": op10_mixing, "op13_merkle_manifest": op13_merkle_manifest}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_mixing": op10_mixing, "op12_sentence_pieces": op12_sentence_pieces, "op13_merkle_manifest": op13_merkle_manifest}
 SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
