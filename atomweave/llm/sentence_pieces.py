@@ -4,7 +4,7 @@ A text gets a space mark before it, spaces become marks, and it is cut before ea
 the vocabulary has a mark behind another character (checked on reading the model), so no merge crosses a cut and each word
 has the tokens that it has in the whole text.
 
-All words of a batch that aren't known yet are encoded together. Their characters stand in one flat array of symbols, beside the rank of
+The distinct words of a batch are encoded together. Their characters stand in one flat array of symbols, beside the rank of
 the piece that each symbol makes with the next one (none at the end of a word). A round finds the least rank of each word by a
 segmented minimum, merges the places that have it, from the left and without overlaps, in all words at once, compacts
 the arrays and looks up only the pairs that changed. A word without a pair left is finished and leaves the arrays.
@@ -18,8 +18,7 @@ an ordered agenda of single merges, so a run of a million spaces takes a heap an
 Characters without a piece fall back to bytes. Decoding concatenates pieces, turns byte pieces to characters (a byte that is not part of
 a valid one to U+FFFD), marks to spaces, and drops the mark before the text.
 
-The vocabulary is read by the driver and broadcast: its size is fixed. Words of up to KEPT_CHARACTERS characters are remembered
-within a task, up to KEPT_WORDS of them.
+The vocabulary is read by the driver and broadcast: its size is fixed.
 
 Models that normalise texts, remove spaces, or have user-defined, unused or no byte pieces are refused by an error.
 
@@ -33,6 +32,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -43,12 +43,11 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LONG = 256
-KEPT_CHARACTERS = 64
-KEPT_WORDS = 100_000
-ROWS = 256
-#: Words are encoded together up to so many characters (one longer word is encoded by itself).
-TOGETHER = 1 << 20
+#: Texts are encoded together up to about so many characters; a longer one is cut between words, or is one word.
+TOGETHER = 1 << 21
+ROWS = 1024
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+CUT = re.compile(f"(?<=[^{MARK}]){MARK}")
 NONE = np.iinfo(np.int32).max
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -100,10 +99,10 @@ class Vocabulary:
                     if part is not None and self.rank[i] <= self.rank[part]:
                         self.hasty[part] = True
         self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.pair = pairs
         most = max((ord(p) for p in self.id if len(p) == 1), default=0)
-        self.character = np.full(most + 2, len(pieces), np.int64)
+        self.character = np.full(most + 2, len(pieces), np.int32)
         for p, i in self.id.items():
             if len(p) == 1:
                 self.character[ord(p)] = i
@@ -114,16 +113,19 @@ class Vocabulary:
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, len(pieces) for none."""
         none = len(self.pieces)
-        key = np.where((a == none) | (b == none), -1, a * none + b)
+        key = np.where((a == none) | (b == none), -1, a.astype(np.int64) * none + b)
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        return np.where(self.keys[at] == key, self.made[at], none) if len(self.keys) else np.full(len(a), none)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(none)) if len(self.keys) else np.full(len(a), none, np.int32)
 
 
 def leftmost(hit: np.ndarray) -> np.ndarray:
-    """Of places in ascending order that hit (a pair is a place and the next), those that merge: every other one of neighbouring places, from the left."""
-    new = np.r_[True, np.diff(hit) > 1]
+    """Which of the places, in ascending order, where a pair begins merge: every other one of neighbouring places, from the left."""
+    new = np.ones(len(hit), bool)
+    new[1:] = np.diff(hit) > 1
+    if new.all():
+        return new
     start = hit[np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))]
-    return hit[(hit - start) % 2 == 0]
+    return (hit - start) % 2 == 0
 
 
 def agenda(v: Vocabulary, symbols: list[int]) -> list[tuple[int, int]]:
@@ -151,17 +153,16 @@ def agenda(v: Vocabulary, symbols: list[int]) -> list[tuple[int, int]]:
     return [(i, symbols[i]) for i in range(n) if live[i]]
 
 
-def merge_rounds(v: Vocabulary, words: list[str], long: int = LONG) -> list[list[int]]:
-    """Identifiers of each word (each begins with a mark, or is a run of marks), all words at once."""
+def merge_rounds(v: Vocabulary, words: list[str], long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of words (each begins with a mark), one word after the other, and where each word's end; all words at once."""
     if not words:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     text = "".join(words)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    size = np.array([len(w) for w in words], np.int64)
-    sym, place = v.symbols(codes), np.arange(len(codes))
-    word = np.repeat(np.arange(len(words)), size)
+    sym = v.symbols(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    place = np.arange(len(sym), dtype=np.int32)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
     done_at, done_sym = [], []
-    made = np.full(len(sym), len(v.pieces))
+    made = np.full(len(sym), len(v.pieces), np.int32)
     inside = np.flatnonzero(word[1:] == word[:-1])
     made[inside] = v.merged(sym[inside], sym[inside + 1])
     while len(sym):
@@ -191,94 +192,112 @@ def merge_rounds(v: Vocabulary, words: list[str], long: int = LONG) -> list[list
             if tall.any():  # such a word goes to the agenda as a whole
                 for w in np.flatnonzero(tall).tolist():
                     left = agenda(v, sym[start[w] : start[w] + size[w]].tolist())
-                    done_at.append(place[start[w] + np.array([i for i, _ in left], np.int64)])
-                    done_sym.append(np.array([s for _, s in left], np.int64))
+                    done_at.append(place[start[w] + np.array([i for i, _ in left])])
+                    done_sym.append(np.array([s for _, s in left], np.int32))
                 stay = ~np.repeat(tall, size)
                 sym, place, word, made = sym[stay], place[stay], word[stay], made[stay]
                 continue
-            hit = np.union1d(leftmost(hit[~slow[which]]) if (~slow[which]).any() else hit[:0], hit[first & slow[which]])
+            keep = first & slow[which]
+            fast = np.flatnonzero(~slow[which])
+            keep[fast[leftmost(hit[fast])]] = True
+            hit = hit[keep]
         else:
-            hit = leftmost(hit)
+            hit = hit[leftmost(hit)]
         sym[hit] = made[hit]
         stay = np.ones(len(sym), bool)
         stay[hit + 1] = False
         moved = np.cumsum(stay) - 1
         sym, place, word, made = sym[stay], place[stay], word[stay], made[stay]
         hit = moved[hit]
-        changed = np.union1d(hit, hit[hit > 0] - 1)  # a merged symbol's pairs with its neighbours
-        made[changed] = len(v.pieces)
-        changed = changed[changed + 1 < len(sym)]
-        changed = changed[word[changed] == word[changed + 1]]
-        made[changed] = v.merged(sym[changed], sym[changed + 1])
-    at, symbols = np.concatenate([np.zeros(0, np.int64), *done_at]), np.concatenate([np.zeros(0, np.int64), *done_sym])
+        for changed in (hit, hit[hit > 0] - 1):  # a merged symbol's pairs with its neighbours
+            made[changed] = len(v.pieces)
+            changed = changed[changed + 1 < len(sym)]
+            changed = changed[word[changed] == word[changed + 1]]
+            made[changed] = v.merged(sym[changed], sym[changed + 1])
+    at, symbols = np.concatenate([np.zeros(0, np.int32), *done_at]), np.concatenate([np.zeros(0, np.int32), *done_sym])
     order = np.argsort(at, kind="stable")
     at, symbols = at[order], symbols[order]
-    unknown = symbols == len(v.pieces)
     ends = np.searchsorted(at, np.cumsum([len(w) for w in words]))
-    if not unknown.any():
-        ids = symbols.tolist()
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    out = []
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        if not unknown[a:b].any():
-            out.append(symbols[a:b].tolist())
-            continue
-        own: list[int] = []
-        for i, s in zip(at[a:b].tolist(), symbols[a:b].tolist(), strict=True):
-            own += [s] if s != len(v.pieces) else v.byte[list(text[i].encode("utf-8", "surrogatepass"))].tolist()
-        out.append(own)
-    return out
+    unknown = np.flatnonzero(symbols == len(v.pieces))
+    if not len(unknown):
+        return symbols, ends
+    raw = [v.byte[list(text[i].encode("utf-8"))] for i in at[unknown].tolist()]
+    times = np.ones(len(symbols), np.int64)
+    times[unknown] = [len(r) for r in raw]
+    begins = np.cumsum(times) - times
+    out = np.repeat(symbols, times)
+    for k, r in zip(begins[unknown].tolist(), raw, strict=True):
+        out[k : k + len(r)] = r
+    return out, (begins + times)[ends - 1]
 
 
 class Codec:
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], long: int = LONG):
         self.v, self.long = Vocabulary(pieces, scores, kinds), long
-        self.known: dict[str, list[int]] = {}
-        self.surface = [p.replace(MARK, " ") if k == NORMAL else "" if k == CONTROL else " ⁇ " for p, k in zip(pieces, kinds, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        found: dict[str, list[int]] = {}
-        some, n = [], 0
-        for w in new:
-            some.append(w)
-            n += len(w)
-            if n >= TOGETHER:
-                found.update(zip(some, merge_rounds(self.v, some, self.long), strict=True))
+        self.digits = list(map(str, range(len(pieces))))
+        #: None for bytes, so that joining fails where there are any.
+        self.surface = [None if k == BYTE else p.replace(MARK, " ") if k == NORMAL else "" if k == CONTROL else " ⁇ " for p, k in zip(pieces, kinds, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Identifiers of each text."""
+        out, some, n = [], [], 0
+        for t in texts:
+            if len(t) > TOGETHER:
+                out += self._together(some)
                 some, n = [], 0
-        found.update(zip(some, merge_rounds(self.v, some, self.long), strict=True))
-        self.known.update(found)
-        out = [[i for w in ws for i in self.known[w]] for ws in split]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        else:
-            for w in found:
-                if len(w) > KEPT_CHARACTERS:
-                    del self.known[w]
-        return out
+                out.append(np.concatenate([self._words([s])[0] for s in stretches(MARK + t.replace(" ", MARK))]))
+                continue
+            some.append(t)
+            n += len(t)
+            if n > TOGETHER:
+                out += self._together(some)
+                some, n = [], 0
+        return out + self._together(some)
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        return self._words([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+
+    def _words(self, marked: list[str]) -> list[np.ndarray]:
+        """Identifiers of texts with their marks: those of their distinct words, gathered."""
+        split = list(map(WORDS.findall, marked))
+        words = pa.array(list(itertools.chain.from_iterable(split)), pa.string()).dictionary_encode()
+        ids, ends = merge_rounds(self.v, words.dictionary.to_pylist(), self.long)
+        at = words.indices.to_numpy()
+        size = np.diff(ends, prepend=0)
+        begin, times = (ends - size)[at], size[at]
+        to = np.cumsum(times)
+        found = ids[np.repeat(begin - to + times, times) + np.arange(to[-1] if len(to) else 0)]
+        return np.split(found, np.r_[0, to][np.cumsum([len(ws) for ws in split])][:-1]) if split else []
 
     def decode(self, ids: list[int]) -> str:
         """Text of identifiers."""
-        byte_of, surface, parts = self.v.byte_of, self.surface, []
-        if byte_of.keys().isdisjoint(ids):
-            parts = list(map(surface.__getitem__, ids))
-        else:
-            run = bytearray()
+        surface = self.surface
+        try:
+            text = "".join(map(surface.__getitem__, ids))
+        except TypeError:  # there are bytes
+            parts, run = [], bytearray()
             for i in ids:
-                if (b := byte_of.get(i)) is not None:
-                    run.append(b)
+                if surface[i] is None:
+                    run.append(self.v.byte_of[i])
                     continue
-                if run:
-                    parts.append(characters(bytes(run)))
-                    run.clear()
+                parts.append(characters(bytes(run)))
+                run.clear()
                 parts.append(surface[i])
-            parts.append(characters(bytes(run)))
+            text = "".join([*parts, characters(bytes(run))])
         first = next((k for k, i in enumerate(ids) if self.v.kinds[i] != CONTROL), None)
-        text = "".join(parts)
         return text[1:] if first is not None and self.v.kinds[ids[first]] == NORMAL and text.startswith(" ") else text
 
 
+def stretches(marked: str) -> Iterator[str]:
+    """A text with its marks, cut between words once a stretch has TOGETHER characters."""
+    a = 0
+    while a < len(marked):
+        m = CUT.search(marked, a + TOGETHER)
+        b = m.start() if m else len(marked)
+        yield marked[a:b]
+        a = b
+
+
 def characters(raw: bytes) -> str:
     """UTF-8 with U+FFFD for each byte that isn't part of a valid character."""
     try:
@@ -341,9 +360,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def make(c: Codec, keys, texts):
         n, ids_sha, text_sha = [], [], []
-        for ids in c.encode([t or "" for t in texts]):
+        for found in c.encode([t or "" for t in texts]):
+            ids = found.tolist()
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            ids_sha.append(hashlib.sha256(",".join(map(c.digits.__getitem__, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
