@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, merkle, mixing, quality_rules, secret_scan, sentence_pieces, simhash, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, license_scan, merkle, mixing, quality_rules, ranked_search, secret_scan, sentence_pieces, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -116,6 +116,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_T = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_T}') AS terms FROM documents),
+size AS (SELECT doc_id, r, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM size),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term),
+m AS (SELECT doc_id, r, 100 - 25 + ((25 * n * n_docs) // total) AS m FROM size, whole),
+q AS (SELECT item_id, row_number() OVER () AS i, regexp_extract_all({_LOWER}, '{_T}') AS terms FROM benchmark),
+c AS (SELECT item_id, i, term, count(*)::BIGINT AS c FROM (SELECT item_id, i, unnest(terms) AS term FROM q) GROUP BY item_id, i, term),
+s AS (SELECT item_id, i, doc_id, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM c JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, i, doc_id, r),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -168,5 +190,5 @@ FROM walk w CROSS JOIN (SELECT node FROM upper_tree WHERE n = 1) t WHERE w.up AN
 """
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_mixing": op10_mixing, "op12_sentence_pieces": op12_sentence_pieces, "op13_merkle_manifest": op13_merkle_manifest}
-SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_byte_bpe": op2_byte_bpe, "op3_license_scan": op3_license_scan, "op4_toxicity": op4_toxicity, "op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup, "op7_simhash": op7_simhash, "op8_url_filter": op8_url_filter, "op9_suffix_dedup": op9_suffix_dedup, "op10_mixing": op10_mixing, "op11_ranked_search": op11_ranked_search, "op12_sentence_pieces": op12_sentence_pieces, "op13_merkle_manifest": op13_merkle_manifest}
+SQL = {"op1_quality_rules": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_ranked_search": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
