@@ -3,7 +3,7 @@ r"""Ranked lexical search over a forward index with block-max pruning.
 The index. Documents are read in segments of some hundred; within a segment they are ordered by length and cut into ranges
 of BLOCK documents. A segment is one row of the index: its distinct terms, how many of its documents hold each, for every block the
 greatest impact of each of its terms, and the postings of every document (term, impact). The impact of a term in a document is the part of
-its score that doesn't depend on the query, so it is final once N and L are known; a native pass counts these first. Building shuffles nothing.
+its score that doesn't depend on the query, so it is final once N and L are known; a first pass counts these. Building shuffles nothing.
 
 A search takes queries in chunks of bounded size, in four steps over the index:
 1. Document frequencies of the chunk's terms, summed in the tasks before they are shuffled.
@@ -112,9 +112,14 @@ class Index:
 
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, segment_docs: int = SEGMENT_DOCS) -> Index:
     """The forward index of all documents, over all their terms."""
-    n = F.regexp_count(text_of(text_col), F.lit(TERM))
-    whole = df.select(n.alias("n")).filter("n > 0").agg(F.count(F.lit(1)), F.sum(F.col("n").cast("long"))).first()
-    n_docs, total = whole[0], whole[1] or 0
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [len(terms_of(t.as_py() or "")) for batch in batches for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["n", "total"])
+
+    whole = texts.select("text").mapInArrow(count, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+    n_docs, total = whole[0] or 0, whole[1] or 0
     arrow = pa.schema([("segment", pa.int64()), ("terms", pa.list_(pa.string())), *((c, pa.binary()) for c in ("df", "block_terms", "block_maxima", "block_ends")), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("doc_terms", "doc_impacts", "doc_ends"))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +141,7 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
         if held:
             yield row()
 
-    segments = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, SEGMENT)
+    segments = texts.mapInArrow(each, SEGMENT)
     return Index(*written(segments, "forward-index", **{"parquet.block.size": ROW_GROUP}), n_docs, total, block)
 
 
