@@ -6,16 +6,20 @@ past each block, and no pair is shuffled; so a set of any size works, at the cos
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 MAX_LANDMARKS = 2000
+#: Structures, or rows, of a side of a tile.
+MATCH_GROUP, TILE_GROUP = 32, 2048
+TILES = "a int, b int, n_groups int, ids_a binary, ids_b binary, k binary"
 
 
 def l1_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,6 +69,18 @@ def in_blocks(marks: DataFrame, key: str, one: Callable[[DataFrame], DataFrame],
     return out
 
 
+def group_of(id_col: str, n_groups: int) -> Column:
+    """The group of an identifier among n_groups."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_groups)).cast("int")
+
+
+def tiles_of(groups: DataFrame, n_groups: int, columns: list[str]) -> DataFrame:
+    """(a, b, columns of a with suffix a, of b with suffix b) for a <= b: each group goes to the tiles that have it, and the two sides meet by equality."""
+    left = groups.select(F.col("grp").alias("a"), F.explode(F.sequence("grp", F.lit(n_groups - 1))).alias("b"), *[F.col(c).alias(f"{c}a") for c in columns])
+    right = groups.select(F.explode(F.sequence(F.lit(0), "grp")).alias("a"), F.col("grp").alias("b"), *[F.col(c).alias(f"{c}b") for c in columns])
+    return left.join(right, ["a", "b"])
+
+
 def rectangular(rows: DataFrame, marks: DataFrame, kind: str = "laplacian", gamma: float = 0.05, degree: int = 2) -> DataFrame:
     """(a_id, b_id, k) of every row (id, features) and every mark."""
     f = {"laplacian": lambda a, b: S.laplacian(a, b, gamma), "rbf": lambda a, b: S.rbf(a, b, gamma), "polynomial": lambda a, b: S.polynomial(a, b, degree, gamma), "linear": S.inner}[kind]
@@ -94,14 +110,23 @@ class Marks:
     """Landmark structures as flat arrays: their atoms one after another."""
 
     def __init__(self, rows: list):
-        rows = [r for r in rows if r.charges]
-        self.ids = np.array([r.structure_id for r in rows], np.int64)
-        sizes = np.array([len(r.charges) for r in rows], np.int64)
+        """rows: packed structures, as dictionaries."""
+        rows = [r for r in rows if r["charges"]]
+        self.ids = np.array([r["structure_id"] for r in rows], np.int64)
+        sizes = np.array([len(r["charges"]) for r in rows], np.int64)
         self.start = np.cumsum(sizes) - sizes
         self.which = np.repeat(np.arange(len(rows)), sizes)
-        self.z = np.array([z for r in rows for z in r.charges])
-        self.numbers = np.array([n for r in rows for n in r.numbers], np.int64)
-        self.x = np.array([v for r in rows for v in r.atoms], float)
+        self.z = np.array([z for r in rows for z in r["charges"]])
+        self.numbers = np.array([n for r in rows for n in r["numbers"]], np.int64)
+        self.x = np.array([v for r in rows for v in r["atoms"]], float)
+
+    def own(self, i: int) -> slice:
+        return slice(self.start[i], self.start[i + 1] if i + 1 < len(self.start) else len(self.z))
+
+    def between(self, i: int, other: Marks, j: int, sigma: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """(same, kernel of atoms, 0) of structure i with structure j of another set, as np.where takes them."""
+        a, b = self.own(i), other.own(j)
+        return self.z[a][:, None] == other.z[b], np.exp(-l1_matrix(self.x[a], other.x[b]) / sigma), 0.0
 
     def alike(self, charges, atoms, sigma: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
         """(same, c): whether an atom of a structure and one of a landmark are of one element, and their kernel."""
@@ -116,7 +141,7 @@ def _past_marks(a: DataFrame, b: DataFrame, make: Callable, schema: str) -> Data
     names = [c.split()[0] for c in schema.split(", ")]
 
     def one(block: DataFrame) -> DataFrame:
-        marks = Marks(block.limit(MAX_LANDMARKS + 1).collect())  # one block
+        marks = Marks([r.asDict() for r in block.limit(MAX_LANDMARKS + 1).collect()])  # one block
         shared = a.sparkSession.sparkContext.broadcast(marks)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,29 +203,86 @@ def sinkhorn(c: np.ndarray, gamma: float, rounds: int = 100, tol: float = 1e-9)
 
 
 def best_match(a: DataFrame, b: DataFrame, sigma: float, gamma: float = 1.0, rounds: int = 100) -> DataFrame:
-    """(a_id, b_id, k): the best-match kernel of structures (structure_id, charges, atoms array of vectors) with landmark structures; one row holds one pair."""
-    x = a.select(F.col("structure_id").alias("a_id"), F.col("charges").alias("za"), F.col("atoms").alias("fa"))
+    """(a_id, b_id, k): the best-match kernel of the structures of atoms a (structure_id, atom_id, z, features) with the landmark structures of b.
+    Structures stream past the landmarks, so a structure's atoms are sent once and not once a pair."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(marks: Marks, r: dict) -> list:
+        same, c = marks.alike(r["charges"], r["atoms"], sigma, "l1")
+        c, ends = np.where(same, c, 0.0), np.r_[marks.start[1:], len(marks.z)]
+        k = [sinkhorn(c[:, i:j], gamma, rounds) for i, j in zip(marks.start.tolist(), ends.tolist(), strict=True)]
+        return [np.full(len(k), r["structure_id"], np.int64), marks.ids, np.array(k)]
+
+    return _past_marks(a, b, make, "a_id long, b_id long, k double")
+
+
+def best_match_tiles(atoms: DataFrame, sigma: float, gamma: float = 1.0, rounds: int = 100, group: int = MATCH_GROUP) -> DataFrame:
+    """The best-match kernel of the structures of atoms (structure_id, atom_id, z, features) with themselves, scaled so that every structure's kernel with itself
+    is 1, as tiles (a, b, n_groups, ids_a, ids_b, k) between groups a <= b of about group structures; the other half is their mirror image. A task holds two
+    groups of structures and one tile; kernels of structures with themselves are computed once a group."""
+    rows = packed(atoms)
+    n_groups = max(1, -(-rows.count() // group))
+
+    def gather(t: pa.Table) -> pa.Table:
+        marks = Marks(t.sort_by("structure_id").to_pylist())
+        own = [sinkhorn(np.where(*marks.between(i, marks, i, sigma)), gamma, rounds) for i in range(len(marks.ids))]
+        return pa.table({"grp": t.column("grp").slice(0, 1), "ids": pa.array([marks.ids.tobytes()], pa.binary()), "held": pa.array([pickle.dumps((marks, np.array(own)))], pa.binary())})
+
+    groups = rows.withColumn("grp", group_of("structure_id", n_groups)).groupBy("grp").applyInArrow(gather, "grp int, ids binary, held binary")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = []
-            for r in batch.select(["za", "fa", "zb", "fb"]).to_pylist():
-                c = np.exp(-l1_matrix(np.array(r["fa"]), np.array(r["fb"])) / sigma) * (np.array(r["za"])[:, None] == np.array(r["zb"]))
-                k.append(sinkhorn(c, gamma, rounds))
-            yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array(k, pa.float64())], names=["a_id", "b_id", "k"])
+            for r in batch.to_pylist():
+                (x, kx), (y, ky) = pickle.loads(r["helda"]), pickle.loads(r["heldb"])
+                k = np.zeros((len(x.ids), len(y.ids)))
+                for i in range(len(x.ids)):
+                    for j in range(i if r["a"] == r["b"] else 0, len(y.ids)):
+                        c = np.where(*x.between(i, y, j, sigma))  # the lower identifier first: a match that rounds cut off isn't quite symmetric
+                        k[i, j] = sinkhorn(c if x.ids[i] <= y.ids[j] else c.T, gamma, rounds) / np.sqrt(kx[i] * ky[j])
+                if r["a"] == r["b"]:
+                    k = np.triu(k) + np.triu(k, 1).T
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((r["a"], pa.int32()), (r["b"], pa.int32()), (n_groups, pa.int32()), (r["idsa"], pa.binary()), (r["idsb"], pa.binary()), (k.tobytes(), pa.binary()))], names=["a", "b", "n_groups", "ids_a", "ids_b", "k"])
+
+    return tiles_of(groups, n_groups, ["ids", "held"]).mapInArrow(tile, TILES)
+
+
+def kernel_tiles(kernel: DataFrame, ids: DataFrame, group: int = TILE_GROUP) -> DataFrame:
+    """A kernel of a set with itself, rows (a_id, b_id, k) of all pairs, as tiles between groups of the identifiers of ids (id)."""
+    n_groups = max(1, -(-ids.count() // group))
+    own = ids.select(F.col("id").cast("long").alias("id")).groupBy(group_of("id", n_groups).alias("grp")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    cells = kernel.select(group_of("a_id", n_groups).alias("a"), group_of("b_id", n_groups).alias("b"), F.col("a_id").cast("long").alias("i"), F.col("b_id").cast("long").alias("j"), F.col("k").cast("double").alias("k")).filter("a <= b")
+
+    def one(t: pa.Table, u: pa.Table) -> pa.Table:
+        r, out = (u.to_pylist() or [None])[0], []
+        if r is not None:
+            x, y = np.array(r["idsa"], np.int64), np.array(r["idsb"], np.int64)
+            k = np.zeros((len(x), len(y)))
+            k[np.searchsorted(x, t.column("i").to_numpy()), np.searchsorted(y, t.column("j").to_numpy())] = t.column("k").to_numpy()
+            out = [(r["a"], r["b"], n_groups, x.tobytes(), y.tobytes(), k.tobytes())]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["a", "b", "n_groups", "ids_a", "ids_b", "k"])
+
+    return cells.groupBy("a", "b").cogroup(tiles_of(own, n_groups, ["ids"]).groupBy("a", "b")).applyInArrow(one, TILES)
+
+
+def from_tiles(tiles: DataFrame) -> DataFrame:
+    """(a_id, b_id, k) of all pairs of tiles and their mirror image."""
 
-    def one(block: DataFrame) -> DataFrame:
-        y = block.select(F.col("structure_id").alias("b_id"), F.col("charges").alias("zb"), F.col("atoms").alias("fb"))
-        return x.join(checked(y), F.lit(True)).mapInArrow(each, "a_id long, b_id long, k double")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = np.frombuffer(r["ids_a"], np.int64), np.frombuffer(r["ids_b"], np.int64)
+                k = np.frombuffer(r["k"], float)
+                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(k)], names=["a_id", "b_id", "k"])
+                if r["a"] != r["b"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(i), pa.array(k)], names=["a_id", "b_id", "k"])
 
-    return in_blocks(b, "structure_id", one)
+    return tiles.mapInArrow(each, "a_id long, b_id long, k double")
 
 
-def best_match_gram(s: DataFrame, sigma: float, gamma: float = 1.0, rounds: int = 100) -> DataFrame:
-    """(a_id, b_id, k): the best-match kernel of a set of structures with itself, scaled so that every structure's kernel with itself is 1."""
-    k = best_match(s, s, sigma, gamma, rounds)
-    own = k.filter("a_id = b_id").select(F.col("a_id").alias("id"), "k")
-    return normalized(k, own, own)
+def best_match_gram(atoms: DataFrame, sigma: float, gamma: float = 1.0, rounds: int = 100) -> DataFrame:
+    """(a_id, b_id, k): best_match_tiles as rows of all pairs."""
+    return from_tiles(best_match_tiles(atoms, sigma, gamma, rounds))
 
 
 def normalized(k: DataFrame, own_a: DataFrame, own_b: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Linear and kernel models fitted from sums.
 
 Rows never meet: each Arrow block adds to a p x p matrix of products (p: features, or landmarks of a kernel, at most MAX_WIDTH),
-blocks are summed by Spark, and only the sum, a matrix a fold, is solved on the driver. With all training rows as landmarks the
+blocks are summed by Spark in a tree, and only the sum, a matrix a fold, is solved on the driver. With all training rows as landmarks the
 kernel model is exact kernel ridge regression; its Nystroem form, on fewer landmarks, has to be asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .fits import SUMS, BlockModel, added, exact_model, sums_batch, vectors
 
 MAX_WIDTH = 4096
 
@@ -52,28 +54,18 @@ def moments(rows: DataFrame, basis=None, by: str | None = None) -> dict[int, Mom
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(0).to_pylist(), float)
-            y = np.asarray(batch.column(1), float)
-            folds = np.asarray(batch.column(2))
+            x, y, folds = vectors(batch.column(0), batch.num_rows), np.asarray(batch.column(1), float), np.asarray(batch.column(2))
             z = np.hstack([basis(x) if basis else x, y[:, None]])
             if z.shape[1] > MAX_WIDTH + 1:
                 raise ValueError(f"more than {MAX_WIDTH} columns")
             for f in np.unique(folds):
                 part = z[folds == f]
                 sums[int(f)] = sums.get(int(f), 0) + part.T @ part
-        for f, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([f] * len(s), pa.int32()), pa.array(range(len(s)), pa.int32()), pa.array(list(s), pa.list_(pa.float64()))], names=["fold", "at", "row"])
+        yield sums_batch(sums)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.array(t.column("row").to_pylist()).sum(0)
-        return pa.table({"fold": t.column("fold").slice(0, 1), "at": t.column("at").slice(0, 1), "row": pa.array([total.tolist()], pa.list_(pa.float64()))})
-
-    kind = "fold int, at int, row array<double>"
-    got = rows.mapInArrow(block, kind).groupBy("fold", "at").applyInArrow(add, kind).collect()
     out: dict[int, Moments] = {}
-    for f in {r.fold for r in got}:
-        own = sorted((r.at, r.row) for r in got if r.fold == f)
-        m = np.array([r for _, r in own])
+    for f, total in added(rows.mapInArrow(block, SUMS), 2).items():
+        m = total.reshape(math.isqrt(len(total)), -1)
         out[f] = Moments(m[:-1, :-1], m[:-1, -1], float(m[-1, -1]))
     return out
 
@@ -139,7 +131,7 @@ def ridge_left_out(rows: DataFrame, alphas: list[float]) -> tuple[float, np.ndar
         sums = np.zeros(len(alphas))
         for batch in batches:
             if batch.num_rows:
-                x = (np.array(batch.column(0).to_pylist(), float) - s.mean) / s.sd
+                x = (vectors(batch.column(0), batch.num_rows) - s.mean) / s.sd
                 y = np.asarray(batch.column(1), float) - s.y
                 for k, (w, inverse) in enumerate(fits):
                     leverage = 1 / s.n + np.einsum("ij,jk,ik->i", x, inverse, x)
@@ -233,7 +225,7 @@ class KernelModel:
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+                x = vectors(batch.column(1), batch.num_rows)
                 p = K.matrix(x, self.marks, self.kind, self.gamma, self.degree) @ self.weights if batch.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["id", "p"])
 
@@ -260,10 +252,12 @@ class KernelModel:
         return rows.select(F.col("id").cast("long"), "features").mapInArrow(each, "id long, slope array<double>")
 
 
-def kernel_ridge(train: DataFrame, gamma: float = 0.05, alpha: float = 1e-3, kind: str = "laplacian", degree: int = 2, nystroem: int | None = None) -> KernelModel:
-    """Fit on train (id, features, target). Exact, on up to MAX_LANDMARKS rows (an error beyond); with nystroem, approximate on any number of
-    rows, from so many landmarks, the first in hash order."""
+def kernel_ridge(train: DataFrame, gamma: float = 0.05, alpha: float = 1e-3, kind: str = "laplacian", degree: int = 2, nystroem: int | None = None) -> KernelModel | BlockModel:
+    """Fit on train (id, features, target). Exact: on up to MAX_LANDMARKS rows with their weights at hand, beyond that as a BlockModel, whose rows stay in
+    groups; with nystroem, approximate from so many landmarks, the first in hash order."""
     if nystroem is None:
+        if train.limit(K.MAX_LANDMARKS + 1).count() > K.MAX_LANDMARKS:
+            return exact_model(train, gamma, alpha, kind, degree)
         ids, x = K.landmarks(train)
         y = dict(train.select("id", F.col("target").cast("double")).collect())  # as many as landmarks
         own = K.matrix(x, x, kind, gamma, degree)

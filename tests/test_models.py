@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomweave.functions import scalars as S
+from atomweave.operators import fits as T
 from atomweave.operators import kernels as K
 from atomweave.operators import models as M
 from atomweave.operators import pairs as P
@@ -69,12 +70,16 @@ def test_lasso_with_folds_equals_descent_on_rows(spark):
     assert np.allclose(x @ w[1:] + w[0], z @ v + b, atol=1e-5)
 
 
-def test_a_model_beyond_its_bound_has_to_be_asked_for(spark, monkeypatch):
-    _, y, rows = regression(spark)
-    monkeypatch.setattr(K.landmarks, "__defaults__", (20,))
-    with pytest.raises(ValueError, match="landmarks"):
-        M.kernel_ridge(rows)
+def test_models_beyond_the_landmarks_stay_in_groups(spark, monkeypatch):
+    x, y, rows = regression(spark)
     assert len(M.kernel_ridge(rows, nystroem=10).marks) == 10
+    want = {r.id: r.p for r in M.kernel_ridge(rows, 0.05, 0.1).predict(rows).collect()}
+    monkeypatch.setattr(K, "MAX_LANDMARKS", 20)
+    monkeypatch.setattr(T.exact_model, "__defaults__", ("laplacian", 2, 25, 20, 1e-10, 200))
+    model = M.kernel_ridge(rows, 0.05, 0.1)
+    assert isinstance(model, T.BlockModel) and model.n_groups == 3
+    got = model.predict(rows.union(rows.limit(5))).collect()
+    assert len(got) == 65 and all(r.p == pytest.approx(want[r.id], rel=1e-6) for r in got)
     monkeypatch.setattr(M, "MAX_WIDTH", 3)
     with pytest.raises(Exception, match="columns"):
         M.moments(rows)
@@ -129,21 +134,113 @@ def test_kernels_of_atoms_by_plain_loops(spark):
     assert K.delta_kernel(d.limit(0), marks, 2.0).count() == 0 and K.delta_kernel(d, marks.limit(0), 2.0).count() == 0
 
 
-def test_folds_on_a_given_kernel_and_tuning(spark):
+@pytest.mark.parametrize("group,direct", [(100, 100), (9, 100), (9, 10)])
+def test_folds_on_a_given_kernel(spark, group, direct):
+    """In one tile or several, solved by one task, and by conjugate gradients."""
     x, y, rows = regression(spark, 40, 3)
-    gram = K.rectangular(rows, rows, "rbf", 0.05)
+    tiles = K.kernel_tiles(K.rectangular(rows, rows, "rbf", 0.05), rows, group)
     fold = {r.id: r.fold for r in X.folds(rows, "id", 4).collect()}
     f = np.array([fold[i] for i in range(40)])
     k = K.matrix(x, x, "rbf", 0.05)
-    for r in E.kernel_cv(gram, rows.select("id", "target"), [0.1, 1.0], 4).collect():
+    got = E.kernel_cv(tiles, rows.select("id", "target"), [0.1, 1.0], 4, direct=direct).collect()
+    assert len(got) == 8
+    for r in got:
         a, b = f != r.fold, f == r.fold
         w = np.linalg.solve(k[np.ix_(a, a)] + r.alpha * np.eye(a.sum()), y[a] - y[a].mean())
-        assert r.mae == pytest.approx(np.abs(y[b] - y[a].mean() - k[np.ix_(b, a)] @ w).mean()) and r.n_test == b.sum()
-    tuned = E.tuned_cross_validate(rows, 3, [0.05], [0.1, 1e6], 2, 15).collect()
-    plain = {r.fold: r.mae for r in E.cross_validate(rows, 3, 2, 0.05, 0.1).collect()}
+        assert r.mae == pytest.approx(np.abs(y[b] - y[a].mean() - k[np.ix_(b, a)] @ w).mean()) and r.n_test == b.sum() and r.residual < 1e-8
+    with pytest.raises(Exception, match="identifiers"):
+        E.kernel_cv(tiles, rows.filter("id > 0").select("id", "target"), [0.1], 4, direct=direct)
+
+
+def test_tuning_by_fold(spark):
+    _, _, rows = regression(spark, 40, 3)
+    tuned = E.tuned_cross_validate(rows, [0.05], [0.1, 1e6], 2, 15).collect()
+    plain = {r.fold: r.mae for r in E.cross_validate(rows, 2, 0.05, (0.1,)).collect()}
     assert all(r.alpha == 0.1 and r.mae == pytest.approx(plain[r.fold]) for r in tuned) and len(tuned) == 2
 
 
+def plain_errors(x, y, train, test, fit, nystroem=None, order=None):
+    """Errors of a fit's alphas, by numpy."""
+    own = x if fit.keep is None else x[:, fit.keep]
+    sd = own[train].std(0)
+    z, m, out = (own - own[train].mean(0)) / np.where(sd > 0, sd, 1), y[train].mean(), []
+    k = K.matrix(z[train], z[train], fit.kind, fit.gamma, fit.degree)
+    for a in fit.alphas:
+        w = np.linalg.solve(k + a * np.eye(train.sum()), y[train] - m)
+        out.append(np.abs(y[test] - m - K.matrix(z[test], z[train], fit.kind, fit.gamma, fit.degree) @ w).mean())
+    return out
+
+
+FITS = [T.Fit(0.05, [1e-2, 1.0]), T.Fit(0.02, [0.1], "rbf", keep=[0, 2, 3]), T.Fit(0.1, [0.5], "polynomial")]
+
+
+@pytest.mark.parametrize("direct", [1000, 10])
+def test_many_exact_fits_at_once(spark, direct):
+    """Kernels, channels and alphas together; by one task, and by conjugate gradients on tiles of some 60 rows. A constant channel, and rows that take no part."""
+    x, y, rows = regression(spark, 180, 5)
+    rows = rows.withColumn("features", F.transform("features", lambda v, i: F.when(i == 4, F.lit(2.0)).otherwise(v)))
+    x = x.copy()
+    x[:, 4] = 2.0
+    i = F.col("id")
+    dealt = rows.withColumn("train", F.array(i % 3 != 0, i % 4 != 1, i < 90)).withColumn("test", F.array(i % 3 == 0, i % 4 == 1, i >= 100))
+    fits = [T.Fit(f.gamma, f.alphas, f.kind, f.degree, f.keep) for f in FITS]
+    n = T.measure(dealt, fits)
+    got = T.exact(dealt, fits, n, 60, direct, 50)
+    ids = np.arange(180)
+    sides = [(ids % 3 != 0, ids % 3 == 0), (ids % 4 != 1, ids % 4 == 1), (ids < 90, ids >= 100)]
+    want = [(f, a, e, int(sides[f][1].sum())) for f, fit in enumerate(fits) for a, e in zip(fit.alphas, plain_errors(x, y, *sides[f], fit), strict=True)]
+    assert n == 180 and [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[2] == pytest.approx(w[2], rel=1e-6) and g[4] < 1e-6
+
+
+def test_landmarks_of_all_rows_are_exact(spark):
+    _, _, rows = regression(spark, 60, 4)
+    a = {r.fold: r.mae for r in E.cross_validate(rows, 3, 0.05, (0.1,)).collect()}
+    b = {r.fold: r.mae for r in E.cross_validate(rows, 3, 0.05, (0.1,), nystroem=100).collect()}
+    assert a.keys() == b.keys() == {1, 2, 3} and all(a[f] == pytest.approx(b[f], rel=1e-5) for f in a)
+
+
+def test_learning_curves_take_nested_prefixes(spark):
+    x, y, rows = regression(spark, 60, 3)
+    got = {r["size"]: (r["mean"], r["sd"]) for r in E.learning_curve(rows, [10, 30, 1000], (1, 2), 0.05, 0.1).collect()}
+    want = {}
+    for seed in (1, 2):
+        rank = {r.id: r["rank"] for r in X.shuffled_rank(rows, "id", seed).collect()}
+        r = np.array([rank[i] for i in range(60)])
+        for size in (10, 30):
+            want.setdefault(size, []).append(plain_errors(x, y, (r > 12) & (r <= 12 + size), r <= 12, T.Fit(0.05, [0.1]))[0])
+    assert got.keys() == want.keys()
+    for size, e in want.items():
+        assert got[size][0] == pytest.approx(np.mean(e))
+
+
+def test_sums_are_added_in_a_tree(spark):
+    parts = spark.createDataFrame([(k % 2, 0, k, np.array([1.0, k]).tobytes()) for k in range(300)], T.SUMS).repartition(7)
+    for rounds in (1, 2):
+        got = T.added(parts, rounds)
+        assert {k: v.tolist() for k, v in got.items()} == {0: [150.0, float(sum(range(0, 300, 2)))], 1: [150.0, float(sum(range(1, 300, 2)))]}
+
+
+@pytest.mark.parametrize("group", [128, 3])
+def test_best_match_tiles_are_the_matrix(spark, group):
+    rng = np.random.default_rng(6)
+    atoms = [(s, i, int(rng.integers(1, 3)), rng.normal(size=3).tolist()) for s in range(9) for i in range(int(rng.integers(1, 4)))]
+    d = spark.createDataFrame(atoms, "structure_id long, atom_id int, z int, features array<double>").repartition(3)
+
+    def one(s, t):
+        a, b = ([(z, np.array(x)) for q, _, z, x in atoms if q == w] for w in (s, t))
+        c = np.array([[np.exp(-np.abs(x - v).sum() / 2) if z == w else 0.0 for w, v in b] for z, x in a])
+        return K.sinkhorn(c, 0.5)
+
+    got = {(r.a_id, r.b_id): r.k for r in K.from_tiles(K.best_match_tiles(d, 2.0, 0.5, group=group)).collect()}
+    assert len(got) == 81
+    for (s, t), k in got.items():
+        assert k == got[t, s] == pytest.approx(one(min(s, t), max(s, t)) / np.sqrt(one(s, s) * one(t, t)), rel=1e-9)
+    part = {(r.a_id, r.b_id): r.k for r in K.best_match(d, d.filter("structure_id < 4"), 2.0, 0.5).collect()}
+    assert len(part) == 36 and all(k == pytest.approx(one(s, t), rel=1e-9) for (s, t), k in part.items())
+
+
 def test_ablation_by_kernel_models(spark):
     x, y, rows = regression(spark, 50, 4)
     got = {r.features: (r.n_features, r.mae) for r in E.ablate(rows, {"all": [0, 1, 2, 3], "two": [1, 3]}, 0.1, 0.01).collect()}
