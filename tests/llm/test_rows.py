@@ -62,9 +62,35 @@ def test_runs_are_sorted_and_merged(spark, parts):
         a, n = want.get(t, (99, 0))
         want[t] = min(a, i), n + 1
     assert sorted((r["__id"], r["__n"]) for r in got) == sorted(want.values())
-    for p in {r.p for r in got}:
-        h = [r["__hash"] for r in got if r.p == p]
-        assert h == sorted(h)
+    assert len({(r["__hash"], r["__sha"]) for r in got}) == len(got)
+
+
+def test_sorted_packs_are_merged_without_sorting():
+    import numpy as np
+    import pyarrow as pa
+
+    def run(seed, n):
+        rng = np.random.default_rng(seed)
+        h = np.sort(rng.choice([-(2**63), -5, 0, 7, 2**63 - 1, *range(-40, 40)], n)).astype(np.int64)
+        sha = [f"{x}-{rng.integers(0, 2)}" for x in h]  # a hash may have two texts
+        t = pa.table({"__hash": h, "__bytes": np.ones(n, np.int64), "__sha": pa.array(sha, pa.string()), "__id": pa.array([None if i % 9 == 0 else int(rng.integers(0, 50)) for i in range(n)], pa.int64()), "__n": np.ones(n, np.int64)})
+        return t, exact_dedup.combined(t, "max")
+
+    plain, runs = zip(*(run(s, n) for s, n in enumerate([0, 1, 5, 60, 200, 7])), strict=True)
+    two = exact_dedup.merged_two(runs[3], runs[4]).column("__hash").to_pylist()
+    assert two == sorted(two)
+    want = {}
+    for t in plain:
+        for r in t.to_pylist():
+            best, n = want.get(r["__sha"], (-1, 0))
+            want[r["__sha"]] = max(best, -1 if r["__id"] is None else r["__id"]), n + 1
+    got = exact_dedup.merged(list(runs), "max")
+    assert {r["__sha"]: (-1 if r["__id"] is None else r["__id"], r["__n"]) for r in got.to_pylist()} == want and got.num_rows == len(want)
+    h = got.column("__hash").to_pylist()
+    assert h == sorted(h)
+    for level in (1, 3):
+        packs = list(exact_dedup.packed(got, 4, level))
+        assert sum(exact_dedup.unpacked(p).num_rows for _, _, p in packs) == got.num_rows and len({s for _, s, _ in packs}) == len(packs)
 
 
 @pytest.mark.parametrize("batch", [1, 2, 7])
