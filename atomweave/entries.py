@@ -119,13 +119,13 @@ def periodic_pairs(spark, sf_dir):
 
 @query
 def crystal_neighbors(spark, sf_dir):
-    p = P.periodic_pairs(FX.structures(spark), RCUT)
+    p = P.periodic_pairs(D.crystals(spark, sf_dir), RCUT)
     return p.groupBy("structure_id", "i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 5).alias("sum_r"))
 
 
 @query
 def supercell(spark, sf_dir):
-    s = FX.supercell(FX.structures(spark), 2, 1, 3)
+    s = FX.supercell(D.crystals(spark, sf_dir), 2, 1, 3)
     return P.explode_atoms(s).groupBy("structure_id", "z").agg(F.count(F.lit(1)).alias("n"), R(F.sum("x"), 5).alias("sum_x"), R(F.sum("y"), 5).alias("sum_y"), R(F.sum("zc"), 5).alias("sum_z"))
 
 
@@ -156,8 +156,10 @@ def two_body_element(spark, sf_dir):
 
 @query
 def triple_join(spark, sf_dir):
+    """All triples; what each centre's have in common with one another, and sums that depend on which two neighbours come first and second."""
     t = T.periodic_triples(pairs(spark, sf_dir))
-    return t.select("structure_id", "i", F.col("j_p").alias("p"), F.col("j_q").alias("q"), R("r_pq").alias("r"), R("cos1", 5).alias("cos1"), R("cos2", 5).alias("cos2"), R("cos3", 5).alias("cos3"))
+    order = F.col("j_p") + 3 * F.col("j_q")
+    return t.groupBy("structure_id", "i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r_pq"), 4).alias("r"), R(F.sum("cos1"), 4).alias("cos1"), R(F.sum(F.col("cos2") * order), 4).alias("cos2"), R(F.sum(F.col("cos3") * order), 4).alias("cos3"))
 
 
 @query
@@ -648,7 +650,7 @@ def force_field(spark, sf_dir):
 def periodic_features(spark, sf_dir):
     """All feature blocks of the crystals on grids of the plan's own step, summed by structure."""
     p = PF.Parameters(rcut=3.2, max_body=5, norm=None)
-    f = PF.periodic_features(FX.structures(spark), p)
+    f = PF.periodic_features(D.crystals(spark, sf_dir), p)
     return PF.global_features(f, 72).select("structure_id", F.posexplode("features").alias("channel", "v")).select("structure_id", "channel", squeezed(F.col("v")).alias("value"))
 
 
@@ -663,6 +665,30 @@ def generated_crystals(spark, sf_dir):
     return PF.global_features(f, 40).select("structure_id", F.posexplode("features").alias("channel", "v")).select("structure_id", "channel", squeezed(F.col("v")).alias("value"))
 
 
+#: Settings of a sweep: two cutoffs, orders and dampings.
+SWEPT = [PF.Parameters(rcut=r, order=o, damping=d, step=0.05, angle_step=0.05) for r in (4.0, 5.0) for o in (1, 3) for d in (1.0, 2.0)]
+
+
+@query
+def feature_sweep(spark, sf_dir):
+    """Crystals' features under eight settings from one neighbour search, summed by structure."""
+    f = PF.swept_features(D.crystals(spark, sf_dir), SWEPT)
+    rows = f.select("setting", "structure_id", F.posexplode("features").alias("channel", "v"))
+    return rows.groupBy("setting", "structure_id", "channel").agg(squeezed(F.sum("v")).alias("value"))
+
+
+#: A model of features for forces: its slopes by channel, and the settings of the features.
+FORCED = PF.Parameters(rcut=4.0, order=1, step=0.05, angle_step=0.05, lookup="linear")
+SLOPES = [(-1.0) ** k / (k + 1) for k in range(16)]
+
+
+@query
+def model_forces(spark, sf_dir):
+    """Forces on all atoms of the orders through a linear model of their two- and three-body features."""
+    f = PF.model_forces(D.atoms(spark, sf_dir), FORCED, SLOPES)
+    return f.select("structure_id", "atom_id", *[squeezed(F.col(c)).alias(c) for c in ("fx", "fy", "fz")])
+
+
 @query
 def molecular_features(spark, sf_dir):
     """Features of the orders' atoms, normalised by element and bagged."""

@@ -8,6 +8,7 @@ Results are (structure_id, i, z_i, features array); centres without tuples have
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,38 @@ def molecular_three_body(triples: DataFrame, grid: DataFrame, g: G.Grid, rcut: f
     return _three_body(triples, names, g, grid, rcut, power, 2.0, lookup, False)
 
 
+def _kinds(kinds: list[tuple], steps: list[float], points: list[int]) -> Column:
+    """What a histogram depends on, as an array of structs: kind (its place), rcut, power, step, points, round."""
+    return F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(x[0])).alias("rcut"), F.lit(float(x[3] if len(x) > 3 else 0)).alias("power"), F.lit(float(step)).alias("step"), F.lit(n).alias("points"), F.lit(x[2] == "round").alias("round")) for k, (x, step, n) in enumerate(zip(kinds, steps, points, strict=True))])
+
+
+def _swept_cells(t: DataFrame, value: Column, weights: dict[str, Column]) -> DataFrame:
+    """Sums of the weights by centre, kind and cell, for rows that have a kind k."""
+    at = value / F.col("k.step")
+    cell = F.when(F.col("k.round"), F.rint(at)).otherwise(F.floor(at + 1e-9)).cast("int")
+    rows = t.select(*KEY, F.col("k.kind").alias("kind"), F.least(F.greatest(cell, F.lit(0)), F.col("k.points") - 1).alias("idx"), *[c.alias(n) for n, c in weights.items()])
+    return rows.groupBy(*KEY, "kind", "idx").agg(*[F.sum(n).alias(n) for n in weights])
+
+
+def swept_two_body(pairs: DataFrame, grid: DataFrame, width: int, n: int, kinds: list[tuple], steps: list[float], points: list[int]) -> DataFrame:
+    """(structure_id, i, setting, features): two_body under several settings; grid (kind, setting, idx, g) with up to width channels."""
+    t = pairs.select(*KEY, "z_i", "z_j", "r", F.explode(F.filter(_kinds(kinds, steps, points), lambda k: k["rcut"] > F.col("r"))).alias("k"))
+    cells = _swept_cells(t, F.col("r"), {"w": S.mean_charge(F.col("z_i"), F.col("z_j")) * S.cutoff(F.col("r"), F.col("k.rcut"))})
+    return from_cells(cells, grid, [(c, "w") for c in range(width)], ["kind", "idx"], [*KEY, "setting"])
+
+
+def swept_three_body(triples: DataFrame, grid: DataFrame, width: int, n: int, kinds: list[tuple], steps: list[float], points: list[int]) -> DataFrame:
+    """As swept_two_body, of three_body; n weights of an order. A triple counts where both its legs are within the cutoff."""
+    legs = F.greatest("r_p", "r_q")
+    t = triples.select(*KEY, "z_i", "z_p", "z_q", "r_p", "r_q", "r_pq", "cos2", "cos3", F.acos("cos1").alias("th"), F.explode(F.filter(_kinds(kinds, steps, points), lambda k: k["rcut"] > legs)).alias("k"))
+    rcut, third = F.col("k.rcut"), F.col("r_pq")
+    w = 2.0 * S.mean_charge(F.col("z_i"), F.col("z_p"), F.col("z_q")) / F.pow(F.col("r_p") * F.col("r_q") * third, F.col("k.power"))
+    w = w * S.cutoff(F.col("r_p"), rcut) * S.cutoff(F.col("r_q"), rcut) * F.when(third < rcut, S.cutoff(third, rcut)).otherwise(0.0)
+    t = t.withColumn("w", w)
+    cells = _swept_cells(t, F.col("th"), {"w": F.col("w"), "wc": F.col("w") * F.col("cos2") * F.col("cos3")})
+    return from_cells(cells, grid, [(c, "wc" if c % n == 0 else "w") for c in range(width)], ["kind", "idx"], [*KEY, "setting"])
+
+
 def four_body(quads: DataFrame, grid: DataFrame, g: G.Grid, rcut: float, power: float = 1.0, lookup: str = "floor") -> DataFrame:
     """Sum over three neighbours of their solid angle."""
     r = [F.col(f"r_{n}") for n in "pqs"]
@@ -134,14 +167,9 @@ def _cut(r: Column, rcut: float | None) -> tuple[Column, Column]:
     return (F.lit(1.0), F.lit(0.0)) if rcut is None else (S.cutoff(r, rcut), S.cutoff_slope(r, rcut))
 
 
-def three_body_gradient(triples: DataFrame, grid: DataFrame, g: G.Grid, rcut: float | None, power: float = 2.0, closed: bool = True) -> DataFrame:
-    """(structure_id, i, wrt, gx, gy, gz) as two_body_gradient, of the three-body features with linear lookup. triples: periodic_triples of pairs; an
-    atom and its images are one atom. grid: slope_table. closed: pairs farther apart than rcut add nothing (three_body), or have the cutoff function like the
-    others (molecular_three_body).
-
-    A feature depends on the sides a, b (centre to p and q) and c of the triangle alone, so its slopes by a, b and c, each along its side,
-    move p and q; the centre has minus their sum.
-    """
+def side_slopes(triples: DataFrame, rcut: float | None, power: float, closed: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """(triples that count, columns): the weight __w, the product of the outer cosines __h and the angle __th of a triple, and what a change of side k (centre to p,
+    centre to q, p to q) changes of each: __w0, __h0, __t0 and so on."""
     a, b, c = (F.col(n) for n in ("r_p", "r_q", "r_pq"))
     t = triples.filter(c < rcut) if rcut is not None and closed else triples
     sides = (a, b, c)
@@ -162,6 +190,19 @@ def three_body_gradient(triples: DataFrame, grid: DataFrame, g: G.Grid, rcut: fl
     columns = {"__w": w, "__h": at_p * at_q, "__th": F.acos(cos1)}
     for k in range(3):
         columns |= {f"__w{k}": slopes_of_w[k], f"__h{k}": by_p[k] * at_q + at_p * by_q[k], f"__t{k}": -by_cos1[k] / sin1}
+    return t, columns
+
+
+def three_body_gradient(triples: DataFrame, grid: DataFrame, g: G.Grid, rcut: float | None, power: float = 2.0, closed: bool = True) -> DataFrame:
+    """(structure_id, i, wrt, gx, gy, gz) as two_body_gradient, of the three-body features with linear lookup. triples: periodic_triples of pairs; an
+    atom and its images are one atom. grid: slope_table. closed: pairs farther apart than rcut add nothing (three_body), or have the cutoff function like the
+    others (molecular_three_body).
+
+    A feature depends on the sides a, b (centre to p and q) and c of the triangle alone, so its slopes by a, b and c, each along its side,
+    move p and q; the centre has minus their sum.
+    """
+    sides = (F.col("r_p"), F.col("r_q"), F.col("r_pq"))
+    t, columns = side_slopes(triples, rcut, power, closed)
     t = t.select(*KEY, "j_p", "j_q", *sides, *[f"{x}_{n}" for n in "pq" for x in ("dx", "dy", "dz")], *[v.alias(n) for n, v in columns.items()])
     t = t.withColumn("idx", G.cell_of(F.col("__th"), g)).withColumn("__f", G.fraction_of(F.col("__th"), g)).join(F.broadcast(grid), "idx")
     n = len(g.weights)
@@ -188,6 +229,55 @@ def three_body_gradient(triples: DataFrame, grid: DataFrame, g: G.Grid, rcut: fl
     return summed_gradient(near.union(back), g.channels, ["structure_id", "i", "wrt"])
 
 
+def _dot(weights: Column, values: Column, keep=None) -> Column:
+    """Sum of products of two arrays, over the places that keep(place) holds for."""
+    both = F.zip_with(weights, values, lambda a, b: a * b)
+    if keep is not None:
+        both = F.transform(both, lambda x, at: F.when(keep(at), x).otherwise(0.0))
+    return F.aggregate(both, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+
+
+def contracted(rows: DataFrame, value: Column, g: G.Grid, grid: DataFrame, first: int, parts: dict[str, Callable | None]) -> DataFrame:
+    """rows with what a model of slopes (column __m, by channel, those of the block from first on) makes of the block's grid at value: for each part, a set of channels, its value there
+    (the name) and change (d and the name). grid: slope_table. The sum over channels is taken here, so no later row has channels."""
+    at = rows.withColumn("idx", G.cell_of(value, g)).withColumn("__f", G.fraction_of(value, g)).join(F.broadcast(grid), "idx")
+    own = F.slice("__m", first + 1, g.channels)
+    for name, keep in parts.items():
+        at = at.withColumn(f"d{name}", _dot(own, F.col("slope"), keep)).withColumn(name, _dot(own, F.col("g"), keep) + F.col(f"d{name}") * F.col("__f") * g.step)
+    return at.drop("idx", "__f", "g", "slope")
+
+
+def _pushed(rows: DataFrame, *moves: tuple[str, list[Column]]) -> DataFrame:
+    """(structure_id, atom_id, x, y, z): one row for each atom that a row moves."""
+    each = F.array(*[F.struct(F.col(who).alias("atom_id"), *[v.alias(n) for v, n in zip(by, "xyz", strict=True)]) for who, by in moves])
+    return rows.select("structure_id", F.explode(each).alias("m")).select("structure_id", "m.*")
+
+
+def pair_pull(pairs: DataFrame, grid: DataFrame, g: G.Grid, rcut: float | None) -> DataFrame:
+    """Slopes of a model's energy by atom positions through two-body features: pairs with __m -> (structure_id, atom_id, x, y, z), to be summed by atom."""
+    r, (cut, cut_slope) = F.col("r"), _cut(F.col("r"), rcut)
+    at = contracted(pairs, r, g, grid, 0, {"__a": None})
+    c = S.mean_charge(F.col("z_i"), F.col("z_j")) * (cut_slope * F.col("__a") + cut * F.col("d__a")) / r
+    at = at.withColumn("__c", c)
+    d = [F.col("__c") * F.col(x) for x in ("dx", "dy", "dz")]
+    return _pushed(at, ("j", d), ("i", [-x for x in d]))
+
+
+def triple_pull(triples: DataFrame, grid: DataFrame, g: G.Grid, first: int, rcut: float | None, power: float = 2.0, closed: bool = True) -> DataFrame:
+    """As pair_pull, through three-body features (periodic_triples with __m); channels from first on."""
+    n = len(g.weights)
+    t, columns = side_slopes(triples, rcut, power, closed)
+    t = t.select("structure_id", "i", "j_p", "j_q", "r_p", "r_q", "r_pq", "__m", *[f"{x}_{m}" for m in "pq" for x in ("dx", "dy", "dz")], *[v.alias(k) for k, v in columns.items()])
+    t = contracted(t, F.col("__th"), g, grid, first, {"__a": lambda at: at % n != 0, "__b": lambda at: at % n == 0})
+    col = F.col
+    for k in range(3):
+        e = col(f"__w{k}") * (col("__a") + col("__h") * col("__b")) + col("__w") * ((col("d__a") + col("__h") * col("d__b")) * col(f"__t{k}") + col(f"__h{k}") * col("__b"))
+        t = t.withColumn(f"__e{k}", e / col(("r_p", "r_q", "r_pq")[k]))
+    p = [col("__e0") * col(f"{x}_p") + col("__e2") * (col(f"{x}_p") - col(f"{x}_q")) for x in ("dx", "dy", "dz")]
+    q = [col("__e1") * col(f"{x}_q") + col("__e2") * (col(f"{x}_q") - col(f"{x}_p")) for x in ("dx", "dy", "dz")]
+    return _pushed(t, ("j_p", p), ("j_q", q), ("i", [-(x + y) for x, y in zip(p, q, strict=True)]))
+
+
 def summed_gradient(rows: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """Gradient rows (gx, gy, gz arrays of width) summed by keys."""
     axes = ("gx", "gy", "gz")

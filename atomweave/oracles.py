@@ -116,36 +116,6 @@ SELECT structure_id, i, count(*) AS n, {R('sum(r)', 5)} AS sum_r, sum(abs(nx) +
 WHERE r > 1e-10 AND r < 4 AND NOT (i = j AND nx = 0 AND ny = 0) GROUP BY structure_id, i"""
 
 
-def _crystals() -> str:
-    """Crystals written out: cells by rows, sites by fractional or plain coordinates."""
-    face = [(0, 0, 0), (0, 0.5, 0.5), (0.5, 0, 0.5), (0.5, 0.5, 0)]
-    sites, cells = [], []
-
-    def add(k: int, cell_: list, periodic: int, rows: list) -> None:
-        cells.append((k, *[float(v) for r in cell_ for v in r], periodic))
-        sites.extend((k, i, z, float(x), float(y), float(w)) for i, (z, x, y, w) in enumerate(rows))
-
-    cube = lambda a: [(a, 0, 0), (0, a, 0), (0, 0, a)]
-    add(0, cube(3.615), 1, [(29, *[3.615 * v for v in p]) for p in face])
-    add(1, cube(2.87), 1, [(26, 0, 0, 0), (26, 1.435, 1.435, 1.435)])
-    add(2, cube(5.43), 1, [(14, *[5.43 * v for v in p]) for p in face] + [(14, *[5.43 * v + 5.43 / 4 for v in p]) for p in face])
-    add(3, cube(5.64), 1, [(11, *[5.64 * v for v in p]) for p in face] + [(17, 5.64 * p[0] + 2.82, 5.64 * p[1], 5.64 * p[2]) for p in face])
-    add(4, [(3, 0, 0), (1.2, 3.1, 0), (0.7, 0.9, 3.3)], 1, [(6, 0.1, 0.2, 0.3), (8, 1.9, 1.1, 0.8)])
-    add(5, cube(20), 0, [(8, 10, 10, 10.1173), (1, 10, 10.7572, 9.5308), (1, 10, 9.2428, 9.5308)])
-    add(6, cube(20), 0, [(6, 10, 10, 10), *[(1, 10 + i * 0.6276, 10 + j * 0.6276, 10 + k * 0.6276) for i, j, k in ((1, 1, 1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1))]])
-    values = lambda rows: ", ".join("(" + ", ".join(repr(v) if isinstance(v, int) else f"{v!r}::DOUBLE" for v in r) + ")" for r in rows)
-    return f"sites AS (SELECT * FROM (VALUES {values(sites)}) s(structure_id, i, z, x, y, w)), cells AS (SELECT * FROM (VALUES {values(cells)}) c(structure_id, ax, ay, az, bx, b_y, bz, cx, cy, cz, periodic))"
-
-
-SQL["crystal_neighbors"] = f"""WITH {_crystals()}, p AS (
-  SELECT a.structure_id, a.i, b.i AS j, na, nb, nc, b.x - a.x + (na * ax + nb * bx + nc * cx) AS dx, b.y - a.y + (na * ay + nb * b_y + nc * cy) AS dy, b.w - a.w + (na * az + nb * bz + nc * cz) AS dz
-  FROM sites a JOIN sites b USING (structure_id) JOIN cells USING (structure_id), range(-5, 6) s(na), range(-5, 6) t(nb), range(-5, 6) u(nc)
-  WHERE periodic = 1 OR (na = 0 AND nb = 0 AND nc = 0)),
-q AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM p)
-SELECT structure_id::BIGINT AS structure_id, i, count(*) AS n, {R('sum(r)', 5)} AS sum_r FROM q WHERE r > 1e-10 AND r < 6 AND NOT (i = j AND na = 0 AND nb = 0 AND nc = 0) GROUP BY structure_id, i"""
-SQL["supercell"] = f"""WITH {_crystals()} SELECT structure_id::BIGINT AS structure_id, z, count(*) AS n, {R('sum(x + na * ax + nc * cx)', 5)} AS sum_x, {R('sum(y + na * ay + nc * cy)', 5)} AS sum_y, {R('sum(w + na * az + nc * cz)', 5)} AS sum_z
-  FROM sites JOIN cells USING (structure_id), range(2) s(na), range(3) u(nc) GROUP BY structure_id, z"""
-
 _w2 = f"sqrt(z_i::DOUBLE * z_j) * {cut('r', 6)}"
 SQL["two_body_sum"] = f"WITH {pairs(6)}, {GRIDS['radial']} {summed(f'SELECT structure_id, i, {cell("r", 6.0, 120)} AS idx, {_w2} AS w FROM pairs', 'radial')}"
 SQL["two_body_plain"] = f"WITH {pairs(6)}, {GRIDS['radial']} {summed(f'SELECT structure_id, i, {cell("r", 6.0, 120)} AS idx, sqrt(z_i::DOUBLE * z_j) AS w FROM pairs', 'radial')}"
@@ -162,7 +132,7 @@ every AS (SELECT cls, channel, idx, raw / max(abs(raw)) OVER (PARTITION BY cls,
 s AS (SELECT structure_id, i, channel::INT AS channel, sum(w * value) AS v FROM (SELECT structure_id, i, {cell('r', 6.0, 60)} AS idx, {_class} AS cls, {_w2} AS w FROM pairs) JOIN every USING (idx, cls) GROUP BY ALL)
 SELECT structure_id, i, channel, {squeezed('v')} AS value FROM s"""
 
-SQL["triple_join"] = f"WITH {pairs(6)}, {ORDERED}, {THREE} SELECT structure_id, i, p, q, {R('r_pq')} AS r, {R('cos1', 5)} AS cos1, {R('cos2', 5)} AS cos2, {R('cos3', 5)} AS cos3 FROM triples"
+SQL["triple_join"] = f"WITH {pairs(6)}, {ORDERED}, {THREE} SELECT structure_id, i, count(*) AS n, {R('sum(r_pq)', 4)} AS r, {R('sum(cos1)', 4)} AS cos1, {R('sum(cos2 * (p + 3 * q))', 4)} AS cos2, {R('sum(cos3 * (p + 3 * q))', 4)} AS cos3 FROM triples GROUP BY structure_id, i".replace("ordered AS (", "ordered AS MATERIALIZED (").replace("pairs AS (SELECT", "pairs AS MATERIALIZED (SELECT")
 
 
 def _three(rows: str, c: tuple, r: tuple, z: tuple, factor: str) -> str:
@@ -366,12 +336,6 @@ def framed(structures: str, channels: int, value: str) -> str:
 _w = lambda root, z, r, rcut: f"pow({' * '.join(f'{x}::DOUBLE' for x in z)}, {1 / root!r}::DOUBLE) * {' * '.join(cut(x, rcut) for x in r)} / ({' * '.join(r)})"
 _four = f"SELECT structure_id, i, {cell(_omega, 2 * math.pi, 1260)} AS idx, {_w(4, ['z_i', 'z_p', 'z_q', 'z_s'], ['r_p', 'r_q', 'r_s'], 3.2)} AS w FROM quads"
 _five = " UNION ALL ".join(f"SELECT structure_id, i, {cell(_psi(*[n for n in 'pqst' if n != m], m), math.pi, 630)} AS idx, {_w(5, ['z_i', 'z_p', 'z_q', 'z_s', 'z_t'], ['r_p', 'r_q', 'r_s', 'r_t'], 3.2)} AS w FROM quints" for m in "pqst")
-SQL["periodic_features"] = f"""WITH {_crystals()}, {image_pairs(3.2, 3)}, {THREE.replace('t AS (', 't3 AS (', 1).replace('FROM t WHERE', 'FROM t3 WHERE').replace('u AS (', 'u3 AS (', 1).replace('FROM u)', 'FROM u3)')},
-q0 AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqs')} FROM {_join('pqs')}), quads AS (SELECT *, {unit('p')}, {unit('q')}, {unit('s')} FROM q0), quints AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqst')} FROM {_join('pqst')}),
-{plan_grid('radial', 3.2, 320, 5)}, {plan_grid('angular', 0, 630, 5)}, {plan_grid('solid', 0, 1260, 5)}, {plan_grid('plane', 0, 630, 4)},
-f AS ({whole(3.2, 320, 630)} UNION ALL {block(_four, 'solid', 40)} UNION ALL {block(_five, 'plane', 60)})
-{framed('cells', 72, squeezed('coalesce(g.v, 0)'))}"""
-
 _face = [(0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)]
 _sites = [(x + i, y + j, z) for i in range(2) for j in range(2) for x, y, z in _face]
 _values = ", ".join(f"({s}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for s, (x, y, z) in enumerate(_sites))
@@ -381,6 +345,60 @@ sites AS (SELECT k AS structure_id, s::INT AS i, (1 + (k * (s % 4 + 1) + s % 3)
 cells AS (SELECT k AS structure_id, 2 * a AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS az, 0.0::DOUBLE AS bx, 2 * a AS b_y, 0.0::DOUBLE AS bz, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, a AS cz, 1 AS periodic FROM keys)"""
 SQL["generated_crystals"] = f"""WITH {_generated}, {image_pairs(5.0, 2)}, {THREE}, {plan_grid('radial', 5.0, 500, 5)}, {plan_grid('angular', 0, 630, 5)}, f AS ({whole(5.0, 500, 630)})
 {framed('cells', 40, squeezed('coalesce(g.v, 0)'))}"""
+SQL["periodic_features"] = f"""WITH {_generated}, {image_pairs(3.2, 2)}, {THREE.replace('t AS (', 't3 AS (', 1).replace('FROM t WHERE', 'FROM t3 WHERE').replace('u AS (', 'u3 AS (', 1).replace('FROM u)', 'FROM u3)')},
+q0 AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqs')} FROM {_join('pqs')}), quads AS (SELECT *, {unit('p')}, {unit('q')}, {unit('s')} FROM q0), quints AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqst')} FROM {_join('pqst')}),
+{plan_grid('radial', 3.2, 320, 5)}, {plan_grid('angular', 0, 630, 5)}, {plan_grid('solid', 0, 1260, 5)}, {plan_grid('plane', 0, 630, 4)},
+f AS ({whole(3.2, 320, 630)} UNION ALL {block(_four, 'solid', 40)} UNION ALL {block(_five, 'plane', 60)})
+{framed('cells', 72, squeezed('coalesce(g.v, 0)'))}"""
+SQL["crystal_neighbors"] = f"""WITH {_generated}, {image_pairs(6.0, 3)} SELECT structure_id::BIGINT AS structure_id, i, count(*) AS n, {R('sum(r)', 5)} AS sum_r FROM pairs GROUP BY structure_id, i"""
+SQL["supercell"] = f"""WITH {_generated} SELECT structure_id::BIGINT AS structure_id, z, count(*) AS n, {R('sum(x + na * ax + nc * cx)', 5)} AS sum_x, {R('sum(y + na * ay + nc * cy)', 5)} AS sum_y, {R('sum(w + na * az + nc * cz)', 5)} AS sum_z
+  FROM sites JOIN cells USING (structure_id), range(2) s(na), range(3) u(nc) GROUP BY structure_id, z"""
+
+
+def _swept() -> str:
+    """Eight settings one after the other, each on a grid of its own; triples of the largest cutoff are cut down."""
+    grids, parts = [], []
+    for k, (rcut, order, damping) in enumerate((r, o, d) for r in (4.0, 5.0) for o in (1, 3) for d in (1, 2)):
+        n, first = int(rcut * 20), 4 * (order + 1)
+        grids += [grid(f"radial{k}", rcut, n, RADIAL_W, 2.0, math.sqrt(2.0), 1, order + 1, _minus ** (order + 1)), grid(f"angular{k}", math.pi, 63, COS4, 2.0, math.sqrt(2.0), 1, order + 1, _minus ** (order + 1))]
+        two = block(f"SELECT structure_id, i, {cell('r', rcut, n)} AS idx, sqrt(z_i::DOUBLE * z_j) * {cut('r', rcut)} AS w FROM pairs WHERE r < {rcut}", f"radial{k}", 0)
+        three = three_block(cell("acos(cos1)", math.pi, 63), closed(rcut).replace(", 2)", f", {damping})"), first).replace("FROM triples", f"FROM triples WHERE r_p < {rcut} AND r_q < {rcut}").replace("JOIN angular", f"JOIN angular{k}")
+        parts.append(f"SELECT {k}::INT AS setting, s.structure_id::BIGINT AS structure_id, c.v::INT AS channel, {squeezed('coalesce(g.v, 0)')} AS value FROM cells s CROSS JOIN range({2 * first}) c(v) LEFT JOIN (SELECT structure_id, channel, sum(v) AS v FROM ({two} UNION ALL {three}) GROUP BY ALL) g ON g.structure_id = s.structure_id AND g.channel = c.v")
+    return f"WITH {_generated}, {image_pairs(5.0, 2)}, {THREE}, {', '.join(grids)} {' UNION ALL '.join(parts)}"
+
+
+SQL["feature_sweep"] = _swept()
+
+
+def _pulled(name: str, n: int, keep: str, first: int) -> str:
+    """(idx, v, d): a grid contracted with slopes of alternating sign that fall as 1 / channel, and its change to the next point."""
+    step = f"({(4.0 if name == 'radial' else math.pi) / n!r}::DOUBLE)"
+    total = f"SELECT idx, sum(CASE WHEN {keep} THEN (CASE WHEN (channel + {first}) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) / (channel + {first} + 1) * value ELSE 0 END) AS v FROM {name} GROUP BY idx"
+    return f"SELECT idx, v, coalesce(lead(v) OVER (ORDER BY idx) - v, 0) / {step} AS d FROM ({total})"
+
+
+_inside = lambda v, domain, n: f"(greatest(0, least(1, {v} / {domain / n!r}::DOUBLE - {cell(v, domain, n)})) * {domain / n!r}::DOUBLE)"
+_cutd = lambda r: f"(-{PI} * sin({PI} * {r} / 4.0::DOUBLE) / 8.0::DOUBLE)"
+_c3 = {"a": "r_p", "b": "r_q", "c": "r_pq"}
+_scale = f"2 * pow(z_i::DOUBLE * z_p * z_q, {1 / 3!r}::DOUBLE) / pow(r_p * r_q * r_pq, 2)"
+_slope_of = {
+    "a": (f"{cut('r_q', 4.0)} * {cut('r_pq', 4.0)} * ({_cutd('r_p')} - 2 * {cut('r_p', 4.0)} / r_p)", "(a - b * c1) / (a * b)", "(a - c * cp) / (a * c)", "-a / (b * c)"),
+    "b": (f"{cut('r_p', 4.0)} * {cut('r_pq', 4.0)} * ({_cutd('r_q')} - 2 * {cut('r_q', 4.0)} / r_q)", "(b - a * c1) / (a * b)", "-b / (a * c)", "(b - c * cq) / (b * c)"),
+    "c": (f"{cut('r_p', 4.0)} * {cut('r_q', 4.0)} * ({_cutd('r_pq')} - 2 * {cut('r_pq', 4.0)} / r_pq)", "-c / (a * b)", "(c - a * cp) / (a * c)", "(c - b * cq) / (b * c)"),
+}
+_energy = ", ".join(f"scale * ({w}) * (va + cp * cq * vb) + scale * {cut('r_p', 4.0)} * {cut('r_q', 4.0)} * {cut('r_pq', 4.0)} * (-(da + cp * cq * db) * ({t}) / sqrt(greatest(1 - c1 * c1, 1e-12)) + (({hp}) * cq + cp * ({hq})) * vb) AS e{k}" for k, (w, t, hp, hq) in _slope_of.items())
+_axes = "xyz"
+SQL["model_forces"] = f"""WITH {pairs(4)}, {ORDERED}, {THREE}, {plan_grid('radial', 4.0, 80, 2)}, {plan_grid('angular', 0, 63, 2)},
+two AS ({_pulled('radial', 80, 'true', 0)}), plain AS ({_pulled('angular', 63, 'channel % 4 <> 0', 8)}), outer_ AS ({_pulled('angular', 63, 'channel % 4 = 0', 8)}),
+p2 AS (SELECT structure_id, i, j, dx, dy, dz, sqrt(z_i::DOUBLE * z_j) * ({_cutd('r')} * (v + d * {_inside('r', 4.0, 80)}) + {cut('r', 4.0)} * d) / r AS c FROM pairs JOIN two ON two.idx = {cell('r', 4.0, 80)}),
+t0 AS (SELECT *, r_p AS a, r_q AS b, r_pq AS c, {_scale} AS scale, cos1 AS c1, (r_p * r_p + r_pq * r_pq - r_q * r_q) / (2 * r_p * r_pq) AS cp, (r_q * r_q + r_pq * r_pq - r_p * r_p) / (2 * r_q * r_pq) AS cq, {cell('acos(cos1)', math.pi, 63)} AS idx, {_inside('acos(cos1)', math.pi, 63)} AS f FROM triples),
+t1 AS (SELECT t0.*, x.v + x.d * f AS va, x.d AS da, y.v + y.d * f AS vb, y.d AS db FROM t0 JOIN plain x USING (idx) JOIN outer_ y USING (idx)),
+t2 AS (SELECT structure_id, i, p, q, a, b, c, {', '.join(f'{n}{x}' for n in 'pq' for x in _axes)}, {_energy} FROM t1),
+t3 AS (SELECT structure_id, i, p, q, {', '.join(f"ea * p{x} / a + ec * (p{x} - q{x}) / c AS m{x}, eb * q{x} / b + ec * (q{x} - p{x}) / c AS n{x}" for x in _axes)} FROM t2),
+pushed AS (SELECT structure_id, j AS atom_id, {', '.join(f'c * d{x} AS {x}' for x in _axes)} FROM p2 UNION ALL SELECT structure_id, i, {', '.join(f'-c * d{x}' for x in _axes)} FROM p2
+  UNION ALL SELECT structure_id, p, mx, my, mz FROM t3 UNION ALL SELECT structure_id, q, nx, ny, nz FROM t3 UNION ALL SELECT structure_id, i, -mx - nx, -my - ny, -mz - nz FROM t3),
+s AS (SELECT structure_id, atom_id, {', '.join(f'-sum({x}) AS {x}' for x in _axes)} FROM pushed GROUP BY structure_id, atom_id)
+SELECT atoms.structure_id, atoms.atom_id, {', '.join(squeezed(f'coalesce(s.{x}, 0)') + f' AS f{x}' for x in _axes)} FROM atoms LEFT JOIN s ON s.structure_id = atoms.structure_id AND s.atom_id = atoms.atom_id"""
 
 _few = ATOMS.replace("(1 + l_partkey % 92)::INT AS z", "((1 + l_partkey % 92) % 5 + 1)::INT AS z")
 _two8 = block(f"SELECT structure_id, i, {cell('r', 5.0, 100)} AS idx, sqrt(z_i::DOUBLE * z_j) * {cut('r', 5)} AS w FROM pairs", "radial", 0)

@@ -70,6 +70,42 @@ def periodic_features(s: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     return _normed(B.with_all_atoms(P.explode_atoms(s), blocks), p, sum(n for _, n in blocks))
 
 
+def swept_features(s: DataFrame, settings: list[Parameters]) -> DataFrame:
+    """STRUCTURES -> (setting, structure_id, atom_id, z, features): periodic two- and three-body features under every setting (its place in the list).
+
+    Neighbours and triples are made once, at the largest cutoff. Histograms are made once for settings that share what they depend on (cutoff and step,
+    and for triples damping), which is a column of them, and each setting's grid meets the histogram that it reads."""
+    if any(p.by_element or p.lookup == "linear" or p.norm or p.max_body > 3 for p in settings):
+        raise ValueError("a sweep has floor or round lookups of two- and three-body features, without element grids and norms")
+    spark = s.sparkSession
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "structure_id")
+    pairs = P.periodic_pairs(s, max(p.rcut for p in settings))
+    two = _swept(pairs, settings, lambda p: (p.rcut, p.step, p.lookup), lambda p: p.radial(), B.swept_two_body)
+    three = _swept(T.periodic_triples(pairs), [p for p in settings if p.max_body >= 3], lambda p: (p.rcut, p.angle_step, p.lookup, p.damping), lambda p: p.angular(), B.swept_three_body, [k for k, p in enumerate(settings) if p.max_body >= 3])
+    atoms = P.explode_atoms(s).select("structure_id", F.col("atom_id").alias("i"), "z", F.explode(F.array(*[F.lit(k) for k in range(len(settings))])).alias("setting"))
+    keys = ["structure_id", "i", "setting"]
+    out = atoms.join(two.withColumnRenamed("features", "f2"), keys, "left")
+    out = out.join(three.withColumnRenamed("features", "f3"), keys, "left") if three is not None else out.withColumn("f3", F.lit(None).cast("array<double>"))
+    widths = [F.array(*[F.lit(w) for w in ws]) for ws in ([p.radial().channels for p in settings], [p.angular().channels if p.max_body >= 3 else 0 for p in settings])]
+    block = lambda c, w: F.coalesce(F.slice(c, F.lit(1), F.get(w, F.col("setting"))), F.array_repeat(F.lit(0.0), F.get(w, F.col("setting"))))
+    return out.select("setting", "structure_id", F.col("i").alias("atom_id"), "z", F.concat(block("f2", widths[0]), block("f3", widths[1])).alias("features"))
+
+
+def _swept(tuples: DataFrame, settings: list[Parameters], shared, grid_of, make, places: list[int] | None = None) -> DataFrame | None:
+    """(structure_id, i, setting, features) of one kind of tuples: settings by what their histograms share."""
+    if not settings:
+        return None
+    spark, kinds = tuples.sparkSession, list(dict.fromkeys(shared(p) for p in settings))
+    grids = [grid_of(p) for p in settings]
+    table = None
+    for k, (p, g) in enumerate(zip(settings, grids, strict=True)):
+        one = G.table(spark, g).select(F.lit(kinds.index(shared(p))).alias("kind"), F.lit(k if places is None else places[k]).alias("setting"), "idx", "g")
+        table = one if table is None else table.union(one)
+    steps = [next(g.step for p, g in zip(settings, grids, strict=True) if shared(p) == kind) for kind in kinds]
+    points = [next(g.points for p, g in zip(settings, grids, strict=True) if shared(p) == kind) for kind in kinds]
+    return make(tuples, table, max(g.channels for g in grids), len(grids[0].weights), kinds, steps, points)
+
+
 def molecular_features(atoms: DataFrame, p: Parameters = Parameters(rcut=10.0, smooth=False)) -> DataFrame:
     """atoms -> (structure_id, atom_id, z, features) of molecules; smooth adds the cutoff function. Works for one or two atoms, whose three-body part is 0."""
     spark, rcut = atoms.sparkSession, p.rcut if p.smooth else None
@@ -140,6 +176,30 @@ def kernel_forces(gradients: DataFrame, slopes: DataFrame) -> DataFrame:
     return own.groupBy("structure_id", F.col("wrt").alias("atom_id")).agg(*[(-F.sum(dot(f"g{x}"))).alias(f"f{x}") for x in "xyz"])
 
 
+def model_forces(atoms: DataFrame, p: Parameters, slopes: DataFrame | list[float]) -> DataFrame:
+    """(structure_id, atom_id, fx, fy, fz) of all atoms: minus the slope of a model's energy by each position, the model being given by its slopes by the features summed
+    over a structure's atoms (as feature_gradients has them): (id, slope) a structure, as KernelModel.slope gives them, or one list for all.
+
+    The slopes are pulled back instead of pushing gradients forward: they are contracted with the grid where a pair or triple looks it up, so a pair or
+    triple has one number and not one a channel, and it goes to the two or three atoms that it moves. feature_gradients with
+    kernel_forces gives the same from a row for each (atom, moved atom) and channel.
+    """
+    spark, rcut = atoms.sparkSession, p.rcut if p.smooth else None
+    pairs = P.molecular_pairs(atoms, p.rcut)
+    if isinstance(slopes, list):
+        pairs = pairs.withColumn("__m", F.array(*[F.lit(float(x)) for x in slopes]))
+    else:
+        pairs = pairs.join(slopes.select(F.col("id").alias("structure_id"), F.col("slope").alias("__m")), "structure_id")
+    two, three = p.radial(), p.angular()
+    pulled = B.pair_pull(pairs, G.slope_table(spark, two), two, rcut)
+    if p.max_body >= 3:
+        near = T.periodic_triples(pairs.drop("__m"))
+        near = near.withColumn("__m", F.array(*[F.lit(float(x)) for x in slopes])) if isinstance(slopes, list) else near.join(slopes.select(F.col("id").alias("structure_id"), F.col("slope").alias("__m")), "structure_id")
+        pulled = pulled.union(B.triple_pull(near, G.slope_table(spark, three), three, two.channels, rcut, p.damping, closed=False))
+    total = pulled.groupBy("structure_id", "atom_id").agg(*[(-F.sum(x)).alias(f"f{x}") for x in "xyz"])
+    return atoms.select("structure_id", "atom_id").join(total, ["structure_id", "atom_id"], "left").select("structure_id", "atom_id", *[F.coalesce(f"f{x}", F.lit(0.0)).alias(f"f{x}") for x in "xyz"])
+
+
 def finite_differences(atoms: DataFrame, energy, eps: float = 1e-5) -> DataFrame:
     """(structure_id, atom_id, axis, slope): central differences of energy(atoms) -> (structure_id, energy) by each coordinate.
     All displaced copies go through one plan: a copy is a structure of its own, whose structure_id is a struct. Costs 6 n copies of n atoms; feature_gradients
