@@ -6,12 +6,14 @@ hashes of a long text are counted in slices of 65,536).
 Search, over distinct fingerprints, so that copies are one row from the start:
 1. The pivot table holds the Hamming distances of each fingerprint to N_PIVOTS reference fingerprints.
 2. Its rows are dealt to places where they can meet: the 64 bits are cut into N_RANGES ranges, and two fingerprints at up to 2
-   bits agree in all but 2 of them, so each row goes to the 15 choices of 4 of 6 ranges (about 43 bits). The
-   distances alone can't deal the rows: they spread by 4 around 32 for any reference, so bands of them would leave a constant
-   share of all pairs together.
-3. Pairs at a place are discarded if any coordinate of their table rows differs by more than 2 (by the triangle inequality
-   none of them links; see search_report for how many go), and the survivors are verified by bit count.
-4. A place of more than MOST_A_PLACE fingerprints (a dense cluster) makes no pairs. Its fingerprints are linked through
+   bits agree in all but 2 of them, so each row goes to the 6 choices of 2 of 4 ranges (32 bits). The distances alone can't deal all
+   rows (they spread by 4 around 32 for any reference, so bands of them would leave a constant share of all pairs together).
+3. A place of more than MOST_A_PLACE fingerprints is divided by the table before any pair exists: by one coordinate after another its rows go to bands of
+   3 distances, each to its own band and, if it is within 2 of the next, to that one too; so two rows that differ by at most 2 in the coordinate still
+   meet. It ends when no more than MOST_A_PLACE are left, or after DIVISIONS coordinates.
+4. Pairs at a place are discarded if any coordinate of their table rows differs by more than 2 (by the triangle inequality
+   none of them links), and the survivors are verified by bit count. search_report counts both.
+5. What is still crowded then (a cluster denser than any distance table can tell apart) makes no pairs. Its fingerprints are linked through
    the 65 points within a bit of each, which at most 65 share: exact as well, and linear.
 Components of the links follow by alternating stars.
 
@@ -37,7 +39,8 @@ from .components import components
 
 WIDTH = 3
 N_PIVOTS = 16
-N_RANGES = 6
+N_RANGES = 4
+DIVISIONS = 4
 MOST_A_PLACE = 256
 MOST_BITS = 2
 TIES = ["__tie", "__tie2"]
@@ -117,18 +120,39 @@ def survives(n: int) -> Column:
     return functools.reduce(operator.and_, [F.abs(coordinate("a", k) - coordinate("b", k)) <= MOST_BITS for k in range(n)])
 
 
+PLACE = ["__which", "__key", "__path"]
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """rows of places with __n, the number of the place's rows, only where two or more meet. Rows of very large places stay where they are (common.told)."""
+    counts = checkpointed(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
+    return checkpointed(told(rows, counts, PLACE))
+
+
+def divided(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of places by bands of coordinate k: each goes to the band of its distance and to that of its distance plus MOST_BITS, mostly the same."""
+    width, c = MOST_BITS + 1, coordinate("rows", k)
+    bands = F.array_distinct(F.array(F.floor(c / width), F.floor((c + MOST_BITS) / width)))
+    own = rows.alias("rows").withColumn("__band", F.explode(bands))
+    return own.withColumn("__path", F.shiftleft("__path", 5).bitwiseOR(F.col("__band") + 1)).drop("__band", "__n")
+
+
 def places_of(distinct: DataFrame, refs: list[int], most: int) -> tuple[DataFrame, DataFrame]:
-    """The pivot table's rows dealt to their places, only where two or more meet: (those of up to most rows, the fingerprints of larger ones)."""
-    near = dealt(pivot_table(distinct, refs))
-    near = near.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__which", "__key"))).filter("__n > 1")
-    near = checkpointed(near)
-    return near.filter(F.col("__n") <= most), near.filter(F.col("__n") > most).select("__fp").distinct()
+    """The pivot table's rows dealt to their places, only where two or more meet: (those of up to most rows, the fingerprints that are in larger ones after all divisions)."""
+    near = meeting(dealt(pivot_table(distinct, refs)).withColumn("__path", F.lit(0).cast("long")))
+    small, crowded = near.filter(F.col("__n") <= most), near.filter(F.col("__n") > most)
+    for k in range(min(DIVISIONS, len(refs))):
+        if crowded.limit(1).count() == 0:
+            break
+        near = meeting(divided(crowded, k))
+        small, crowded = small.unionByName(near.filter(F.col("__n") <= most)), near.filter(F.col("__n") > most)
+    return small, crowded.select("__fp").distinct()
 
 
 def met(small: DataFrame) -> DataFrame:
     """Pairs (a, b) of table rows at one place."""
-    same = (F.col("a.__which") == F.col("b.__which")) & (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__fp") < F.col("b.__fp"))
-    return small.alias("a").join(small.alias("b"), same)
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in PLACE]
+    return small.alias("a").join(small.alias("b"), functools.reduce(operator.and_, same) & (F.col("a.__fp") < F.col("b.__fp")))
 
 
 def bits_apart() -> Column:
@@ -164,8 +188,10 @@ def rooted(rows: DataFrame, least: Column) -> DataFrame:
     """Of rows with __fp: (__fp, root, __n, component_id) by distinct fingerprint; __n counts its rows, component_id is the minimum of least over the rows of the component."""
     distinct = checkpointed(rows.groupBy("__fp").agg(F.min(least).alias("__least"), F.count(F.lit(1)).alias("__n")))
     comp = components(links(distinct, pivots()))
-    named = distinct.join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    return checkpointed(named.join(named.groupBy("root").agg(F.min("__least").alias("component_id")), "root").drop("__least"))
+    named = distinct.withColumnRenamed("__n", "__rows").join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
+    named = checkpointed(named)
+    names = checkpointed(named.groupBy("root").agg(F.min("__least").alias("component_id"), F.count(F.lit(1)).alias("__n")))
+    return checkpointed(told(named, names, ["root"]).select("__fp", "root", F.col("__rows").alias("__n"), "component_id"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
