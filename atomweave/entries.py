@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from .operators import features as B
 from .operators import grids as G
 from .operators import kernels as K
 from .operators import models as M
+from .operators import networks as N
 from .operators import pairs as P
 from .operators import pooling as L
 from .operators import selection as X
@@ -129,6 +131,32 @@ def supercell(spark, sf_dir):
     return P.explode_atoms(s).groupBy("structure_id", "z").agg(F.count(F.lit(1)).alias("n"), R(F.sum("x"), 5).alias("sum_x"), R(F.sum("y"), 5).alias("sum_y"), R(F.sum("zc"), 5).alias("sum_z"))
 
 
+MATRIX = [[1, 1, 0], [-1, 1, 0], [0, 1, 2]]
+
+
+@query
+def matrix_supercell(spark, sf_dir):
+    """Crystals in a cell of combined cell vectors, four times as large."""
+    s = FX.matrix_supercell(D.crystals(spark, sf_dir), MATRIX)
+    cell = [F.get(F.get("cell", F.lit(r)), F.lit(r)) for r in range(3)]
+    size = s.select("structure_id", R(cell[0] + 10 * cell[1] + 100 * cell[2], 5).alias("cell"))
+    a = P.explode_atoms(s).groupBy("structure_id", "z").agg(F.count(F.lit(1)).alias("n"), *[R(F.sum(c), 4).alias(f"sum_{c}") for c in ("x", "y", "zc")])
+    return a.join(size, "structure_id")
+
+
+@query
+def miller_slab(spark, sf_dir):
+    """Two layers of each crystal on its plane (1 1 2), with vacuum: atoms, heights over the plane and the cell."""
+    s = FX.miller_slab(D.crystals(spark, sf_dir), (1, 1, 2), 2, 10.0)
+    up = F.col("cell")[2]
+    long_ = F.sqrt(up[0] * up[0] + up[1] * up[1] + up[2] * up[2])
+    heights = F.aggregate("coords", F.lit(0.0), lambda t, p: t + (p[0] * up[0] + p[1] * up[1] + p[2] * up[2]) / long_)
+    a, b = F.col("cell")[0], F.col("cell")[1]
+    across = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    area = F.sqrt(across[0] * across[0] + across[1] * across[1] + across[2] * across[2])
+    return s.select("structure_id", F.size("charges").alias("n"), R(heights, 4).alias("heights"), R(long_, 5).alias("height"), R(area, 4).alias("area"), F.col("pbc.c").alias("open_side"))
+
+
 @query
 def two_body_sum(spark, sf_dir):
     """The flagship: neighbours, cutoff, grid lookup and sums by atom and channel."""
@@ -516,6 +544,32 @@ def message_network(spark, sf_dir):
     return M.message_network(nodes, P.edges(pairs(spark, sf_dir, NEAR)), NEAR, 2, [0.5, 2.0]).select("structure_id", R("p", 3).alias("p"))
 
 
+def _wave(seed, out, into):
+    return np.array(D.waves(seed, out, into)), np.array(D.waves(seed + 1, 1, out)[0])
+
+
+#: Networks of width 3 and two steps, with fixed weights: from features, and from a vector of each element with factors by distance.
+PLAIN_NETWORK = N.Network(NEAR, _wave(1, 3, 2), [[_wave(10, 3, 3), _wave(20, 3, 3)], [_wave(30, 3, 3), _wave(40, 3, 3)]], [[_wave(50, 3, 6), _wave(60, 3, 3)], [_wave(70, 3, 6), _wave(80, 3, 3)]], [_wave(90, 3, 3), _wave(100, 1, 3)])
+ELEMENT_NETWORK = N.Network(NEAR, {z: np.array(D.waves(z, 1, 3)[0]) for z in range(1, 93)}, PLAIN_NETWORK.messages, PLAIN_NETWORK.updates, PLAIN_NETWORK.output, [_wave(110, 3, 1), _wave(120, 3, 3)])
+
+
+def _network(spark, sf_dir, network):
+    nodes = D.atoms(spark, sf_dir).select("structure_id", "atom_id", "z", F.array(F.col("z") / 92.0, F.col("x") / 10.0).alias("features"))
+    return network.predict(nodes, P.edges(pairs(spark, sf_dir, NEAR))).select("structure_id", R("p", 5).alias("p"))
+
+
+@query
+def weighted_network(spark, sf_dir):
+    """A message network with weights over element and height of all atoms, summed by structure."""
+    return _network(spark, sf_dir, PLAIN_NETWORK)
+
+
+@query
+def element_network(spark, sf_dir):
+    """A message network that starts from element vectors and weighs messages by distance."""
+    return _network(spark, sf_dir, ELEMENT_NETWORK)
+
+
 @query
 def feature_blocks(spark, sf_dir):
     """Two blocks of each vector side by side, padded to 40; vectors that are all zero in the first block are dropped."""

@@ -81,23 +81,77 @@ def tiles_of(groups: DataFrame, n_groups: int, columns: list[str]) -> DataFrame:
     return left.join(right, ["a", "b"])
 
 
+def vectors(column: pa.Array, n: int) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), float).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def vector_groups(rows: DataFrame, n_groups: int) -> DataFrame:
+    """(grp, ids, x): rows (id, features) gathered in groups by identifier, as longs and doubles."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x = vectors(t.column("features"), t.num_rows)
+        return pa.table({"grp": t.column("grp").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    own = rows.select(group_of("id", n_groups).alias("grp"), F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+    return own.groupBy("grp").applyInArrow(one, "grp int, ids binary, x binary")
+
+
+def pairs_of(a_ids: np.ndarray, b_ids: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(a_ids, len(b_ids))), pa.array(np.tile(b_ids, len(a_ids))), pa.array(k.ravel())], names=["a_id", "b_id", "k"])
+
+
+PAIRS = "a_id long, b_id long, k double"
+
+
 def rectangular(rows: DataFrame, marks: DataFrame, kind: str = "laplacian", gamma: float = 0.05, degree: int = 2) -> DataFrame:
-    """(a_id, b_id, k) of every row (id, features) and every mark."""
-    f = {"laplacian": lambda a, b: S.laplacian(a, b, gamma), "rbf": lambda a, b: S.rbf(a, b, gamma), "polynomial": lambda a, b: S.polynomial(a, b, degree, gamma), "linear": S.inner}[kind]
-    a = rows.select(F.col("id").alias("a_id"), F.col("features").alias("__a"))
+    """(a_id, b_id, k) of every row (id, features) and every mark, in Arrow blocks. Up to MAX_LANDMARKS marks are broadcast and rows stream past them; more are
+    gathered in groups, as the rows are, and each group of rows meets each group of marks."""
+    n = marks.count()
+    if n <= MAX_LANDMARKS:
+        ids, x = landmarks(marks)
+        shared = rows.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), x))
+
+        def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b_ids, b = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(b_ids) else 0, 512):
+                    part = batch.slice(at, 512)
+                    yield pairs_of(part.column(0).to_numpy(), b_ids, matrix(vectors(part.column(1), part.num_rows), b, kind, gamma, degree))
+
+        return rows.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")).mapInArrow(past, PAIRS)
+    n_rows, n_marks = max(1, -(-rows.count() // MAX_LANDMARKS)), -(-n // MAX_LANDMARKS)
+    left = vector_groups(rows, n_rows).select("grp", F.explode(F.sequence(F.lit(0), F.lit(n_marks - 1))).alias("b"), F.col("ids").alias("idsa"), F.col("x").alias("xa"))
+    met = left.join(vector_groups(marks, n_marks).select(F.col("grp").alias("b"), F.col("ids").alias("idsb"), F.col("x").alias("xb")), "b")
+    return met.mapInArrow(lambda batches: (p for r in _sides(batches) for p in _blocks(r, kind, gamma, degree, False)), PAIRS)
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of two groups with their identifiers and matrices."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            for s in "ab":
+                r[f"ids{s}"] = np.frombuffer(r[f"ids{s}"], np.int64)
+                r[f"x{s}"] = np.frombuffer(r[f"x{s}"], float).reshape(len(r[f"ids{s}"]), -1)
+            yield r
 
-    def one(block: DataFrame) -> DataFrame:
-        b = block.select(F.col("id").alias("b_id"), F.col("features").alias("__b"))
-        return a.join(checked(b), F.lit(True)).select("a_id", "b_id", f(F.col("__a"), F.col("__b")).alias("k"))
 
-    return in_blocks(marks, "id", one)
+def _blocks(r: dict, kind: str, gamma: float, degree: int, mirrored: bool) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(r["idsa"]), 256):
+        ids = r["idsa"][at : at + 256]
+        k = matrix(r["xa"][at : at + 256], r["xb"], kind, gamma, degree)
+        yield pairs_of(ids, r["idsb"], k)
+        if mirrored:
+            yield pairs_of(r["idsb"], ids, k.T)
 
 
 def symmetric(rows: DataFrame, gamma: float = 0.05) -> DataFrame:
-    """The kernel of a set with itself, identifiers distinct: half of the pairs are computed, the others mirrored."""
-    half = rectangular(rows, rows, "laplacian", gamma).filter("a_id <= b_id")
-    both = F.when(F.col("a_id") == F.col("b_id"), F.array(F.struct("a_id", "b_id"))).otherwise(F.array(F.struct("a_id", "b_id"), F.struct(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))))
-    return half.select(F.explode(both).alias("p"), "k").select("p.*", "k")
+    """The kernel of a set with itself, identifiers distinct: blocks between groups a <= b are computed, the others mirrored."""
+    n_groups = max(1, -(-rows.count() // MAX_LANDMARKS))
+    met = tiles_of(vector_groups(rows, n_groups), n_groups, ["ids", "x"])
+    return met.mapInArrow(lambda batches: (p for r in _sides(batches) for p in _blocks(r, "laplacian", gamma, 2, r["a"] != r["b"])), PAIRS)
 
 
 def packed(atoms: DataFrame) -> DataFrame:

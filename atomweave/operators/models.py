@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .fits import SUMS, BlockModel, added, exact_model, sums_batch, vectors
+from .fits import SUMS, BlockModel, added, exact_model, sums_batch
+from .kernels import vectors
 
 MAX_WIDTH = 4096
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,15 @@ def shuffle_key(id_col: str, seed: int) -> Column:
     return (F.pmod(F.col(id_col), F.lit(2**31)) * FACTOR % MODULUS * (2 * seed + 1) + seed) % MODULUS
 
 
-def shuffled_rank(rows: DataFrame, id_col: str, seed: int, buckets: int = 64) -> DataFrame:
-    """rows with rank (from 1) in hash order. The hash range is cut into buckets whose counts are summed first, so no task orders the whole table."""
+#: Rows of a bucket of the hash range, about.
+BUCKET_ROWS = 100_000
+
+
+def shuffled_rank(rows: DataFrame, id_col: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows with rank (from 1) in hash order. The hash range is cut into buckets of about bucket_rows whose counts are summed first, so no task orders
+    more than a bucket, however large the table."""
+    n = rows.select(id_col).count()
+    buckets = 1 << min(20, max(6, math.ceil(math.log2(max(1, n / bucket_rows)))))  # at most a million counts, one row each
     key = shuffle_key(id_col, seed)
     part = F.floor(key / (MODULUS // buckets))
     own = rows.withColumn("__key", key).withColumn("__part", part)

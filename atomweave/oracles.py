@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from .operators.grids import VDW
+from .sources.derived import waves
 
 PI = repr(math.pi)
 
@@ -355,6 +356,50 @@ SQL["supercell"] = f"""WITH {_generated} SELECT structure_id::BIGINT AS structur
   FROM sites JOIN cells USING (structure_id), range(2) s(na), range(3) u(nc) GROUP BY structure_id, z"""
 
 
+# lattice points of the larger cell are those with coordinates in [0, 1): n times the adjugate of the matrix, over its determinant of 4
+SQL["matrix_supercell"] = f"""WITH {_generated}, n AS (SELECT na, nb, nc FROM range(-4, 5) s(na), range(-4, 5) t(nb), range(-4, 5) u(nc)
+  WHERE 2 * na + 2 * nb - nc BETWEEN 0 AND 3 AND -2 * na + 2 * nb - nc BETWEEN 0 AND 3 AND 2 * nc BETWEEN 0 AND 3)
+SELECT structure_id::BIGINT AS structure_id, z, count(*) AS n, {R('sum(x + na * ax)', 4)} AS sum_x, {R('sum(y + nb * b_y)', 4)} AS sum_y, {R('sum(w + nc * cz)', 4)} AS sum_zc, {R('any_value(ax + 10 * b_y + 200 * cz)', 5)} AS cell
+FROM sites JOIN cells USING (structure_id), n GROUP BY structure_id, z"""
+SQL["miller_slab"] = f"""WITH {_generated}, p AS (SELECT *, sqrt(1 / (ax * ax) + 1 / (b_y * b_y) + 4 / (cz * cz)) AS g FROM cells),
+h AS (SELECT structure_id, (x / ax + y / b_y + 2 * w / cz) / g AS low, 1 / g AS step, ax * b_y * cz * g AS area FROM sites JOIN p USING (structure_id))
+SELECT structure_id::BIGINT AS structure_id, (2 * count(*))::INT AS n, {R('sum(2 * low + step)', 4)} AS heights, {R('any_value(2 * step + 10)', 5)} AS height, {R('any_value(area)', 4)} AS area, false AS open_side FROM h GROUP BY structure_id"""
+
+
+def _dense(w: list[list[float]], b: list[float], inputs: list[str]) -> list[str]:
+    return [f"({' + '.join(f'{x!r}::DOUBLE * {c}' for x, c in zip(row, inputs, strict=True))} + {bias!r}::DOUBLE)" for row, bias in zip(w, b, strict=True)]
+
+
+def _layer(seed: int, out: int, into: int, inputs: list[str], prefix: str) -> str:
+    """Columns of a dense layer with the fixed weights of a seed."""
+    return ", ".join(f"{e} AS {prefix}{k}" for k, e in enumerate(_dense(waves(seed, out, into), waves(seed + 1, 1, out)[0], inputs)))
+
+
+def _network(start: str, factor: list[str], more: str = "") -> str:
+    h, silu = ["h0", "h1", "h2"], lambda n: [f"{n}{k} / (1 + exp(-{n}{k}))" for k in range(3)]
+    ctes, now = [f"s0 AS ({start})"], "s0"
+    for k in range(2):
+        ctes += [
+            f"a{k} AS (SELECT *, {_layer(10 + 20 * k, 3, 3, h, 'a')} FROM {now})",
+            f"m{k} AS (SELECT *, {_layer(20 + 20 * k, 3, 3, silu('a'), 'm')} FROM a{k})",
+            f"g{k} AS (SELECT e.structure_id, e.j AS atom_id, {', '.join(f'sum(m{c} * {factor[c]}) AS g{c}' for c in range(3))} FROM edges e JOIN m{k} ON m{k}.structure_id = e.structure_id AND m{k}.atom_id = e.i GROUP BY e.structure_id, e.j)",
+            f"b{k} AS (SELECT s.structure_id, s.atom_id, h0, h1, h2, {', '.join(f'coalesce(g{c}, 0) AS g{c}' for c in range(3))} FROM {now} s LEFT JOIN g{k} USING (structure_id, atom_id))",
+            f"c{k} AS (SELECT *, {_layer(50 + 20 * k, 3, 6, [*h, 'g0', 'g1', 'g2'], 'c')} FROM b{k})",
+            f"d{k} AS (SELECT *, {_layer(60 + 20 * k, 3, 3, silu('c'), 'd')} FROM c{k})",
+            f"s{k + 1} AS (SELECT structure_id, atom_id, {', '.join(f'h{c} + d{c} AS h{c}' for c in range(3))} FROM d{k})",
+        ]
+        now = f"s{k + 1}"
+    ctes += [f"o AS (SELECT *, {_layer(90, 3, 3, h, 'a')} FROM {now})", f"p AS (SELECT *, {_layer(100, 1, 3, silu('a'), 'p')} FROM o)"]
+    return f"WITH {pairs(4)}, {more}{', '.join(ctes)} SELECT structure_id, {R('sum(p0)', 5)} AS p FROM p GROUP BY structure_id"
+
+
+_edges = f"edges AS (SELECT structure_id, i, j, r, {cut('r', 4)} AS e FROM pairs), "
+SQL["weighted_network"] = _network(f"SELECT structure_id, atom_id, {_layer(1, 3, 2, ['(z / 92.0::DOUBLE)', '(x / 10.0::DOUBLE)'], 'h')} FROM atoms", ["e"] * 3, _edges)
+_far = f"far AS (SELECT *, {_layer(110, 3, 1, ['r'], 'q')} FROM pairs), edges AS (SELECT structure_id, i, j, {', '.join(f'{e} * {cut("r", 4)} AS e{k}' for k, e in enumerate(_dense(waves(120, 3, 3), waves(121, 1, 3)[0], [f'q{k} / (1 + exp(-q{k}))' for k in range(3)])))} FROM far), "
+_vectors = ", ".join(f"({z}, {', '.join(f'{x!r}::DOUBLE' for x in waves(z, 1, 3)[0])})" for z in range(1, 93))
+SQL["element_network"] = _network("SELECT structure_id, atom_id, h0, h1, h2 FROM atoms JOIN starts USING (z)", ["e0", "e1", "e2"], f"starts AS (SELECT * FROM (VALUES {_vectors}) v(z, h0, h1, h2)), {_far}")
+
+
 def _swept() -> str:
     """Eight settings one after the other, each on a grid of its own; triples of the largest cutoff are cut down."""
     grids, parts = [], []

@@ -49,6 +49,102 @@ def supercell(s: DataFrame, a: int, b: int, c: int) -> DataFrame:
     return s.select("structure_id", F.flatten(F.array_repeat("charges", a * b * c)).alias("charges"), F.flatten(moved).alias("coords"), cell.alias("cell"), "pbc", "target")
 
 
+def _times(v: list[int], m: list[list[int]]) -> list[int]:
+    return [sum(v[r] * m[r][c] for r in range(3)) for c in range(3)]
+
+
+def _adjugate(m: list[list[int]]) -> tuple[list[list[int]], int]:
+    """(adjugate, determinant) of an integer matrix."""
+    minor = lambda r, c: [m[(r + 1) % 3][(c + 1) % 3], m[(r + 1) % 3][(c + 2) % 3], m[(r + 2) % 3][(c + 1) % 3], m[(r + 2) % 3][(c + 2) % 3]]
+    cofactor = [[(x := minor(r, c))[0] * x[3] - x[1] * x[2] for c in range(3)] for r in range(3)]
+    return [[cofactor[c][r] for c in range(3)] for r in range(3)], sum(m[0][c] * cofactor[0][c] for c in range(3))
+
+
+def hermite_normal_form(m: list[list[int]]) -> list[list[int]]:
+    """The upper triangular matrix with a positive diagonal whose rows span the same lattice as m's."""
+    h = [list(r) for r in m]
+    for c in range(3):
+        while sum(h[r][c] != 0 for r in range(c, 3)) > 1 or h[c][c] == 0:
+            rest = [r for r in range(c, 3) if h[r][c] != 0]
+            if not rest:
+                raise ValueError("the matrix has no inverse")
+            low = min(rest, key=lambda r: abs(h[r][c]))
+            h[c], h[low] = h[low], h[c]
+            for r in range(c + 1, 3):
+                q = h[r][c] // h[c][c]
+                h[r] = [x - q * y for x, y in zip(h[r], h[c], strict=True)]
+        if h[c][c] < 0:
+            h[c] = [-x for x in h[c]]
+    return h
+
+
+def cosets(m: list[list[int]]) -> list[list[int]]:
+    """The |det m| lattice points in the cell spanned by m's rows: one of each coset, from the diagonal of the Hermite normal form, moved into the cell."""
+    adjugate, det = _adjugate(m)
+    h = hermite_normal_form(m)
+    out = []
+    for i in range(h[0][0]):
+        for j in range(h[1][1]):
+            for k in range(h[2][2]):
+                n = [i, j, k]
+                cells = [x // det for x in _times(n, adjugate)]
+                out.append([x - y for x, y in zip(n, _times(cells, m), strict=True)])
+    return sorted(out)
+
+
+def _repeated(s: DataFrame, shifts: list[list[int]], m: list[list[int]]) -> DataFrame:
+    """Each structure's atoms at every shift (in cell vectors), in the cell of the combinations m of its cell vectors."""
+    along = lambda n, x: sum((F.lit(float(n[r])) * F.col("cell")[r][x] for r in range(3)), F.lit(0.0))
+    steps = F.array(*[F.array(*[along(n, x) for x in range(3)]) for n in shifts])
+    moved = F.flatten(F.transform(steps, lambda d: F.transform("coords", lambda p: F.zip_with(p, d, lambda a, b: a + b))))
+    cell = F.array(*[F.array(*[along(r, x) for x in range(3)]) for r in m])
+    return s.withColumn("charges", F.flatten(F.array_repeat("charges", len(shifts)))).withColumn("coords", moved).withColumn("cell", cell)
+
+
+def matrix_supercell(s: DataFrame, m: list[list[int]]) -> DataFrame:
+    """Each structure in the cell whose vectors are the integer combinations m (rows) of its own: |det m| copies of its atoms. Only fully periodic
+    structures keep their neighbours."""
+    return _repeated(s, cosets(m), m)
+
+
+def plane_basis(hkl: tuple[int, int, int]) -> list[list[int]]:
+    """Integer vectors of determinant 1: two in the lattice plane hkl, and one that leads to the next plane."""
+    h, k, l = hkl  # noqa: E741
+
+    def euclid(a: int, b: int) -> tuple[int, int, int]:
+        """(g, x, y): x a + y b = g > 0, the greatest common divisor."""
+        x, y, u, v = 1, 0, 0, 1
+        while b:
+            q = a // b
+            a, b, x, y, u, v = b, a - q * b, u, v, x - q * u, y - q * v
+        return (a, x, y) if a > 0 else (-a, -x, -y)
+
+    if not any(hkl):
+        raise ValueError("a plane has an index other than 0")
+    if h == k == 0:
+        out = [[1, 0, 0], [0, 1, 0], [0, 0, 1 if l > 0 else -1]]
+    else:
+        g, p, q = euclid(h, k)
+        whole, r, t = euclid(g, l)
+        out = [[k // g, -h // g, 0], [-p * l // whole, -q * l // whole, g // whole], [r * p, r * q, t]]
+    if _adjugate(out)[1] < 0:
+        out[0] = [-x for x in out[0]]
+    return out
+
+
+def miller_slab(s: DataFrame, hkl: tuple[int, int, int], layers: int, vacuum: float) -> DataFrame:
+    """Each structure cut along the lattice plane hkl: layers copies of its cell, stacked across the plane, with vacuum above; the third cell vector stands upright on the plane
+    and isn't periodic."""
+    u = plane_basis(hkl)
+    out = _repeated(s, [[k * x for x in u[2]] for k in range(layers)], u)
+    a, b, c = (F.col("cell")[r] for r in range(3))
+    across = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    size = F.sqrt(sum((x * x for x in across), F.lit(0.0)))
+    step = sum((x * c[k] for k, x in enumerate(across)), F.lit(0.0)) / size
+    upright = F.array(*[x / size * (step * layers + vacuum) for x in across])
+    return out.withColumn("cell", F.array(a, b, upright)).withColumn("pbc", F.struct(F.col("pbc.a").alias("a"), F.col("pbc.b").alias("b"), F.lit(False).alias("c")))
+
+
 def vacancy(s: DataFrame, atom: int = 0) -> DataFrame:
     """Each structure without one of its atoms."""
     without = lambda c: F.filter(c, lambda _, i: i != atom)

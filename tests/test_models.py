@@ -108,14 +108,28 @@ def test_best_match_has_uniform_marginals_at_any_gamma():
     assert np.isfinite(K.sinkhorn(np.array([[0.5, 0.2], [0.0, 0.0]]), 0.01)) and K.sinkhorn(np.zeros((2, 2)), 0.01) == 0.0
 
 
-def test_blocks_of_marks_cover_all(spark):
+def test_blocks_of_marks_cover_all(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, features array<double>")
-    want = {(r.a_id, r.b_id): r.k for r in K.rectangular(rows, rows).collect()}
+    some = rows.filter("id % 2 = 0")
+    for kind in ("laplacian", "rbf"):
+        want = {(i, j): K.matrix(np.array([[i, 1.0]]), np.array([[j, 1.0]]), kind, 0.05)[0, 0] for i in range(40) for j in range(0, 40, 2)}
+        for most in (2000, 7):
+            monkeypatch.setattr(K, "MAX_LANDMARKS", most)
+            got = {(r.a_id, r.b_id): r.k for r in K.rectangular(rows, some, kind).collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    for most in (2000, 7):
+        monkeypatch.setattr(K, "MAX_LANDMARKS", most)
+        both = {(r.a_id, r.b_id): r.k for r in K.symmetric(rows).collect()}
+        assert len(both) == 1600 and all(v == pytest.approx(np.exp(-0.05 * abs(i - j))) for (i, j), v in both.items())
     a = rows.select(F.col("id").alias("a_id"))
     got = K.in_blocks(rows, "id", lambda b: a.crossJoin(b.select(F.col("id").alias("b_id"))), 7)
-    assert sorted((r.a_id, r.b_id) for r in got.collect()) == sorted(want)
-    both = {(r.a_id, r.b_id): r.k for r in K.symmetric(rows).collect()}
-    assert both == want and len(want) == 1600
+    assert got.count() == 1600
+
+
+def test_ranks_by_any_number_of_buckets(spark):
+    rows = spark.range(3000)
+    want = {r.id: r["rank"] for r in X.shuffled_rank(rows, "id", 5).collect()}
+    assert {r.id: r["rank"] for r in X.shuffled_rank(rows, "id", 5, 3).collect()} == want and sorted(want.values()) == list(range(1, 3001))
 
 
 def test_kernels_of_atoms_by_plain_loops(spark):
