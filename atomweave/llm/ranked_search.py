@@ -44,12 +44,12 @@ from .common import checkpointed, removed, text_of, written
 K = 20
 BLOCK = 8
 FIRST = 16
-SEGMENT_DOCS = 1024
-SEGMENT_BYTES = 1 << 21
+SEGMENT_DOCS = 512
+SEGMENT_BYTES = 1 << 20
 #: A chunk of queries ends at so many queries, so many bytes of text, or so many (query, term) cells.
 CHUNK_QUERIES, CHUNK_BYTES, CHUNK_CELLS = 256, 1 << 22, 1 << 22
-#: Row groups of the index: rows are some MB, so few are decoded at a time.
-ROW_GROUP = 16 << 20
+#: Row groups of the index, whose size is looked at after every row: rows are a MB or so, and a reader decodes a whole group.
+ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 #: The same terms as characters (for Spark) and as UTF-8 bytes: digits, letters and everything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -142,7 +142,7 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
             yield row()
 
     segments = texts.mapInArrow(each, SEGMENT)
-    return Index(*written(segments, "forward-index", **{"parquet.block.size": ROW_GROUP}), n_docs, total, block)
+    return Index(*written(segments, "forward-index", **ROW_GROUPS), n_docs, total, block)
 
 
 class Queries:
