@@ -124,9 +124,8 @@ PLACE = ["__which", "__key", "__path"]
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """rows of places with __n, the number of the place's rows, only where two or more meet. Rows of very large places stay where they are (common.told)."""
-    counts = checkpointed(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
-    return checkpointed(told(rows, counts, PLACE))
+    """rows of places with __n, the number of the place's rows, only where two or more meet."""
+    return checkpointed(rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*PLACE))).filter("__n > 1"))
 
 
 def divided(rows: DataFrame, k: int) -> DataFrame:
