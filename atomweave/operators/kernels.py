@@ -155,7 +155,11 @@ def symmetric(rows: DataFrame, gamma: float = 0.05) -> DataFrame:
 
 
 def packed(atoms: DataFrame) -> DataFrame:
-    """(structure_id, charges, atoms): atoms (structure_id, atom_id, z, features) as one row a structure, in atom order, with their numbers."""
+    """(structure_id, charges, atoms, numbers): atoms (structure_id, atom_id, z, features) as one row a structure, in atom order, with their numbers. Structures
+    (structure_id, charges, atoms) are packed already; their atoms are numbered from 0."""
+    if "charges" in atoms.columns:
+        numbers = F.transform("charges", lambda _, i: i)
+        return atoms.select("structure_id", F.col("charges").cast("array<double>").alias("charges"), F.col("atoms").cast("array<array<double>>").alias("atoms"), numbers.alias("numbers"))
     g = atoms.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("atom_id", F.col("z").cast("double").alias("z"), "features"))).alias("a"))
     return g.select("structure_id", F.transform("a", lambda x: x["z"]).alias("charges"), F.transform("a", lambda x: x["features"]).alias("atoms"), F.transform("a", lambda x: x["atom_id"]).alias("numbers"))
 
