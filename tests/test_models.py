@@ -1,6 +1,7 @@
 """Kernels, linear and kernel models, gradients and splits against plain numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,23 @@ def test_many_exact_fits_at_once(spark, direct):
         assert g[2] == pytest.approx(w[2], rel=1e-6) and g[4] < 1e-6
 
 
+def test_exact_fits_of_5000_rows_with_all_landmarks(spark):
+    """Beyond what one task solves, with the default number of landmarks, against numpy's solution of the same systems."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5000, 8))
+    y = np.sin(x[:, 0]) + x[:, 1] * x[:, 2] + 0.1 * rng.normal(size=5000)
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(5000), "features": x.tolist(), "target": y}), "id long, features array<double>, target double")
+    i = F.col("id")
+    dealt = rows.withColumn("train", F.array(i % 5 != 0)).withColumn("test", F.array(i % 5 == 0)).persist()
+    fits = [T.Fit(0.05, [0.1, 1.0])]
+    got = T.exact(dealt, fits, T.measure(dealt, fits), 1250)
+    dealt.unpersist()
+    test = np.arange(5000) % 5 == 0
+    want = plain_errors(x, y, ~test, test, T.Fit(0.05, [0.1, 1.0]))
+    for g, w in zip(got, want, strict=True):
+        assert g[3] == 1000 and g[2] == pytest.approx(w, rel=1e-6) and g[4] < 1e-7
+
+
 def test_landmarks_of_all_rows_are_exact(spark):
     _, _, rows = regression(spark, 60, 4)
     a = {r.fold: r.mae for r in E.cross_validate(rows, 3, 0.05, (0.1,)).collect()}
