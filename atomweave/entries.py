@@ -19,6 +19,7 @@ from .operators import pairs as P
 from .operators import pooling as L
 from .operators import selection as X
 from .operators import stats as A
+from .operators import trajectories as TR
 from .operators import tuples as T
 from .oracles import SQL
 from .plans import evaluation as E
@@ -125,6 +126,12 @@ def crystal_neighbors(spark, sf_dir):
     return p.groupBy("structure_id", "i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 5).alias("sum_r"))
 
 
+@query
+def trajectory_neighbors(spark, sf_dir):
+    p = TR.trajectory_pairs(D.trajectories(spark, sf_dir), 4.15, 0.8)
+    return p.groupBy("structure_id", "frame").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 4).alias("sum_r"))
+
+
 @query
 def supercell(spark, sf_dir):
     s = FX.supercell(D.crystals(spark, sf_dir), 2, 1, 3)

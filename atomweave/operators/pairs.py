@@ -63,12 +63,12 @@ def images(s: DataFrame, rcut: float) -> DataFrame:
     return out.select("structure_id", "nx", "ny", "nz", *[c.alias(k) for c, k in zip(shift, ("sx", "sy", "sz"), strict=True)])
 
 
-def periodic_pairs(s: DataFrame, rcut: float, split: bool = False) -> DataFrame:
+def periodic_pairs(s: DataFrame, rcut: float, split: bool = False, least: float = 1e-10) -> DataFrame:
     """As molecular_pairs over all periodic images, with the image (nx, ny, nz) of the neighbour; an atom is no neighbour of itself, but of its images.
 
     Without split a structure's pairs are made in one task and the result stays dealt by structure, which suits many structures of up to some
     hundred atoms. With split, atoms and images are binned by rcut and meet by bin, so that the work of a large structure grows with its
-    atoms and is shared by many tasks, at the cost of one more shuffle. Both give the same rows.
+    atoms and is shared by many tasks, at the cost of one more shuffle. Both give the same rows. Pairs at a distance of at most least are left out.
     """
     atoms = explode_atoms(s)
     right = _side(atoms, "j").join(images(s, rcut), "structure_id")
@@ -87,7 +87,7 @@ def periodic_pairs(s: DataFrame, rcut: float, split: bool = False) -> DataFrame:
     p = p.select("structure_id", F.col("atom_id_i").alias("i"), F.col("atom_id_j").alias("j"), "nx", "ny", "nz", "z_i", "z_j", *[c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)])
     p = p.withColumn("r", S.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
     home = (F.col("i") == F.col("j")) & (F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)
-    return p.filter((F.col("r") > 1e-10) & (F.col("r") < rcut) & ~home)
+    return p.filter((F.col("r") > least) & (F.col("r") < rcut) & ~home)
 
 
 def neighbor_ordinal(pairs: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def crystals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.cast("long").alias("structure_id"), charges.alias("charges"), coords.alias("coords"), cell.alias("cell"), pbc.alias("pbc"), F.lit(None).cast("double").alias("target"))
 
 
+def trajectories(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+    """n frames of each supplier's crystal, with a column frame: a frame moves atoms by 0.06 down, not at all or up along an axis, by (number + axis) modulo 3."""
+    frames = crystals(spark, sf_dir).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    step = lambda i, k: F.col("frame") * 0.06 * (F.pmod(i + k, F.lit(3)) - 1)
+    return frames.withColumn("coords", F.transform("coords", lambda p, i: F.array(*[p[k] + step(i, k) for k in range(3)])))
+
+
 def waves(seed: int, rows: int, columns: int) -> list[list[float]]:
     """A matrix of fixed numbers, for models whose weights aren't learned here."""
     return [[round(math.sin(seed + 3 * i + 7 * j) / math.sqrt(columns), 6) for j in range(columns)] for i in range(rows)]

@@ -24,6 +24,13 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("frame bigint, E double, F array<array<double>>, R array<array<double>>, z array<int>").parquet(path)
 
 
+def trajectory_frames(frames: DataFrame, structure_id: int = 0) -> DataFrame:
+    """Frames (frame, E, R, z) of one molecule as STRUCTURES with a column frame: no periodic axis, a cell of unit length, the energy as target."""
+    unit = F.array(*[F.array(*[F.lit(float(a == b)) for b in range(3)]) for a in range(3)])
+    pbc = F.struct(*[F.lit(False).alias(a) for a in "abc"])
+    return frames.select(F.lit(structure_id).cast("long").alias("structure_id"), "frame", F.col("z").cast("array<double>").alias("charges"), F.col("R").alias("coords"), unit.alias("cell"), pbc.alias("pbc"), F.col("E").alias("target"))
+
+
 def write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
