@@ -126,6 +126,14 @@ def crystal_neighbors(spark, sf_dir):
     return p.groupBy("structure_id", "i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("r"), 5).alias("sum_r"))
 
 
+@query
+def mixed_size_neighbors(spark, sf_dir):
+    """Crystals of 16 atoms, every tenth of them repeated to 576: the large ones are binned."""
+    s, tenth = D.crystals(spark, sf_dir), F.col("structure_id") % 10 == 0
+    p = P.periodic_pairs(s.filter(~tenth).unionByName(FX.supercell(s.filter(tenth), 3, 3, 4)), 4.15, split=None)
+    return p.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), R(F.avg("r"), 5).alias("mean_r"))
+
+
 @query
 def trajectory_neighbors(spark, sf_dir):
     p = TR.trajectory_pairs(D.trajectories(spark, sf_dir), 4.15, 0.8)

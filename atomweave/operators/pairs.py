@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def explode_atoms(s: DataFrame) -> DataFrame:
-    """STRUCTURES -> atoms; charges and coords must have equal lengths."""
+#: Atoms above which periodic_pairs bins a structure if it is to choose.
+LARGE = 512
+
+
+def explode_atoms(s: DataFrame, *also: str) -> DataFrame:
+    """STRUCTURES -> atoms, with other columns of the structure; charges and coords must have equal lengths."""
     both = F.arrays_zip(F.col("charges").alias("q"), F.col("coords").alias("p"))
     checked = F.when(F.size("charges") == F.size("coords"), both).otherwise(F.raise_error(F.lit("charges and coords differ in length")).cast("array<struct<q:double,p:array<double>>>"))
-    a = s.select("structure_id", F.posexplode(checked).alias("atom_id", "a"))
-    return a.select("structure_id", "atom_id", F.col("a.q").cast("int").alias("z"), *[F.col("a.p")[k].alias(n) for k, n in enumerate(("x", "y", "zc"))])
+    a = s.select("structure_id", *also, F.posexplode(checked).alias("atom_id", "a"))
+    return a.select("structure_id", *also, "atom_id", F.col("a.q").cast("int").alias("z"), *[F.col("a.p")[k].alias(n) for k, n in enumerate(("x", "y", "zc"))])
 
 
 def _side(atoms: DataFrame, name: str) -> DataFrame:
@@ -45,8 +49,8 @@ def _along(across: S.Vec, volume: Column) -> Column:
     return F.transform("coords", lambda p: (p[0] * across[0] + p[1] * across[1] + p[2] * across[2]) / volume)
 
 
-def images(s: DataFrame, rcut: float) -> DataFrame:
-    """(structure_id, nx, ny, nz, sx, sy, sz): the cells around a structure that can hold neighbours. Along an axis of height h, two atoms whose fractions
+def images(s: DataFrame, rcut: float, *also: str) -> DataFrame:
+    """(structure_id, also, nx, ny, nz, sx, sy, sz): the cells around a structure that can hold neighbours. Along an axis of height h, two atoms whose fractions
     of the cell differ by at most d meet only in images up to rcut / h + d, so the range is no wider than that, also for atoms outside their cell."""
     cell = cell_columns(F.col("cell"))
     volume = S.dot(cell[0], S.cross(cell[1], cell[2]))
@@ -56,38 +60,69 @@ def images(s: DataFrame, rcut: float) -> DataFrame:
         fractions = _along(across, volume)
         spread = F.when((volume != 0) & (F.size("coords") > 0), F.array_max(fractions) - F.array_min(fractions)).otherwise(F.lit(0.0))
         n.append(F.when(F.col("pbc")[a], F.floor(F.lit(rcut) / h + spread + 1e-9).cast("int")).otherwise(F.lit(0)))
-    out = s.select("structure_id", "cell", *[c.alias(f"n_{a}") for c, a in zip(n, "abc", strict=True)])
+    out = s.select("structure_id", *also, "cell", *[c.alias(f"n_{a}") for c, a in zip(n, "abc", strict=True)])
     for a, name in zip("abc", ("nx", "ny", "nz"), strict=True):
         out = out.withColumn(name, F.explode(F.sequence(-F.col(f"n_{a}"), F.col(f"n_{a}"))))
     shift = S.image_shift((F.col("nx"), F.col("ny"), F.col("nz")), cell)
-    return out.select("structure_id", "nx", "ny", "nz", *[c.alias(k) for c, k in zip(shift, ("sx", "sy", "sz"), strict=True)])
+    return out.select("structure_id", *also, "nx", "ny", "nz", *[c.alias(k) for c, k in zip(shift, ("sx", "sy", "sz"), strict=True)])
+
+
+def _images_of(atoms: DataFrame, cells: DataFrame, *also: str) -> DataFrame:
+    """Atoms (side j) at every image of their structure."""
+    place = [(F.col(f"{c}_j") + F.col(k)).alias(f"{c}_j") for c, k in zip(("x", "y", "zc"), ("sx", "sy", "sz"), strict=True)]
+    return _side(atoms, "j").join(cells, "structure_id").select("structure_id", *also, "atom_id_j", "z_j", "nx", "ny", "nz", *place)
+
 
+PAIR = ["i", "j", "nx", "ny", "nz", "z_i", "z_j", "dx", "dy", "dz"]
 
-def periodic_pairs(s: DataFrame, rcut: float, split: bool = False, least: float = 1e-10) -> DataFrame:
+
+def _measured(met: DataFrame, rcut: float, least: float) -> DataFrame:
+    d = gap("j", "i")
+    p = met.select("structure_id", F.col("atom_id_i").alias("i"), F.col("atom_id_j").alias("j"), "nx", "ny", "nz", "z_i", "z_j", *[c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)])
+    return p.withColumn("r", S.norm((F.col("dx"), F.col("dy"), F.col("dz")))).filter((F.col("r") > least) & (F.col("r") < rcut))
+
+
+def periodic_pairs(s: DataFrame, rcut: float, split: bool | None = False, least: float = 1e-10) -> DataFrame:
     """As molecular_pairs over all periodic images, with the image (nx, ny, nz) of the neighbour; an atom is no neighbour of itself, but of its images.
 
     Without split a structure's pairs are made in one task and the result stays dealt by structure, which suits many structures of up to some
     hundred atoms. With split, atoms and images are binned by rcut and meet by bin, so that the work of a large structure grows with its
-    atoms and is shared by many tasks, at the cost of one more shuffle. Both give the same rows. Pairs at a distance of at most least are left out.
+    atoms and is shared by many tasks, at the cost of one more shuffle; None bins the structures of more than LARGE atoms only, for tables
+    that hold both kinds. All give the same rows. Pairs at a distance of at most least are left out.
     """
+    if split is not False:
+        return _binned_pairs(s, rcut, split is True, least)
     atoms = explode_atoms(s)
-    right = _side(atoms, "j").join(images(s, rcut), "structure_id")
-    moved = right.select("structure_id", "atom_id_j", "z_j", "nx", "ny", "nz", *[(F.col(f"{c}_j") + F.col(k)).alias(f"{c}_j") for c, k in zip(("x", "y", "zc"), ("sx", "sy", "sz"), strict=True)])
-    left, on = _side(atoms, "i"), ["structure_id"]
-    if split:
-        bin_of = lambda side: [F.floor(F.col(f"{c}_{side}") / rcut) for c in ("x", "y", "zc")]
-        around = [F.array(*[b + d for d in (-1, 0, 1)]) for b in bin_of("i")]
-        bins = ["bx", "by", "bz"]
-        for name, options in zip(bins, around, strict=True):
-            left = left.withColumn(name, F.explode(options))
-        moved = moved.select("*", *[b.alias(n) for b, n in zip(bin_of("j"), bins, strict=True)])
-        on = [*on, *bins]
-    p = left.join(moved, on)
-    d = gap("j", "i")
-    p = p.select("structure_id", F.col("atom_id_i").alias("i"), F.col("atom_id_j").alias("j"), "nx", "ny", "nz", "z_i", "z_j", *[c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)])
-    p = p.withColumn("r", S.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
+    p = _measured(_side(atoms, "i").join(_images_of(atoms, images(s, rcut)), "structure_id"), rcut, least)
     home = (F.col("i") == F.col("j")) & (F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)
-    return p.filter((F.col("r") > least) & (F.col("r") < rcut) & ~home)
+    return p.filter(~home)
+
+
+def _binned_pairs(s: DataFrame, rcut: float, every: bool, least: float) -> DataFrame:
+    """periodic_pairs by bins. Images beyond the cutoff around the box of a structure's atoms go before they are shuffled, and of (i, j, n) and (j, i, -n) one is
+    measured and turned round. Structures that aren't binned meet in one bin."""
+    axes = ["x", "y", "zc"]
+    along = lambda k: F.transform("coords", lambda p: p[k])
+    bounds = [f(along(k)).alias(f"{name}_{c}") for k, c in enumerate(axes) for name, f in (("low", F.array_min), ("high", F.array_max))]
+    ends = [f"{name}_{c}" for c in axes for name in ("low", "high")]
+    own = s.select("structure_id", "charges", "coords", "cell", "pbc", *bounds, (F.lit(every) | (F.size("coords") > LARGE)).alias("binned"))
+    near = F.lit(True)
+    for c in axes:
+        near = near & (F.col(f"{c}_j") >= F.col(f"low_{c}") - rcut - 1e-6) & (F.col(f"{c}_j") <= F.col(f"high_{c}") + rcut + 1e-6)
+    moved = _images_of(explode_atoms(s), images(own, rcut, "binned", *ends), "binned", *ends).filter(near).drop(*ends)
+    left = explode_atoms(own, "binned").select("structure_id", "binned", *[F.col(c).alias(f"{c}_i") for c in ("atom_id", "z", *axes)])
+    bin_of = lambda c, side: F.floor(F.col(f"{c}_{side}") / rcut)
+    one = F.lit(0).cast("long")
+    for c in axes:
+        left = left.withColumn(f"bin_{c}", F.explode(F.when(F.col("binned"), F.array(*[bin_of(c, "i") + d for d in (-1, 0, 1)])).otherwise(F.array(one))))
+        moved = moved.withColumn(f"bin_{c}", F.when(F.col("binned"), bin_of(c, "j")).otherwise(one))
+    met = left.drop("binned").join(moved.drop("binned"), ["structure_id", *[f"bin_{c}" for c in axes]])
+    same, n = F.col("atom_id_i") == F.col("atom_id_j"), [F.col(c) for c in ("nx", "ny", "nz")]
+    ahead = (n[0] > 0) | ((n[0] == 0) & ((n[1] > 0) | ((n[1] == 0) & (n[2] > 0))))
+    p = _measured(met.filter((F.col("atom_id_i") < F.col("atom_id_j")) | (same & ahead)), rcut, least)
+    turned = {"i": F.col("j"), "j": F.col("i"), "z_i": F.col("z_j"), "z_j": F.col("z_i")}
+    both = F.array(F.struct(*PAIR), F.struct(*[turned.get(c, 0 - F.col(c)).alias(c) for c in PAIR]))
+    return p.select("structure_id", F.explode(both).alias("p"), "r").select("structure_id", *[F.col(f"p.{c}").alias(c) for c in PAIR], "r")
 
 
 def neighbor_ordinal(pairs: DataFrame) -> DataFrame:

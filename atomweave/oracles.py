@@ -352,6 +352,8 @@ q0 AS (SELECT p.structure_id, p.i, p.z_i, {_legs('pqs')} FROM {_join('pqs')}), q
 f AS ({whole(3.2, 320, 630)} UNION ALL {block(_four, 'solid', 40)} UNION ALL {block(_five, 'plane', 60)})
 {framed('cells', 72, squeezed('coalesce(g.v, 0)'))}"""
 SQL["crystal_neighbors"] = f"""WITH {_generated}, {image_pairs(6.0, 3)} SELECT structure_id::BIGINT AS structure_id, i, count(*) AS n, {R('sum(r)', 5)} AS sum_r FROM pairs GROUP BY structure_id, i"""
+# a crystal repeated 36 times has 36 times the pairs
+SQL["mixed_size_neighbors"] = f"""WITH {_generated}, {image_pairs(4.15, 2)} SELECT structure_id::BIGINT AS structure_id, (count(*) * CASE WHEN structure_id % 10 = 0 THEN 36 ELSE 1 END)::BIGINT AS n, {R('avg(r)', 5)} AS mean_r FROM pairs GROUP BY structure_id"""
 _frames = image_pairs(4.15, 2).replace("sites a JOIN sites b", "sites_t a JOIN sites_t b").replace("cells USING", "cells_t USING")
 SQL["trajectory_neighbors"] = f"""WITH {_generated}, sites_t AS (SELECT structure_id * 8 + t AS structure_id, i, z, x + t * 0.06::DOUBLE * (i % 3 - 1) AS x, y + t * 0.06::DOUBLE * ((i + 1) % 3 - 1) AS y, w + t * 0.06::DOUBLE * ((i + 2) % 3 - 1) AS w FROM sites, range(8) r(t)),
 cells_t AS (SELECT c.* REPLACE (structure_id * 8 + t AS structure_id) FROM cells c, range(8) r(t)), {_frames}

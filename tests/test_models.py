@@ -324,17 +324,31 @@ def test_gradients_of_features_and_forces(spark):
             assert forces[a][axis] == pytest.approx(-(energy(s) - energy(s + 1)) / (2 * h), rel=1e-3, abs=1e-4)
 
 
-def test_split_pairs_are_the_same_pairs(spark):
+def test_split_pairs_are_the_same_pairs(spark, monkeypatch):
     s = FX.structures(spark).unionByName(spark.createDataFrame([(9, [6.0, 8.0], [[-7.0, 0.2, 9.1], [12.5, 3.3, -4.0]], [[3.0, 0.0, 0.0], [0.5, 4.0, 0.0], [0.0, 0.0, 5.0]], (True, False, True), None)], STRUCTURES))
     key = lambda df: sorted((r.structure_id, r.i, r.j, r.nx, r.ny, r.nz, round(r.r, 9)) for r in df.collect())
     plain = key(P.periodic_pairs(s, 4.0))
-    assert plain == key(P.periodic_pairs(s, 4.0, split=True))
+    assert plain == key(P.periodic_pairs(s, 4.0, split=True)) == key(P.periodic_pairs(s, 4.0, split=None))
+    monkeypatch.setattr(P, "LARGE", 4)  # some are binned, some aren't
+    assert plain == key(P.periodic_pairs(s.withColumn("binned", F.lit("x")), 4.0, split=None))
+    odd = spark.createDataFrame([(2, [], [], [[3.0, 0.0, 0.0], [0.0, 3.0, 0.0], [0.0, 0.0, 3.0]], (True,) * 3, None)], STRUCTURES)
+    assert P.periodic_pairs(odd, 4.0, split=True).count() == P.periodic_pairs(odd, 4.0).count() == 0
     # atoms outside their cell: every image within reach, by a plain loop
     x, cell = np.array([[-7.0, 0.2, 9.1], [12.5, 3.3, -4.0]]), np.array([[3.0, 0, 0], [0.5, 4.0, 0], [0, 0, 5.0]])
     want = sum(1 for i in range(2) for j in range(2) for a in range(-12, 13) for c in range(-8, 9) if not (i == j and a == c == 0) and 1e-10 < np.linalg.norm(x[j] - x[i] + a * cell[0] + c * cell[2]) < 4.0)
     assert sum(1 for r in plain if r[0] == 9) == want
 
 
+def test_a_structure_of_thousands_of_atoms_beside_small_ones(spark):
+    """The pairs of a repeated crystal are those of the crystal, times the repetitions; its work is shared by bins."""
+    s = FX.structures(spark, ["cu_fcc", "triclinic"])
+    large = FX.supercell(s.filter("structure_id = 0"), 10, 9, 8).withColumn("structure_id", F.lit(100).cast("long"))  # 2,880 atoms
+    count = lambda df: {r.structure_id: (r.n, r.s) for r in df.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s")).collect()}
+    plain, both = count(P.periodic_pairs(s, 4.2)), count(P.periodic_pairs(s.unionByName(large), 4.2, split=None))
+    n, r = plain[0]
+    assert both[100] == (n * 720, pytest.approx(r * 720)) and {k: v[0] for k, v in both.items() if k != 100} == {k: v[0] for k, v in plain.items()}
+
+
 def test_legacy_features_have_65_channels(spark):
     rows = [(1, 0, 6, 0.0, 0.0, 0.0), (1, 1, 1, 1.1, 0.0, 0.0), (1, 2, 1, 0.0, 1.2, 0.1), (2, 0, 8, 0.0, 0.0, 0.0)]
     f = {(r.structure_id, r.atom_id): np.array(r.features) for r in PF.legacy_features(spark.createDataFrame(rows, ATOMS), PF.Parameters(rcut=4.0, smooth=False, lookup="round", step=0.05, angle_step=0.05)).collect()}
