@@ -2,9 +2,46 @@
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from atomweave import entries
 from atomweave.operators import kernels as K
+from atomweave.streaming import features as ST
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_of_a_cluster_checkpoint_below_the_shared_folder(spark, monkeypatch, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, -2.0]), (1, [3.0, 4.0]), (2, [0.0, 5.0])], "z int, features array<double>")
+    rows.write.parquet(str(tmp_path / "rows"))
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    q = ST.running_factors(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows")), "shared_factors")
+    q.awaitTermination()
+    assert {(r.z, r.channel): r.factor for r in spark.table("shared_factors").collect()} == {(1, 0): 2.0, (1, 1): 3.0, (2, 0): 1.0, (2, 1): 5.0}
+    assert list((tmp_path / "shared").rglob("shared_factors/metadata"))
+
+
+def test_no_exploded_side_goes_through_the_driver(spark):
+    for name in ("mixed_size_neighbors", "crystal_neighbors", "periodic_pairs", "trajectory_neighbors"):
+        assert "BroadcastHashJoin" not in plan_of(entries.QUERIES[name](spark, SF)), name
+
+
+def test_kernels_of_one_pass_are_not_joined(spark, monkeypatch):
+    df = entries.polynomial_rbf_kernels(spark, SF)
+    assert "Join" not in plan_of(df) and "Exchange" not in plan_of(df)
+    rows = spark.createDataFrame([(i, [i / 7.0, 1.0 - i / 5.0]) for i in range(9)], "id long, features array<double>")
+    kernels = {"p": ("polynomial", 0.5, 3), "r": ("rbf", 0.3, 2)}
+    want = {c: {(x.a_id, x.b_id): x.k for x in K.rectangular(rows, rows.filter("id % 2 = 0"), *k).collect()} for c, k in kernels.items()}
+    for most in (2000, 3):
+        monkeypatch.setattr(K, "MAX_LANDMARKS", most)
+        got = K.rectangulars(rows, rows.filter("id % 2 = 0"), kernels).collect()
+        assert len(got) == 45
+        for x in got:
+            assert (x.p, x.r) == pytest.approx((want["p"][x.a_id, x.b_id], want["r"][x.a_id, x.b_id]), rel=1e-12)
 
 
 def test_matches_in_batches_are_those_of_one_at_a_time(spark):
