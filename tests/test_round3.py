@@ -8,11 +8,13 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from atomweave import entries
+from atomweave.functions import scalars as S
 from atomweave.operators import features as B
 from atomweave.operators import grids as G
 from atomweave.operators import kernels as K
 from atomweave.operators import pairs as P
 from atomweave.operators import tuples as T
+from atomweave.plans import features as PF
 from atomweave.sources import derived as D
 from atomweave.streaming import features as ST
 
@@ -96,3 +98,32 @@ def test_many_neighbours_come_in_pieces():
     pieces = list(B._triples(45))
     assert max(p.shape[1] for p in pieces) <= B.TOGETHER < 45 * 44 * 43 // 6
     assert (np.hstack(pieces) == np.array(list(combinations(range(45), 3))).T).all()
+
+
+def test_pair_forces_are_those_of_displaced_copies(spark):
+    atoms = D.atoms(spark, SF).filter("structure_id < 60")
+    energy = lambda a: P.molecular_pairs(a, 6.0).groupBy("structure_id").agg(F.sum(S.cutoff(F.col("r"), 6.0)).alias("energy"))
+    want = {(r.structure_id, r.atom_id, r.axis): r.force or 0.0 for r in PF.forces(atoms, energy).collect()}
+    df = PF.pair_forces(atoms, lambda r: S.cutoff(r, 6.0), 6.0)
+    got = {(r.structure_id, r.atom_id, r.axis): r.force for r in df.collect()}
+    assert got.keys() >= want.keys() and len(got) == 3 * atoms.count()  # atoms without a partner have no energy here
+    assert all(got[k] == pytest.approx(want.get(k, 0.0), abs=1e-6) for k in got)
+    assert "who" not in plan_of(entries.force_field(spark, SF))  # no structure is copied
+
+
+def test_every_triple_has_a_row(spark):
+    per_centre = P.molecular_pairs(D.atoms(spark, SF), 6.0).groupBy("structure_id", "i").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+    df = entries.triple_join(spark, SF)
+    assert {"p", "q"} <= set(df.columns) and 0 < df.count() <= per_centre
+    assert df.groupBy("structure_id", "i", "p", "q").count().filter("count > 1").count() == 0
+
+
+def test_groups_of_a_large_set_are_larger(spark, monkeypatch):
+    monkeypatch.setattr(K, "MAX_LANDMARKS", 2)
+    sizes = []
+    tiles_of = K.tiles_of
+    monkeypatch.setattr(K, "tiles_of", lambda groups, n, c: sizes.append(n) or tiles_of(groups, n, c))
+    rows = spark.createDataFrame([(i, [i / 7.0, 1.0]) for i in range(90)], "id long, features array<double>")
+    got = {(r.a_id, r.b_id): r.k for r in K.symmetric(rows, 0.5).collect()}
+    assert sizes == [18] and len(got) == 8100  # groups of 5 and not of 2
+    assert all(k == pytest.approx(np.exp(-abs(a - b) / 14.0)) for (a, b), k in got.items())
