@@ -62,7 +62,9 @@ def trajectory_pairs(frames: DataFrame, rcut: float, skin: float = 1.0, block: i
     n, cell = [F.col(c) for c in ("nx", "ny", "nz")], F.col("cell")
     shift = lambda k: F.when(n[0].eqNullSafe(F.lit(0)) & (n[1] == 0) & (n[2] == 0), F.lit(0.0)).otherwise(n[0] * cell[0][k] + n[1] * cell[1][k] + n[2] * cell[2][k])
     d = [(F.col("coords")[F.col("j")][k] + shift(k) - F.col("coords")[F.col("i")][k]).alias(c) for k, c in enumerate(("dx", "dy", "dz"))]
-    out = near.join(each.hint("merge"), "structure_id").select("structure_id.structure_id", F.col("now").alias("frame"), "i", "j", "nx", "ny", "nz", "z_i", "z_j", *d)
+    # exploded, so that the filter stays behind the join: as its condition, it has every coordinate written out twelve times, too much code to be compiled
+    out = near.join(each.hint("merge"), "structure_id").select("structure_id.structure_id", F.col("now").alias("frame"), "i", "j", "nx", "ny", "nz", "z_i", "z_j", F.explode(F.array(F.struct(*d))).alias("d"))
+    out = out.select(*[c for c in out.columns if c != "d"], "d.dx", "d.dy", "d.dz")
     return out.withColumn("r", S.norm((F.col("dx"), F.col("dy"), F.col("dz")))).filter((F.col("r") > 1e-10) & (F.col("r") < rcut))
 
 
