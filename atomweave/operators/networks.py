@@ -3,7 +3,7 @@
 Nodes go through dense layers in Arrow blocks (one matrix product a block); the weights are parameters of fixed size and travel with the task. A message
 is made at its source, so an edge only joins it and scales it by its distance; messages are summed by target as columns of one aggregate. Edges, which
 neighbours bound, are the only table that a layer shuffles beside the nodes; nodes are checkpointed after each layer, as the next one reads
-them twice. Training isn't part of this library: weights come from outside.
+them twice. Where structures are many and small, all layers pass over the atoms and edges of whole structures instead, and nothing is shuffled but what makes them. Training isn't part of this library: weights come from outside.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..sources.shared import checkpointed
 from .kernels import vectors
-from .models import graph_pool
+from .models import graph_pool, over_graphs, received
 
 #: (weights: out x in, bias) of a dense layer.
 Dense = tuple[np.ndarray, np.ndarray]
@@ -71,8 +71,21 @@ class Network:
         far = edges.select("structure_id", "src", "tgt", "dist", F.array("dist").alias("d"))
         return through(far, ["d"], "f", lambda x: dense(x, self.distance)).select("structure_id", "src", "tgt", F.transform("f", lambda v: v * cut).alias("e"))
 
-    def predict(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        """(structure_id, p): the sum of atom predictions; edges (structure_id, src, tgt, dist)."""
+    def forward(self, x: np.ndarray, src: np.ndarray, tgt: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        """The prediction of each atom, as over_graphs calls it; x: features, or vectors of elements."""
+        h = x if isinstance(self.start, dict) else dense(x, [self.start])
+        e = 0.5 * (np.cos(np.pi * dist / self.rcut) + 1.0)[:, None]
+        e = e if self.distance is None else e * dense(dist[:, None], self.distance)
+        for message, update in zip(self.messages, self.updates, strict=True):
+            h = h + dense(np.hstack([h, received(dense(h, message)[src] * e, tgt, len(h))]), update)
+        return dense(h, self.output)[:, 0]
+
+    def predict(self, nodes: DataFrame, edges: DataFrame, whole: bool = False) -> DataFrame:
+        """(structure_id, p): the sum of atom predictions; edges (structure_id, src, tgt, dist). whole: as over_graphs, for many structures whose atoms and edges each fit
+        a row; without it, structures have any size."""
+        if whole:
+            first = self.begun(nodes).withColumnRenamed("h", "features") if isinstance(self.start, dict) else nodes.select("structure_id", "atom_id", "features")
+            return over_graphs(first, edges, self.forward)
         now, near = checkpointed(self.begun(nodes)), checkpointed(self.weighed(edges))
         each: list[Column] = [F.col("e")] * self.width if self.distance is None else [F.get("e", F.lit(k)) for k in range(self.width)]
         for message, update in zip(self.messages, self.updates, strict=True):
